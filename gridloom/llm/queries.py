@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import chat, url_filter
-from gridloom.llm.common import small_batches, table
+from gridloom.llm import bpe, chat, media, url_filter
+from gridloom.llm.common import new_path, small_batches, table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -25,4 +26,20 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_chat_format": op1_chat_format, "op4_url_filter": op4_url_filter}
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return media.media_digests(media.store_and_read(table(spark, sf_dir, "documents"), new_path(spark, "media")))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.bpe_digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
+    "op4_url_filter": op4_url_filter,
+    "op9_media_columns": op9_media_columns,
+    "op10_byte_bpe": op10_byte_bpe,
+}
