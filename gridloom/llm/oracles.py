@@ -26,4 +26,20 @@ SELECT page_id, host, path, r.rule AS rule, coalesce(r.v, 'allow') AS verdict
 FROM (SELECT p.*, (SELECT max_by({'rule': h || rp, 'v': v}, length(h || rp)) FROM rules WHERE (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, rp)) AS r FROM p) b
 """
 
-ORACLES = {"op1_chat_format": OP1, "op4_url_filter": OP4}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+OP6 = rf"""
+WITH q AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+i AS (SELECT item_id, least(5, len(ws)) AS n, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS k, ws FROM q WHERE len(ws) > 0),
+items AS (SELECT DISTINCT item_id, n, array_to_string(ws[k:k + n - 1], ' ') AS s FROM i),
+d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+ns AS (SELECT DISTINCT n FROM items),
+ds AS (SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS k FROM d, ns WHERE len(ws) >= n),
+docs AS (SELECT DISTINCT doc_id, n, array_to_string(ws[k:k + n - 1], ' ') AS s FROM ds),
+sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY item_id),
+hits AS (SELECT doc_id, item_id, count(*) AS n_shared FROM docs JOIN items USING (n, s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_item, n_shared, CAST(n_shared AS DOUBLE) / n_item AS containment
+FROM hits JOIN sizes USING (item_id) WHERE 100 * n_shared >= 75 * n_item
+"""
+
+ORACLES = {"op6_decontaminate": OP6, "op1_chat_format": OP1, "op4_url_filter": OP4}

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, media, url_filter
+from gridloom.llm import bpe, chat, decontaminate, langid, media, quality, url_filter
 from gridloom.llm.common import new_path, small_batches, table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -21,11 +22,31 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.render(chat.fold_events(chat.message_log(rows))))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    weights = quality.train(docs, labels.filter(quality.fold_of("doc_id", 5) != 0))
+    return quality.score(docs, weights).select("doc_id", (quality.fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.select("doc_id", "text", "lang").filter(quality.fold_of("doc_id", 4) != 2))
+    return langid.predict(docs, model).withColumn("held_out", quality.fold_of("doc_id", 4) == 2)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return media.media_digests(media.store_and_read(table(spark, sf_dir, "documents"), new_path(spark, "media")))
@@ -39,7 +60,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_quality": op2_quality,
+    "op3_language": op3_language,
     "op4_url_filter": op4_url_filter,
+    "op6_decontaminate": op6_decontaminate,
     "op9_media_columns": op9_media_columns,
     "op10_byte_bpe": op10_byte_bpe,
 }
