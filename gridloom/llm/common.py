@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch. A batch of texts is some hundred kB as a rule and never more than this many texts.
-BATCH_ROWS = 256
+BATCH_ROWS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

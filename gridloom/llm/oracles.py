@@ -42,4 +42,17 @@ SELECT doc_id, item_id, n_item, n_shared, CAST(n_shared AS DOUBLE) / n_item AS c
 FROM hits JOIN sizes USING (item_id) WHERE 100 * n_shared >= 75 * n_item
 """
 
-ORACLES = {"op6_decontaminate": OP6, "op1_chat_format": OP1, "op4_url_filter": OP4}
+OP8 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+k AS (SELECT doc_id, ws, least(5, len(ws)) AS n, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS k FROM d WHERE len(ws) > 0),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[k:k + n - 1], ' ') AS s FROM k),
+c AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * i >= 75 * (ca.n + cb.n - i)),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT doc_id, coalesce(c.n, 0) AS n_shingles, least(doc_id, coalesce(m.b, doc_id)) AS component_id
+FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.a = doc_id
+"""
+
+ORACLES = {"op8_jaccard_join": OP8, "op6_decontaminate": OP6, "op1_chat_format": OP1, "op4_url_filter": OP4}

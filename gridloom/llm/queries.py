@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, decontaminate, langid, media, quality, url_filter
+from gridloom.llm import bpe, chat, decontaminate, jaccard, langid, media, quality, url_filter
 from gridloom.llm.common import new_path, small_batches, table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -47,6 +47,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return media.media_digests(media.store_and_read(table(spark, sf_dir, "documents"), new_path(spark, "media")))
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_url_filter": op4_url_filter,
     "op6_decontaminate": op6_decontaminate,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_media_columns": op9_media_columns,
     "op10_byte_bpe": op10_byte_bpe,
 }

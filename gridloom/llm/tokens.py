@@ -114,10 +114,10 @@ def shingle_sets(w: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     if len(short := np.flatnonzero((size > 0) & (size < n))):
         extra = np.zeros(len(short), np.uint64)
         for k, d in enumerate(short):
-            x = w.hashes[w.first[d]]
-            for y in w.hashes[w.first[d] + 1 : w.first[d + 1]]:
-                x = x * _R + y
-            extra[k] = x + np.uint64(size[d])
+            x = w.hashes[w.first[d] : w.first[d] + 1]
+            for i in range(w.first[d] + 1, w.first[d + 1]):
+                x = x * _R + w.hashes[i : i + 1]
+            extra[k] = (x + np.uint64(size[d]))[0]
         h, doc = np.concatenate([h, mix(extra)]), np.concatenate([doc, short])
         order = np.argsort(doc, kind="stable")
         h, doc = h[order], doc[order]
