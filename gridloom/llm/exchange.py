@@ -1,10 +1,13 @@
 """Packed exchanges between blocks of documents and shards of keys.
 
 An operator that needs something global about each word, shingle or anchor of a text would shuffle a row for each of
-them. Instead a block of documents sends each shard of the key space one row with all it has there as sorted, packed
+them. Instead a block of documents sends each shard of the key space one row with all it has there, as sorted, packed
 arrays; the shard answers each block in the order it was asked; and the answers meet the block's texts again. Blocks
-are made afresh where they are needed, from the same files in the same order, so an answer fits what was asked; a block
-whose keys don't fit fails the job. Rows number at most one for each block and shard, and never more than the keys.
+are made afresh where they are needed, from the same files in the same order, so an answer fits what was asked; answers
+that don't fit fail the job.
+
+A block is about an input split, so rows number what Spark's own shuffle has of blocks (input splits times shards). It
+is worked on in pieces of a few MB, which bounds the arrays in memory; a piece has its own arrays in the row.
 """
 
 from __future__ import annotations
@@ -17,16 +20,18 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: Bytes of text in one block. Its arrays take some hundred times as much for a moment.
-BLOCK_BYTES = 2 << 20
+#: Bytes of text in one piece, whose arrays take some hundred times as much for a moment, and pieces in one block.
+PIECE_BYTES, PIECES = 2 << 20, 12
 ROWS = "block long, kind int, shard int, data binary"
 TEXTS = -1
 Arrays = list[np.ndarray]
+#: A piece's number, the shard, and what it is asked or answers.
+Part = tuple[int, int, Arrays]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays in one compressed value. Bytes of equal weight stand together, so that small numbers take little."""
-    parts = [len(arrays).to_bytes(2, "little")]
+    parts = [len(arrays).to_bytes(4, "little")]
     for x in arrays:
         x = np.ascontiguousarray(x)
         parts += [x.dtype.str.encode().ljust(4), len(x).to_bytes(8, "little"), np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()]
@@ -35,8 +40,8 @@ def pack(*arrays: np.ndarray) -> bytes:
 
 def unpack(data: bytes) -> Arrays:
     raw = zstandard.decompress(data)
-    out, at = [], 2
-    for _ in range(int.from_bytes(raw[:2], "little")):
+    out, at = [], 4
+    for _ in range(int.from_bytes(raw[:4], "little")):
         kind, n = np.dtype(raw[at : at + 4].decode().strip()), int.from_bytes(raw[at + 4 : at + 12], "little")
         at += 12
         planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
@@ -45,6 +50,16 @@ def unpack(data: bytes) -> Arrays:
     return out
 
 
+def pack_pieces(pieces: list[tuple[int, Arrays]]) -> bytes:
+    return pack(np.array([k for k, _ in pieces], np.uint32), np.array([len(x) for _, x in pieces], np.uint32), *(y for _, x in pieces for y in x))
+
+
+def unpack_pieces(data: bytes) -> list[tuple[int, Arrays]]:
+    numbers, sizes, *arrays = unpack(data)
+    ends = np.cumsum(sizes)
+    return [(int(k), arrays[int(e) - int(n) : int(e)]) for k, n, e in zip(numbers, sizes, ends, strict=True)]
+
+
 def steps(x: np.ndarray) -> np.ndarray:
     """The differences of an ascending array; total() undoes it."""
     return np.diff(x, prepend=x.dtype.type(0))
@@ -70,32 +85,55 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["block", "kind", "shard", "data"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    held, size, k, first = [], 0, 0, TaskContext.get().partitionId() << 32
+def _rows(block: int, kind: int, parts: Iterator[Part]) -> Iterator[pa.RecordBatch]:
+    by_shard: dict[int, list[tuple[int, Arrays]]] = {}
+    for piece, shard, arrays in parts:
+        by_shard.setdefault(shard, []).append((piece, arrays))
+    out = [(block, kind, s, pack_pieces(x)) for s, x in by_shard.items()]
+    for i in range(0, len(out), 64):
+        yield batch_of(out[i : i + 64])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += batch.column("text").nbytes
-        if size >= BLOCK_BYTES:
-            yield first + k, pa.Table.from_batches(held)
-            held, size, k = [], 0, k + 1
+        if size >= PIECE_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
     if held:
-        yield first + k, pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, pa.Table]]]]:
+    """Each block must be read to its end before the next."""
+    pieces, block = _pieces(batches), TaskContext.get().partitionId() << 32
+    for first in pieces:
+
+        def whole(first: pa.Table = first) -> Iterator[tuple[int, pa.Table]]:
+            yield 0, first
+            for k in range(1, PIECES):
+                if (piece := next(pieces, None)) is None:
+                    return
+                yield k, piece
+
+        yield block, whole()
+        block += 1
 
 
 def ask(docs: DataFrame, questions: Callable[[pa.Table], Iterator[tuple[int, Arrays]]], kind: int) -> DataFrame:
-    """Rows from blocks to shards. questions: gives (shard, arrays) for a block of (doc_id, text)."""
+    """Rows from blocks to shards. questions: gives (shard, arrays) for a piece of docs, which has a column text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, table in _blocks(batches):
-            rows = [(block, kind, shard, pack(*arrays)) for shard, arrays in questions(table)]
-            for i in range(0, len(rows), 64):
-                yield batch_of(rows[i : i + 64])
+        for block, pieces in _blocks(batches):
+            yield from _rows(block, kind, ((k, shard, arrays) for k, table in pieces for shard, arrays in questions(table)))
 
     return docs.mapInArrow(run, ROWS)
 
 
 def answer(asked: DataFrame, shards: int, reply: Callable[[list[Arrays]], Iterator[Arrays]]) -> DataFrame:
-    """Rows back from shards to blocks. reply: gets all that one shard was asked, and gives an answer to each in order."""
+    """Rows back from shards to blocks. reply: gets all that one shard was asked, piece by piece, and gives an answer to each in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_shard: dict[int, list] = {}
@@ -104,43 +142,80 @@ def answer(asked: DataFrame, shards: int, reply: Callable[[list[Arrays]], Iterat
                 by_shard.setdefault(row["shard"], []).append(row)
         for shard, rows in by_shard.items():
             rows.sort(key=lambda r: r["block"])
-            for row, arrays in zip(rows, reply([unpack(r["data"]) for r in rows]), strict=True):
-                yield batch_of([(row["block"], row["kind"], shard, pack(*arrays))])
+            asked = [unpack_pieces(r["data"]) for r in rows]
+            answers = iter(reply([x for pieces in asked for _, x in pieces]))
+            for row, pieces in zip(rows, asked, strict=True):
+                yield batch_of([(row["block"], row["kind"], shard, pack_pieces([(k, next(answers)) for k, _ in pieces]))])
 
     return asked.repartitionById(shards, "shard").mapInArrow(run, ROWS)
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """Rows that carry the blocks' own (doc_id, text), compressed."""
+    """Rows that carry the blocks' own columns, compressed, a piece in each record batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, table in _blocks(batches):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as out:
-                out.write_table(table)
-            yield batch_of([(block, TEXTS, -1, zstandard.ZstdCompressor(3).compress(sink.getvalue()))])
+        for block, pieces in _blocks(batches):
+            sink, out = pa.BufferOutputStream(), None
+            packed = pa.CompressedOutputStream(sink, "zstd")
+            for _, table in pieces:
+                out = out or pa.ipc.new_stream(packed, table.schema)
+                out.write_table(table.combine_chunks())
+            out.close()
+            packed.close()
+            yield batch_of([(block, TEXTS, -1, sink.getvalue().to_pybytes())])
 
     return docs.mapInArrow(run, ROWS)
 
 
-def meet(rows: DataFrame, work: Callable[[int, pa.Table | None, dict[int, list[Arrays]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Brings all rows of a block together. work: gets the block, its texts if they are among the rows, and by kind the answers of all shards in order."""
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, pa.Table | None, dict[int, list[Arrays]]]]]]:
+    """Each block's pieces: number, texts, and by kind the answers of the shards in order."""
+
+    def whole(stream: bytes | None, got: dict[int, dict[int, list[Arrays]]]) -> Iterator[tuple[int, pa.Table | None, dict[int, list[Arrays]]]]:
+        if stream is None:
+            for k in sorted(got):
+                yield k, None, got[k]
+        else:
+            for k, batch in enumerate(pa.ipc.open_stream(pa.CompressedInputStream(pa.BufferReader(stream), "zstd"))):
+                yield k, pa.Table.from_batches([batch]), got.pop(k, {})
+
+    now, stream, got = None, None, {}
+    for batch in batches:
+        for k in range(batch.num_rows):
+            block, kind, data = batch["block"][k].as_py(), batch["kind"][k].as_py(), batch["data"][k].as_py()
+            if block != now:
+                if now is not None:
+                    yield now, whole(stream, got)
+                now, stream, got = block, None, {}
+            if kind == TEXTS:
+                stream = data
+            else:
+                for piece, arrays in unpack_pieces(data):
+                    got.setdefault(piece, {}).setdefault(kind, []).append(arrays)
+    if now is not None:
+        yield now, whole(stream, got)
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("block").sortWithinPartitions("block", "kind", "shard")
+
+
+def meet(rows: DataFrame, work: Callable[[pa.Table | None, dict[int, list[Arrays]]], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """Brings all rows of a block together. work: gets a piece's texts, if they are among the rows, and its answers by kind, and gives rows of the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, table, got = None, None, {}
-        for batch in batches:
-            for k in range(batch.num_rows):
-                block, kind = batch["block"][k].as_py(), batch["kind"][k].as_py()
-                if block != now:
-                    if now is not None:
-                        yield from work(now, table, got)
-                    now, table, got = block, None, {}
-                data = batch["data"][k].as_py()
-                if kind == TEXTS:
-                    table = pa.ipc.open_stream(zstandard.decompress(data)).read_all()
-                else:
-                    got.setdefault(kind, []).append(unpack(data))
-        if now is not None:
-            yield from work(now, table, got)
-
-    return rows.repartition("block").sortWithinPartitions("block", "kind", "shard").mapInArrow(run, schema)
+        for _, pieces in _met(batches):
+            for _, table, got in pieces:
+                if (out := work(table, got)) is not None:
+                    yield out
+
+    return _together(rows).mapInArrow(run, schema)
+
+
+def ask_again(rows: DataFrame, questions: Callable[[pa.Table, dict[int, list[Arrays]]], Iterator[tuple[int, Arrays]]], kind: int) -> DataFrame:
+    """As ask(), of blocks that meet earlier answers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, pieces in _met(batches):
+            yield from _rows(block, kind, ((k, shard, arrays) for k, table, got in pieces for shard, arrays in questions(table, got)))
+
+    return _together(rows).mapInArrow(run, ROWS)

@@ -74,13 +74,13 @@ def _reply(asked: list[exchange.Arrays]) -> Iterator[exchange.Arrays]:
         yield [live, *head]
 
 
-def _bounds(block: int, table: pa.Table | None, got: dict[int, list[exchange.Arrays]]) -> Iterator[pa.RecordBatch]:
+def _bounds(table: pa.Table | None, got: dict[int, list[exchange.Arrays]]) -> pa.RecordBatch:
     (head,) = [x[1:] for x in got[0] if len(x) > 1]
     ids, null, sizes, signs, first = head
     live = np.zeros(len(ids), np.int64)
     for x in got[0]:
         live[: len(x[0])] += x[0]
-    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array(sizes.astype(np.int64)), pa.array(signs.view(np.int64)), pa.array(live, mask=first == 0)], ["doc_id", "n_shingles", "sign", "live"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array(sizes.astype(np.int64)), pa.array(signs.view(np.int64)), pa.array(live, mask=first == 0)], ["doc_id", "n_shingles", "sign", "live"])
 
 
 def shingle_bounds(docs: DataFrame) -> DataFrame:
