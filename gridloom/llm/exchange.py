@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 PIECE_BYTES, PIECES = 2 << 20, 12
 ROWS = "block long, kind int, shard int, data binary"
 TEXTS = -1
+#: The block of what a shard says when it has answered all.
+CLOSING = -1
 Arrays = list[np.ndarray]
 #: A piece's number, the shard, and what it is asked or answers.
 Part = tuple[int, int, Arrays]
@@ -133,7 +135,7 @@ def ask(docs: DataFrame, questions: Callable[[pa.Table], Iterator[tuple[int, Arr
 
 
 def answer(asked: DataFrame, shards: int, reply: Callable[[list[Arrays]], Iterator[Arrays]]) -> DataFrame:
-    """Rows back from shards to blocks. reply: gets all that one shard was asked, piece by piece, and gives an answer to each in order."""
+    """Rows back from shards to blocks. reply: gets all that one shard was asked, piece by piece, and gives an answer to each in order, and one more at most, which is a row of block CLOSING."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_shard: dict[int, list] = {}
@@ -146,6 +148,8 @@ def answer(asked: DataFrame, shards: int, reply: Callable[[list[Arrays]], Iterat
             answers = iter(reply([x for pieces in asked for _, x in pieces]))
             for row, pieces in zip(rows, asked, strict=True):
                 yield batch_of([(row["block"], row["kind"], shard, pack_pieces([(k, next(answers)) for k, _ in pieces]))])
+            for arrays in answers:
+                yield batch_of([(CLOSING, row["kind"], shard, pack(*arrays))])
 
     return asked.repartitionById(shards, "shard").mapInArrow(run, ROWS)
 

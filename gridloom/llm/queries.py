@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, decontaminate, jaccard, langid, media, quality, suffix, url_filter
+from gridloom.llm import bpe, chat, decontaminate, jaccard, langid, lm, media, quality, suffix, url_filter
 from gridloom.llm.common import new_path, small_batches, table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -52,6 +52,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    scores = lm.score(table(spark, sf_dir, "documents"), quality.fold_of("doc_id", 7) != 2)
+    return scores.withColumn("held_out", F.coalesce(quality.fold_of("doc_id", 7) == 2, F.lit(False)))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return jaccard.linked(table(spark, sf_dir, "documents"))
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_media_columns": op9_media_columns,
     "op10_byte_bpe": op10_byte_bpe,
