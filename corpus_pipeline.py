@@ -1,12 +1,72 @@
-"""A cleaning pipeline over documents in five stages."""
+"""A cleaning pipeline over documents in five stages, each an operator of gridloom.llm over all that the one before kept.
+
+doc_id names a document: repeated rows of one id are one document. Each stage's rows are written to the shared folder
+and read again as the next one's input.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import bpe, decontaminate, jaccard, quality, suffix
+from gridloom.llm.common import small_batches, table, written
+
+#: The score from which a document stays, as in op2.
+KEEP_FROM = 0.3
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It learns from the labels of the documents here, but for the held-out fifth."""
+    small_batches(spark)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    weights = quality.train(docs, labels.filter(quality.fold_of("doc_id", 5) != 0))
+    return quality.score(docs, weights, tuple(docs.columns)).filter(F.col("score") >= KEEP_FROM).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links of 75 % connect, the document with the smallest id stays."""
+    small_batches(spark)
+    first = jaccard.linked(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id"))
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi").dropDuplicates(["doc_id"])
+
+
+def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes that an earlier document has are cut out of the texts; every document stays."""
+    small_batches(spark)
+    other = tuple(c for c in docs.columns if c not in ("doc_id", "n_chars"))
+    return suffix.remove_repeats(docs, keep=other).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    small_batches(spark)
+    return decontaminate.without(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the digests of the ids and of what they decode to."""
+    small_batches(spark)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return decoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("suffix_array_dedup", repeat_stage),
+    ("benchmark_decontamination", benchmark_stage),
+    ("byte_bpe", token_stage),
+]
 
-STAGES: list = []
+#: No SQL: the classifier learns its weights. tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs

@@ -15,10 +15,11 @@ match each; a null id stays null. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,37 +82,60 @@ class Items:
         return np.repeat(doc, sizes) * len(self.ids) + item
 
 
-def contained(docs: DataFrame, items: DataFrame, share: float = 0.75, n: int = 5, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, item_id, n_item, n_shared, containment for docs (doc_id, text) and items (item_id, text) with n_shared >= share * n_item."""
-    spark = docs.sparkSession
+def _blocks(items: DataFrame, share: float, n: int, block_shingles: int) -> Iterator[Broadcast]:
+    """The items by the number of words in their shingles, in blocks of bounded size."""
     sets = items.select("item_id", "text").mapInArrow(_sets(n), _SETS).filter("size(shingles) > 0")
     total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
     blocks = -(-total // block_shingles)
-    out = spark.createDataFrame([], PAIRS)
     for k in range(blocks):
         rows = sets.filter(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == k).collect()  # a block is bounded
         if rows:
             by_words = {m: Items([r for r in rows if r["words"] == m], share) for m in sorted({r["words"] for r in rows})}
-            out = out.unionAll(docs.select("doc_id", "text").mapInArrow(_search(spark.sparkContext.broadcast(by_words), n), PAIRS))
+            yield items.sparkSession.sparkContext.broadcast(by_words)
+
+
+def contained(docs: DataFrame, items: DataFrame, share: float = 0.75, n: int = 5, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """doc_id, item_id, n_item, n_shared, containment for docs (doc_id, text) and items (item_id, text) with n_shared >= share * n_item."""
+    out = docs.sparkSession.createDataFrame([], PAIRS)
+    for block in _blocks(items, share, n, block_shingles):
+        out = out.unionAll(docs.select("doc_id", "text").mapInArrow(_search(block, n), PAIRS))
     return out
 
 
-def _search(items, n: int):  # noqa: ANN001
+def without(docs: DataFrame, items: DataFrame, share: float = 0.75, n: int = 5, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """The rows of docs that contain no item, with all their columns."""
+
+    def clean(block: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for found, *_ in _matches(batch.column("text"), block, n):
+                    keep[found] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for block in _blocks(items, share, n, block_shingles):
+        docs = docs.mapInArrow(clean(block), docs.schema)
+    return docs
+
+
+def _matches(texts: pa.Array, items: Broadcast, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Items]]:
+    """Rows, items and shared shingles, for each length of shingle."""
+    w = tokens.words(texts)
+    for m, block in items.value.items():
+        h, doc = tokens.ngrams(w, m)
+        seen = block.maybe[h >> np.uint64(64 - _BITS)]  # so that few are left to sort
+        h, at = tokens.distinct(h[seen], doc[seen], len(texts))
+        yield *block.search(h, np.repeat(np.arange(len(texts)), np.diff(at))), block
+
+
+def _search(items: Broadcast, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, ids = tokens.words(batch.column("text")), batch.column("doc_id")
-            for m, block in items.value.items():
-                h, doc = tokens.ngrams(w, m)
-                if m < n:
-                    h, at = tokens.distinct(h, doc, len(ids))
-                    doc = np.repeat(np.arange(len(ids)), np.diff(at))
-                else:
-                    seen = block.maybe[h >> np.uint64(64 - _BITS)]  # so that few are left to sort
-                    h, at = tokens.distinct(h[seen], doc[seen], len(ids))
-                    doc = np.repeat(np.arange(len(ids)), np.diff(at))
-                d, item, shared = block.search(h, doc)
+            for d, item, shared, block in _matches(batch.column("text"), items, n):
                 if len(d):
                     size = block.size[item]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(d)), pa.array([block.ids[i] for i in item], pa.int64()), pa.array(size, pa.int64()), pa.array(shared, pa.int64()), pa.array(shared / size)], [x.split()[0] for x in PAIRS.split(", ")])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), pa.array([block.ids[i] for i in item], pa.int64()), pa.array(size, pa.int64()), pa.array(shared, pa.int64()), pa.array(shared / size)], [x.split()[0] for x in PAIRS.split(", ")])
 
     return run

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from gridloom.llm import tokens
 
 BITS, SIZE, NGRAMS = 16, 16, (2, 3, 4)
+#: Languages that a model may have.
+MAX_LANGS = 2_000
 #: Bytes of a piece that training learns from, beside the whole text, so that short texts are known too.
 PIECE = 400
 _MULTIPLY = np.uint32(0x9E3779B1)
@@ -101,9 +103,12 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, max_rows: int = 500, epochs: int = 3, rate: float = 4.0) -> dict:
     """A model from docs (doc_id, text, lang): {langs, table, reject}. max_rows: about as many documents of each language at most."""
     usable = docs.select("doc_id", "text", "lang").filter("doc_id is not null and lang is not null and text is not null")
-    counts = usable.groupBy("lang").count()
-    share = counts.select("lang", (F.least(F.lit(1.0), max_rows / F.col("count")) * (1 << 20)).alias("below"))
-    some = usable.join(share, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("below"))
+    counts = usable.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, max_rows / r["count"]) * (1 << 20)) for r in counts], "lang string, below double")
+    # at most MAX_LANGS rows
+    some = usable.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("below"))
     rows = some.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0).alias("held"), F.xxhash64("doc_id", F.lit(2)).alias("place"))
     found = rows.repartition(1).sortWithinPartitions("place", "lang", "text").mapInArrow(_fit(epochs, rate), "model binary").collect()
     return pickle.loads(zlib.decompress(found[0]["model"])) if found else {"langs": [], "table": np.zeros((1 << BITS, 0), np.float32), "reject": 0.0}  # noqa: S301  made by this job

@@ -126,8 +126,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, epochs: in
     return np.frombuffer(zlib.decompress(rows[0]["weights"]), "<f4") if rows else np.zeros((1 << BITS) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """doc_id, score of docs (doc_id, text). The weights are 4 MB, whatever the corpus."""
+def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score and the columns of keep, of docs (doc_id, text). The weights are 4 MB, whatever the corpus."""
+    docs = docs.select("doc_id", "text", *(c for c in keep if c not in ("doc_id", "text")))
     model = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,6 +137,8 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             x, at = features(batch.column("text"))
             sums = np.concatenate([[0.0], np.cumsum(w[x], dtype=np.float64)])
             mean = np.diff(sums[at]) / np.maximum(1, np.diff(at))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(mean + w[-1], -30, 30))))], ["doc_id", "score"])
+            p = pa.array(1 / (1 + np.exp(-np.clip(mean + w[-1], -30, 30))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), p, *(batch.column(c) for c in keep if c != "doc_id")], ["doc_id", "score", *(c for c in keep if c != "doc_id")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep if c != "doc_id")
+    return docs.mapInArrow(run, "doc_id long, score double" + (f", {kept}" if kept else ""))

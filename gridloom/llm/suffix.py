@@ -233,6 +233,9 @@ def _cut(length: int, keep: list[str]):
         left = ~covered
         kept, sums = a.data[left].tobytes(), np.concatenate([[0], np.cumsum(left)])[a.at]
         rows = [kept[i:j] for i, j in zip(sums[:-1], sums[1:], strict=True)]
+        if "text" in keep:  # what is left, without characters cut in two
+            left = [x.decode(errors="ignore") for x in rows]
+            table = table.set_column(table.schema.get_field_index("text"), "text", pa.array(left, pa.string()))
         columns = [table["doc_id"], pa.array(np.diff(a.at)), *lists, pa.array(rows, pa.binary()), *(table[c] for c in keep)]
         return pa.table(columns, ["doc_id", "n_bytes", "span_starts", "span_ends", "kept", *keep]).combine_chunks().to_batches()[0]
 
@@ -240,8 +243,8 @@ def _cut(length: int, keep: list[str]):
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, span_starts and span_ends of the removed runs, kept (the other bytes), and the columns of keep, of docs (doc_id, text)."""
-    docs = settled(docs.select("doc_id", "text", *keep), "suffix-docs")
+    """doc_id, n_bytes, span_starts and span_ends of the removed runs, kept (the other bytes), and the columns of keep, of docs (doc_id, text). A text among keep is what is left of it."""
+    docs = settled(docs.select("doc_id", "text", *(c for c in keep if c != "text")), "suffix-docs")
     few, shards = docs.select("doc_id", "text"), partitions(docs.sparkSession)
     anchors = written(exchange.answer(exchange.ask(few, _ask_anchors(shards, length), _ANCHORS), shards, _reply_anchors), "anchors")
     windows = written(exchange.answer(exchange.ask_again(exchange.texts(few).unionAll(anchors), _ask_windows(shards, length), _WINDOWS), shards, _reply_windows), "windows")
