@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import exchange, tokens
@@ -152,22 +152,28 @@ def linked(docs: DataFrame, share: int = 75) -> DataFrame:
     edges = written(_similar(sets, "low", share).unionAll(_similar(sets, "low2", share)), "links")
     groups = components(edges)
     grouped = sets.select("sign", "n", "tokens").join(groups.select(F.col("node").alias("sign"), F.col("component").alias("found")), "sign", "left").withColumn("group", F.coalesce("found", "sign")).drop("found")
-    prefix = written(grouped.select("sign", "n", "group", F.explode(F.slice("tokens", F.lit(1), (F.col("n") - _need(F.col("n"), share) + 1).cast("int"))).alias("token")), "prefixes")
-    shared = prefix.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("token")
-    prefix = written(prefix.join(shared, "token"), "prefixes")
+    # a set can only be linked to another group if three quarters of its tokens are in the unions of other groups
+    every = grouped.select("sign", "n", "group", F.explode("tokens").alias("token"))
+    spread = every.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("token")
+    outer = written(every.join(spread, "token"), "outer-tokens")
+    bound = outer.groupBy("sign").agg(F.count("*").alias("t")).withColumnRenamed("sign", "of")
+    outer = outer.join(bound, F.col("sign") == F.col("of")).filter(F.col("t") >= _need(F.col("n"), share))
+    rank = F.row_number().over(Window.partitionBy("sign").orderBy("token"))
+    outer = written(outer.select("sign", "n", "group", "token", (rank <= F.col("t") - _need(F.col("n"), share) + 1).alias("first")), "outer-tokens")
+    prefix = outer.filter("first").select("sign", "n", "group", "token")
     matrix = prefix.select("token", F.col("group").alias("other")).distinct()
     wanted = written(prefix.join(matrix, "token").filter("group <> other").select("sign", "n", "other").distinct(), "wanted")
-    # the union of a group's tokens bounds what a set has in common with any member
-    ask = wanted.join(grouped.select("sign", F.explode("tokens").alias("token")), "sign")
-    union = grouped.join(wanted.select(F.col("other").alias("group")).distinct(), "group", "left_semi").select(F.col("group").alias("other"), F.explode("tokens").alias("token")).distinct()
-    opened = ask.join(union, ["other", "token"]).groupBy("sign", "other").agg(F.count("*").alias("common"), F.max("n").alias("n")).filter(F.col("common") >= _need(F.col("n"), share)).select("sign", "other")
+    # and only to a group whose own union covers as much of it
+    union = outer.select(F.col("group").alias("other"), "token").distinct()
+    opened = wanted.join(outer.select("sign", "token"), "sign").join(union, ["other", "token"]).groupBy("sign", "other").agg(F.count("*").alias("common"), F.max("n").alias("n")).filter(F.col("common") >= _need(F.col("n"), share)).select("sign", "other")
     members = prefix.select("token", F.col("sign").alias("member"), F.col("group").alias("other"), F.col("n").alias("m"))
-    pairs = (
+    pairs = written(
         opened.join(prefix.select("sign", "token", "n"), "sign")
         .join(members, ["other", "token"])
         .filter((100 * F.least("n", "m") >= share * F.greatest("n", "m")))
         .select("sign", "member")
-        .distinct()
+        .distinct(),
+        "pairs",
     )
     both = pairs.join(sets.select("sign", "tokens", "n"), "sign").join(sets.select(F.col("sign").alias("member"), F.col("tokens").alias("theirs"), F.col("n").alias("m")), "member")
     common = F.size(F.array_intersect("tokens", "theirs"))
