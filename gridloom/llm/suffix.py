@@ -48,10 +48,9 @@ class Anchors:
             self.key = self.context = np.zeros(0, np.uint64)
             self.doc = self.pos = self.low = self.high = np.zeros(0, np.int64)
             return
-        starts = np.arange(n - GRAM + 1)
-        h = tokens.range_hashes(self.sums, starts, starts + GRAM)
+        h = tokens.mix((self.sums[GRAM:] - self.sums[:-GRAM]) * tokens.powers(n)[1][: n - GRAM + 1])
         # the upper half of the hash, then the place: the least is leftmost among equals
-        least = (h & np.uint64(0xFFFFFFFF00000000)) | starts.astype(np.uint64)
+        least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n - GRAM + 1, dtype=np.uint64)
         span, width = 1, length - GRAM + 1
         while 2 * span <= width:
             least = np.minimum(least[: len(least) - span], least[span:])
@@ -65,7 +64,8 @@ class Anchors:
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])[: len(anchor)])
         low, high = windows[first], windows[np.append(first[1:], len(windows))[: len(first)] - 1] if len(first) else windows[first]
         anchor = anchor[first]
-        key = h[anchor]
+        key = tokens.mix(h[anchor])  # least hashes are small, keys are even
+        del h, least, windows
         order = np.argsort(key, kind="stable")
         self.key, self.low, self.high, anchor = key[order], low[order], high[order], anchor[order]
         self.context = tokens.mix(tokens.range_hashes(self.sums, self.low, self.high + length) + (anchor - self.low).astype(np.uint64))
