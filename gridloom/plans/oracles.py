@@ -170,7 +170,8 @@ ORACLES: dict[str, str] = {
     "rollup_summary": "SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 5) AS mean, round(stddev_pop(l_quantity), 5) AS std, count(l_quantity) AS n_valid FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "paired_t": "WITH x AS (SELECT l_returnflag, l_linestatus, l_quantity - l_tax * 300 AS d FROM lineitem WHERE l_linenumber % 3 <> 0) SELECT l_returnflag, l_linestatus, count(*) AS n, round(CASE WHEN count(*) >= 5 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END, 4) AS t FROM x GROUP BY ALL",
     "report_union": f"WITH {P} SELECT 'actual' AS type, count(DISTINCT path_id) AS n, count(DISTINCT path_id) AS names FROM p UNION ALL SELECT 'predicted', count(DISTINCT path_id), count(DISTINCT path_id) FROM p",
-    "remaining_cost": f"WITH {P}, r AS (SELECT path_id, seq, CAST(floor(lat * 100) AS INT) AS row, CAST(floor(lon * 100) AS INT) AS col, z / 100 AS cost FROM p), s AS (SELECT path_id, seq, coalesce(lead(cost) OVER w * (CASE WHEN lead(row) OVER w <> row AND lead(col) OVER w <> col THEN 1.414::DOUBLE ELSE 1.0 END), 0) AS step FROM r {W}) SELECT path_id, seq, round(sum(step) OVER (PARTITION BY path_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 4) AS remaining FROM s",
+    "remaining_cost": f"WITH {P}, r AS (SELECT path_id, seq, CAST(floor(lat * 100) AS INT) AS row, CAST(floor(lon * 100) AS INT) AS col, z AS cost FROM p), s AS (SELECT path_id, seq, coalesce(lead(cost) OVER w * (CASE WHEN lead(row) OVER w <> row AND lead(col) OVER w <> col THEN 1.414::DOUBLE ELSE 1.0 END), 0) AS step FROM r {W}) SELECT path_id, seq, round(sum(step) OVER (PARTITION BY path_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS remaining FROM s",
+    "osm_sources": "WITH v AS (SELECT l_orderkey AS id, list({'y': l_suppkey % 10, 'x': l_partkey % 100} ORDER BY l_linenumber, l_partkey, l_suppkey) AS g FROM lineitem GROUP BY 1), o AS MATERIALIZED (SELECT v.*, len(g) AS n, o_orderpriority, o_orderstatus, o_custkey FROM v JOIN orders ON id = o_orderkey), s AS (SELECT 'roads' AS source, n FROM o WHERE n >= 2 AND o_orderpriority = '1-URGENT' UNION ALL SELECT 'water', n FROM o WHERE n >= 2 AND o_orderstatus = 'F' UNION ALL SELECT 'landuse', n FROM o WHERE n >= 4 AND g[1] = g[n] AND o_custkey % 2 = 0) SELECT k.source, count(n) AS n, CAST(coalesce(sum(n), 0) AS BIGINT) AS vertices FROM (VALUES ('roads'), ('water'), ('protected'), ('landuse'), ('buildings'), ('railways'), ('airports')) k(source) LEFT JOIN s USING (source) GROUP BY k.source",
     "tile_mosaic": f"WITH {G}, s AS (SELECT least(i * 32, h - 48) AS r FROM dim, range(200) t(i) WHERE i * 32 <= h - 48 OR (i - 1) * 32 < h - 48), rs AS (SELECT DISTINCT r FROM s), cs AS (SELECT unnest([0, 16]) AS c) SELECT row, col, {r6('greatest(0, avg(z + r + c))')} AS predicted FROM g JOIN rs ON row BETWEEN r AND r + 47 JOIN cs ON col BETWEEN c AND c + 47 GROUP BY row, col",
     "endpoint_snap": f"WITH {G}, q AS (SELECT event_id AS path_id, CAST(event_id % h AS INT) AS row, CAST(user_id % 64 AS INT) AS col FROM events, dim), k AS (SELECT path_id, g.row AS r, g.col AS c, greatest(abs(g.row - q.row), abs(g.col - q.col)) AS ring FROM q JOIN g ON g.row BETWEEN q.row - 5 AND q.row + 5 AND g.col BETWEEN q.col - 5 AND q.col + 5 WHERE z < 100) SELECT path_id, r AS row, c AS col FROM k QUALIFY row_number() OVER (PARTITION BY path_id ORDER BY ring, r, c) = 1",
     "event_windows": "SELECT event_type, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS starts, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) + 3600 AS ends, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type, date_trunc('hour', ts)",

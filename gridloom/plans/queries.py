@@ -363,8 +363,8 @@ def osm_sources(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def remaining_cost(spark: SparkSession, d: str) -> DataFrame:
-    routes = _paths(spark, d).select("path_id", "seq", F.floor(F.col("lat") * 100).cast("int").alias("row"), F.floor(F.col("lon") * 100).cast("int").alias("col"), (F.col("z") / 100).alias("cost"))
-    return model.remaining_cost(routes).select("path_id", "seq", F.round("remaining", 4).alias("remaining"))
+    routes = _paths(spark, d).select("path_id", "seq", F.floor(F.col("lat") * 100).cast("int").alias("row"), F.floor(F.col("lon") * 100).cast("int").alias("col"), F.col("z").alias("cost"))
+    return model.remaining_cost(routes).select("path_id", "seq", r6("remaining").alias("remaining"))
 
 
 @query
