@@ -7,9 +7,12 @@ most documents are done. (Tokens are cut to 40 bits here, which can only loosen
 
 Level two, over the different shingle sets that are left. Similar sets are put into groups: sets with the same smallest
 hash, under either of two hash functions, are compared with the first few of their kind, and what links is one group.
-The matrix now has a row for each token of a set's prefix (the n - ceil(0.75 n) + 1 smallest, of which any linked set
-shares one) and each group. Sets open only groups not their own that share a prefix token and whose union of tokens
-covers three quarters of the set; there they are compared exactly with the members that share a prefix token.
+Again a set is bounded by what the unions of other groups have of it, now exactly, and few are left. Those look up the
+matrix of tokens and groups by their prefix: of the t tokens that other groups have, the t - ceil(0.75 n) + 1 rarest,
+of which any linked set shares one. They go to the groups that they meet there, if the sizes and the tokens left from
+there on allow a link; a group whose own union covers three quarters of the set is opened, and its members are compared
+exactly, until one is linked. Groups over LARGE sets are several. Tokens that the very same sets have, such as those of
+one passage, are one column of the matrix.
 
 Two texts with the same set are one node, so copies are never paired. Defined cases: null and empty texts have no
 shingles and link with nothing; repeated rows and ids are rows of their own; a null doc_id counts for no minimum. Other
@@ -26,11 +29,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import exchange, tokens
-from gridloom.llm.common import partitions, settled, written
+from gridloom.llm.common import partitions, release, settled, written
 from gridloom.llm.components import components
 
 #: Sets that others with the same smallest hash are compared with at once. What they miss, level two finds.
 LEADERS = 16
+#: Sets beyond which the join that fetches their texts shuffles the texts: the bound on what is broadcast, some 16 MB.
+BROADCAST_SETS = 1_000_000
 #: Sets with the same smallest hash beyond which they are dealt to more than one task.
 LARGE = 2_000
 
@@ -136,6 +141,51 @@ def _similar(sets: DataFrame, key: str, share: int) -> DataFrame:
     return dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "sign").mapInArrow(_link_leaders(share), "a long, b long")
 
 
+class _Group:
+    """A group's members, and for each token of its union who has it."""
+
+    def __init__(self, signs: list[int], sizes: list[int], sets: list[np.ndarray]) -> None:
+        self.signs, self.n = np.array(signs, np.int64), np.array(sizes, np.int64)
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self.union, self.of = every[order], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+
+    def linked(self, x: np.ndarray, n: int, share: int) -> np.ndarray:
+        """Members that have share percent of the union with a set of n tokens, of which x may occur in other groups."""
+        low, high = np.searchsorted(self.union, x, "left"), np.searchsorted(self.union, x, "right")
+        met = high > low
+        if 100 * met.sum() < share * n:
+            return self.signs[:0]
+        sizes = (high - low)[met]
+        ends = np.cumsum(sizes)
+        common = np.bincount(self.of[np.repeat(low[met] - (ends - sizes), sizes) + np.arange(ends[-1])], minlength=len(self.n))
+        return self.signs[100 * common >= share * (self.n + n - common)]
+
+
+def _open_groups(share: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, group = None, [], None
+        for batch in batches:
+            a, b = [], []
+            values = batch.column("tokens")
+            for k, (other, part, asks, sign, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("other", "part", "asks", "sign", "n")), strict=True)):
+                if (other, part) != now:
+                    now, held, group = (other, part), [], None
+                x = values[k].values.to_numpy()
+                if not asks:
+                    held.append((sign, n, x))
+                    continue
+                group = group or _Group(*map(list, zip(*held, strict=True)))
+                # the members are linked with one another, so one link says all
+                if len(found := group.linked(x, n, share)):
+                    a.append(sign)
+                    b.append(int(found[0]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
 def _need(n: Column, share: int) -> Column:
     return F.ceil(n * share / 100)
 
@@ -145,41 +195,42 @@ def linked(docs: DataFrame, share: int = 75) -> DataFrame:
     docs = settled(docs.select("doc_id", "text"), "jaccard-docs")
     bounds = shingle_bounds(docs)
     nodes = bounds.filter("n_shingles > 0").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("live").alias("live"))
-    open_ = nodes.filter(F.col("live") >= _need(F.col("n"), share)).select("rep", "sign")
-    found = docs.join(open_, docs["doc_id"].eqNullSafe(open_["rep"])).select("sign", "text").mapInArrow(_sets, "sign long, n long, low long, low2 long, tokens array<long>")
+    open_ = written(nodes.filter(F.col("live") >= _need(F.col("n"), share)).select("rep", "sign"), "open-sets")
+    release(docs.sparkSession)
+    few = open_.count() <= BROADCAST_SETS
+    found = docs.join(F.broadcast(open_) if few else open_, docs["doc_id"].eqNullSafe(open_["rep"])).select("sign", "text").mapInArrow(_sets, "sign long, n long, low long, low2 long, tokens array<long>")
     sets = written(found.dropDuplicates(["sign"]), "shingle-sets")
+    del found
+    release(docs.sparkSession)
 
     edges = written(_similar(sets, "low", share).unionAll(_similar(sets, "low2", share)), "links")
     groups = components(edges)
     grouped = sets.select("sign", "n", "tokens").join(groups.select(F.col("node").alias("sign"), F.col("component").alias("found")), "sign", "left").withColumn("group", F.coalesce("found", "sign")).drop("found")
     # a set can only be linked to another group if three quarters of its tokens are in the unions of other groups
     every = grouped.select("sign", "n", "group", F.explode("tokens").alias("token"))
-    spread = every.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("token")
-    outer = written(every.join(spread, "token"), "outer-tokens")
-    bound = outer.groupBy("sign").agg(F.count("*").alias("t")).withColumnRenamed("sign", "of")
-    outer = outer.join(bound, F.col("sign") == F.col("of")).filter(F.col("t") >= _need(F.col("n"), share))
-    rank = F.row_number().over(Window.partitionBy("sign").orderBy("token"))
-    outer = written(outer.select("sign", "n", "group", "token", (rank <= F.col("t") - _need(F.col("n"), share) + 1).alias("first")), "outer-tokens")
-    prefix = outer.filter("first").select("sign", "n", "group", "token")
-    matrix = prefix.select("token", F.col("group").alias("other")).distinct()
-    wanted = written(prefix.join(matrix, "token").filter("group <> other").select("sign", "n", "other").distinct(), "wanted")
-    # and only to a group whose own union covers as much of it
-    union = outer.select(F.col("group").alias("other"), "token").distinct()
-    opened = wanted.join(outer.select("sign", "token"), "sign").join(union, ["other", "token"]).groupBy("sign", "other").agg(F.count("*").alias("common"), F.max("n").alias("n")).filter(F.col("common") >= _need(F.col("n"), share)).select("sign", "other")
-    members = prefix.select("token", F.col("sign").alias("member"), F.col("group").alias("other"), F.col("n").alias("m"))
-    pairs = written(
-        opened.join(prefix.select("sign", "token", "n"), "sign")
-        .join(members, ["other", "token"])
-        .filter((100 * F.least("n", "m") >= share * F.greatest("n", "m")))
-        .select("sign", "member")
-        .distinct(),
-        "pairs",
-    )
-    both = pairs.join(sets.select("sign", "tokens", "n"), "sign").join(sets.select(F.col("sign").alias("member"), F.col("tokens").alias("theirs"), F.col("n").alias("m")), "member")
-    common = F.size(F.array_intersect("tokens", "theirs"))
-    more = both.filter(100 * common >= share * (F.col("n") + F.col("m") - common)).select(F.col("sign").alias("a"), F.col("member").alias("b"))
-
-    label = components(edges.unionAll(more)).join(nodes.select(F.col("sign").alias("node"), "rep"), "node")
+    token = Window.partitionBy("token")
+    spread = every.select("sign", "n", "group", "token", F.min("group").over(token).alias("low"), F.max("group").over(token).alias("high"), F.count("*").over(token).alias("times"), F.bit_xor(F.xxhash64("sign")).over(token).alias("held"))
+    # rare tokens first, so that a prefix has few partners; tokens that the same sets have stand together
+    need = _need(F.col("n"), share)
+    outer = spread.filter("low <> high").groupBy("sign", "n", "group").agg(F.array_sort(F.collect_list(F.struct("times", "held", "token"))).alias("x")).filter(F.size("x") >= need)
+    outer = outer.select("sign", "n", "group", F.transform("x", lambda x: x["token"]).alias("tokens"), F.transform(F.slice("x", F.lit(1), (F.size("x") - need + 1).cast("int")), lambda x: x["held"]).alias("prefix"))
+    size = F.count("*").over(Window.partitionBy("group"))
+    outer = written(outer.withColumn("part", F.pmod(F.xxhash64("sign"), F.ceil(size / LARGE))), "outer-tokens")
+    del every, spread, grouped, groups
+    release(docs.sparkSession)
+    # of the tokens that the same sets have, one stands for all; rest: how many of the set's tokens come from it on
+    held = outer.select("sign", "n", "group", "part", "prefix", F.size("tokens").alias("t"), F.explode(F.array_distinct("prefix")).alias("held"))
+    held = held.select("sign", "n", "group", "part", "held", (F.col("t") - F.array_position("prefix", F.col("held")) + 1).alias("rest"))
+    matrix = held.groupBy("held", F.col("group").alias("other"), "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("other_rest"))
+    sized = (100 * F.col("most") >= share * F.col("n")) & (share * F.col("least") <= 100 * F.col("n")) & ((100 + share) * F.least("rest", "other_rest") >= share * (F.col("n") + F.col("least")))
+    wanted = written(held.drop("part").join(matrix, "held").filter((F.col("group") != F.col("other")) & sized).select("sign", "other", "part").distinct(), "wanted")
+    members = outer.select(F.col("group").alias("other"), "part", F.lit(0).alias("asks"), "sign", "n", "tokens")
+    asking = wanted.join(outer.select("sign", "n", "tokens"), "sign").select("other", "part", F.lit(1).alias("asks"), "sign", "n", "tokens")
+    more = members.unionAll(asking).repartition("other", "part").sortWithinPartitions("other", "part", "asks").mapInArrow(_open_groups(share), "a long, b long")
+    edges = edges.unionAll(written(more, "links"))
+    release(docs.sparkSession)
+
+    label = components(edges).join(nodes.select(F.col("sign").alias("node"), "rep"), "node")
     least = label.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_sign = nodes.join(label.join(least, "component").select(F.col("node").alias("sign"), F.col("component_id").alias("far")), "sign", "left").select("sign", F.coalesce("far", "rep").alias("near"))
     return bounds.join(of_sign, "sign", "left").select("doc_id", "n_shingles", F.coalesce("near", "doc_id").alias("component_id"))
