@@ -7,12 +7,14 @@ most documents are done. (Tokens are cut to 40 bits here, which can only loosen
 
 Level two, over the different shingle sets that are left. Similar sets are put into groups: sets with the same smallest
 hash, under either of two hash functions, are compared with the first few of their kind, and what links is one group.
-Again a set is bounded by what the unions of other groups have of it, now exactly, and few are left. Those look up the
-matrix of tokens and groups by their prefix: of the t tokens that other groups have, the t - ceil(0.75 n) + 1 rarest,
-of which any linked set shares one. They go to the groups that they meet there, if the sizes and the tokens left from
-there on allow a link; a group whose own union covers three quarters of the set is opened, and its members are compared
-exactly, until one is linked. Groups over LARGE sets are several. Tokens that the very same sets have, such as those of
-one passage, are one column of the matrix.
+Again a set is bounded by what the unions of other groups have of it, now exactly, and few are left. Those are put into
+bundles of similar sets, linked or not: the same smallest hash among the tokens that other groups have. They look up the
+matrix of tokens and bundles by their prefix: of the t tokens that other groups have, the t - ceil(0.75 n) + 1 rarest,
+of which any linked set shares one. They go to the bundles that they meet there, their own too, if the sizes and the
+tokens left from there on allow a link with another group; a bundle whose union covers three quarters of the set is
+opened, and its members are compared exactly. A link that joins what the bundle's links have joined already is not
+written. Bundles over LARGE sets are several. Tokens that the very same sets have, such as those of one passage, are one
+column of the matrix.
 
 Two texts with the same set are one node, so copies are never paired. Defined cases: null and empty texts have no
 shingles and link with nothing; repeated rows and ids are rows of their own; a null doc_id counts for no minimum. Other
@@ -141,11 +143,14 @@ def _similar(sets: DataFrame, key: str, share: int) -> DataFrame:
     return dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "sign").mapInArrow(_link_leaders(share), "a long, b long")
 
 
-class _Group:
-    """A group's members, and for each token of its union who has it."""
+class _Bundle:
+    """A bundle's members, for each token of its union who has it, and which groups its links have joined so far."""
 
-    def __init__(self, signs: list[int], sizes: list[int], sets: list[np.ndarray]) -> None:
+    def __init__(self, signs: list[int], groups: list[int], sizes: list[int], sets: list[np.ndarray]) -> None:
         self.signs, self.n = np.array(signs, np.int64), np.array(sizes, np.int64)
+        names, self.group = np.unique(np.array(groups, np.int64), return_inverse=True)
+        self.places = {int(g): k for k, g in enumerate(names)}
+        self.joined = np.arange(len(names))
         every = np.concatenate(sets)
         order = np.argsort(every, kind="stable")
         self.union, self.of = every[order], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
@@ -155,31 +160,41 @@ class _Group:
         low, high = np.searchsorted(self.union, x, "left"), np.searchsorted(self.union, x, "right")
         met = high > low
         if 100 * met.sum() < share * n:
-            return self.signs[:0]
+            return np.zeros(0, np.int64)
         sizes = (high - low)[met]
         ends = np.cumsum(sizes)
         common = np.bincount(self.of[np.repeat(low[met] - (ends - sizes), sizes) + np.arange(ends[-1])], minlength=len(self.n))
-        return self.signs[100 * common >= share * (self.n + n - common)]
+        return np.flatnonzero(100 * common >= share * (self.n + n - common))
 
+    def join(self, group: int, found: np.ndarray) -> list[int]:
+        """Of the members found for a set of a group, one for each part that wasn't joined with it before."""
+        if (mine := self.places.setdefault(group, len(self.joined))) == len(self.joined):
+            self.joined = np.append(self.joined, mine)
+        parts, first = np.unique(self.joined[self.group[found]], return_index=True)
+        new = parts != self.joined[mine]
+        if new.any():
+            self.joined[np.isin(self.joined, parts[new])] = self.joined[mine]
+        return self.signs[found[first[new]]].tolist()
 
-def _open_groups(share: int):
+
+def _open_bundles(share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, group = None, [], None
+        now, held, bundle = None, [], None
         for batch in batches:
             a, b = [], []
             values = batch.column("tokens")
-            for k, (other, part, asks, sign, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("other", "part", "asks", "sign", "n")), strict=True)):
+            for k, (other, part, asks, sign, group, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("other", "part", "asks", "sign", "group", "n")), strict=True)):
                 if (other, part) != now:
-                    now, held, group = (other, part), [], None
+                    now, held, bundle = (other, part), [], None
                 x = values[k].values.to_numpy()
                 if not asks:
-                    held.append((sign, n, x))
+                    held.append((sign, group, n, x))
                     continue
-                group = group or _Group(*map(list, zip(*held, strict=True)))
-                # the members are linked with one another, so one link says all
-                if len(found := group.linked(x, n, share)):
-                    a.append(sign)
-                    b.append(int(found[0]))
+                bundle = bundle or _Bundle(*map(list, zip(*held, strict=True)))
+                if len(found := bundle.linked(x, n, share)):
+                    new = bundle.join(group, found)
+                    a += [sign] * len(new)
+                    b += new
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -214,19 +229,21 @@ def linked(docs: DataFrame, share: int = 75) -> DataFrame:
     need = _need(F.col("n"), share)
     outer = spread.filter("low <> high").groupBy("sign", "n", "group").agg(F.array_sort(F.collect_list(F.struct("times", "held", "token"))).alias("x")).filter(F.size("x") >= need)
     outer = outer.select("sign", "n", "group", F.transform("x", lambda x: x["token"]).alias("tokens"), F.transform(F.slice("x", F.lit(1), (F.size("x") - need + 1).cast("int")), lambda x: x["held"]).alias("prefix"))
-    size = F.count("*").over(Window.partitionBy("group"))
-    outer = written(outer.withColumn("part", F.pmod(F.xxhash64("sign"), F.ceil(size / LARGE))), "outer-tokens")
+    bundle = F.array_min("tokens")
+    size = F.count("*").over(Window.partitionBy("bundle"))
+    outer = written(outer.withColumn("bundle", bundle).withColumn("part", F.pmod(F.xxhash64("sign"), F.ceil(size / LARGE))), "outer-tokens")
     del every, spread, grouped, groups
     release(docs.sparkSession)
     # of the tokens that the same sets have, one stands for all; rest: how many of the set's tokens come from it on
-    held = outer.select("sign", "n", "group", "part", "prefix", F.size("tokens").alias("t"), F.explode(F.array_distinct("prefix")).alias("held"))
-    held = held.select("sign", "n", "group", "part", "held", (F.col("t") - F.array_position("prefix", F.col("held")) + 1).alias("rest"))
-    matrix = held.groupBy("held", F.col("group").alias("other"), "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("other_rest"))
+    held = outer.select("sign", "n", "group", "bundle", "part", "prefix", F.size("tokens").alias("t"), F.explode(F.array_distinct("prefix")).alias("held"))
+    held = held.select("sign", "n", "group", "bundle", "part", "held", (F.col("t") - F.array_position("prefix", F.col("held")) + 1).alias("rest"))
+    matrix = held.groupBy("held", F.col("bundle").alias("other"), "part").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("other_rest"))
     sized = (100 * F.col("most") >= share * F.col("n")) & (share * F.col("least") <= 100 * F.col("n")) & ((100 + share) * F.least("rest", "other_rest") >= share * (F.col("n") + F.col("least")))
-    wanted = written(held.drop("part").join(matrix, "held").filter((F.col("group") != F.col("other")) & sized).select("sign", "other", "part").distinct(), "wanted")
-    members = outer.select(F.col("group").alias("other"), "part", F.lit(0).alias("asks"), "sign", "n", "tokens")
-    asking = wanted.join(outer.select("sign", "n", "tokens"), "sign").select("other", "part", F.lit(1).alias("asks"), "sign", "n", "tokens")
-    more = members.unionAll(asking).repartition("other", "part").sortWithinPartitions("other", "part", "asks").mapInArrow(_open_groups(share), "a long, b long")
+    others = (F.col("low") != F.col("group")) | (F.col("high") != F.col("group"))
+    wanted = written(held.drop("bundle", "part").join(matrix, "held").filter(others & sized).select("sign", "other", "part").distinct(), "wanted")
+    members = outer.select(F.col("bundle").alias("other"), "part", F.lit(0).alias("asks"), "sign", "group", "n", "tokens")
+    asking = wanted.join(outer.select("sign", "group", "n", "tokens"), "sign").select("other", "part", F.lit(1).alias("asks"), "sign", "group", "n", "tokens")
+    more = members.unionAll(asking).repartition("other", "part").sortWithinPartitions("other", "part", "asks").mapInArrow(_open_bundles(share), "a long, b long")
     edges = edges.unionAll(written(more, "links"))
     release(docs.sparkSession)
 
