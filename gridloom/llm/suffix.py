@@ -19,6 +19,7 @@ repeated rows have equal results. Matches never cross rows. Columns not named in
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -81,18 +82,23 @@ class Anchors:
 
 
 class Levels:
-    """Sorted levels of distinct suffixes, each with its earliest place. A place is (doc_id, start); ref numbers the suffixes as they came."""
+    """Sorted levels of distinct suffixes, each with its earliest place. A place is (doc_id, start); ref numbers the suffixes as they came.
+
+    Equal suffixes at one place are twins: the first that came stands for them, and spread() gives them its fate."""
 
     def __init__(self, n: int) -> None:
         self.levels: list[tuple[np.ndarray, ...]] = []
         self.later = np.zeros(n, bool)
+        self.twin_of = np.arange(n, dtype=np.uint32 if n < 1 << 32 else np.uint64)
 
     def add(self, print_: np.ndarray, doc: np.ndarray, pos: np.ndarray, ref: np.ndarray) -> None:
         order = np.lexsort((pos, doc, print_))
         new = [x[order] for x in (print_, doc, pos, ref)]
         first = np.concatenate([[True], new[0][1:] != new[0][:-1]])[: len(order)]
         head = np.flatnonzero(first)[np.cumsum(first) - 1]
-        self.later[new[3][(new[1] != new[1][head]) | (new[2] != new[2][head])]] = True
+        twin = (new[1] == new[1][head]) & (new[2] == new[2][head])
+        self.later[new[3][~twin]] = True
+        self.twin_of[new[3][twin]] = new[3][head[twin]]
         new = [x[first] for x in new]
         for level in self.levels:
             at = np.minimum(np.searchsorted(level[0], new[0]), len(level[0]) - 1)
@@ -103,6 +109,7 @@ class Levels:
             before = (level[1][at] < new[1][mine]) | ((level[1][at] == new[1][mine]) & (level[2][at] < new[2][mine]))
             same = (level[1][at] == new[1][mine]) & (level[2][at] == new[2][mine])
             self.later[new[3][mine[before]]] = True
+            self.twin_of[new[3][mine[same]]] = level[3][at[same]]
             swap = ~before & ~same
             self.later[level[3][at[swap]]] = True
             for k in (1, 2, 3):
@@ -116,6 +123,10 @@ class Levels:
         if len(level[0]):
             self.levels.append(level)
 
+    def spread(self) -> None:
+        # a twin leads to the head of its batch, and that to the one met in a level
+        self.later = self.later[self.twin_of[self.twin_of]]
+
     def refs(self) -> np.ndarray:
         return np.concatenate([np.zeros(0, np.int64), *(x[3] for x in self.levels)])
 
@@ -124,16 +135,17 @@ def _place(ids: np.ndarray, null: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.where(null > 0, np.iinfo(np.int64).min, ids)[doc]
 
 
-def _indexed(asked: list[exchange.Arrays], print_: list[np.ndarray]) -> Levels:
-    """asked: [..., doc, pos, ids, null]."""
+def _indexed(asked: list[exchange.Arrays], print_: list[np.ndarray], batch: int | None = None) -> Levels:
+    """asked: [..., doc, pos, ids, null]. batch: BATCH, unless given."""
     index, held, size, done = Levels(sum(map(len, print_))), [], 0, 0
     for k, (x, p) in enumerate(zip(asked, print_, strict=True)):
         *_, doc, pos, ids, null = x
         held.append((p, _place(ids, null, doc), pos.astype(np.int64), np.arange(done, done + len(p))))
         size, done = size + len(p), done + len(p)
-        if size >= BATCH or k == len(asked) - 1:
+        if size >= (batch or BATCH) or k == len(asked) - 1:
             index.add(*(np.concatenate(y) for y in zip(*held, strict=True)))
             held, size = [], 0
+    index.spread()
     return index
 
 
@@ -148,9 +160,9 @@ def _ask_anchors(shards: int, length: int):
     return run
 
 
-def _reply_anchors(asked: list[exchange.Arrays]) -> Iterator[exchange.Arrays]:
+def _reply_anchors(asked: list[exchange.Arrays], batch: int | None = None) -> Iterator[exchange.Arrays]:
     key = [exchange.total(x[0]) for x in asked]
-    index = _indexed(asked, [tokens.mix((k << np.uint64(24)) ^ tokens.mix(x[1])) for k, x in zip(key, asked, strict=True)])
+    index = _indexed(asked, [tokens.mix((k << np.uint64(24)) ^ tokens.mix(x[1])) for k, x in zip(key, asked, strict=True)], batch)
     state = index.later.astype(np.uint8)
     refs, key = index.refs(), np.concatenate([np.zeros(0, np.uint64), *key])
     order = np.argsort(key[refs], kind="stable")
@@ -200,8 +212,8 @@ def _unclear(a: Anchors, got: dict[int, list[exchange.Arrays]]) -> tuple[np.ndar
     return starts[order], doc[order], h[order]
 
 
-def _reply_windows(asked: list[exchange.Arrays]) -> Iterator[exchange.Arrays]:
-    index, done = _indexed(asked, [exchange.total(x[0]) for x in asked]), 0
+def _reply_windows(asked: list[exchange.Arrays], batch: int | None = None) -> Iterator[exchange.Arrays]:
+    index, done = _indexed(asked, [exchange.total(x[0]) for x in asked], batch), 0
     for x in asked:
         yield [index.later[done : done + len(x[0])].astype(np.uint8)]
         done += len(x[0])
@@ -242,12 +254,12 @@ def _cut(length: int, keep: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, span_starts and span_ends of the removed runs, kept (the other bytes), and the columns of keep, of docs (doc_id, text). A text among keep is what is left of it."""
+def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = (), batch: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, span_starts and span_ends of the removed runs, kept (the other bytes), and the columns of keep, of docs (doc_id, text). A text among keep is what is left of it. batch: suffixes in one batch of the index, BATCH unless given; results don't depend on it."""
     docs = settled(docs.select("doc_id", "text", *(c for c in keep if c != "text")), "suffix-docs")
     few, shards = docs.select("doc_id", "text"), partitions(docs.sparkSession)
-    anchors = written(exchange.answer(exchange.ask(few, _ask_anchors(shards, length), _ANCHORS), shards, _reply_anchors), "anchors")
-    windows = written(exchange.answer(exchange.ask_again(exchange.texts(few).unionAll(anchors), _ask_windows(shards, length), _WINDOWS), shards, _reply_windows), "windows")
+    anchors = written(exchange.answer(exchange.ask(few, _ask_anchors(shards, length), _ANCHORS), shards, partial(_reply_anchors, batch=batch)), "anchors")
+    windows = written(exchange.answer(exchange.ask_again(exchange.texts(few).unionAll(anchors), _ask_windows(shards, length), _WINDOWS), shards, partial(_reply_windows, batch=batch)), "windows")
     schema = ["doc_id long", "n_bytes long", "span_starts array<long>", "span_ends array<long>", "kept binary", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)]
     return exchange.meet(exchange.texts(docs).unionAll(anchors).unionAll(windows), _cut(length, list(keep)), ", ".join(schema))
 

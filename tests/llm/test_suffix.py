@@ -63,5 +63,28 @@ def test_many_batches_in_the_index(spark, monkeypatch):
     assert index.later.tolist() == [want[p] < (d, s) for x in pieces for p, d, s in x]
 
 
+def test_repeated_rows_over_many_batches(spark):
+    """Copies of a row fare alike wherever the batches end: also those of a passage that an earlier document has."""
+    small_batches(spark, 7)
+    rows = corpus(3)
+    rows += [(d, t) for d, t in rows if d is not None and d % 3 == 0] + rows[:20]
+    random.Random(4).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [tuple(r) for r in suffix.repeat_digests(suffix.remove_repeats(df, 60, batch=4)).collect()]
+    want = brute([(d, (t or "").encode()) for d, t in rows], 60)
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_twins_in_levels(spark):
+    """One place in three batches, and an earlier one of the same suffix before, between or after them."""
+    import numpy as np
+
+    for docs in ([5, 5, 3, 3, 5, 5], [3, 5, 5, 3, 5, 5], [5, 5, 5, 5, 3, 3], [5, 5, 3, 3, 1, 3]):
+        pieces = [np.array(docs[k : k + 2], np.int64) for k in (0, 2, 4)]
+        asked = [[np.arange(2, dtype=np.uint32), np.zeros(2, np.uint32), ids, np.zeros(2, np.uint8)] for ids in pieces]
+        index = suffix._indexed(asked, [np.full(2, 7, np.uint64)] * 3, batch=2)
+        assert index.later.tolist() == [d > min(docs) for d in docs]
+
+
 def test_no_rows(spark):
     assert suffix.repeat_digests(suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
