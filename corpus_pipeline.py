@@ -1,6 +1,6 @@
 """A cleaning pipeline over documents in five stages, each an operator of gridloom.llm over all that the one before kept.
 
-doc_id names a document: repeated rows of one id are one document. Each stage's rows are written to the shared folder
+Rows of one id and one text are one document; a null doc_id names none, and an id with two texts is two. Each stage's rows are written to the shared folder
 and read again as the next one's input.
 """
 
@@ -26,10 +26,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of 75 % connect, the document with the smallest id stays."""
+    """Of each group that links of 75 % connect, one row stays: that of the smallest id, nulls last, then of the least hash of its text. Rows without shingles stay, but for repeated ones of an id."""
     small_batches(spark)
-    first = jaccard.linked(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id"))
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi").dropDuplicates(["doc_id"])
+    # ids may be null or repeated, so rows have keys of their own, written once
+    keyed = written(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed-docs")
+    near = jaccard.linked(keyed.select(F.col("row_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row_key")
+    rows = keyed.select("row_key", "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.xxhash64(*docs.columns).alias("row_hash"))
+    bare = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    group = [bare.alias("bare"), F.when(bare, F.col("doc_id")).otherwise(F.col("component_id")).alias("group"), F.when(bare, F.col("text_hash")).alias("copy")]
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "row_hash", "row_key")
+    first = near.join(rows, "row_key").groupBy(*group).agg(F.min(order).alias("first")).select("first.row_key")
+    return keyed.join(first, "row_key", "left_semi").select(*docs.columns)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

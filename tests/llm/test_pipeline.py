@@ -61,3 +61,27 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for i, x in out.items():
         assert x.decoded_sha256 == spans[i]
     assert set(out) <= set(docs)
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    r = random.Random(5)
+    some = lambda k: " ".join(f"w{r.randint(0, 999)}" for _ in range(k))
+    base = [some(40) for _ in range(6)]
+    near = lambda k: base[k] + " more"
+    rows = [
+        (None, base[0]), (None, base[1]), (None, near(1)), (None, near(2)), (2, base[2]), (9, near(2)),  # null ids: alone, alike, and with named ones
+        (3, base[3]), (3, base[4]), (3, base[4]), (4, near(4)), (7, base[5]), (7, near(5)), (7, base[5]),  # an id with two texts, and repeated rows
+        (5, ""), (5, None), (5, ""), (6, " "), (None, ""), (None, None),  # no shingles
+    ]
+    picked = None
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+        kept = [(x.doc_id, x.text) for x in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()]
+        bare = [(i, t) for i, t in kept if not (t or "").strip()]
+        assert sorted(str(i) for i, _ in bare) == ["5", "6", "None", "None"]
+        kept = [x for x in kept if x not in bare]
+        one = [[(None, base[0])], [(None, base[1]), (None, near(1))], [(2, base[2])], [(3, base[3])], [(3, base[4])], [(7, base[5]), (7, near(5))]]
+        assert len(kept) == len(one) and all(sum(x in kept for x in group) == 1 for group in one)
+        picked = picked or kept
+        assert sorted(kept, key=str) == sorted(picked, key=str)  # whatever the order of the rows
