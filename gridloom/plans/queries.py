@@ -385,7 +385,9 @@ def endpoint_snap(spark: SparkSession, d: str) -> DataFrame:
 
 def _routes(spark: SparkSession, d: str, *algorithms: str) -> DataFrame:
     n = _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("path_id"))
-    ends = n.select("path_id", (F.col("path_id") * 17 % 60).cast("int").alias("r0"), (F.col("path_id") * 11 % 60).cast("int").alias("c0"), (F.col("path_id") * 29 % 60 + 40).cast("int").alias("r1"), (F.col("path_id") * 7 % 60).cast("int").alias("c1"))
+    high = _grid(spark, d).height - 1  # ends all over the grid, whatever its height
+    row = lambda at: F.floor(at * high / 99).cast("int")
+    ends = n.select("path_id", row(F.col("path_id") * 17 % 60).alias("r0"), (F.col("path_id") * 11 % 60).cast("int").alias("c0"), row(F.col("path_id") * 29 % 60 + 40).alias("r1"), (F.col("path_id") * 7 % 60).cast("int").alias("c1"))
     return ends.select("*", F.explode(F.array(*(F.lit(a) for a in algorithms))).alias("algorithm"), F.lit(42).alias("seed"))
 
 

@@ -191,6 +191,19 @@ def test_no_corner_cutting_and_snap(spark):
     assert [tuple(r) for r in search.snap(points, surface(spark, wall), 1).collect()] == [(1, 0, 0)]
 
 
+
+def test_route_whose_way_leaves_the_crop(spark):
+    """A wall with its only gap, and a detour that is cheaper, both outside the crop."""
+    wall, dear = np.ones((14, 5)), np.ones((14, 5))
+    wall[:12, 2], dear[:12, 2] = np.nan, 99
+    routes = spark.createDataFrame([(1, "astar", 0, 1, 0, 1, 4)], "path_id long, algorithm string, seed int, r0 int, c0 int, r1 int, c1 int")
+    for z in (wall, dear):
+        cells = search.astar(np.where(np.isnan(z), np.inf, z), (1, 0), (1, 4), V2.diagonal)
+        found = [(r.row, r.col) for r in search.plan(surface(spark, z), routes, V2, margin=2).orderBy("seq").collect()]
+        price = lambda x: sum(z[b] * (V2.diagonal if a[0] != b[0] and a[1] != b[1] else 1) for a, b in zip(x, x[1:]))  # noqa: E731,B023,B905
+        assert found[0] == (1, 0) and found[-1] == (1, 4) and abs(price(found) - price(cells)) < 1e-9
+
+
 def test_swarms_never_get_worse(spark):
     from dataclasses import replace
 
