@@ -1,15 +1,14 @@
-"""N-gram Jaccard join by a token-group matrix: all links of 75 % and more, as connected components.
+"""N-gram Jaccard join by a prefix filter over bundles of sets: all links of 75 % and more, as connected components.
 
-Level one. Each block of documents is a group; its row of the matrix is the union of its documents' shingles, sent to
-the shards of the token space. A shard sees for each token which groups and documents have it. A document can only be
-linked if three quarters of its shingles occur elsewhere, so the overlap with all other groups together bounds it, and
-most documents are done. (Tokens are cut to 40 bits here, which can only loosen the bound.)
+Level one. Each block of documents sends the shingles of its different sets to the shards of the token space. A shard
+counts for each document the tokens that occur twice, in documents of any block; no union of a block is stored. A
+document can only be linked if three quarters of its shingles occur elsewhere, so the count bounds it, and most are done. (Tokens are cut to 40 bits here, which can only loosen the bound.)
 
 Level two, over the different shingle sets that are left. Similar sets are put into groups: sets with the same smallest
 hash, under either of two hash functions, are compared with the first few of their kind, and what links is one group.
 Again a set is bounded by what the unions of other groups have of it, now exactly, and few are left. Those are put into
 bundles of similar sets, linked or not: the same smallest hash among the tokens that other groups have. They look up the
-matrix of tokens and bundles by their prefix: of the t tokens that other groups have, the t - ceil(0.75 n) + 1 rarest,
+matrix of tokens and bundles, which has prefix tokens only and no unions, by their prefix: of the t tokens that other groups have, the t - ceil(0.75 n) + 1 rarest,
 of which any linked set shares one. They go to the bundles that they meet there, their own too, if the sizes and the
 tokens left from there on allow a link with another group; a bundle whose union covers three quarters of the set is
 opened, and its members are compared exactly. A link that joins what the bundle's links have joined already is not
