@@ -1,14 +1,17 @@
 """Byte-level BPE over a global shuffle of distinct pre-tokens.
 
 Texts are cut into pre-tokens by runs of character classes, which gives the matches of the split pattern. A block of
-texts keeps its pre-tokens as positions into its own list of distinct ones. Each distinct pre-token goes to the shard
-its hash names, where every different one is encoded once; the ids come back to the blocks that asked, which put them
-together by position. Decoding looks ids up in the table of token bytes, which has one bounded row for each id.
+texts (exchange.py) knows its pre-tokens as positions in its own list of distinct ones. Each distinct pre-token goes to
+the shard its hash names, where every different one is encoded once; the ids come back to the blocks that asked, which
+put them together by position. Hashes choose shards only: what is distinct is told by comparing bytes. A list that
+doesn't fit the ids that came back fails the job.
 
-Blocks are made twice, once for the pre-tokens and once for the positions, from the same files; a list of positions
-that doesn't fit the ids that came back fails the job. Docs that don't come straight from files are written first.
+Decoding joins the table of token bytes, which has one row for each id and so is bounded by the vocabulary: the table,
+gathered in one row, is broadcast to the documents, and each document's ids select from it by position.
 
-Defined cases: null text is empty and has no ids. Repeated rows are encoded each. Other columns are not read.
+Defined cases: null text is empty and has no ids; repeated rows are encoded each; a very long text is one piece of its
+block (exchange.py says what it takes). Other columns, also those named like results, are not read. An id that the table
+lacks fails the job.
 """
 
 from __future__ import annotations
@@ -21,18 +24,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import tokens
-from gridloom.llm.common import partitions, settled
+from gridloom.llm import exchange, tokens
+from gridloom.llm.common import settled
 
-#: Bytes of text in one block: its arrays take some fifty times as much for a moment.
-BLOCK_BYTES = 2 << 20
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
-_ROWS = "block long, shard int, data binary, docs array<long>, sizes array<int>"
+ENCODED = "doc_id long, n_tokens long, ids binary, tokens array<int>"
 
 
 @functools.lru_cache(1)
@@ -95,163 +94,123 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at[np.flatnonzero(cut)]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, pa.ChunkedArray]]:
-    held, size, k = [], 0, 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.column("text").nbytes
-        if size >= BLOCK_BYTES:
-            t = pa.Table.from_batches(held)
-            yield (TaskContext.get().partitionId() << 32) + k, t["doc_id"], t["text"]
-            held, size, k = [], 0, k + 1
-    if held:
-        t = pa.Table.from_batches(held)
-        yield (TaskContext.get().partitionId() << 32) + k, t["doc_id"], t["text"]
-
-
-def _distinct(texts: pa.ChunkedArray) -> tuple:
-    data, offsets = tokens.text_bytes(texts)
-    starts = pre_tokens(data, offsets)
-    ends = np.append(starts, len(data))[1:]
-    keys, first, inverse = np.unique(tokens.range_hashes(tokens.prefix_sums(data), starts, ends), return_index=True, return_inverse=True)
-    return data, starts, ends, keys, first, inverse, np.diff(np.searchsorted(starts, offsets))
-
-
-def _row(*row: object) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [x.split()[0] for x in _ROWS.split(", ")])
-
-
-def _words(shards: int):
+def _binary(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+class Block:
+    """The distinct pre-tokens of a block of texts, shard by shard. places: for each piece, its pre-tokens' numbers among them, and how many each text has."""
+
+    def __init__(self, tables: Iterator[pa.Table], shards: int, positions: bool) -> None:
+        words, self.places = [pa.array([], pa.large_binary())], []
+        for table in tables:
+            data, offsets = tokens.text_bytes(table["text"])
+            starts = pre_tokens(data, offsets)
+            found = _binary(np.diff(np.append(starts, len(data))), data).dictionary_encode()
+            words.append(found.dictionary)
+            if positions:
+                self.places.append((found.indices.to_numpy(), np.diff(np.searchsorted(starts, offsets))))
+        sizes = [len(x) for x in words[1:]]
+        found = pa.concat_arrays(words).dictionary_encode()
+        data, at = tokens.text_bytes(found.dictionary)
+        of = (tokens.range_hashes(data, at[:-1], at[1:]) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+        order = np.argsort(of, kind="stable")
+        self.cut = np.searchsorted(of[order], np.arange(shards + 1, dtype=np.uint64))
+        self.words = found.dictionary.take(pa.array(order))
+        if positions:
+            number = np.empty(len(order), np.int32)
+            number[order] = np.arange(len(order), dtype=np.int32)
+            number = number[found.indices.to_numpy()]
+            ends = np.cumsum(sizes)
+            self.places = [(number[end - size : end][i], per_text) for end, size, (i, per_text) in zip(ends, sizes, self.places, strict=True)]
+
+    def questions(self) -> Iterator[exchange.Part]:
+        data, at = tokens.text_bytes(self.words)
+        for s, (i, j) in enumerate(zip(self.cut[:-1], self.cut[1:], strict=True)):
+            if i < j:
+                yield 0, s, [np.diff(at[i : j + 1]).astype(np.uint32), data[at[i] : at[j]]]
+
+
+def _ask(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(3).compress
-        for block, _, texts in _blocks(batches):
-            data, starts, ends, keys, first, _, _ = _distinct(texts)
-            of = (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-            at = np.searchsorted(of, np.arange(shards + 1, dtype=np.uint64))
-            raw = data.tobytes()
-            for s in range(shards):
-                if at[s] < at[s + 1]:
-                    k = first[at[s] : at[s + 1]]
-                    lengths = (ends[k] - starts[k]).astype("<u4").tobytes()
-                    yield _row(block, s, pack(len(k).to_bytes(4, "little") + lengths + b"".join(raw[i:j] for i, j in zip(starts[k], ends[k], strict=True))), None, None)
+        for block, pieces in exchange.blocks(batches):
+            yield from exchange.rows(block, 0, Block((table for _, table in pieces), shards, False).questions())
 
     return run
 
 
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(3).compress
-    for block, docs, texts in _blocks(batches):
-        _, _, _, keys, _, inverse, sizes = _distinct(texts)
-        # frequent pre-tokens get small numbers, which pack well; the numbers' order goes along
-        order = np.argsort(-np.bincount(inverse, minlength=len(keys)), kind="stable")
-        rank = np.empty(len(keys), np.uint32)
-        rank[order] = np.arange(len(keys), dtype=np.uint32)
-        at = rank[inverse].astype("<u4").view(np.uint8).reshape(-1, 4).T
-        body = len(keys).to_bytes(4, "little") + order.astype("<u4").tobytes() + np.ascontiguousarray(at).tobytes()
-        yield _row(block, -1, pack(body), docs.to_pylist(), sizes.astype(np.int32))
+def ranks_file(path: str) -> bytes:
+    with open(path, "rb") as file:
+        return file.read()
 
 
 @functools.lru_cache(2)
-def encoding(path: str, pattern: str) -> tiktoken.Encoding:
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+def encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
+
+
+def _reply(ranks: object, pattern: str):
+    def run(asked: list[exchange.Arrays]) -> Iterator[exchange.Arrays]:
+        encode = encoding(ranks.value, pattern).encode_ordinary
+        found = _binary(np.concatenate([x[0] for x in asked]), np.concatenate([x[1] for x in asked])).dictionary_encode()
+        number = found.indices.to_numpy()
+        ids = [np.array(encode(x.decode()), np.uint32) for x in found.dictionary.to_pylist()]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        starts, flat, done = np.cumsum(sizes) - sizes, np.concatenate([np.zeros(0, np.uint32), *ids]), 0
+        for lengths, _ in asked:
+            mine = number[done : done + len(lengths)]
+            done += len(lengths)
+            yield [sizes[mine].astype(np.uint32), flat[tokens.ragged(starts[mine], sizes[mine])]]
+
+    return run
 
 
-def _encode(path: str, pattern: str):
+def _assemble(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, np.ndarray] = {}
-        shard = None
-        for batch in batches:
-            for block, s, data in zip(*(batch.column(c).to_pylist() for c in ("block", "shard", "data")), strict=True):
-                if s != shard:
-                    known, shard = {}, s
-                raw = zstandard.decompress(data)
-                n = int.from_bytes(raw[:4], "little")
-                at = 4 + 4 * n + np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u4", n, 4).astype(np.int64))])
-                asked = [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                new = [x for x in asked if x not in known]
-                encode = encoding(path, pattern).encode_ordinary
-                for x in new:
-                    known[x] = np.array(encode(x.decode()), "<u4")
-                ids = [known[x] for x in asked]
-                sizes = np.array([len(x) for x in ids], "<u4")
-                yield _row(block, s, zstandard.compress(n.to_bytes(4, "little") + sizes.tobytes() + np.concatenate(ids).tobytes(), 1), None, None)
+        for name, pieces in exchange.met(batches):
+            tables, got = [], []
+            for _, table, answers in pieces:
+                tables.append(table)
+                got += answers.get(0, [])
+            block = Block(iter(tables), shards, True)
+            sizes = np.concatenate([np.zeros(0, np.int64), *(x[0].astype(np.int64) for x in got)])
+            flat = np.concatenate([np.zeros(0, np.uint32), *(x[1] for x in got)])
+            if len(sizes) != len(block.words):
+                raise ValueError(f"block {name} asked for {len(block.words)} pre-tokens and got {len(sizes)}")
+            starts = np.cumsum(sizes) - sizes
+            for table, (number, per_text) in zip(tables, block.places, strict=True):
+                ids = flat[tokens.ragged(starts[number], sizes[number])]
+                at = np.concatenate([[0], np.cumsum(sizes[number])])[np.concatenate([[0], np.cumsum(per_text)])]
+                packed = pa.Array.from_buffers(pa.binary(), len(table), [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(ids)])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array(np.diff(at)), packed, lists], [x.split()[0] for x in ENCODED.split(", ")])
 
     return run
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The indices start, start + 1, ... of each range, one range after another."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-
-
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now, body, docs, sizes, got = None, b"", [], [], []
-
-    def whole() -> Iterator[pa.RecordBatch]:
-        n = int.from_bytes(body[:4], "little")
-        order = np.frombuffer(body, "<u4", n, 4).astype(np.int64)
-        at = np.frombuffer(body, np.uint8, offset=4 + 4 * n).reshape(4, -1)
-        seq = order[np.ascontiguousarray(at.T).view("<u4").ravel()] if at.size else np.zeros(0, np.int64)
-        lengths = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<u4", int.from_bytes(x[:4], "little"), 4) for x in got)]).astype(np.int64)
-        ids = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4", offset=4 + 4 * int.from_bytes(x[:4], "little")) for x in got)])
-        if len(lengths) != n:
-            raise ValueError(f"block {now} asked for {n} pre-tokens and got {len(lengths)}")
-        starts = np.cumsum(lengths) - lengths
-        per_doc = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        total = np.concatenate([[0], np.cumsum(lengths[seq])])[per_doc]
-        ids = ids[ragged(starts[seq], lengths[seq])]
-        out = [ids[i:j].tobytes() for i, j in zip(total[:-1], total[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.diff(total), pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
-
-    for batch in batches:
-        for k in range(batch.num_rows):
-            block, shard, data = batch["block"][k].as_py(), batch["shard"][k].as_py(), zstandard.decompress(batch["data"][k].as_buffer())
-            if shard < 0:
-                if now is not None:
-                    yield from whole()
-                now, body, docs, sizes, got = block, data, batch["docs"][k].as_py(), batch["sizes"][k].as_py(), []
-            else:
-                if block != now:
-                    raise ValueError(f"block {block} has ids but no positions")
-                got.append(data)
-    if now is not None:
-        yield from whole()
-
-
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids of (doc_id, text); ids are little-endian unsigned 32-bit integers."""
-    docs = settled(docs.select("doc_id", "text"), "bpe-docs")
-    shards = partitions(docs.sparkSession)
-    answers = docs.mapInArrow(_words(shards), _ROWS).repartition("shard").sortWithinPartitions("shard").mapInArrow(_encode(path, pattern), _ROWS)
-    return docs.mapInArrow(_positions, _ROWS).unionAll(answers).repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_assemble, "doc_id long, n_tokens long, ids binary")
+def encode(docs: DataFrame, path: str, pattern: str, stable: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and tokens (the same as an array) of docs (doc_id, text). stable: see settled()."""
+    docs = settled(docs.select("doc_id", "text"), "bpe-docs", stable)
+    shards, ranks = exchange.shards_of(docs), docs.sparkSession.sparkContext.broadcast(ranks_file(path))  # a MB or so
+    answers = exchange.answer(docs.mapInArrow(_ask(shards), exchange.ROWS), shards, _reply(ranks, pattern))
+    return exchange.together(exchange.texts(docs).unionAll(answers)).mapInArrow(_assemble(shards), ENCODED)
 
 
-@functools.lru_cache(2)
-def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    with open(path, "rb") as file:
-        by_id = {int(b): base64.b64decode(a) for a, b in map(bytes.split, file)}
-    rows = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
-    sizes = np.array([len(x) for x in rows], np.int64)
-    return np.frombuffer(b"".join(rows), np.uint8), np.cumsum(sizes) - sizes, sizes
-
+def token_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """id, bytes: the table of token bytes."""
+    rows = [(int(b), base64.b64decode(a)) for a, b in map(bytes.split, ranks_file(path).splitlines())]
+    return spark.createDataFrame(pa.table({"id": pa.array([x for x, _ in rows], pa.int32()), "bytes": pa.array([x for _, x in rows], pa.binary())}))
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids and decoded, the bytes that the ids stand for."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, starts, sizes = _token_bytes(path)
-        for batch in batches:
-            out = []
-            for x in batch.column("ids"):
-                ids = np.frombuffer(x.as_buffer(), "<u4")
-                out.append(data[ragged(starts[ids], sizes[ids])].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
-
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+def decode(encoded: DataFrame, table: DataFrame) -> DataFrame:
+    """encoded (..., tokens) with decoded, the bytes that the tokens stand for by table (id, bytes)."""
+    spark = encoded.sparkSession
+    every = spark.range((table.agg(F.max("id")).first()[0] or 0) + 1).withColumn("id", F.col("id").cast("int"))
+    # one row, as large as the vocabulary
+    gathered = every.join(table, "id", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.hex("bytes").alias("hex")))), lambda x: x["hex"]).alias("_table"))
+    known = lambda i: F.coalesce(F.get("_table", i), F.raise_error(F.concat(F.lit("no token has the id "), i)))
+    return encoded.crossJoin(F.broadcast(gathered)).withColumn("decoded", F.unhex(F.array_join(F.transform("tokens", known), ""))).drop("_table")
 
 
 def bpe_digests(decoded: DataFrame) -> DataFrame:

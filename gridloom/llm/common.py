@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch. A batch of texts is some hundred kB as a rule and never more than this many texts.
-BATCH_ROWS = 64
+#: Rows and bytes in one Arrow batch. A batch of texts is never more than this many texts, and over so many bytes only if one text is.
+BATCH_ROWS, BATCH_BYTES = 64, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds the Arrow batches that Python workers get, for tables with long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,23 +45,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder under the shared one."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def settled(docs: DataFrame, name: str) -> DataFrame:
-    """docs itself if it is read straight from files, so that every run of its tasks sees the same rows in the same order; else written first."""
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    return docs if "FileScan" in plan and "Exchange" not in plan and "Join" not in plan and "Python" not in plan else written(docs, name)
+def settled(docs: DataFrame, name: str, stable: bool) -> DataFrame:
+    """docs itself if the caller states that it is stable, as a selection from files that stay is: every run of its tasks sees the same rows in the same order. Else written first."""
+    return docs if stable else written(docs, name)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps whose results are written: it does so when nothing refers to them."""
-    gc.collect()
-    spark._jvm.System.gc()

@@ -7,7 +7,10 @@ are made afresh where they are needed, from the same files in the same order, so
 that don't fit fail the job.
 
 A block is about an input split, so rows number what Spark's own shuffle has of blocks (input splits times shards). It
-is worked on in pieces of a few MB, which bounds the arrays in memory; a piece has its own arrays in the row.
+is worked on in pieces of about a MB, which bounds the arrays in memory; a piece has its own arrays in the row. One text
+is never split: a task needs some sixty times the size of the longest text for a moment. A shard's task holds all that
+it was asked, so the number of shards grows with the bytes of the texts and each is asked about what SHARD_BYTES of
+texts ask in the mean; keys are spread by hash, and equal keys of one piece are asked once where the operator allows it.
 """
 
 from __future__ import annotations
@@ -16,12 +19,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Bytes of text in one piece, whose arrays take some hundred times as much for a moment, and pieces in one block.
-PIECE_BYTES, PIECES = 2 << 20, 12
+from gridloom.llm.common import partitions
+
+#: Bytes of text in one piece, whose arrays take some sixty times as much for a moment, and pieces in one block.
+PIECE_BYTES, PIECES = 1 << 20, 24
+#: Bytes of texts for each shard at most, in the mean.
+SHARD_BYTES = 64 << 20
 ROWS = "block long, kind int, shard int, data binary"
 TEXTS = -1
 #: The block of what a shard says when it has answered all.
@@ -87,28 +97,48 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["block", "kind", "shard", "data"])
 
 
-def _rows(block: int, kind: int, parts: Iterator[Part]) -> Iterator[pa.RecordBatch]:
+def rows(block: int, kind: int, parts: Iterator[Part]) -> Iterator[pa.RecordBatch]:
+    """A block's rows, one for each shard, in batches of about a MB."""
     by_shard: dict[int, list[tuple[int, Arrays]]] = {}
     for piece, shard, arrays in parts:
         by_shard.setdefault(shard, []).append((piece, arrays))
-    out = [(block, kind, s, pack_pieces(x)) for s, x in by_shard.items()]
-    for i in range(0, len(out), 64):
-        yield batch_of(out[i : i + 64])
+    out, size = [], 0
+    for s in sorted(by_shard):
+        out.append((block, kind, s, pack_pieces(by_shard.pop(s))))
+        size += len(out[-1][-1])
+        if size >= PIECE_BYTES:
+            yield batch_of(out)
+            out, size = [], 0
+    if out:
+        yield batch_of(out)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts that are over PIECE_BYTES only by their last text."""
+    if batch.column("text").nbytes <= PIECE_BYTES:
+        yield batch
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // PIECE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(i, j - i)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.column("text").nbytes
-        if size >= PIECE_BYTES:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
+    for whole in batches:
+        for batch in _slices(whole):
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if size >= PIECE_BYTES:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, pa.Table]]]]:
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, pa.Table]]]]:
     """Each block must be read to its end before the next."""
     pieces, block = _pieces(batches), TaskContext.get().partitionId() << 32
     for first in pieces:
@@ -124,12 +154,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[t
         block += 1
 
 
+def shards_of(docs: DataFrame) -> int:
+    """How many shards: as many as shuffle partitions, or more if the texts are more than SHARD_BYTES for each."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-size // SHARD_BYTES))
+
+
 def ask(docs: DataFrame, questions: Callable[[pa.Table], Iterator[tuple[int, Arrays]]], kind: int) -> DataFrame:
     """Rows from blocks to shards. questions: gives (shard, arrays) for a piece of docs, which has a column text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, pieces in _blocks(batches):
-            yield from _rows(block, kind, ((k, shard, arrays) for k, table in pieces for shard, arrays in questions(table)))
+        for block, pieces in blocks(batches):
+            yield from rows(block, kind, ((k, shard, arrays) for k, table in pieces for shard, arrays in questions(table)))
 
     return docs.mapInArrow(run, ROWS)
 
@@ -142,14 +178,14 @@ def answer(asked: DataFrame, shards: int, reply: Callable[[list[Arrays]], Iterat
         for batch in batches:
             for row in batch.to_pylist():
                 by_shard.setdefault(row["shard"], []).append(row)
-        for shard, rows in by_shard.items():
-            rows.sort(key=lambda r: r["block"])
-            asked = [unpack_pieces(r["data"]) for r in rows]
+        for shard, got in by_shard.items():
+            got.sort(key=lambda r: r["block"])
+            asked = [unpack_pieces(r.pop("data")) for r in got]
             answers = iter(reply([x for pieces in asked for _, x in pieces]))
-            for row, pieces in zip(rows, asked, strict=True):
+            for row, pieces in zip(got, asked, strict=True):
                 yield batch_of([(row["block"], row["kind"], shard, pack_pieces([(k, next(answers)) for k, _ in pieces]))])
             for arrays in answers:
-                yield batch_of([(CLOSING, row["kind"], shard, pack(*arrays))])
+                yield batch_of([(CLOSING, got[0]["kind"], shard, pack(*arrays))])
 
     return asked.repartitionById(shards, "shard").mapInArrow(run, ROWS)
 
@@ -158,7 +194,7 @@ def texts(docs: DataFrame) -> DataFrame:
     """Rows that carry the blocks' own columns, compressed, a piece in each record batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, pieces in _blocks(batches):
+        for block, pieces in blocks(batches):
             sink, out = pa.BufferOutputStream(), None
             packed = pa.CompressedOutputStream(sink, "zstd")
             for _, table in pieces:
@@ -171,7 +207,7 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ROWS)
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, pa.Table | None, dict[int, list[Arrays]]]]]]:
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, pa.Table | None, dict[int, list[Arrays]]]]]]:
     """Each block's pieces: number, texts, and by kind the answers of the shards in order."""
 
     def whole(stream: bytes | None, got: dict[int, dict[int, list[Arrays]]]) -> Iterator[tuple[int, pa.Table | None, dict[int, list[Arrays]]]]:
@@ -199,27 +235,28 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tupl
         yield now, whole(stream, got)
 
 
-def _together(rows: DataFrame) -> DataFrame:
-    return rows.repartition("block").sortWithinPartitions("block", "kind", "shard")
+def together(df: DataFrame) -> DataFrame:
+    """All rows of a block in one partition, by kind and shard."""
+    return df.repartition("block").sortWithinPartitions("block", "kind", "shard")
 
 
-def meet(rows: DataFrame, work: Callable[[pa.Table | None, dict[int, list[Arrays]]], pa.RecordBatch | None], schema: str) -> DataFrame:
+def meet(df: DataFrame, work: Callable[[pa.Table | None, dict[int, list[Arrays]]], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """Brings all rows of a block together. work: gets a piece's texts, if they are among the rows, and its answers by kind, and gives rows of the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, pieces in _met(batches):
+        for _, pieces in met(batches):
             for _, table, got in pieces:
                 if (out := work(table, got)) is not None:
                     yield out
 
-    return _together(rows).mapInArrow(run, schema)
+    return together(df).mapInArrow(run, schema)
 
 
-def ask_again(rows: DataFrame, questions: Callable[[pa.Table, dict[int, list[Arrays]]], Iterator[tuple[int, Arrays]]], kind: int) -> DataFrame:
+def ask_again(df: DataFrame, questions: Callable[[pa.Table, dict[int, list[Arrays]]], Iterator[tuple[int, Arrays]]], kind: int) -> DataFrame:
     """As ask(), of blocks that meet earlier answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, pieces in _met(batches):
-            yield from _rows(block, kind, ((k, shard, arrays) for k, table, got in pieces for shard, arrays in questions(table, got)))
+        for block, pieces in met(batches):
+            yield from rows(block, kind, ((k, shard, arrays) for k, table, got in pieces for shard, arrays in questions(table, got)))
 
-    return _together(rows).mapInArrow(run, ROWS)
+    return together(df).mapInArrow(run, ROWS)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import exchange, tokens
-from gridloom.llm.common import partitions, release, settled, written
+from gridloom.llm.common import settled, written
 from gridloom.llm.components import components
 
 #: Sets that others with the same smallest hash are compared with at once. What they miss, level two finds.
@@ -91,7 +91,7 @@ def _bounds(table: pa.Table | None, got: dict[int, list[exchange.Arrays]]) -> pa
 
 def shingle_bounds(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, sign (of the set) and live, how many of the shingles may occur elsewhere; null where another document of the block has the same set."""
-    shards = partitions(docs.sparkSession)
+    shards = exchange.shards_of(docs)
     asked = exchange.ask(docs, _questions(shards), 0)
     return written(exchange.meet(exchange.answer(asked, shards, _reply), _bounds, "doc_id long, n_shingles long, sign long, live long"), "shingle-bounds")
 
@@ -204,18 +204,16 @@ def _need(n: Column, share: int) -> Column:
     return F.ceil(n * share / 100)
 
 
-def linked(docs: DataFrame, share: int = 75) -> DataFrame:
+def linked(docs: DataFrame, share: int = 75, stable: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of docs (doc_id, text): the smallest doc_id that links lead to. share: percent of the union that a link has in common."""
-    docs = settled(docs.select("doc_id", "text"), "jaccard-docs")
+    docs = settled(docs.select("doc_id", "text"), "jaccard-docs", stable)
     bounds = shingle_bounds(docs)
     nodes = bounds.filter("n_shingles > 0").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("live").alias("live"))
     open_ = written(nodes.filter(F.col("live") >= _need(F.col("n"), share)).select("rep", "sign"), "open-sets")
-    release(docs.sparkSession)
     few = open_.count() <= BROADCAST_SETS
     found = docs.join(F.broadcast(open_) if few else open_, docs["doc_id"].eqNullSafe(open_["rep"])).select("sign", "text").mapInArrow(_sets, "sign long, n long, low long, low2 long, tokens array<long>")
     sets = written(found.dropDuplicates(["sign"]), "shingle-sets")
     del found
-    release(docs.sparkSession)
 
     edges = written(_similar(sets, "low", share).unionAll(_similar(sets, "low2", share)), "links")
     groups = components(edges)
@@ -232,7 +230,6 @@ def linked(docs: DataFrame, share: int = 75) -> DataFrame:
     size = F.count("*").over(Window.partitionBy("bundle"))
     outer = written(outer.withColumn("bundle", bundle).withColumn("part", F.pmod(F.xxhash64("sign"), F.ceil(size / LARGE))), "outer-tokens")
     del every, spread, grouped, groups
-    release(docs.sparkSession)
     # of the tokens that the same sets have, one stands for all; rest: how many of the set's tokens come from it on
     held = outer.select("sign", "n", "group", "bundle", "part", "prefix", F.size("tokens").alias("t"), F.explode(F.array_distinct("prefix")).alias("held"))
     held = held.select("sign", "n", "group", "bundle", "part", "held", (F.col("t") - F.array_position("prefix", F.col("held")) + 1).alias("rest"))
@@ -244,7 +241,6 @@ def linked(docs: DataFrame, share: int = 75) -> DataFrame:
     asking = wanted.join(outer.select("sign", "group", "n", "tokens"), "sign").select("other", "part", F.lit(1).alias("asks"), "sign", "group", "n", "tokens")
     more = members.unionAll(asking).repartition("other", "part").sortWithinPartitions("other", "part", "asks").mapInArrow(_open_bundles(share), "a long, b long")
     edges = edges.unionAll(written(more, "links"))
-    release(docs.sparkSession)
 
     label = components(edges).join(nodes.select(F.col("sign").alias("node"), "rep"), "node")
     least = label.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import exchange, tokens
-from gridloom.llm.common import partitions, settled, written
+from gridloom.llm.common import settled, written
 from gridloom.llm.elias_fano import EliasFano
 
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -166,10 +166,10 @@ def _score(train_tokens: int, train_words: int):
     return run
 
 
-def score(docs: DataFrame, learn: Column, discount: float = 0.75) -> DataFrame:
+def score(docs: DataFrame, learn: Column, discount: float = 0.75, stable: bool = False) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score (unigrams alone) and score of docs (doc_id, text), by a model of the rows for which learn holds."""
-    docs = settled(docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn")), "lm-docs")
-    shards = partitions(docs.sparkSession)
+    docs = settled(docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn")), "lm-docs", stable)
+    shards = exchange.shards_of(docs)
     answers = written(exchange.answer(exchange.ask(docs, _ask(shards), 0), shards, _reply(discount)), "lm-answers")
     # one row of two numbers for each shard
     sums = [exchange.unpack(bytes(r["data"]))[0] for r in answers.filter(F.col("block") == exchange.CLOSING).select("data").collect()]

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm import tokens
 
@@ -140,5 +141,5 @@ def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ()) -> D
             p = pa.array(1 / (1 + np.exp(-np.clip(mean + w[-1], -30, 30))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), p, *(batch.column(c) for c in keep if c != "doc_id")], ["doc_id", "score", *(c for c in keep if c != "doc_id")])
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep if c != "doc_id")
-    return docs.mapInArrow(run, "doc_id long, score double" + (f", {kept}" if kept else ""))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), *(docs.schema[c] for c in keep if c != "doc_id")])
+    return docs.mapInArrow(run, schema)

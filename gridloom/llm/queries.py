@@ -44,7 +44,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return suffix.repeat_digests(suffix.remove_repeats(table(spark, sf_dir, "documents")))
+    return suffix.repeat_digests(suffix.remove_repeats(table(spark, sf_dir, "documents"), stable=True))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,13 +54,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    scores = lm.score(table(spark, sf_dir, "documents"), quality.fold_of("doc_id", 7) != 2)
+    scores = lm.score(table(spark, sf_dir, "documents"), quality.fold_of("doc_id", 7) != 2, stable=True)
     return scores.withColumn("held_out", F.coalesce(quality.fold_of("doc_id", 7) == 2, F.lit(False)))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return jaccard.linked(table(spark, sf_dir, "documents"))
+    return jaccard.linked(table(spark, sf_dir, "documents"), stable=True)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,8 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.bpe_digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks))
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, stable=True)
+    return bpe.bpe_digests(bpe.decode(encoded, bpe.token_bytes(spark, ranks)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -25,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm import exchange, tokens
-from gridloom.llm.common import partitions, settled, written
+from gridloom.llm.common import settled, written
 
 #: Bytes whose hash makes an anchor.
 GRAM = 32
@@ -44,12 +45,11 @@ class Anchors:
         self.length = length
         self.data, self.at = tokens.text_bytes(texts)
         n = len(self.data)
-        self.sums = tokens.prefix_sums(self.data)
         if n < length:
             self.key = self.context = np.zeros(0, np.uint64)
             self.doc = self.pos = self.low = self.high = np.zeros(0, np.int64)
             return
-        h = tokens.mix((self.sums[GRAM:] - self.sums[:-GRAM]) * tokens.powers(n)[1][: n - GRAM + 1])
+        h = self._grams()
         # the upper half of the hash, then the place: the least is leftmost among equals
         least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n - GRAM + 1, dtype=np.uint64)
         span, width = 1, length - GRAM + 1
@@ -69,10 +69,18 @@ class Anchors:
         del h, least, windows
         order = np.argsort(key, kind="stable")
         self.key, self.low, self.high, anchor = key[order], low[order], high[order], anchor[order]
-        self.context = tokens.mix(tokens.range_hashes(self.sums, self.low, self.high + length) + (anchor - self.low).astype(np.uint64))
+        self.context = tokens.mix(tokens.range_hashes(self.data, self.low, self.high + length) + (anchor - self.low).astype(np.uint64))
         self.doc = np.searchsorted(self.at, anchor, side="right") - 1
         self.pos = anchor - self.at[self.doc]
 
+    def _grams(self) -> np.ndarray:
+        """A hash of the GRAM bytes from each place."""
+        eights = tokens.mix(tokens.eights(self.data)[: len(self.data) - 7])
+        m, out = len(self.data) - GRAM + 1, np.zeros(len(self.data) - GRAM + 1, np.uint64)
+        for k in range(0, GRAM, 8):
+            out = tokens.mix(out + np.uint64(k + 1)) ^ eights[k : k + m]
+        return tokens.mix(out)
+
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The starts of the windows of some anchors, and each one's document."""
         sizes = self.high[which] - self.low[which] + 1
@@ -207,7 +215,7 @@ def _states(a: Anchors, got: dict[int, list[exchange.Arrays]]) -> np.ndarray:
 
 def _unclear(a: Anchors, got: dict[int, list[exchange.Arrays]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, doc = a.windows(np.flatnonzero(_states(a, got) == _UNCLEAR))
-    h = tokens.range_hashes(a.sums, starts, starts + a.length)
+    h = tokens.range_hashes(a.data, starts, starts + a.length)
     order = np.argsort(h, kind="stable")
     return starts[order], doc[order], h[order]
 
@@ -254,14 +262,15 @@ def _cut(length: int, keep: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = (), batch: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, span_starts and span_ends of the removed runs, kept (the other bytes), and the columns of keep, of docs (doc_id, text). A text among keep is what is left of it. batch: suffixes in one batch of the index, BATCH unless given; results don't depend on it."""
-    docs = settled(docs.select("doc_id", "text", *(c for c in keep if c != "text")), "suffix-docs")
-    few, shards = docs.select("doc_id", "text"), partitions(docs.sparkSession)
+def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = (), batch: int | None = None, stable: bool = False) -> DataFrame:
+    """doc_id, n_bytes, span_starts and span_ends of the removed runs, kept (the other bytes), and the columns of keep, of docs (doc_id, text). A text among keep is what is left of it. batch: suffixes in one batch of the index, BATCH unless given; results don't depend on it. stable: see settled()."""
+    docs = settled(docs.select("doc_id", "text", *(c for c in keep if c != "text")), "suffix-docs", stable)
+    few, shards = docs.select("doc_id", "text"), exchange.shards_of(docs)
     anchors = written(exchange.answer(exchange.ask(few, _ask_anchors(shards, length), _ANCHORS), shards, partial(_reply_anchors, batch=batch)), "anchors")
     windows = written(exchange.answer(exchange.ask_again(exchange.texts(few).unionAll(anchors), _ask_windows(shards, length), _WINDOWS), shards, partial(_reply_windows, batch=batch)), "windows")
-    schema = ["doc_id long", "n_bytes long", "span_starts array<long>", "span_ends array<long>", "kept binary", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)]
-    return exchange.meet(exchange.texts(docs).unionAll(anchors).unionAll(windows), _cut(length, list(keep)), ", ".join(schema))
+    longs, kinds = T.ArrayType(T.LongType()), (T.LongType(), T.LongType())
+    schema = T.StructType([*(T.StructField(c, k) for c, k in zip(("doc_id", "n_bytes", "span_starts", "span_ends", "kept"), (*kinds, longs, longs, T.BinaryType()), strict=True)), *(docs.schema[c] for c in keep)])
+    return exchange.meet(exchange.texts(docs).unionAll(anchors).unionAll(windows), _cut(length, list(keep)), schema)
 
 
 def repeat_digests(removed: DataFrame) -> DataFrame:

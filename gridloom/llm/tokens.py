@@ -1,8 +1,9 @@
 """Words, shingles and hashes of whole Arrow batches of texts, with numpy.
 
-A batch is one byte array with document offsets, as Arrow holds it. Hashes of byte ranges come from one prefix sum of
-``byte * R**i`` modulo 2**64: the difference of two prefixes, times ``R**-start``, depends on the bytes alone. Each is
-then mixed with the length. Equal strings have equal hashes; different ones differ but for a chance of 2**-64 a pair.
+A batch is one byte array with document offsets, as Arrow holds it. A byte range is hashed eight bytes at a time, each
+eight mixed by a bijection that is far from linear: ranges of up to eight bytes and equal length never collide, up to
+sixteen they are chained, and longer ones add up their eights, each mixed with its place. Different ranges then have
+equal hashes by a chance of 2**-64 a pair. What must not rest on that (the pre-tokens of BPE) compares bytes instead.
 """
 
 from __future__ import annotations
@@ -13,9 +14,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_R = np.uint64(0x9E3779B97F4A7C55)
-_R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: A-Z to a-z; every other byte stays.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -31,24 +29,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R**i and R**-i for i from 0 to n."""
-    if len(_powers[0]) <= n:
-        for k, r in enumerate((_R, _R_INVERSE)):
-            p = np.full(1 << n.bit_length(), r, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that start at each place, as one integer; zeros lie beyond the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1)[0][: len(data)], out=out[1:])
-    return out
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices start, start + 1, ... of each range, one range after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts] + (ends - starts).astype(np.uint64))
+_FIRST, _NEXT, _PLACE = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0)
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each range of bytes, which depends on its bytes and length alone."""
+    x, size = eights(data), ends - starts
+    part = np.minimum(size, 8).astype(np.uint64)
+    # of fewer than eight bytes, the others are cut off
+    head = np.where(part > 0, x[starts] << (np.uint64(64) - np.maximum(part, np.uint64(1)) * np.uint64(8)), np.uint64(0))
+    h = mix(head ^ mix(size.astype(np.uint64) ^ _FIRST))
+    more = np.flatnonzero(size > 8)
+    middle = more[size[more] <= 16]
+    # the last eight bytes may overlap the first: length and both tell all
+    h[middle] = mix(h[middle] ^ _NEXT ^ mix(x[ends[middle] - 8]))
+    long = more[size[more] > 16]
+    if len(long):
+        count = (size[long] - 1) // 8  # the eights after the first; the last ends where the range does
+        place = ragged(np.zeros(len(long), np.int64), count)
+        at = np.minimum(np.repeat(starts[long] + 8, count) + 8 * place, np.repeat(ends[long] - 8, count))
+        parts = mix(x[at] ^ mix(place.astype(np.uint64) + _PLACE))
+        h[long] = mix(h[long] ^ mix(np.add.reduceat(parts, np.cumsum(count) - count)))
+    return h
 
 
 def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +106,7 @@ def words(texts: pa.Array, fold: bool = True) -> Words:
     ends = np.flatnonzero(inner & ~after) + 1
     first = np.searchsorted(starts, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(data, starts, ends, doc, first, range_hashes(prefix_sums(data), starts, ends))
+    return Words(data, starts, ends, doc, first, range_hashes(data, starts, ends))
 
 
 def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +116,7 @@ def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     m = len(w.hashes) - n + 1
     h = w.hashes[:m].copy()
     for i in range(1, n):
-        h = h * _R + w.hashes[i : m + i]
+        h = mix(h + _NEXT) ^ w.hashes[i : m + i]
     inside = w.doc[:m] == w.doc[n - 1 :]
     return mix(h[inside] + np.uint64(n)), w.doc[:m][inside]
 
@@ -116,7 +130,7 @@ def shingle_sets(w: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
         for k, d in enumerate(short):
             x = w.hashes[w.first[d] : w.first[d] + 1]
             for i in range(w.first[d] + 1, w.first[d + 1]):
-                x = x * _R + w.hashes[i : i + 1]
+                x = mix(x + _NEXT) ^ w.hashes[i : i + 1]
             extra[k] = (x + np.uint64(size[d]))[0]
         h, doc = np.concatenate([h, mix(extra)]), np.concatenate([doc, short])
         order = np.argsort(doc, kind="stable")

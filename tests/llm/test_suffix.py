@@ -3,21 +3,28 @@ import random
 
 from gridloom.llm import suffix
 from gridloom.llm.common import small_batches
+from tests.llm.words import thue_morse
 
 
-def brute(rows, length):
-    """n_removed, spans and kept bytes of each row."""
+def covered(rows, length):
+    """For each row, which bytes go."""
     seen = {}
     for doc, text in rows:
         for p in range(len(text) - length + 1):
             w, at = text[p : p + length], (-1 << 70 if doc is None else doc, p)
             seen[w] = min(seen.get(w, at), at)
-    out = []
     for doc, text in rows:
         gone = [False] * len(text)
         for p in range(len(text) - length + 1):
             if seen[text[p : p + length]] < (-1 << 70 if doc is None else doc, p):
                 gone[p : p + length] = [True] * length
+        yield gone
+
+
+def brute(rows, length):
+    """n_removed, spans and kept bytes of each row."""
+    out = []
+    for (doc, text), gone in zip(rows, covered(rows, length), strict=True):
         spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
         out.append((doc, len(text), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(text, gone, strict=True) if not g)).hexdigest()))
     return out
@@ -30,7 +37,7 @@ def corpus(seed):
     some = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
     shared = [some(40) for _ in range(4)]
     texts = [some(r.randint(0, 30)) + r.choice(shared)[r.randint(0, 30) :] + some(r.randint(0, 30)) for _ in range(60)]
-    texts += ["a" * 450, "ab" * 200, "x y " * 90, "", None, texts[3], texts[3] + "!", texts[4][5:]]
+    texts += [thue_morse(2048), thue_morse(2048, True), "a" * 450, "ab" * 200, "x y " * 90, "", None, texts[3], texts[3] + "!", texts[4][5:]]
     rows = list(enumerate(texts))
     r.shuffle(rows)
     return [*rows, rows[0], (None, texts[0]), (rows[1][0], rows[2][1])]
