@@ -75,6 +75,8 @@ class EliasFano:
     def find(self, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> np.ndarray:
         """The place of value among places low to high - 1, or -1: the successor search within a context's range."""
         out = np.full(len(value), -1, np.int64)
+        if not self.n:
+            return out
         upper = (value >> np.uint64(self.l)).astype(np.int64)
         # values with the same upper part lie between two zeros
         first = np.where(upper > 0, self._select(np.maximum(upper - 1, 0), False) - np.maximum(upper - 1, 0), 0)

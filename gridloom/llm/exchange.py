@@ -170,22 +170,27 @@ def ask(docs: DataFrame, questions: Callable[[pa.Table], Iterator[tuple[int, Arr
     return docs.mapInArrow(run, ROWS)
 
 
+def asked_by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[tuple[int, int], list[tuple[int, Arrays]]]]]]:
+    """Each shard with all that it was asked: block and kind, and pieces, in the order of the blocks."""
+    by_shard: dict[int, list] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            by_shard.setdefault(row["shard"], []).append(((row["block"], row["kind"]), unpack_pieces(row["data"])))
+    for shard, got in by_shard.items():
+        got.sort(key=lambda x: x[0])
+        yield shard, got
+
+
 def answer(asked: DataFrame, shards: int, reply: Callable[[list[Arrays]], Iterator[Arrays]]) -> DataFrame:
     """Rows back from shards to blocks. reply: gets all that one shard was asked, piece by piece, and gives an answer to each in order, and one more at most, which is a row of block CLOSING."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_shard: dict[int, list] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                by_shard.setdefault(row["shard"], []).append(row)
-        for shard, got in by_shard.items():
-            got.sort(key=lambda r: r["block"])
-            asked = [unpack_pieces(r.pop("data")) for r in got]
-            answers = iter(reply([x for pieces in asked for _, x in pieces]))
-            for row, pieces in zip(got, asked, strict=True):
-                yield batch_of([(row["block"], row["kind"], shard, pack_pieces([(k, next(answers)) for k, _ in pieces]))])
+        for shard, got in asked_by_shard(batches):
+            answers = iter(reply([x for _, pieces in got for _, x in pieces]))
+            for (block, kind), pieces in got:
+                yield batch_of([(block, kind, shard, pack_pieces([(k, next(answers)) for k, _ in pieces]))])
             for arrays in answers:
-                yield batch_of([(CLOSING, got[0]["kind"], shard, pack(*arrays))])
+                yield batch_of([(CLOSING, got[0][0][1], shard, pack(*arrays))])
 
     return asked.repartitionById(shards, "shard").mapInArrow(run, ROWS)
 

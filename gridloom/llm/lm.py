@@ -1,26 +1,29 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Words and pairs of words (the start and the end of a text count as words) are sent to the shard of the first word. A
-shard adds up the counts of the training texts and builds its part of the trie: the words with their counts; for each,
-a pointer to its successors, which only grows and so is an Elias-Fano sequence; the successors of all words one after
-another as a second such sequence, relative to their context; and beside each its discounted probability in 8 bits, and
-the weight left to the lower order in 16. The levels lie in a file of the task that is memory-mapped and searched in
-place by the context's range, and is gone when the shard has answered. Training and scoring are one pass: a piece of
-documents asks for what it has, whether it is trained on or not, and the answers meet its texts.
-
-p(w | c) = max(n(cw) - d, 0) / n(c) + d * n1(c) / n(c) * p(w), and p(w) = (n(w) + 1) / (N + V + 1): absolute discounting
-of pairs over add-one unigrams; p(w | c) = p(w) after a word that never came before. Words are the runs between ASCII
-blanks, A-Z lower-cased. A word is a 64-bit hash, a successor 32 bits of one: an unseen pair is mistaken for a seen
-one about once in 2**32 over the number of its context's successors.
+The texts of a block (exchange.py), each between a start and an end that count as words, are runs of words of every
+length up to the model's order. A run goes to the shard of its first word. A shard adds up the counts of the training
+texts and builds its part of the trie: the first words with their counts; then, level by level, for each run of the
+level before a pointer to its successors, which only grows and so is an Elias-Fano sequence; the successors of all runs
+one after another as a second such sequence, relative to their context; and beside each its discounted probability in 8
+bits, and the weight left to the lower order in 16. The levels lie in one memory map and are searched in place, each
+within the range that the level before gave: a successor search relative to a context of up to order - 1 words.
+
+score() trains and scores in one pass: a block asks for what it has, whether it is trained on or not, and the answers
+meet its texts. train() writes the shards' levels as a table instead, which score_with() loads again for other texts.
+
+p(w | c) = max(n(cw) - d, 0) / n(c) + d * n1(c) / n(c) * p(w | c') with c' one word shorter, and p(w) = (n(w) + 1) /
+(N + V + 1): absolute discounting of runs over add-one unigrams, p(w | c') where c never came before. Words are the runs
+between ASCII blanks, A-Z lower-cased. A word is a 64-bit hash, a successor 32 bits of one: an unseen run is mistaken
+for a seen one about once in 2**32 over the number of its context's successors.
 
 Defined cases: null text is empty and has the end alone; a null doc_id is never trained on and not held out; repeated
-rows count and are scored each. Other columns are not read.
+rows count and are scored each; a very long text is in one block (exchange.py says what it takes); an empty table gives
+no rows, and an empty model scores by p(w) = 1. Other columns, also those named like results, are not read.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+import mmap
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +37,10 @@ from gridloom.llm.elias_fano import EliasFano
 
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_HALF = np.uint64(32)
 #: The logarithms that 8-bit probabilities and 16-bit weights stand for; 0 stands for none.
 _ALPHA = np.concatenate([[0.0], 10.0 ** np.linspace(-8, 0, 255)])
-_LAMBDA = np.concatenate([[0.0], 10.0 ** np.linspace(-8, 0, 65535)])
+_REST = np.concatenate([[0.0], 10.0 ** np.linspace(-8, 0, 65535)])
 
 
 def _quantise(x: np.ndarray, book: np.ndarray, kind: type) -> np.ndarray:
@@ -44,134 +48,258 @@ def _quantise(x: np.ndarray, book: np.ndarray, kind: type) -> np.ndarray:
     return np.where(x > 0, at, 0).astype(kind)
 
 
-class Piece:
-    """The tokens and pairs of a piece of texts. words: distinct hashes; token, pair: for each token its word, and its pair among the distinct ones."""
-
-    def __init__(self, texts: pa.ChunkedArray) -> None:
-        w = tokens.words(texts.combine_chunks())
-        n = len(w.first) - 1
-        size = np.diff(w.first)
-        self.doc = np.repeat(np.arange(n), size + 1)
-        ends = np.cumsum(size + 1) - 1
-        token = np.empty(len(self.doc), np.uint64)
-        inner = np.ones(len(self.doc), bool)
-        inner[ends] = False
-        token[inner], token[ends] = w.hashes, END
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[ends - size] = START
-        self.words, at = np.unique(np.append(token, START), return_inverse=True)
-        self.token = at[:-1]
-        context = np.searchsorted(self.words, before)
-        self.pairs, self.pair = np.unique((context.astype(np.uint64) << np.uint64(32)) | (token >> np.uint64(32)), return_inverse=True)
-        self.context = context
-
-
-def _ask(shards: int):
-    def run(table: pa.Table) -> Iterator[tuple[int, exchange.Arrays]]:
-        p = Piece(table["text"])
-        learn = table["learn"].combine_chunks().to_numpy(zero_copy_only=False)[p.doc].astype(float)
-        counts = np.bincount(p.token, learn, len(p.words)).astype(np.uint32)
-        pair_counts = np.bincount(p.pair, learn, len(p.pairs)).astype(np.uint32)
-        cut = exchange.shard_slices(p.words, shards)
-        of = (p.pairs >> np.uint64(32)).astype(np.int64)
-        at = np.searchsorted(of, np.arange(len(p.words) + 1))
+class Grams:
+    """The runs of up to order words in a block of texts.
+
+    words: distinct hashes, ascending. ids[k]: of each run of k words, in order, its number among the distinct ones.
+    keys[k]: for each distinct run of k words, ascending, the number of its first k - 1 and 32 bits of its last one.
+    """
+
+    def __init__(self, tables: list[pa.Table], order: int) -> None:
+        streams, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for table in tables:
+            w = tokens.words(table["text"].combine_chunks())
+            size = np.diff(w.first) + 2
+            ends = np.cumsum(size)
+            stream = np.empty(ends[-1] if len(ends) else 0, np.uint64)
+            inner = np.ones(len(stream), bool)
+            inner[ends - size] = inner[ends - 1] = False
+            stream[ends - size], stream[ends - 1], stream[inner] = START, END, w.hashes
+            streams.append(stream)
+            sizes.append(size)
+        stream, self.sizes = np.concatenate(streams), np.concatenate(sizes)
+        del streams
+        self.left = np.repeat(np.cumsum(self.sizes), self.sizes).astype(np.int32) - np.arange(len(stream), dtype=np.int32)
+        self.words, ids = np.unique(stream, return_inverse=True)
+        self.ids, self.keys, half = {1: ids.astype(np.int32)}, {}, (stream >> _HALF).astype(np.uint32)
+        del stream, ids
+        for k in range(2, order + 1):
+            before = self.ids[k - 1][self.left[self.left >= k - 1] >= k]
+            self.keys[k], ids = np.unique((before.astype(np.uint64) << _HALF) | half[np.flatnonzero(self.left >= k) + k - 1], return_inverse=True)
+            self.ids[k] = ids.astype(np.int32)
+
+    def counts(self, k: int, learn: np.ndarray) -> np.ndarray:
+        """How often each distinct run of k words is in the texts to learn. A single start isn't counted."""
+        some = np.repeat(learn, self.sizes)
+        if k == 1:
+            some[np.cumsum(self.sizes) - self.sizes] = False
+        return np.bincount(self.ids[k][some[self.left >= k]], minlength=len(self.words) if k == 1 else len(self.keys[k])).astype(np.uint32)
+
+    def parts(self, shards: int, learn: np.ndarray) -> Iterator[exchange.Part]:
+        """For each shard its words (steps, counts), and by order the runs: how many each shorter one has, the last words' halves, and counts."""
+        cut = exchange.shard_slices(self.words, shards)
+        counts = {1: self.counts(1, learn)} | {k: self.counts(k, learn) for k in self.keys}
+        fans = {k: np.searchsorted(self.keys[k] >> _HALF, np.arange(len(counts[k - 1]) + 1, dtype=np.uint64)) for k in self.keys}
         for s in range(shards):
             i, j = cut[s], cut[s + 1]
             if i < j:
-                k = slice(at[i], at[j])
-                yield s, [exchange.steps(p.words[i:j]), counts[i:j], np.diff(at[i : j + 1]).astype(np.uint32), (p.pairs[k] & np.uint64(0xFFFFFFFF)).astype(np.uint32), pair_counts[k]]
+                arrays = [exchange.steps(self.words[i:j]), counts[1][i:j]]
+                for k, keys in self.keys.items():
+                    fan = fans[k][i : j + 1]
+                    i, j = fan[0], fan[-1]
+                    arrays += [np.diff(fan).astype(np.uint32), (keys[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts[k][i:j]]
+                yield 0, s, arrays
+
+
+def _learn(tables: list[pa.Table]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, bool), *(t["learn"].combine_chunks().to_numpy(zero_copy_only=False) for t in tables)])
+
+
+def _ask(shards: int, order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, pieces in exchange.blocks(batches):
+            tables = [t for _, t in pieces]
+            yield from exchange.rows(block, 0, Grams(tables, order).parts(shards, _learn(tables)))
 
     return run
 
 
 class Trie:
-    """One shard's levels, in a file that is mapped and then has no name."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, discount: float) -> None:
-        """pairs: the context's place among words and 32 bits of the successor, ascending."""
-        start = np.searchsorted(pairs >> np.uint64(32), np.arange(len(words) + 1, dtype=np.uint64))
-        sums = np.concatenate([[0], np.cumsum(pair_counts)]).astype(np.float64)
-        after = np.diff(sums[start])
-        context = (pairs >> np.uint64(32)).astype(np.int64)
-        alpha = _quantise(np.maximum(pair_counts - discount, 0) / np.maximum(after[context], 1), _ALPHA, np.uint8)
-        rest = np.where(after > 0, discount * np.diff(start) / np.maximum(after, 1), 1.0)
-        self.pointers, self.successors = EliasFano.encode(start, len(pairs) + 1), EliasFano.encode(pairs, max(1, len(words)) << 32)
-        levels = [words, counts.astype(np.uint64), alpha, _quantise(rest, _LAMBDA, np.uint16), *self.pointers.arrays(), *self.successors.arrays()]
-        file, name = tempfile.mkstemp()  # of this task alone
-        with os.fdopen(file, "wb") as out:
-            places = []
-            for x in levels:
-                out.write(b"\0" * (-out.tell() % 8))
-                places.append(out.tell())
-                out.write(np.ascontiguousarray(x).tobytes())
-            out.write(b"\0" * 8)
-        mapped = np.memmap(name, np.uint8, "r")
-        os.unlink(name)
-        self.words, self.counts, self.alpha, self.rest, *more = (mapped[i : i + x.nbytes].view(x.dtype) for i, x in zip(places, levels, strict=True))
-        self.pointers.low, self.pointers.high, self.pointers.ones, self.successors.low, self.successors.high, self.successors.ones = more
-
-    def look_up(self, word: np.ndarray, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts of words and weights after them; 8-bit probabilities of pairs (a word's place among word, successor)."""
-        at = np.searchsorted(self.words, word)
-        low, high = self.pointers.get(at).astype(np.int64)[context], self.pointers.get(at + 1).astype(np.int64)[context]
-        found = self.successors.find(low, high, (at[context].astype(np.uint64) << np.uint64(32)) | successor.astype(np.uint64))
-        return self.counts[at].astype(np.uint32), self.rest[at], np.where(found >= 0, self.alpha[np.maximum(found, 0)] if len(self.alpha) else 0, 0).astype(np.uint8)
+    """One shard's levels in one memory map."""
+
+    def __init__(self, arrays: exchange.Arrays, sizes: list[int]) -> None:
+        """arrays: words, counts, weights after words; then for each longer run its probabilities, weights after them, and the two sequences' arrays. sizes: of the two sequences of each level, length and lower bits."""
+        places, size = [], 0
+        for x in arrays:
+            places.append(size)
+            size += -(-x.nbytes // 8) * 8
+        held, mapped = mmap.mmap(-1, size + 8), []
+        for at, x in zip(places, arrays, strict=True):
+            held[at : at + x.nbytes] = np.ascontiguousarray(x).tobytes()
+            mapped.append(np.frombuffer(held, x.dtype, len(x), at))
+        self.sizes = sizes
+        self.words, self.counts, self.rest = mapped[:3]
+        self.levels = []
+        for k in range((len(mapped) - 3) // 8):
+            alpha, rest, *more = mapped[3 + 8 * k : 11 + 8 * k]
+            sequences = [EliasFano(*sizes[4 * k + 2 * n : 4 * k + 2 * n + 2], *more[3 * n : 3 * n + 3]) for n in (0, 1)]
+            self.levels.append((alpha, rest, *sequences))
+        self.arrays = mapped
+
+    @classmethod
+    def build(cls, asked: list[exchange.Arrays], discount: float) -> Trie:
+        """From all that was asked (Grams.parts)."""
+        words, number = np.unique(np.concatenate([exchange.total(x[0]) for x in asked]), return_inverse=True)
+        counts = np.bincount(number, np.concatenate([x[1] for x in asked]), len(words)).astype(np.uint64)
+        levels, sizes, n_before = [], [], len(words)
+        for k in range(2, len(asked[0]), 3):
+            fan, successor, seen = (np.concatenate([x[k + i] for x in asked]) for i in range(3))
+            context = np.repeat(number, fan)
+            learned = seen > 0
+            key = (context[learned].astype(np.uint64) << _HALF) | successor[learned].astype(np.uint64)
+            keys, ids = np.unique(key, return_inverse=True)
+            times = np.bincount(ids, seen[learned], len(keys))
+            number = np.zeros(len(seen), np.int64)  # what wasn't learned has no successors that were
+            number[learned] = ids
+            levels.append((keys, times, n_before))
+            n_before = len(keys)
+        arrays = [words, counts]
+        for k, (keys, times, n) in enumerate(levels):
+            start = np.searchsorted(keys >> _HALF, np.arange(n + 1, dtype=np.uint64))
+            after = np.diff(np.concatenate([[0.0], np.cumsum(times)])[start])
+            rest = _quantise(np.where(after > 0, discount * np.diff(start) / np.maximum(after, 1), 1.0), _REST, np.uint16)
+            alpha = _quantise(np.maximum(times - discount, 0) / np.maximum(after[(keys >> _HALF).astype(np.int64)], 1), _ALPHA, np.uint8)
+            if k:
+                arrays.insert(len(arrays) - 6, rest)  # beside the probabilities of the level before
+            else:
+                arrays.append(rest)
+            pointers, successors = EliasFano.encode(start, len(keys) + 1), EliasFano.encode(keys, max(1, n) << 32)
+            arrays += [alpha, *pointers.arrays(), *successors.arrays()]
+            sizes += [pointers.n, pointers.l, successors.n, successors.l]
+        if levels:
+            arrays.insert(len(arrays) - 6, np.zeros(0, np.uint16))  # nothing comes after the longest runs
+        else:
+            arrays.append(np.zeros(0, np.uint16))
+        return cls(arrays, sizes)
+
+    def look_up(self, asked: exchange.Arrays) -> exchange.Arrays:
+        """Counts of words and weights after them; for each longer run its probability, and the weight after it (but for the longest)."""
+        word = exchange.total(asked[0])
+        at = np.minimum(np.searchsorted(self.words, word), max(0, len(self.words) - 1))
+        at = np.where(self.words[at] == word, at, -1) if len(self.words) else np.full(len(word), -1)
+        none = _REST.size - 1  # all weight is left to the lower order
+        found = lambda values, at, default, kind: np.where(at >= 0, values[np.maximum(at, 0)], default).astype(kind) if len(values) else np.full(len(at), default, kind)
+        out = [found(self.counts, at, 0, np.uint32), found(self.rest, at, none, np.uint16)]
+        for k, (alpha, rest, pointers, successors) in enumerate(self.levels):
+            fan, successor = asked[2 + 3 * k], asked[3 + 3 * k].astype(np.uint64)
+            there = np.maximum(at, 0)
+            low, high = (np.where(at >= 0, pointers.get(there + i).astype(np.int64), 0) if len(at) else there for i in (0, 1))
+            context = np.repeat(np.arange(len(fan)), fan)
+            at = successors.find(low[context], high[context], (there[context].astype(np.uint64) << _HALF) | successor) if len(successor) else np.zeros(0, np.int64)
+            out.append(found(alpha, at, 0, np.uint8))
+            if k < len(self.levels) - 1:
+                out.append(found(rest, at, none, np.uint16))
+        return out
+
+    def totals(self) -> np.ndarray:
+        return np.array([self.counts.sum(), (self.counts > 0).sum()], np.int64)
 
 
 def _reply(discount: float):
     def run(asked: list[exchange.Arrays]) -> Iterator[exchange.Arrays]:
-        mine = [exchange.total(x[0]) for x in asked]
-        words, at = np.unique(np.concatenate(mine), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([x[1] for x in asked])).astype(np.int64)
-        starts = np.cumsum([0, *map(len, mine)])
-        keys, times = [], []
-        for k, (_, _, fan, successor, seen) in enumerate(asked):
-            context = np.repeat(at[starts[k] : starts[k + 1]], fan)[seen > 0]
-            keys.append((context.astype(np.uint64) << np.uint64(32)) | successor[seen > 0].astype(np.uint64))
-            times.append(seen[seen > 0])
-        pairs, times = np.concatenate(keys), np.concatenate(times)
-        del keys
-        order = np.argsort(pairs, kind="stable")
-        pairs, times = pairs[order], times[order]
-        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])[: len(pairs)])
-        trie = Trie(words, counts, pairs[first], np.add.reduceat(times, first).astype(np.int64) if len(first) else times, discount)
-        for word, (_, _, fan, successor, _) in zip(mine, asked, strict=True):
-            yield list(trie.look_up(word, np.repeat(np.arange(len(word)), fan), successor))
-        yield [np.array([counts.sum(), (counts > 0).sum()], np.int64)]
+        trie = Trie.build(asked, discount)
+        for x in asked:
+            yield trie.look_up(x)
+        yield [trie.totals()]
 
     return run
 
 
-def _score(train_tokens: int, train_words: int):
-    def run(table: pa.Table, got: dict[int, list[exchange.Arrays]]) -> pa.RecordBatch:
-        p = Piece(table["text"])
-        counts, rest, alpha = (np.concatenate(x) for x in zip(*got[0], strict=True))
-        if len(counts) != len(p.words) or len(alpha) != len(p.pairs):
-            raise ValueError(f"{len(p.words)} words and {len(p.pairs)} pairs got {len(counts)} and {len(alpha)} answers")
-        n = len(table)
-        c = counts[p.token].astype(np.float64)
-        base = (c + 1) / (train_tokens + train_words + 1)
-        model = _ALPHA[alpha[p.pair]] + _LAMBDA[rest[p.context]] * base
-        columns = [
-            table["doc_id"].combine_chunks(),
-            pa.array(np.bincount(p.doc, minlength=n)),
-            pa.array(np.bincount(p.doc, c > 0, n).astype(np.int64)),
-            pa.array(np.full(n, train_tokens)),
-            pa.array(np.bincount(p.doc, np.log10(base), n)),
-            pa.array(np.bincount(p.doc, np.log10(np.maximum(model, 1e-300)), n)),
-        ]
-        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORES.split(", ")])
+def _score(train_tokens: int, train_words: int, order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, pieces in exchange.met(batches):
+            tables, got = [], []
+            for _, table, answers in pieces:
+                tables.append(table)
+                got += answers.get(0, [])
+            g = Grams(tables, order)
+            counts, rest, *more = (np.concatenate(x) for x in zip(*got, strict=True))
+            if len(counts) != len(g.words) or any(len(x) != len(g.keys[k // 2 + 2]) for k, x in enumerate(more)):
+                raise ValueError(f"block {name} asked for {len(g.words)} words and got {len(counts)}, or as for longer runs")
+            first = np.cumsum(g.sizes) - g.sizes
+            c = counts[g.ids[1]].astype(np.float64)
+            base = (c + 1) / (train_tokens + train_words + 1)
+            p = base.copy()
+            for k in range(2, order + 1):
+                alpha, here = more[2 * k - 4], np.flatnonzero(g.left >= k)
+                before = g.ids[k - 1][g.left[g.left >= k - 1] >= k]
+                p[here + k - 1] = _ALPHA[alpha[g.ids[k]]] + _REST[rest[before]] * p[here + k - 1]
+                rest = more[2 * k - 3] if k < order else None
+            base[first] = p[first] = 1.0  # the starts
+            c[first] = 0
+            add = lambda x: pa.array(np.add.reduceat(x, first) if len(first) else np.zeros(0))
+            columns = [
+                pa.chunked_array([x for t in tables for x in t["doc_id"].chunks], pa.int64()).combine_chunks(),
+                pa.array(g.sizes - 1),
+                add((c > 0).astype(np.int64)).cast(pa.int64()),
+                pa.array(np.full(len(first), train_tokens)),
+                add(np.log10(base)),
+                add(np.log10(np.maximum(p, 1e-300))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORES.split(", ")])
 
     return run
 
 
-def score(docs: DataFrame, learn: Column, discount: float = 0.75, stable: bool = False) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score (unigrams alone) and score of docs (doc_id, text), by a model of the rows for which learn holds."""
-    docs = settled(docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn")), "lm-docs", stable)
+def _totals(rows: DataFrame) -> tuple[int, int]:
+    """Tokens and distinct words learned, from one row of two numbers for each shard."""
+    sums = [exchange.unpack(bytes(r["data"]))[0] for r in rows.select("data").collect()]
+    return int(sum(x[0] for x in sums)), int(sum(x[1] for x in sums))
+
+
+def _asked(docs: DataFrame, learn: Column, shards: int, order: int) -> DataFrame:
+    return docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn")).mapInArrow(_ask(shards, order), exchange.ROWS)
+
+
+def _scored(docs: DataFrame, answers: DataFrame, n: int, v: int, order: int) -> DataFrame:
+    return exchange.together(exchange.texts(docs).unionAll(answers)).mapInArrow(_score(n, v, order), SCORES)
+
+
+def score(docs: DataFrame, learn: Column, discount: float = 0.75, order: int = 3, stable: bool = False) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score (unigrams alone) and score of docs (doc_id, text), by a model of the rows for which learn holds. stable: see settled()."""
+    docs = settled(docs.select("doc_id", "text"), "lm-docs", stable)
     shards = exchange.shards_of(docs)
-    answers = written(exchange.answer(exchange.ask(docs, _ask(shards), 0), shards, _reply(discount)), "lm-answers")
-    # one row of two numbers for each shard
-    sums = [exchange.unpack(bytes(r["data"]))[0] for r in answers.filter(F.col("block") == exchange.CLOSING).select("data").collect()]
-    n, v = (int(sum(x[k] for x in sums)) for k in (0, 1))
-    return exchange.meet(exchange.texts(docs).unionAll(answers.filter(F.col("block") != exchange.CLOSING)), _score(n, v), SCORES)
+    answers = written(exchange.answer(_asked(docs, learn, shards, order), shards, _reply(discount)), "lm-answers")
+    closing = F.col("block") == exchange.CLOSING
+    return _scored(docs, answers.filter(~closing), *_totals(answers.filter(closing)), order)
+
+
+MODEL = "shard int, shards int, levels int, totals binary, sizes array<long>, data binary"
+
+
+def train(docs: DataFrame, discount: float = 0.75, order: int = 3, stable: bool = False) -> DataFrame:
+    """The model of all docs (doc_id, text), a row for each shard: MODEL. It can be written and read again."""
+    docs = settled(docs.select("doc_id", "text"), "lm-docs", stable)
+    shards = exchange.shards_of(docs)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, asked in exchange.asked_by_shard(batches):
+            trie = Trie.build([x for _, pieces in asked for _, x in pieces], discount)
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "shards": shards, "levels": order, "totals": exchange.pack(trie.totals()), "sizes": trie.sizes, "data": exchange.pack(*trie.arrays)}], pa.schema([("shard", pa.int32()), ("shards", pa.int32()), ("levels", pa.int32()), ("totals", pa.binary()), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())]))
+
+    return _asked(docs, F.lit(True), shards, order).repartitionById(shards, "shard").mapInArrow(build, MODEL)
+
+
+def score_with(docs: DataFrame, model: DataFrame, stable: bool = False) -> DataFrame:
+    """As score(), by a model that train() made. A shard's levels and what is asked of it meet in one task."""
+    docs = settled(docs.select("doc_id", "text"), "lm-docs", stable)
+    if (head := model.select("shards", "levels").first()) is None:
+        head = {"shards": 1, "levels": 1}
+    shards, order = head["shards"], head["levels"]
+    n, v = _totals(model.select(F.col("totals").alias("data")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tries: dict[int, Trie] = {}
+        for batch in batches:  # a shard's levels come first
+            for row in batch.to_pylist():
+                if row["levels"] is not None:
+                    tries = {row["shard"]: Trie(exchange.unpack(row["data"]), row["sizes"])}
+                else:
+                    trie = tries.get(row["shard"]) or Trie([np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint16), *([np.zeros(0, np.uint8), np.zeros(0, np.uint16), *EliasFano.encode(np.zeros(2, np.int64), 1).arrays(), *EliasFano.encode(np.zeros(0, np.uint64), 1).arrays()] * (order - 1))], [2, 0, 0, 0] * (order - 1))
+                    yield exchange.batch_of([(row["block"], 0, row["shard"], exchange.pack_pieces([(k, trie.look_up(x)) for k, x in exchange.unpack_pieces(row["data"])]))])
+
+    asked = _asked(docs, F.lit(False), shards, order).select("shard", F.lit(None).cast("int").alias("levels"), "block", F.lit(None).cast("array<long>").alias("sizes"), "data")
+    levels = model.select("shard", "levels", F.lit(None).cast("long").alias("block"), "sizes", "data")
+    # a block is named by its task's place, so blocks come first in a union
+    met = asked.unionByName(levels).repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("levels").desc_nulls_last(), "block")
+    return _scored(docs, written(met.mapInArrow(run, exchange.ROWS), "lm-answers"), n, v, order)
