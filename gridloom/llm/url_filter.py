@@ -1,15 +1,17 @@
 """URL filters as a sort-merge range join, in DataFrame functions only.
 
-A host is keyed by its reversed labels (``www.example.com`` is ``com.example.www.``), so a rule's host and all its
-subdomains are one interval of keys, and such intervals nest or are disjoint. Interval starts, interval ends and the
-distinct hosts of the urls are sorted together and swept. The stack of active rules is kept as one register for each
-number of labels: a start writes its register, an end clears it. The sweep runs in range blocks; what is active where a
-block begins is carried over from one row for each block. Urls join their host's stack by equality, and the longest
-rule whose path begins the url's path wins.
+A rule's canonical key is its host with the labels reversed, ``#`` (which no host has), and its path: ``com.example#/en/``
+for example.com/en/. A url has such a key for each of its host's suffixes. A rule fits a url if its key begins the url's
+key for the same suffix: that is an interval of keys, and such intervals nest or are disjoint. Interval starts, interval
+ends and the urls' keys are sorted together and swept. The stack of active rules is linked: each rule knows the one it
+is nested in, so a start puts its rule on top and an end puts back the one below, and the sweep needs the top alone. It
+runs in range blocks; the top where a block begins is carried over from one row for each block. Equal keys of many urls
+may be dealt to several blocks, so a common host or url makes no large block. Of a url's tops the longest rule wins.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and no rule. Rules with an empty or null
 host are ignored; a null path counts as ``/``. Of equal rules with unlike verdicts the later verdict by name wins (block).
-Repeated rows are judged each; other columns of the input are not read.
+Of rules of equal length the later by name wins. Repeated rows are judged each; a very long url is one row; tables and
+rules may be empty; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -36,46 +38,47 @@ def url_parts(pages: DataFrame) -> DataFrame:
     )
 
 
-def _key(host: Column) -> Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
+def _labels(host: Column) -> Column:
+    return F.reverse(F.split(host, r"\."))
+
+
+def _key(labels: Column, path: Column | str) -> Column:
+    return F.concat(F.array_join(labels, "."), F.lit("#"), path)
+
+
+def nested_rules(rules: DataFrame) -> DataFrame:
+    """key, top (n, rule, verdict) and below, the top of the rule that each distinct rule of (host, path, verdict) is nested in, or null."""
+    named = rules.select(F.translate("host", _UPPER, _UPPER.lower()).alias("host"), F.coalesce("path", F.lit("/")).alias("path"), "verdict").filter("host <> ''")
+    each = named.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    rule = F.concat("host", "path")
+    each = each.select(_key(_labels(F.col("host")), "path").alias("key"), "path", F.struct(F.length(rule).alias("n"), rule.alias("rule"), "verdict").alias("top"))
+    shorter = F.explode(F.filter(F.sequence(F.lit(0), F.length("path")), lambda i: i < F.length("path")))
+    begins = each.select("key", "path", shorter.alias("i")).select("key", "i", F.expr("substring(key, 1, length(key) - length(path) + i)").alias("begin"))
+    below = begins.join(each.select(F.col("key").alias("begin"), F.col("top").alias("below")), "begin").groupBy("key").agg(F.max_by("below", "i").alias("below"))
+    return each.select("key", "top").join(below, "key", "left")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict for pages (page_id, url) under rules (host, path, verdict)."""
     parts = url_parts(pages)
-    by_host = (
-        rules.select(F.translate("host", _UPPER, _UPPER.lower()).alias("rule_host"), F.coalesce("path", F.lit("/")).alias("rule_path"), F.col("verdict").alias("rule_verdict"))
-        .filter("rule_host <> ''")
-        .withColumn("rule", F.concat("rule_host", "rule_path"))
-        .groupBy(_key(F.col("rule_host")).alias("pos"))
-        .agg(F.collect_set(F.struct(F.length("rule").alias("n"), "rule", "rule_path", "rule_verdict")).alias("rules"), (F.size(F.split(F.first("rule_host"), r"\."))).alias("level"))
-    )
-    levels = by_host.agg(F.max("level")).first()[0] or 0
-    none = F.lit(None).cast(by_host.schema["rules"].dataType)
-    hosts = parts.select("host").distinct()
+    known = nested_rules(rules)
+    none = F.lit(None).cast("string")
+    labels = _labels(F.col("host"))
+    of_urls = parts.filter("host <> ''").select("host", "path").distinct().select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: _key(F.slice(labels, F.lit(1), n), F.col("path")))).alias("key"))
+    on_top = F.struct(F.col("top").alias("is"))  # a struct around it, so that nothing on top differs from no change
     events = (
-        by_host.select("pos", F.lit(1).alias("turn"), "level", "rules", F.lit(None).cast("string").alias("host"))
-        .unionAll(by_host.select(F.expr("concat(substring(pos, 1, length(pos) - 1), '/')"), F.lit(0), "level", none, F.lit(None).cast("string")))
-        .unionAll(hosts.select(_key(F.col("host")), F.lit(2), F.lit(None).cast("int"), none, "host"))
+        known.select(F.col("key").cast("binary").alias("pos"), F.lit(1).alias("turn"), on_top.alias("change"), none.alias("host"), none.alias("path"))
+        .unionAll(known.select(F.concat(F.col("key").cast("binary"), F.lit(b"\xff")), F.lit(0), F.struct(F.col("below").alias("is")), none, none))
+        .unionAll(of_urls.select(F.col("key").cast("binary"), F.lit(2), F.lit(None).cast(known.select(on_top.alias("t")).schema["t"].dataType), "host", "path"))
     )
-    blocks = written(events.repartitionByRange(partitions(pages.sparkSession), "pos").withColumn("block", F.spark_partition_id()), "sweep")
-    sweep = Window.partitionBy("block").orderBy("pos", "turn").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    register = lambda d: F.when(F.col("level") == d, F.struct("rules"))
-    at_end = blocks.groupBy("block").agg(F.count("*").alias("n"), *(F.max_by(register(d), F.when(F.col("level") == d, F.struct("pos", "turn"))).alias(f"end{d}") for d in range(1, levels + 1)))
-    carried = at_end.select("block", *(F.last(f"end{d}", ignorenulls=True).over(earlier).alias(f"from{d}") for d in range(1, levels + 1)))
-    swept = blocks.select("block", "host", "turn", *(F.last(register(d), ignorenulls=True).over(sweep).alias(f"in{d}") for d in range(1, levels + 1)))
+    blocks = written(events.withColumn("salt", F.xxhash64("host", "path")).repartitionByRange(partitions(pages.sparkSession), "pos", "turn", "salt").withColumn("block", F.spark_partition_id()), "sweep")
+    order = F.struct("pos", "turn")
+    at_end = blocks.groupBy("block").agg(F.max_by("change", F.when(F.col("change").isNotNull(), order)).alias("last"))
     # one row for each block of the sweep: no more than there are shuffle partitions
-    stacks = (
-        swept.filter("turn = 2")
-        .join(F.broadcast(carried), "block")
-        .select("host", F.flatten(F.filter(F.array(*(F.coalesce(f"in{d}", f"from{d}")["rules"] for d in range(1, levels + 1))), lambda x: x.isNotNull())).alias("stack"))
-        if levels
-        else hosts.select("host", none.alias("stack"))
-    )
-    best = F.array_max(F.transform(F.filter("stack", lambda x: F.startswith(F.col("path"), x["rule_path"])), lambda x: F.struct(x["n"], x["rule"], x["rule_verdict"])))
-    return (
-        parts.join(stacks, "host", "left")
-        .withColumn("best", best)
-        .select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
-    )
+    carried = at_end.select("block", F.last("last", ignorenulls=True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    sweep = Window.partitionBy("block").orderBy("pos", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    swept = blocks.select("block", "turn", "host", "path", F.last("change", ignorenulls=True).over(sweep).alias("now")).filter("turn = 2").join(F.broadcast(carried), "block")
+    tops = swept.select("host", "path", F.coalesce("now", "carried")["is"].alias("top")).filter("top is not null")
+    best = tops.groupBy("host", "path").agg(F.max("top").alias("best"))
+    # one row for each distinct url with a rule; AQE splits a url that is a large share of the pages
+    return parts.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
