@@ -6,8 +6,9 @@ the shard its hash names, where every different one is encoded once; the ids com
 put them together by position. Hashes choose shards only: what is distinct is told by comparing bytes. A list that
 doesn't fit the ids that came back fails the job.
 
-Decoding joins the table of token bytes, which has one row for each id and so is bounded by the vocabulary: the table,
-gathered in one row, is broadcast to the documents, and each document's ids select from it by position.
+Decoding joins the ids with the table of token bytes, which has one row for each id and so is bounded by the vocabulary:
+the table is broadcast and joined where the ids lie, a batch of documents at a time. (The same join in DataFrame
+functions, a table in one row and transform() over a document's ids, copies the table for every document.)
 
 Defined cases: null text is empty and has no ids; repeated rows are encoded each; a very long text is one piece of its
 block (exchange.py says what it takes). Other columns, also those named like results, are not read. An id that the table
@@ -31,7 +32,7 @@ from gridloom.llm import exchange, tokens
 from gridloom.llm.common import settled
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
-ENCODED = "doc_id long, n_tokens long, ids binary, tokens array<int>"
+ENCODED = "doc_id long, n_tokens long, ids binary"
 
 
 @functools.lru_cache(1)
@@ -183,14 +184,13 @@ def _assemble(shards: int):
                 ids = flat[tokens.ragged(starts[number], sizes[number])]
                 at = np.concatenate([[0], np.cumsum(sizes[number])])[np.concatenate([[0], np.cumsum(per_text)])]
                 packed = pa.Array.from_buffers(pa.binary(), len(table), [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(ids)])
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32)))
-                yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array(np.diff(at)), packed, lists], [x.split()[0] for x in ENCODED.split(", ")])
+                yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array(np.diff(at)), packed], [x.split()[0] for x in ENCODED.split(", ")])
 
     return run
 
 
 def encode(docs: DataFrame, path: str, pattern: str, stable: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and tokens (the same as an array) of docs (doc_id, text). stable: see settled()."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of docs (doc_id, text). stable: see settled()."""
     docs = settled(docs.select("doc_id", "text"), "bpe-docs", stable)
     shards, ranks = exchange.shards_of(docs), docs.sparkSession.sparkContext.broadcast(ranks_file(path))  # a MB or so
     answers = exchange.answer(docs.mapInArrow(_ask(shards), exchange.ROWS), shards, _reply(ranks, pattern))
@@ -204,13 +204,27 @@ def token_bytes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, table: DataFrame) -> DataFrame:
-    """encoded (..., tokens) with decoded, the bytes that the tokens stand for by table (id, bytes)."""
-    spark = encoded.sparkSession
-    every = spark.range((table.agg(F.max("id")).first()[0] or 0) + 1).withColumn("id", F.col("id").cast("int"))
-    # one row, as large as the vocabulary
-    gathered = every.join(table, "id", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.hex("bytes").alias("hex")))), lambda x: x["hex"]).alias("_table"))
-    known = lambda i: F.coalesce(F.get("_table", i), F.raise_error(F.concat(F.lit("no token has the id "), i)))
-    return encoded.crossJoin(F.broadcast(gathered)).withColumn("decoded", F.unhex(F.array_join(F.transform("tokens", known), ""))).drop("_table")
+    """encoded (doc_id, n_tokens, ids) with decoded, the bytes that the ids stand for by table (id, bytes): a broadcast join on the id, in Arrow batches."""
+    rows = table.select("id", "bytes").toArrow()  # as large as the vocabulary
+    held = encoded.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), *tokens.text_bytes(rows["bytes"])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, data, at = held.value
+        place = np.full(int(known.max(initial=-1)) + 2, -1)  # the last stands for all above
+        place[known] = np.arange(len(known))
+        sizes = np.diff(at)
+        for batch in batches:
+            flat, ends = tokens.text_bytes(batch.column("ids"))
+            ids = flat.view("<u4")
+            found = place[np.minimum(ids, len(place) - 1)]
+            if (found < 0).any():
+                raise ValueError(f"no token has the id {ids[found < 0][0]}")
+            total = np.concatenate([[0], np.cumsum(sizes[found])])[ends // 4]
+            decoded = data[tokens.ragged(at[found], sizes[found])]
+            out = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(total.astype(np.int64)), pa.py_buffer(decoded)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "ids")), out], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"{ENCODED}, decoded binary")
 
 
 def bpe_digests(decoded: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ texts ask in the mean; keys are spread by hash, and equal keys of one piece are
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,13 +30,14 @@ from pyspark.sql.types import StructType
 from gridloom.llm.common import partitions
 
 #: Bytes of text in one piece, whose arrays take some sixty times as much for a moment, and pieces in one block.
-PIECE_BYTES, PIECES = 1 << 20, 24
+PIECE_BYTES, PIECES = 1 << 20, 12
 #: Bytes of texts for each shard at most, in the mean.
 SHARD_BYTES = 64 << 20
 ROWS = "block long, kind int, shard int, data binary"
 TEXTS = -1
 #: The block of what a shard says when it has answered all.
 CLOSING = -1
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 Arrays = list[np.ndarray]
 #: A piece's number, the shard, and what it is asked or answers.
 Part = tuple[int, int, Arrays]
@@ -152,6 +154,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tu
 
         yield block, whole()
         block += 1
+    tidy()
 
 
 def shards_of(docs: DataFrame) -> int:
@@ -160,6 +163,13 @@ def shards_of(docs: DataFrame) -> int:
     return max(partitions(docs.sparkSession), -(-size // SHARD_BYTES))
 
 
+def tidy() -> None:
+    """Gives memory that Arrow and numpy have done with back to the system: an idle worker should hold little."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def ask(docs: DataFrame, questions: Callable[[pa.Table], Iterator[tuple[int, Arrays]]], kind: int) -> DataFrame:
     """Rows from blocks to shards. questions: gives (shard, arrays) for a piece of docs, which has a column text."""
 
@@ -179,6 +189,8 @@ def asked_by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, lis
     for shard, got in by_shard.items():
         got.sort(key=lambda x: x[0])
         yield shard, got
+    del by_shard
+    tidy()
 
 
 def answer(asked: DataFrame, shards: int, reply: Callable[[list[Arrays]], Iterator[Arrays]]) -> DataFrame:
@@ -238,6 +250,8 @@ def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple
                     got.setdefault(piece, {}).setdefault(kind, []).append(arrays)
     if now is not None:
         yield now, whole(stream, got)
+    del stream, got
+    tidy()
 
 
 def together(df: DataFrame) -> DataFrame:

@@ -32,6 +32,8 @@ from gridloom.llm.common import settled, written
 
 #: Bytes whose hash makes an anchor.
 GRAM = 32
+_STEP = 1 << 14
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 #: Suffixes in one batch of the index, if the shard has as many.
 BATCH = 1 << 16
 _UNIQUE, _REMOVED, _UNCLEAR = range(3)
@@ -75,11 +77,15 @@ class Anchors:
 
     def _grams(self) -> np.ndarray:
         """A hash of the GRAM bytes from each place."""
-        eights = tokens.mix(tokens.eights(self.data)[: len(self.data) - 7])
-        m, out = len(self.data) - GRAM + 1, np.zeros(len(self.data) - GRAM + 1, np.uint64)
-        for k in range(0, GRAM, 8):
-            out = tokens.mix(out + np.uint64(k + 1)) ^ eights[k : k + m]
-        return tokens.mix(out)
+        eights, out = tokens.eights(self.data), np.empty(len(self.data) - GRAM + 1, np.uint64)
+        for i in range(0, len(out), _STEP):  # in steps that a processor's cache holds
+            m = min(_STEP, len(out) - i)
+            mixed = tokens.mix(eights[i : i + m + GRAM - 8])
+            part = mixed[:m] * _FACTORS[0]
+            for k in range(1, GRAM // 8):
+                part ^= mixed[8 * k : 8 * k + m] * _FACTORS[k]
+            out[i : i + m] = tokens.mix(part)
+        return out
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The starts of the windows of some anchors, and each one's document."""

@@ -24,9 +24,15 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers in which each bit depends on all others."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    t = y >> np.uint64(27)
+    y ^= t
+    y *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(y, np.uint64(31), out=t)
+    y ^= t
+    return y
 
 
 def eights(data: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ def test_pre_tokens_are_the_matches_of_the_pattern(texts):
 
 def test_an_unknown_id_fails(spark):
     path = P.path("byte_bpe_50k.tiktoken")
-    df = spark.createDataFrame([(1, 1, b"", [10**6])], bpe.ENCODED)
+    df = spark.createDataFrame([(1, 1, (10**6).to_bytes(4, "little"))], bpe.ENCODED)
     with pytest.raises(Exception, match="no token has the id"):
         bpe.decode(df, bpe.token_bytes(spark, path)).collect()
 
