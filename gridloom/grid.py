@@ -57,15 +57,28 @@ class Grid:
         keys = points.columns
         return joined.groupBy(*keys).agg(F.when(F.count_if(F.col("value").isNull()) == 0, F.sum(F.col("weight") * F.col("value"))).alias(layer))
 
-    def resample(self, layer: str, factor: float, height: int, width: int, nearest: bool = False) -> DataFrame:
-        """row, col, layer of a grid with cells factor times as large: bilinear at the new cells' centres (at the edge by the cells there are), or nearest."""
+    def resample(self, layers: str | list[str], factor: float, height: int, width: int, nearest: bool = False) -> DataFrame:
+        """row, col and the layers of a grid with cells factor times as large: bilinear at the new cells' centres (at the edge, and beside nulls, by the cells there are), or nearest. One join, however many layers."""
+        layers = [layers] if isinstance(layers, str) else layers
         cells = self.df.sparkSession.range(height * width).select((F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"))
         at = cells.withColumn("fr", (F.col("row") + 0.5) * factor - 0.5).withColumn("fc", (F.col("col") + 0.5) * factor - 0.5)
-        source = self.df.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col(layer).alias("value"))
+        source = self.df.select(F.col("row").alias("r"), F.col("col").alias("c"), *(F.col(x).alias(f"_{x}") for x in layers))
         if nearest:
-            return at.withColumn("r", F.floor(F.col("fr") + 0.5).cast("int")).withColumn("c", F.floor(F.col("fc") + 0.5).cast("int")).join(source, ["r", "c"], "left").select("row", "col", F.col("value").alias(layer))
+            return at.withColumn("r", F.floor(F.col("fr") + 0.5).cast("int")).withColumn("c", F.floor(F.col("fc") + 0.5).cast("int")).join(source, ["r", "c"], "left").select("row", "col", *(F.col(f"_{x}").alias(x) for x in layers))
         corners = at.withColumn("corner", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))))
         corners = corners.withColumn("r", (F.floor("fr") + F.col("corner.i")).cast("int")).withColumn("c", (F.floor("fc") + F.col("corner.j")).cast("int"))
         weight = (1 - F.abs(F.col("fr") - F.col("r"))) * (1 - F.abs(F.col("fc") - F.col("c")))
-        joined = corners.withColumn("weight", weight).join(source, ["r", "c"]).filter("value is not null and weight > 0")
-        return joined.groupBy("row", "col").agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias(layer))
+        joined = corners.withColumn("weight", weight).filter("weight > 0").join(source, ["r", "c"])
+        mean = lambda x: F.sum(F.col("weight") * F.col(f"_{x}")) / F.sum(F.when(F.col(f"_{x}").isNotNull(), F.col("weight")))
+        return joined.groupBy("row", "col").agg(*(mean(x).alias(x) for x in layers))
+
+    def coarser(self, factor: float, df: DataFrame) -> Grid:
+        """A grid with cells factor times as large, of df."""
+        return Grid(df, max(1, round(self.height / factor)), max(1, round(self.width / factor)), self.cell * factor, self.west, self.north, self.step * factor)
+
+    def to_standard(self, layer: str = "z", cell: float = 90.0) -> Grid:
+        """An elevation grid with cells of another size, in the same reference system; itself if they have it."""
+        if cell == self.cell:
+            return self
+        out = self.coarser(cell / self.cell, self.df)
+        return out.with_df(self.resample(layer, cell / self.cell, out.height, out.width))

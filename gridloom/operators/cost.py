@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.config import BANDS, LABEL_COST, SOFT_FACTOR, EngineConfig
+from gridloom.config import BAND_LAYERS, BANDS, LABEL_COST, SOFT_FACTOR, EngineConfig
 from gridloom.grid import Grid
 from gridloom.operators.focal import masked_gaussian
 from gridloom.operators.risk import clip
@@ -45,11 +45,10 @@ def soft_mask(df: DataFrame, config: EngineConfig) -> DataFrame:
 
 def feature_stack(df: DataFrame) -> DataFrame:
     """row, col and the 18 bands in order; what is absent, null or not finite is 0."""
-    rename = {"elevation": "z"}
     value = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf")), F.col(c).cast("double")).otherwise(0.0)
     bands = []
     for band in BANDS:
-        name = band if band in df.columns else rename.get(band, band)
+        name = BAND_LAYERS.get(band, band)
         bands.append((value(name) if name in df.columns else F.lit(0.0)).alias(band))
     return df.select("row", "col", *bands)
 

@@ -64,65 +64,97 @@ def _padded(df: DataFrame, axis: str, n: int, k: int, mode: str) -> DataFrame:
     return df.withColumn(axis, F.explode(places))
 
 
-def box(grid: Grid, layer: str, size: int, out: str, mode: str = "reflect") -> DataFrame:
-    """Mean over size x size cells."""
-    k, df = size // 2, grid.df.withColumn(out, F.col(layer))
+def boxes(grid: Grid, means: list[tuple[str, int, str]], mode: str = "reflect") -> DataFrame:
+    """Adds means (layer, size, out) over size x size cells. All along one axis come first, then all along the other: two exchanges, however many means."""
+    df = grid.df.select("*", *(F.col(layer).alias(out) for layer, _, out in means))
     for axis, n in (("col", grid.width), ("row", grid.height)):
-        df = _padded(df, axis, n, k, mode).withColumn(out, F.avg(out).over(along(axis).rowsBetween(-k, k))).filter(F.col(axis).between(0, n - 1))
+        for size in sorted({size for _, size, _ in means}):
+            k = size // 2
+            w = along(axis).rowsBetween(-k, k)
+            df = _padded(df, axis, n, k, mode).withColumns({out: F.avg(out).over(w) for _, s, out in means if s == size}).filter(F.col(axis).between(0, n - 1))
     return df
 
 
+def box(grid: Grid, layer: str, size: int, out: str, mode: str = "reflect") -> DataFrame:
+    """Mean over size x size cells."""
+    return boxes(grid, [(layer, size, out)], mode)
+
+
 def kernel(sigma: float) -> list[float]:
     r = int(4 * sigma + 0.5)
     w = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
     return [x / sum(w) for x in w]
 
 
-def gaussian(grid: Grid, layer: str, sigma: float, out: str, mode: str = "reflect") -> DataFrame:
-    df = grid.df.withColumn(out, F.col(layer))
+def gaussians(grid: Grid, layers: dict[str, str], sigma: float, mode: str = "reflect") -> DataFrame:
+    """Adds each layer blurred, by name of the result: two exchanges, however many layers."""
+    df = grid.df.select("*", *(F.col(layer).alias(out) for out, layer in layers.items()))
     if not sigma:
         return df
     w = kernel(sigma)
     k = len(w) // 2
+    at = lambda c, j, axis: (F.lead(c, j).over(along(axis)) if j > 0 else F.lag(c, -j).over(along(axis)) if j < 0 else F.col(c)) * w[j + k]
     for axis, n in (("col", grid.width), ("row", grid.height)):
-        total = sum((F.lead(out, j).over(along(axis)) if j > 0 else F.lag(out, -j).over(along(axis)) if j < 0 else F.col(out)) * w[j + k] for j in range(-k, k + 1))
-        df = _padded(df, axis, n, k, mode).withColumn(out, total).filter(F.col(axis).between(0, n - 1))
+        df = _padded(df, axis, n, k, mode).withColumns({c: sum(at(c, j, axis) for j in range(-k, k + 1)) for c in layers}).filter(F.col(axis).between(0, n - 1))
     return df
 
 
+def gaussian(grid: Grid, layer: str, sigma: float, out: str, mode: str = "reflect") -> DataFrame:
+    return gaussians(grid, {out: layer}, sigma, mode)
+
+
 def masked_gaussian(grid: Grid, layer: str, mask: str, sigma: float, out: str, mode: str = "nearest") -> DataFrame:
     """G(mask * x) / max(G(mask), 1e-6) where mask is 1, else null."""
     df = grid.df.withColumn("_m", F.col(mask).cast("double")).withColumn("_x", F.when(F.col(mask) == 1, F.col(layer)).otherwise(0.0))
-    df = gaussian(grid.with_df(df), "_x", sigma, "_gx", mode)
-    df = gaussian(grid.with_df(df), "_m", sigma, "_gm", mode)
+    df = gaussians(grid.with_df(df), {"_gx": "_x", "_gm": "_m"}, sigma, mode)
     return df.withColumn(out, F.when(F.col(mask) == 1, F.col("_gx") / F.greatest("_gm", F.lit(1e-6)))).drop("_m", "_x", "_gx", "_gm")
 
 
+def _tri(mean: str) -> Column:
+    return F.abs(F.col("z") - (9 * F.col(mean) - F.col("z")) / 8)
+
+
+def _tpi_size(grid: Grid, radius_m: float) -> int:
+    size = max(3, int(radius_m / grid.cell))
+    return size + (size + 1) % 2
+
+
+def _deviation(mean: str, mean_square: str) -> Column:
+    return F.sqrt(F.greatest(F.lit(0.0), F.col(mean_square) - F.col(mean) * F.col(mean)))
+
+
 def tri(grid: Grid) -> DataFrame:
-    return box(grid, "z", 3, "_mean").withColumn("tri", F.abs(F.col("z") - (9 * F.col("_mean") - F.col("z")) / 8)).drop("_mean")
+    return box(grid, "z", 3, "_mean").withColumn("tri", _tri("_mean")).drop("_mean")
 
 
 def tpi(grid: Grid, radius_m: float = 300.0) -> DataFrame:
-    size = max(3, int(radius_m / grid.cell))
-    return box(grid, "z", size + (size + 1) % 2, "_mean").withColumn("tpi", F.col("z") - F.col("_mean")).drop("_mean")
+    return box(grid, "z", _tpi_size(grid, radius_m), "_mean").withColumn("tpi", F.col("z") - F.col("_mean")).drop("_mean")
 
 
 def roughness(grid: Grid, size: int = 9) -> DataFrame:
     """Population deviation over size x size cells."""
-    df = box(grid.with_df(grid.df.withColumn("_z2", F.col("z") * F.col("z"))), "z", size, "_mean")
-    df = box(grid.with_df(df), "_z2", size, "_mean2")
-    return df.withColumn("roughness", F.sqrt(F.greatest(F.lit(0.0), F.col("_mean2") - F.col("_mean") * F.col("_mean")))).drop("_z2", "_mean", "_mean2")
+    df = grid.df.withColumn("_z2", F.col("z") * F.col("z"))
+    return boxes(grid.with_df(df), [("z", size, "_mean"), ("_z2", size, "_mean2")]).withColumn("roughness", _deviation("_mean", "_mean2")).drop("_z2", "_mean", "_mean2")
 
 
-def curvature(grid: Grid) -> DataFrame:
-    df = gradients(grid)
-    for layer, axis, out in (("dx", "col", "dxx"), ("dx", "row", "dxy"), ("dy", "row", "dyy")):
+def _second(grid: Grid) -> DataFrame:
+    """Adds dx, dy, dxx, dxy, dyy: what lies along columns first, so that each axis is exchanged once."""
+    df = grid.df
+    for layer, axis, out in (("z", "col", "dx"), ("dx", "col", "dxx"), ("z", "row", "dy"), ("dx", "row", "dxy"), ("dy", "row", "dyy")):
         df = gradient(df, layer, axis, grid.cell, out)
+    return df
+
+
+def _curved(df: DataFrame) -> DataFrame:
     dx, dy, dxx, dxy, dyy = (F.col(c) for c in ("dx", "dy", "dxx", "dxy", "dyy"))
     p = F.greatest(dx * dx + dy * dy, F.lit(1e-6))
     return df.withColumn("curvature_profile", -(dxx * dx * dx + 2 * dxy * dx * dy + dyy * dy * dy) / F.pow(p, F.lit(1.5))).withColumn("curvature_plan", -(dxx * dy * dy - 2 * dxy * dx * dy + dyy * dx * dx) / F.pow(p, F.lit(1.5)))
 
 
+def curvature(grid: Grid) -> DataFrame:
+    return _curved(_second(grid))
+
+
 def hillshade(grid: Grid, azimuth: float = 315.0, altitude: float = 45.0, stride: int = 1) -> DataFrame:
     """On every stride-th row and column, taken as a grid of its own."""
     df = grid.df.filter((F.col("row") % stride == 0) & (F.col("col") % stride == 0)).withColumn("row", (F.col("row") / stride).cast("int")).withColumn("col", (F.col("col") / stride).cast("int"))
@@ -133,12 +165,11 @@ def hillshade(grid: Grid, azimuth: float = 315.0, altitude: float = 45.0, stride
     return df.withColumn("shade", F.greatest(F.lit(0.0), F.least(F.lit(1.0), shade)))
 
 
-def terrain(grid: Grid) -> DataFrame:
-    """All eight terrain factors on one frame."""
+def terrain(grid: Grid, radius_m: float = 300.0, size: int = 9) -> DataFrame:
+    """All eight terrain factors on one frame, nulls of z filled. The means and the gradients pass along columns, then along rows."""
     grid = fill_mean(grid)
-    df = curvature(grid)
+    df = _second(grid).withColumn("_z2", F.col("z") * F.col("z"))
+    df = boxes(grid.with_df(df), [("z", 3, "_m3"), ("z", _tpi_size(grid, radius_m), "_mt"), ("z", size, "_mr"), ("_z2", size, "_mr2")])
     angle = F.atan2(-F.col("dy"), F.col("dx"))
-    df = df.withColumn("slope", slope_of(F.col("dx"), F.col("dy"))).withColumn("aspect_cos", F.cos(angle)).withColumn("aspect_sin", F.sin(angle)).drop("dx", "dy", "dxx", "dxy", "dyy")
-    for step in (tri, tpi, roughness):
-        df = step(grid.with_df(df))
-    return df
+    out = {"slope": slope_of(F.col("dx"), F.col("dy")), "aspect_cos": F.cos(angle), "aspect_sin": F.sin(angle), "tri": _tri("_m3"), "tpi": F.col("z") - F.col("_mt"), "roughness": _deviation("_mr", "_mr2")}
+    return _curved(df).withColumns(out).drop("dx", "dy", "dxx", "dxy", "dyy", "_z2", "_m3", "_mt", "_mr", "_mr2")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.config import EARTH_KM
+from gridloom.session import checkpointed
 
 
 def _path() -> Window:
@@ -101,29 +102,41 @@ def monotone_climb(samples: DataFrame, value: str = "z", step: float = 2.0, leas
     return grouped.select("path_id", F.when(F.size("zs") > points, folded).otherwise(0.0).alias("climb"))
 
 
+def _bands(y: Column, deg: float) -> Column:
+    """The width in degrees of longitude of a bin in a band of latitude: deg at the band's and its neighbours' end nearer to a pole."""
+    top = F.least(F.greatest(F.abs(y - 1), F.abs(y + 2)) * deg, F.lit(89.9))
+    return deg / F.cos(F.radians(top))
+
+
 def nearest_m(a: DataFrame, b: DataFrame, reach_m: float = 2_000.0) -> DataFrame:
     """path_id, seq, d: metres from each point of a to the nearest of b on the same path_id.
 
-    Points fall into square bins of reach_m. Nearest points in the 3 x 3 bins around, if within reach, are exact; the
-    other points, few where two lines are alike, are compared with all of their own path's points.
+    Points fall into bins of reach_m, as wide in degrees as their latitude needs. Nearest points in the 3 x 3 bins around,
+    if within reach, are exact. The other points, few where two lines are alike, first meet one point of each of their
+    path's bins, which bounds how far the nearest point is, and then the points of the bins that may hold a nearer one.
     """
     deg = reach_m / 111_194.926  # metres in a degree of latitude
-    wide = 2 * deg  # wide enough up to 60 degrees of latitude
-    bin_ = lambda c, d: F.floor(F.col(c) / d).cast("long")
+    b = b.select("path_id", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"))
     aa = a.select("path_id", "seq", F.col("lon").alias("lon0"), F.col("lat").alias("lat0"))
-    bb = b.select("path_id", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"))
     d = haversine_m(F.col("lon0"), F.col("lat0"), F.col("lon1"), F.col("lat1"))
-    x = F.explode(F.sequence(bin_("lon0", wide) - 1, bin_("lon0", wide) + 1)).alias("x")
-    left = aa.select("*", x).select("*", F.explode(F.sequence(bin_("lat0", deg) - 1, bin_("lat0", deg) + 1)).alias("y"))
-    right = bb.select("*", bin_("lon1", wide).alias("x"), bin_("lat1", deg).alias("y"))
-    close = left.join(right, ["path_id", "x", "y"]).groupBy("path_id", "seq").agg(F.min(d).alias("d")).filter(F.col("d") <= reach_m)
-    far = aa.join(close, ["path_id", "seq"], "left_anti").join(bb, "path_id").groupBy("path_id", "seq").agg(F.min(d).alias("d"))
+    bb = b.withColumn("y", F.floor(F.col("lat1") / deg)).withColumn("x", F.floor(F.col("lon1") / _bands(F.col("y"), deg)))
+    around = F.explode(F.sequence(F.floor(F.col("lat0") / deg) - 1, F.floor(F.col("lat0") / deg) + 1)).alias("y")
+    at = F.floor(F.col("lon0") / _bands(F.col("y"), deg))
+    left = aa.select("*", around).select("*", F.explode(F.sequence(at - 1, at + 1)).alias("x"))
+    close = checkpointed(left.join(bb, ["path_id", "x", "y"]).groupBy("path_id", "seq").agg(F.min(d).alias("d")).filter(F.col("d") <= reach_m))
+    lost = aa.join(close, ["path_id", "seq"], "left_anti")
+    bins = bb.groupBy("path_id", "x", "y").agg(F.first("lon1").alias("lon1"), F.first("lat1").alias("lat1"))
+    # a bin's points are no farther from one another than the diagonal of the bin
+    spread = 1.5 * reach_m * F.greatest(F.lit(1.0), F.cos(F.radians(F.least(F.abs("y"), F.abs(F.col("y") + 1)) * deg)) * _bands(F.col("y"), deg) / deg)
+    bounds = lost.join(bins, "path_id").select("path_id", "seq", "lon0", "lat0", "x", "y", (d - spread).alias("least"), d.alias("most"))
+    may = bounds.withColumn("bound", F.min("most").over(Window.partitionBy("path_id", "seq"))).filter("least <= bound")
+    far = may.join(bb, ["path_id", "x", "y"]).groupBy("path_id", "seq").agg(F.min(d).alias("d"))
     return close.unionByName(far)
 
 
 def similarity(predicted: DataFrame, real: DataFrame, step_m: float = 100.0, stride: int = 2) -> DataFrame:
     """path_id, hausdorff_m (both ways, over every stride-th point), mean_distance_m and overlap shares (predicted to real)."""
-    p, r = densify(predicted, step_m), densify(real, step_m)
+    p, r = checkpointed(densify(predicted, step_m)), checkpointed(densify(real, step_m))
     every = lambda x: x.filter(F.col("seq") % stride == 0)
     there = nearest_m(every(p), every(r)).groupBy("path_id").agg(F.max("d").alias("there"))
     back = nearest_m(every(r), every(p)).groupBy("path_id").agg(F.max("d").alias("back"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,10 +23,44 @@ def look_up(cases: DataFrame, lines: DataFrame, key: str, longest: str) -> DataF
     return joined.select(*cases.columns, *(F.when(F.col("_hit") == 1, F.col(c)).otherwise(F.col(f"_longest.{c}")).alias(c) for c in names), F.col("_hit").isNull().alias("fell_back"))
 
 
+def _long(records: DataFrame, metrics: list[str]) -> DataFrame:
+    return records.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics)))).filter("v is not null and not isnan(v)")
+
+
+def percentiles(records: DataFrame, metrics: list[str], shares: list[float], accuracy: int = 50_000) -> DataFrame:
+    """metric, share, value: exact percentiles, interpolated between neighbours; nulls and NaN don't count.
+
+    A sketch brackets each percentile by a few ranks in accuracy; the values below the bracket are counted, those within
+    are grouped, and the rank is picked among them. No task holds all values of a metric, as an exact aggregate would.
+    """
+    long = _long(records, metrics)
+    width = 4 / accuracy
+    ends = [F.lit(min(1.0, max(0.0, s + d))) for s in shares for d in (-width, width)]
+    sketch = long.groupBy("metric").agg(F.percentile_approx("v", F.array(*ends), F.lit(accuracy)).alias("q"), F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    rows = F.array(*(F.struct(F.lit(s).alias("share"), (F.lit(s) * (F.col("n") - 1)).alias("rank"), (F.col("q")[2 * k] if s > width else F.col("least")).alias("low"), (F.col("q")[2 * k + 1] if s < 1 - width else F.col("most")).alias("high")) for k, s in enumerate(shares)))
+    brackets = sketch.select("metric", F.inline(rows))
+    key = ["metric", "share"]
+    met = long.join(F.broadcast(brackets), "metric")  # a row for each metric and share
+    below = met.groupBy(*key).agg(F.count_if(F.col("v") < F.col("low")).alias("below"), F.min(F.when(F.col("v") > F.col("high"), F.col("v"))).alias("next"))
+    inside = met.filter("v >= low and v <= high").groupBy(*key, "rank", "v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*key).orderBy("v"))
+    placed = inside.join(F.broadcast(below), key).withColumn("last", F.col("below") + upto - 1).withColumn("first", F.col("last") - F.col("c") + 1)
+    at = lambda r: F.max(F.when((F.col("first") <= r) & (F.col("last") >= r), F.col("v")))
+    picked = placed.groupBy(*key, "rank", "next").agg(at(F.floor("rank")).alias("lower"), at(F.ceil("rank")).alias("upper")).withColumn("upper", F.coalesce("upper", "next"))
+    return picked.select(*key, (F.col("lower") + (F.col("upper") - F.col("lower")) * (F.col("rank") - F.floor("rank"))).alias("value"))
+
+
 def summary(records: DataFrame, metrics: list[str]) -> DataFrame:
     """metric, n, least, mean, median, most."""
-    long = records.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))))
-    return long.groupBy("metric").agg(F.count("v").alias("n"), F.min("v").alias("least"), F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"), F.max("v").alias("most"))
+    out = _long(records, metrics).groupBy("metric").agg(F.count("v").alias("n"), F.min("v").alias("least"), F.avg("v").alias("mean"), F.max("v").alias("most"))
+    median = percentiles(records, metrics, [0.5]).select("metric", F.col("value").alias("median"))
+    return out.join(median, "metric", "left").select("metric", "n", "least", "mean", "median", "most")
+
+
+def best_of(records: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """For each key the row with the least value; of ties the least row."""
+    rest = [c for c in records.columns if c not in keys]
+    return records.groupBy(*keys).agg(F.min(F.struct(F.col(value).alias("_v"), *rest)).alias("_m")).select(*keys, *(F.col(f"_m.{c}").alias(c) for c in rest))
 
 
 def by_algorithm(records: DataFrame, case: str, algorithm: str, metric: str) -> DataFrame:
@@ -71,6 +105,7 @@ def two_sided_p(t: float, n: int) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def _p_value(t: pd.Series, n: pd.Series) -> pd.Series:
+    # one value for each group of the report
     return pd.Series([None if x is None or x != x else two_sided_p(x, int(k)) for x, k in zip(t, n, strict=True)], dtype="float64")
 
 
@@ -98,3 +133,32 @@ def nested_checks(checked: DataFrame) -> DataFrame:
 def slug(name: Column) -> Column:
     known = F.create_map(F.lit("A*"), F.lit("astar"), F.lit("IPSO-SA"), F.lit("ipso-sa"), F.lit("DBO"), F.lit("dbo"))
     return F.coalesce(known[name], F.replace(F.lower(name), F.lit(" "), F.lit("-")))
+
+
+def convergence_report(curves: DataFrame) -> DataFrame:
+    """path_id, algorithm, seed, iterations, best_fitness, curve of (path_id, algorithm, seed, iteration, fitness)."""
+    curve = F.transform(F.array_sort(F.collect_list(F.struct("iteration", "fitness"))), lambda x: x["fitness"])
+    return curves.groupBy("path_id", "algorithm", "seed").agg(F.count("*").alias("iterations"), F.min("fitness").alias("best_fitness"), curve.alias("curve"))
+
+
+def without_columns(records: DataFrame, *names: str) -> DataFrame:
+    """Records as a report saves them: without the coordinates, say. A name that isn't there is ignored."""
+    return records.drop(*names)
+
+
+def validation_summary(records: DataFrame, metrics: list[str], passed: str = "quality_passed") -> DataFrame:
+    """One row of records: n, n_passed, and the mean and the median of each metric."""
+    head = records.agg(F.count("*").alias("n"), F.count_if(passed).alias("n_passed"), *(F.avg(m).alias(f"{m}_mean") for m in metrics))
+    medians = percentiles(records, metrics, [0.5]).groupBy().pivot("metric", metrics).agg(F.first("value"))
+    return head.crossJoin(F.broadcast(medians.select(*(F.col(m).alias(f"{m}_median") for m in metrics))))  # one row each
+
+
+def case_comparison(records: DataFrame, case: str, algorithm: str, values: list[str]) -> DataFrame:
+    """case, comparison: the values of each algorithm as a JSON map by its slug."""
+    body = F.map_from_entries(F.array_sort(F.collect_list(F.struct(slug(F.col(algorithm)).alias("a"), F.struct(*values).alias("v")))))
+    return records.groupBy(case).agg(F.to_json(body).alias("comparison"))
+
+
+def write_json(records: DataFrame, path: str) -> None:
+    """A JSON object a line: statistics, quality, convergence, summaries and comparisons alike."""
+    records.write.mode("overwrite").json(path)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.config import LAND_USE
 from gridloom.grid import Grid
+from gridloom.operators.focal import gaussian
 
 
 def classify(*texts: Column) -> Column:
@@ -50,25 +53,71 @@ def dilate(cells: DataFrame, grid: Grid, k: int) -> DataFrame:
     return out.filter(F.col("row").between(0, grid.height - 1) & F.col("col").between(0, grid.width - 1)).distinct()
 
 
-def distance_field(grid: Grid, burned: DataFrame, limit: float) -> DataFrame:
-    """row, col, dist of every cell: metres to the nearest burned cell (row, col), limit at most. Two passes: windows find each column's nearest burned row above and below; then each such cell offers its distance to the columns within the limit, and each cell takes the least. The second pass is a join on the row over at most 2 * limit / cell + 1 columns."""
-    from pyspark.sql import Window
-
-    reach = int(limit / grid.cell)
+def distance_field(grid: Grid, burned: DataFrame, limit: float = 5000.0) -> DataFrame:
+    """row, col, dist of every cell: metres to the nearest burned cell (row, col), limit at most. Two passes: windows find each column's nearest burned row above and below; then each row, in one task, takes the least of its cells' distances and their steps aside. No row is multiplied, and each axis is exchanged once."""
+    reach, cell = int(limit / grid.cell), grid.cell
     cells = grid.df.select("row", "col").join(burned.select("row", "col", F.lit(1).alias("hit")).distinct(), ["row", "col"], "left")
     at = F.when(F.col("hit") == 1, F.col("row"))
     up = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
     column = cells.select("row", "col", F.least(F.col("row") - F.last(at, ignorenulls=True).over(up), F.first(at, ignorenulls=True).over(down) - F.col("row")).alias("dy"))
-    offers = column.filter(F.col("dy") <= reach).select("row", F.explode(F.sequence(F.greatest(F.col("col") - reach, F.lit(0)), F.least(F.col("col") + reach, F.lit(grid.width - 1)))).alias("to"), "col", "dy")
-    nearest = offers.groupBy("row", F.col("to").alias("col")).agg(F.min((F.col("col") - F.col("to")) * (F.col("col") - F.col("to")) + F.col("dy") * F.col("dy")).alias("d2"))
-    return grid.df.select("row", "col").join(nearest, ["row", "col"], "left").select("row", "col", F.least(F.lit(float(limit)), F.sqrt(F.coalesce(F.col("d2").cast("double"), F.lit(1e18))) * grid.cell).alias("dist"))
+
+    def nearest(line: pa.Table) -> pa.Table:
+        col, dy = line["col"].to_numpy(), line["dy"].fill_null(reach + 1).to_numpy().astype(np.int64)
+        n = int(col.max()) + 1
+        own = np.full(n, (reach + 1) ** 2)
+        own[col] = np.minimum(dy, reach + 1) ** 2
+        best = own.copy()
+        for step in range(1, min(reach, n - 1) + 1):
+            np.minimum(best[step:], own[:-step] + step * step, out=best[step:])
+            np.minimum(best[:-step], own[step:] + step * step, out=best[:-step])
+        return pa.table({"row": line["row"], "col": line["col"], "dist": np.minimum(float(limit), np.sqrt(best[col]) * cell)})
+
+    return column.groupBy("row").applyInArrow(nearest, "row int, col int, dist double")
+
+
+def rasterize_polygons(grid: Grid, rings: DataFrame) -> DataFrame:
+    """Distinct (row, col) that polygons touch, of rings (ring_id, points array<struct<lon, lat>>), closed: cells whose centre is inside by the even-odd rule, and cells that the outline touches."""
+    step = F.transform(F.sequence(F.lit(0), F.size("points") - 2), lambda i: F.struct(F.col("points")[i].alias("a"), F.col("points")[i + 1].alias("b")))
+    edges = rings.filter("size(points) > 1").select("ring_id", F.explode(step).alias("e")).select("ring_id", F.col("e.a.lon").alias("lon0"), F.col("e.a.lat").alias("lat0"), F.col("e.b.lon").alias("lon1"), F.col("e.b.lat").alias("lat1"))
+    x = lambda lon: (F.col(lon) - grid.west) / grid.step
+    y = lambda lat: (grid.north - F.col(lat)) / grid.step
+    e = edges.select("ring_id", x("lon0").alias("x0"), y("lat0").alias("y0"), x("lon1").alias("x1"), y("lat1").alias("y1")).filter("y0 <> y1")
+    # centres of rows, row + 0.5, from the upper end up to before the lower one
+    low, high = F.greatest(F.ceil(F.least("y0", "y1") - 0.5), F.lit(0)), F.least(F.ceil(F.greatest("y0", "y1") - 0.5) - 1, F.lit(grid.height - 1))
+    crossings = e.withColumn("low", low.cast("int")).withColumn("high", high.cast("int")).filter("low <= high").withColumn("row", F.explode(F.sequence("low", "high")))
+    at = F.col("x0") + (F.col("row") + 0.5 - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
+    n = F.row_number().over(Window.partitionBy("ring_id", "row").orderBy("x"))
+    spans = crossings.select("ring_id", "row", at.alias("x")).withColumn("k", F.floor((n - 1) / 2)).groupBy("ring_id", "row", "k").agg(F.min("x").alias("from"), F.max("x").alias("to"))
+    left, right = F.greatest(F.ceil(F.col("from") - 0.5), F.lit(0)), F.least(F.ceil(F.col("to") - 0.5) - 1, F.lit(grid.width - 1))
+    inside = spans.withColumn("left", left.cast("int")).withColumn("right", right.cast("int")).filter("left <= right").select("row", F.explode(F.sequence("left", "right")).alias("col"))
+    return inside.unionByName(rasterize_lines(grid, edges)).distinct()
 
 
 def building_density(grid: Grid, burned: DataFrame) -> DataFrame:
     """row, col, density: blurred burned cells for each square kilometre."""
-    from gridloom.operators.focal import gaussian
-
     cells = grid.df.select("row", "col").join(burned.select("row", "col", F.lit(1.0).alias("hit")).distinct(), ["row", "col"], "left").withColumn("hit", F.coalesce("hit", F.lit(0.0)))
     sigma = max(2, int(500 / grid.cell))
     return gaussian(grid.with_df(cells), "hit", sigma, "density").select("row", "col", (F.col("density") / (grid.cell / 1000) ** 2).alias("density"))
+
+
+def align(grid: Grid, layers: list[str], cell: float = 90.0, lines: dict[str, tuple[DataFrame, float]] | None = None, polygons: dict[str, DataFrame] | None = None, landuse: DataFrame | None = None, buildings: DataFrame | None = None) -> Grid:
+    """All layers on one grid with cells of another size. layers: those of grid, resampled in one join. lines: segments, by the name of the field of distances to them, and its limit in metres. polygons: rings (ring_id, points), by the name of a layer that is 1 where they touch. landuse: rings with a code, of which the highest counts. buildings: rings, as a density. Fields share the key (row, col), so their joins share its exchange."""
+    factor = cell / grid.cell
+    out = grid.coarser(factor, grid.df)
+    out = out.with_df(grid.resample(layers, factor, out.height, out.width))
+    df, key = out.df, ["row", "col"]
+    for name, (segments, limit) in (lines or {}).items():
+        df = df.join(distance_field(out, rasterize_lines(out, segments), limit).withColumnRenamed("dist", name), key, "left")
+    for name, rings in (polygons or {}).items():
+        df = df.join(rasterize_polygons(out, rings).withColumn(name, F.lit(1)), key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    if landuse is not None:
+        codes = [r[0] for r in landuse.select("code").distinct().collect()]  # at most eight
+        burned = [rasterize_polygons(out, landuse.filter(F.col("code") == c)).withColumn("code", F.lit(c)) for c in codes]
+        cells = burned[0] if burned else df.select(*key, F.lit(8).alias("code")).limit(0)
+        for x in burned[1:]:
+            cells = cells.unionByName(x)
+        df = df.join(rasterize_max(cells, out).withColumnRenamed("code", "landuse"), key, "left")
+    if buildings is not None:
+        df = df.join(building_density(out, rasterize_polygons(out, buildings)), key, "left")
+    return out.with_df(df)

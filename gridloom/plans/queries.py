@@ -1,7 +1,8 @@
 """The engine's operators over the driver's tables.
 
 The tables hold no rasters or routes, so deterministic stand-ins serve: ``embeddings`` is a dense grid of elevations
-(z = 1000 v, cells of 30 m), and each user's ``events`` in time order are a path.
+(z = 1000 v, cells of 30 m), and each user's ``events`` in time order are a path: one that jumps about the whole region
+(_paths), or a track with a point every 200 m or so (_tracks), which is what sampling and comparison take at their own steps.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from gridloom.config import BANDS, V2
 from gridloom.grid import Grid
 from gridloom.operators import cost, focal, gate, model, paths, report, risk, search, vector
-from gridloom.session import r6
+from gridloom.session import checkpointed, r6
 from gridloom.sources import osm
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,12 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("user_id").alias("path_id"), seq.alias("seq"), (120 + (F.col("event_id") % 2000) / 1000.0).alias("lon"), (21.9 + 3.5 * F.col("value") / 500).alias("lat"), F.col("value").alias("z"), "event_id")
 
 
+def _tracks(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.select(F.col("user_id").alias("path_id"), seq.alias("seq"), (120 + seq * 0.002 + (F.col("event_id") % 11) * 0.0002).alias("lon"), (22 + F.col("user_id") * 0.01 + 0.004 * F.col("value") / 500).alias("lat"), F.col("value").alias("z"))
+
+
 def _cells(df: DataFrame, *values: str) -> DataFrame:
     return df.select("row", "col", *(r6(v).alias(v) for v in values))
 
@@ -134,7 +141,7 @@ def mask_dilate(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def distance_field(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(vector.distance_field(_grid(spark, d), _burned(spark, d), 300.0), "dist")
+    return _cells(vector.distance_field(_grid(spark, d), _burned(spark, d)), "dist")
 
 
 @query
@@ -188,7 +195,7 @@ def bilinear_sample(spark: SparkSession, d: str) -> DataFrame:
 def feature_stack(spark: SparkSession, d: str) -> DataFrame:
     g = _coded(spark, d)
     rows = cost.feature_stack(focal.aspect(g).withColumn("slope", focal.slope_of(F.col("dx"), F.col("dy"))))
-    return rows.groupBy("landuse").agg(F.count("*").alias("n"), *(r6(F.avg(b)).alias(f"{b}_mean") for b in BANDS if b != "landuse"))
+    return rows.groupBy("landuse_code").agg(F.count("*").alias("n"), *(r6(F.avg(b)).alias(f"{b}_mean") for b in BANDS if b != "landuse_code"))
 
 
 def _labelled(spark: SparkSession, d: str) -> Grid:
@@ -219,13 +226,13 @@ def path_length(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def path_dense_sample(spark: SparkSession, d: str) -> DataFrame:
-    dense = paths.densify(_paths(spark, d), 5000.0)
+    dense = paths.densify(_tracks(spark, d))
     return dense.groupBy("path_id").agg(F.count("*").alias("n"), r6(F.avg("lon")).alias("lon"), r6(F.avg("lat")).alias("lat"), F.max("seq").alias("last"))
 
 
 @query
 def path_resample(spark: SparkSession, d: str) -> DataFrame:
-    even = paths.resample(_paths(spark, d), 10_000.0)
+    even = paths.resample(_tracks(spark, d))
     return even.select("path_id", F.col("seq").cast("int").alias("seq"), F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
 
 
@@ -246,9 +253,24 @@ def path_monotone_climb(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def path_similarity(spark: SparkSession, d: str) -> DataFrame:
-    real = _paths(spark, d).select("path_id", "seq", "lon", "lat")
-    both = paths.similarity(paths.moving_average(real), real, step_m=50_000.0)
-    return both.select("path_id", F.round("hausdorff_m", 3).alias("hausdorff_m"), F.round("mean_distance_m", 3).alias("mean_distance_m"), r6("overlap_2km_pct").alias("overlap_2km_pct"))
+    both = _similar(spark, d)
+    return both.select("path_id", F.round("hausdorff_m", 3).alias("hausdorff_m"), F.round("mean_distance_m", 3).alias("mean_distance_m"), *(r6(c).alias(c) for c in ("overlap_500m_pct", "overlap_1km_pct", "overlap_2km_pct")))
+
+
+def _similar(spark: SparkSession, d: str) -> DataFrame:
+    """Each track against the next user's, some kilometre away, thinned."""
+    real = _tracks(spark, d).select("path_id", "seq", "lon", "lat")
+    other = real.filter("seq % 3 = 1").withColumn("path_id", F.col("path_id") - 1)
+    return paths.similarity(paths.moving_average(other.join(real.select("path_id").distinct(), "path_id", "left_semi")), real)
+
+
+@query
+def acceptable_v1(spark: SparkSession, d: str) -> DataFrame:
+    real = paths.lengths(_tracks(spark, d)).select("path_id", F.col("length_km").alias("real_km"))
+    other = paths.lengths(_tracks(spark, d).filter("seq % 3 = 1")).select((F.col("path_id") - 1).alias("path_id"), F.col("length_km").alias("predicted_km"))
+    judged = gate.acceptable_v1(_similar(spark, d), real.join(other, "path_id"))
+    overall = gate.overall_v1(judged).select(F.lit(-1).cast("long").alias("path_id"), F.lit(None).cast("double").alias("length_error_pct"), F.col("overall").alias("acceptable"))
+    return judged.select("path_id", F.round("length_error_pct", 4).alias("length_error_pct"), "acceptable").unionByName(overall)
 
 
 @query
@@ -282,7 +304,7 @@ def line_progress(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rdp_simplify(spark: SparkSession, d: str) -> DataFrame:
-    return paths.simplify(_paths(spark, d).withColumn("seq", F.col("seq").cast("long")), 20_000.0)
+    return paths.simplify(_tracks(spark, d).withColumn("seq", F.col("seq").cast("long"))).select("path_id", "seq", r6("lon").alias("lon"), r6("lat").alias("lat"))
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
@@ -291,7 +313,7 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 
 def _gate(spark: SparkSession, d: str) -> DataFrame:
     s = _samples(spark, d)
-    return gate.checks(s, s.agg(F.percentile("cost", F.lit(0.5)).alias("median")), V2)
+    return gate.checks(s, gate.surface_facts(s), V2)
 
 
 @query
@@ -334,12 +356,14 @@ def rollup_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_quantity").alias("a"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_tax") * 300).alias("b"))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", F.col("l_quantity").alias("a"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_tax") * 300).alias("b"))
 
 
 @query
 def paired_t(spark: SparkSession, d: str) -> DataFrame:
-    return report.paired_t(_pairs(spark, d), "a", "b", ["l_returnflag", "l_linestatus"]).select("l_returnflag", "l_linestatus", "n", F.round("t", 4).alias("t"))
+    few = _pairs(spark, d).filter("l_orderkey % 200 = 0").withColumn("a", F.col("a") - 13).withColumn("l_linestatus", F.concat("l_linestatus", F.lit(" few")))
+    rows = report.paired_t(_pairs(spark, d).unionByName(few).drop("l_orderkey"), "a", "b", ["l_returnflag", "l_linestatus"])
+    return rows.select("l_returnflag", "l_linestatus", "n", F.round("t", 4).alias("t"), F.round("p", 5).alias("p"), "significance")
 
 
 @query
@@ -350,9 +374,11 @@ def report_union(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def osm_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Ways made of orders: the priority and status are tags, the line items' keys are vertices."""
+    """Ways made of orders: the priority, status and customer are tags, the line items' keys are vertices; those of every other order close a ring."""
     points = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda x: F.struct((x["l_suppkey"] % 10 / 10).alias("lat"), (x["l_partkey"] % 100 / 100).alias("lon"))).alias("geometry"))
-    tag = F.create_map(F.lit("highway"), F.when(F.col("o_orderpriority") == "1-URGENT", "primary").otherwise("path"), F.lit("waterway"), F.when(F.col("o_orderstatus") == "F", "river").otherwise("ditch"), F.lit("landuse"), F.when(F.col("o_custkey") % 2 == 0, "farmland"))
+    tag = F.create_map(F.lit("highway"), F.when(F.col("o_orderpriority") == "1-URGENT", "primary").otherwise("path"), F.lit("waterway"), F.when(F.col("o_orderstatus") == "F", "river").otherwise("ditch"), F.lit("landuse"), F.when(F.col("o_custkey") % 2 == 0, "farmland"), F.lit("leisure"), F.when(F.col("o_custkey") % 3 == 0, "nature_reserve"), F.lit("building"), F.when(F.col("o_custkey") % 5 == 0, "yes"), F.lit("railway"), F.when(F.col("o_custkey") % 7 == 0, "rail").otherwise("tram"), F.lit("aeroway"), F.when(F.col("o_custkey") % 11 == 0, "runway"))
+    ring = F.when(F.col("id") % 2 == 0, F.concat("geometry", F.slice("geometry", 1, 1))).otherwise(F.col("geometry"))
+    points = points.withColumn("geometry", ring)
     rows = osm.ways(points.join(_t(spark, d, "orders"), F.col("id") == F.col("o_orderkey")).select(F.lit("way").alias("type"), "id", F.map_filter(tag, lambda _, v: v.isNotNull()).alias("tags"), "geometry"))
     counts = [osm.source(rows, k).agg(F.lit(k).alias("source"), F.count("*").alias("n"), F.coalesce(F.sum(F.size("coords")), F.lit(0)).cast("long").alias("vertices")) for k in osm.SOURCES]
     out = counts[0]
@@ -380,7 +406,7 @@ def endpoint_snap(spark: SparkSession, d: str) -> DataFrame:
     g = _grid(spark, d)
     g = g.with_df(g.df.withColumn("cost", F.when(F.col("z") < 100, F.col("z") + 1000)))
     points = _t(spark, d, "events").select(F.col("event_id").alias("path_id"), (F.col("event_id") % g.height).cast("int").alias("row"), (F.col("user_id") % 64).cast("int").alias("col"))
-    return search.snap(points, g, 5)
+    return search.snap(points, g)
 
 
 def _routes(spark: SparkSession, d: str, *algorithms: str) -> DataFrame:
@@ -398,7 +424,14 @@ def _surface(spark: SparkSession, d: str) -> Grid:
 
 @query
 def astar_routes(spark: SparkSession, d: str) -> DataFrame:
-    return search.plan(_surface(spark, d), _routes(spark, d, "astar"), V2)
+    """Each route's steps and cost; a route without a way has a status only."""
+    routes = _routes(spark, d, "astar")
+    found = checkpointed(search.plan(_surface(spark, d), routes, V2))
+    w = Window.partitionBy("path_id").orderBy("seq")
+    slanted = (F.lag("row").over(w) != F.col("row")) & (F.lag("col").over(w) != F.col("col"))
+    moves = found.withColumn("step", F.when(F.col("seq") > 0, F.col("cost") * F.when(slanted, V2.diagonal).otherwise(1.0)).otherwise(0.0))
+    totals = moves.groupBy("path_id").agg(r6(F.sum("step")).alias("total"))
+    return search.missed(routes, found).select("path_id", "status").join(totals, "path_id", "left")
 
 
 @query
@@ -411,10 +444,10 @@ def swarm_routes(spark: SparkSession, d: str) -> DataFrame:
 @query
 def rf_surface(spark: SparkSession, d: str) -> DataFrame:
     g = _labelled(spark, d)
-    rows = model.valid(cost.pseudo_label(g.df, V2))
-    train, _ = model.split(rows)
-    fitted = model.train_forest(train, V2, bands=["z", "slope", "dist_line", "dist_water"], trees=20, depth=8)
-    return model.predict(fitted, g.df)
+    labels = cost.pseudo_label(g.df, V2).select("row", "col", "label", "hard_mask")
+    rows = checkpointed(cost.feature_stack(focal.terrain(g)).join(labels, ["row", "col"]))
+    train, _ = model.split(model.valid(rows))
+    return model.predict(model.train_forest(train, V2), rows)
 
 
 @query
@@ -429,3 +462,140 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     from gridloom.streaming.events import sessions
 
     return sessions(_t(spark, d, "events"))
+
+
+@query
+def terrain_factors(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(focal.terrain(_grid(spark, d)), "slope", "aspect_cos", "aspect_sin", "tri", "tpi", "curvature_profile", "curvature_plan", "roughness")
+
+
+@query
+def nearest_sample(spark: SparkSession, d: str) -> DataFrame:
+    g = _grid(spark, d)
+    at = Grid(g.df, g.height, g.width, step=0.032)
+    return at.sample_nearest(_paths(spark, d).select("event_id", "lon", "lat")).select("event_id", "row", "col", r6("z").alias("z"))
+
+
+@query
+def random_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A sample by definition: about 10,000 cells by a hash of their place."""
+    return model.sample(_grid(spark, d).df, 10_000).select("row", "col")
+
+
+@query
+def channel_normalisation(spark: SparkSession, d: str) -> DataFrame:
+    rows = focal.slope(_grid(spark, d)).select("row", "col", "z", "slope")
+    return _cells(model.channel_normalised(rows, ["z", "slope"]), "z", "slope")
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    coords = F.transform(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))), lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat")))
+    return _paths(spark, d).groupBy("path_id", F.floor((F.col("seq") - 1) / 3).alias("k")).agg(coords.alias("coords")).select((F.col("path_id") * 100_000 + F.col("k")).alias("feature_id"), "coords")
+
+
+@query
+def lines_touching_box(spark: SparkSession, d: str) -> DataFrame:
+    return osm.touches_box(_lines(spark, d), 120.5, 23.0, 120.8, 23.5).select("feature_id", F.size("coords").alias("n"))
+
+
+@query
+def lines_clipped(spark: SparkSession, d: str) -> DataFrame:
+    parts = osm.clip_lines(_lines(spark, d), 120.5, 22.5, 121.5, 24.5)
+    lon = lambda f: r6(f(F.transform("coords", lambda p: p["lon"])))
+    return parts.select("feature_id", "part", F.size("coords").alias("n"), lon(F.array_min).alias("west"), lon(F.array_max).alias("east"))
+
+
+@query
+def quality_reports(spark: SparkSession, d: str) -> DataFrame:
+    rows = report.nested_checks(_gate(spark, d))
+    names = ("slope", "water", "protected", "curvature", "sinuosity", "elevation", "cost")
+    return rows.select("path_id", *(F.get_json_object("report", f"$.{c}.passed").alias(c) for c in names), F.round(F.get_json_object("report", "$.slope.value").cast("double"), 4).alias("slope_value"))
+
+
+@query
+def grid_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    rows = report.percentiles(_grid(spark, d).df, ["z"], [0.01, 0.02, 0.05, 0.5, 0.98])
+    return rows.select("metric", "share", r6("value").alias("value"))
+
+
+@query
+def best_by_group(spark: SparkSession, d: str) -> DataFrame:
+    items = _t(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice", "l_orderkey", "l_linenumber")
+    return report.best_of(items, ["l_returnflag", "l_linestatus"], "l_extendedprice")
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders")
+    algorithm = F.element_at(F.array(F.lit("A*"), F.lit("IPSO-SA"), F.lit("DBO")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return o.groupBy((F.col("o_custkey") % 10).alias("case_id"), algorithm.alias("algorithm")).agg(F.round(F.max("o_totalprice"), 2).alias("hausdorff_m"), F.count("*").alias("n"), (F.count_if(F.col("o_totalprice") > 100_000) > 50).alias("quality_passed"))
+
+
+@query
+def case_comparison(spark: SparkSession, d: str) -> DataFrame:
+    rows = report.case_comparison(_records(spark, d), "case_id", "algorithm", ["hausdorff_m", "n"])
+    at = lambda a: F.get_json_object("comparison", f"$['{a}'].n").cast("long").alias(a.replace("-", "_"))
+    return rows.select("case_id", at("astar"), at("ipso-sa"), at("dbo"))
+
+
+@query
+def validation_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = report.validation_summary(report.without_columns(_records(spark, d), "coords"), ["hausdorff_m", "n"])
+    return rows.select("n", "n_passed", *(F.round(c, 4).alias(c) for c in ("hausdorff_m_mean", "n_mean", "hausdorff_m_median", "n_median")))
+
+
+@query
+def waypoint_repair(spark: SparkSession, d: str) -> DataFrame:
+    g = _grid(spark, d)
+    g = g.with_df(g.df.withColumn("cost", F.when(F.col("z") < 100, F.col("z") + 1000)))
+    points = _t(spark, d, "events").select(F.col("user_id").alias("path_id"), F.col("event_id").alias("seq"), (F.col("event_id") % (g.height + 3)).cast("int").alias("row"), (F.col("user_id") % 64).cast("int").alias("col"))
+    return search.repair_waypoints(points, g)
+
+
+def _masked_routes(spark: SparkSession, d: str) -> tuple[Grid, DataFrame]:
+    g = _surface(spark, d)
+    g = g.with_df(g.df.withColumn("hard_mask", F.col("cost").isNotNull().cast("int")))
+    return g, checkpointed(search.plan(g, _routes(spark, d, "astar"), V2)).select("path_id", "seq", "row", "col")
+
+
+@query
+def smooth_routes(spark: SparkSession, d: str) -> DataFrame:
+    g, routes = _masked_routes(spark, d)
+    return search.smooth(routes, g, V2)
+
+
+@query
+def smooth_swarm_routes(spark: SparkSession, d: str) -> DataFrame:
+    g, routes = _masked_routes(spark, d)
+    return search.smooth(routes, g, V2, repaired=False, least=3)
+
+
+@query
+def align_layers(spark: SparkSession, d: str) -> DataFrame:
+    """The elevation and its slope on cells of 90 m, and how far they are from the cells of the tracks."""
+    g = _grid(spark, d)
+    steps = paths.with_next(_tracks(spark, d).filter("path_id < 30")).filter("lon1 is not null").select(F.col("lon").alias("lon0"), (F.col("lat") + 3.0).alias("lat0"), "lon1", (F.col("lat1") + 3.0).alias("lat1"))
+    out = vector.align(g.with_df(focal.slope(g)), ["z", "slope"], lines={"dist_line": (steps, 5000.0)})
+    return _cells(out.df, "z", "slope", "dist_line")
+
+
+@query
+def polygons_raster(spark: SparkSession, d: str) -> DataFrame:
+    """Triangles of customers; how many cells of each row they touch."""
+    point = lambda a, b: F.struct((120.00037 + (F.col("c_custkey") * a % 1000) / 500.0).alias("lon"), (22.00041 + (F.col("c_custkey") * b % 1000) / 300.0).alias("lat"))
+    corners = F.array(point(7, 13), point(11, 5), point(3, 17), point(7, 13))
+    rings = _t(spark, d, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").alias("ring_id"), corners.alias("points"))
+    g = Grid(rings, 70, 40, west=120.0, north=25.4, step=0.05)
+    return vector.rasterize_polygons(g, rings).groupBy("row").agg(F.count("*").alias("cells"), F.min("col").alias("first"), F.max("col").alias("last"))
+
+
+@query
+def opened_cells(spark: SparkSession, d: str) -> DataFrame:
+    return search.opened_cells(_surface(spark, d), _routes(spark, d, "astar").drop("algorithm"), V2)
+
+
+@query
+def convergence_curves(spark: SparkSession, d: str) -> DataFrame:
+    from dataclasses import replace
+
+    few = replace(V2, iterations=30, beetle_iterations=30, particles=12, beetles=12)
+    return report.convergence_report(search.convergence(_surface(spark, d), _routes(spark, d, "ipso_sa", "dbo"), few))

@@ -109,7 +109,7 @@ def test_label_and_masks(spark):
     assert label[0] == pytest.approx(0.143915, abs=1e-6) and label[1] is None
     assert {r.col: r.soft_mask for r in cost.soft_mask(df, V2).collect()} == {0: 0.1, 1: 0.1, 2: 0.2, 3: 0.2}
     stack = {r.col: r for r in cost.feature_stack(df).collect()}
-    assert stack[3].slope == 0 and stack[0].typhoon == 0 and len(stack[0]) == 20
+    assert stack[3].slope == 0 and stack[0].typhoon_risk == 0 and len(stack[0]) == 20
 
 
 def line(spark, points, path=1):
