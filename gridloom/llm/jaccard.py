@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by a prefix filter over bundles of sets: all links of 75 % and more, as connected components.
+"""N-gram Jaccard join over a matrix of tokens and groups of sets: all links of 75 % and more, as connected components.
 
 Level one. Each block of documents sends the shingles of its different sets to the shards of the token space. A shard
 counts for each document the tokens that occur twice, in documents of any block; no union of a block is stored. A
@@ -16,8 +16,9 @@ written. Bundles over LARGE sets are several. Tokens that the very same sets hav
 column of the matrix.
 
 Two texts with the same set are one node, so copies are never paired. Defined cases: null and empty texts have no
-shingles and link with nothing; repeated rows and ids are rows of their own; a null doc_id counts for no minimum. Other
-columns are not read.
+shingles and link with nothing; repeated rows and ids are rows of their own; a null doc_id counts for no minimum; a
+very long text is one piece of its block (exchange.py says what it takes) and its set one array in a row. Other columns,
+also those named like results, are not read. Words and shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import exchange, tokens
@@ -35,8 +36,8 @@ from gridloom.llm.components import components
 
 #: Sets that others with the same smallest hash are compared with at once. What they miss, level two finds.
 LEADERS = 16
-#: Sets beyond which the join that fetches their texts shuffles the texts: the bound on what is broadcast, some 16 MB.
-BROADCAST_SETS = 1_000_000
+#: Sets beyond which the join that fetches their texts shuffles the texts: the bound on what is broadcast, some 20 MB as built.
+BROADCAST_SETS = 200_000
 #: Sets with the same smallest hash beyond which they are dealt to more than one task.
 LARGE = 2_000
 
@@ -80,20 +81,25 @@ def _reply(asked: list[exchange.Arrays]) -> Iterator[exchange.Arrays]:
         yield [live, *head]
 
 
-def _bounds(table: pa.Table | None, got: dict[int, list[exchange.Arrays]]) -> pa.RecordBatch:
-    (head,) = [x[1:] for x in got[0] if len(x) > 1]
-    ids, null, sizes, signs, first = head
-    live = np.zeros(len(ids), np.int64)
-    for x in got[0]:
-        live[: len(x[0])] += x[0]
-    return pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array(sizes.astype(np.int64)), pa.array(signs.view(np.int64)), pa.array(live, mask=first == 0)], ["doc_id", "n_shingles", "sign", "live"])
+def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, pieces in exchange.met(batches):
+        for _, _, got in pieces:
+            (head,) = [x[1:] for x in got[0] if len(x) > 1]
+            ids, null, sizes, signs, first = head
+            live = np.zeros(len(ids), np.int64)
+            for x in got[0]:
+                live[: len(x[0])] += x[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block)), pa.array(ids, mask=null.astype(bool)), pa.array(sizes.astype(np.int64)), pa.array(signs.view(np.int64)), pa.array(live, mask=first == 0)], [x.split()[0] for x in BOUNDS.split(", ")])
+
+
+BOUNDS = "block long, doc_id long, n_shingles long, sign long, live long"
 
 
 def shingle_bounds(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, sign (of the set) and live, how many of the shingles may occur elsewhere; null where another document of the block has the same set."""
+    """BOUNDS of docs: block of documents, sign (of the set) and live, how many of the shingles may occur elsewhere; null where another document of the piece has the same set."""
     shards = exchange.shards_of(docs)
     asked = exchange.ask(docs, _questions(shards), 0)
-    return written(exchange.meet(exchange.answer(asked, shards, _reply), _bounds, "doc_id long, n_shingles long, sign long, live long"), "shingle-bounds")
+    return written(exchange.together(exchange.answer(asked, shards, _reply)).mapInArrow(_bounds, BOUNDS), "shingle-bounds")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,9 +142,14 @@ def _link_leaders(share: int):
     return run
 
 
+def _dealt(sets: DataFrame, key: str, to: str) -> DataFrame:
+    """sets with the number of the task, among those of its key, that a set is dealt to: one for each LARGE sets. The keys with more are counted first; AQE splits theirs in the join."""
+    counts = sets.groupBy(key).count().filter(F.col("count") > LARGE).select(key, F.ceil(F.col("count") / LARGE).alias("_ways"))
+    return sets.join(counts, key, "left").withColumn(to, F.pmod(F.xxhash64("sign", F.lit(key)), F.coalesce("_ways", F.lit(1)))).drop("_ways")
+
+
 def _similar(sets: DataFrame, key: str, share: int) -> DataFrame:
-    counts = sets.groupBy(key).count().filter(F.col("count") > LARGE).select(key, F.ceil(F.col("count") / LARGE).alias("ways"))
-    dealt = sets.join(counts, key, "left").select(F.col(key).alias("key"), F.pmod(F.xxhash64("sign", F.lit(key)), F.coalesce("ways", F.lit(1))).alias("salt"), "sign", "n", "tokens")
+    dealt = _dealt(sets, key, "salt").select(F.col(key).alias("key"), "salt", "sign", "n", "tokens")
     return dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "sign").mapInArrow(_link_leaders(share), "a long, b long")
 
 
@@ -213,23 +224,20 @@ def linked(docs: DataFrame, share: int = 75, stable: bool = False) -> DataFrame:
     few = open_.count() <= BROADCAST_SETS
     found = docs.join(F.broadcast(open_) if few else open_, docs["doc_id"].eqNullSafe(open_["rep"])).select("sign", "text").mapInArrow(_sets, "sign long, n long, low long, low2 long, tokens array<long>")
     sets = written(found.dropDuplicates(["sign"]), "shingle-sets")
-    del found
 
     edges = written(_similar(sets, "low", share).unionAll(_similar(sets, "low2", share)), "links")
     groups = components(edges)
     grouped = sets.select("sign", "n", "tokens").join(groups.select(F.col("node").alias("sign"), F.col("component").alias("found")), "sign", "left").withColumn("group", F.coalesce("found", "sign")).drop("found")
     # a set can only be linked to another group if three quarters of its tokens are in the unions of other groups
     every = grouped.select("sign", "n", "group", F.explode("tokens").alias("token"))
-    token = Window.partitionBy("token")
-    spread = every.select("sign", "n", "group", "token", F.min("group").over(token).alias("low"), F.max("group").over(token).alias("high"), F.count("*").over(token).alias("times"), F.bit_xor(F.xxhash64("sign")).over(token).alias("held"))
+    # a token that very many sets have is aggregated before the exchange, and AQE splits it in the join
+    facts = every.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("times"), F.bit_xor(F.xxhash64("sign")).alias("held")).filter("low <> high")
+    spread = every.join(facts, "token")
     # rare tokens first, so that a prefix has few partners; tokens that the same sets have stand together
     need = _need(F.col("n"), share)
-    outer = spread.filter("low <> high").groupBy("sign", "n", "group").agg(F.array_sort(F.collect_list(F.struct("times", "held", "token"))).alias("x")).filter(F.size("x") >= need)
+    outer = spread.groupBy("sign", "n", "group").agg(F.array_sort(F.collect_list(F.struct("times", "held", "token"))).alias("x")).filter(F.size("x") >= need)
     outer = outer.select("sign", "n", "group", F.transform("x", lambda x: x["token"]).alias("tokens"), F.transform(F.slice("x", F.lit(1), (F.size("x") - need + 1).cast("int")), lambda x: x["held"]).alias("prefix"))
-    bundle = F.array_min("tokens")
-    size = F.count("*").over(Window.partitionBy("bundle"))
-    outer = written(outer.withColumn("bundle", bundle).withColumn("part", F.pmod(F.xxhash64("sign"), F.ceil(size / LARGE))), "outer-tokens")
-    del every, spread, grouped, groups
+    outer = written(_dealt(written(outer.withColumn("bundle", F.array_min("tokens")), "outer-sets"), "bundle", "part"), "outer-tokens")
     # of the tokens that the same sets have, one stands for all; rest: how many of the set's tokens come from it on
     held = outer.select("sign", "n", "group", "bundle", "part", "prefix", F.size("tokens").alias("t"), F.explode(F.array_distinct("prefix")).alias("held"))
     held = held.select("sign", "n", "group", "bundle", "part", "held", (F.col("t") - F.array_position("prefix", F.col("held")) + 1).alias("rest"))
@@ -245,4 +253,7 @@ def linked(docs: DataFrame, share: int = 75, stable: bool = False) -> DataFrame:
     label = components(edges).join(nodes.select(F.col("sign").alias("node"), "rep"), "node")
     least = label.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_sign = nodes.join(label.join(least, "component").select(F.col("node").alias("sign"), F.col("component_id").alias("far")), "sign", "left").select("sign", F.coalesce("far", "rep").alias("near"))
-    return bounds.join(of_sign, "sign", "left").select("doc_id", "n_shingles", F.coalesce("near", "doc_id").alias("component_id"))
+    # a set comes back once to each block that has it, so that copies don't meet in one task
+    key = ["block", "sign"]
+    near = bounds.filter("n_shingles > 0").select(*key).distinct().join(of_sign, "sign")
+    return bounds.join(near, key, "left").select("doc_id", "n_shingles", F.coalesce("near", "doc_id").alias("component_id"))
