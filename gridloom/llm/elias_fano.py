@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_BLOCK = 8  # words of the upper bits in one counted block
+_EACH, _TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)  # a one, and a sign, in each byte
 #: The place of the k-th one of each byte.
 _IN_BYTE = np.zeros((256, 8), np.uint8)
 for _b in range(256):
@@ -25,7 +25,7 @@ class EliasFano:
         values = values.astype(np.uint64)
         l = max(0, (bound // max(1, n)).bit_length() - 1)
         size = n + (bound >> l) + 2
-        bits = np.zeros(-(-size // (64 * _BLOCK)) * 64 * _BLOCK, np.uint8)
+        bits = np.zeros(-(-size // 64) * 64, np.uint8)
         bits[(values >> np.uint64(l)).astype(np.int64) + np.arange(n)] = 1
         high = np.packbits(bits, bitorder="little").view(np.uint64)
         low = np.zeros(-(-n * l // 64) + 2, np.uint64)
@@ -35,28 +35,24 @@ class EliasFano:
             np.bitwise_or.at(low, at // 64, part << shift)
             over = np.flatnonzero(at % 64 + l > 64)
             np.bitwise_or.at(low, at[over] // 64 + 1, part[over] >> (np.uint64(64) - shift[over]))
-        counts = np.bitwise_count(high).reshape(-1, _BLOCK).sum(axis=1)
-        return cls(n, l, low, high, np.concatenate([[0], np.cumsum(counts)]).astype(np.uint32))
+        return cls(n, l, low, high, np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)]).astype(np.uint32))
 
     def arrays(self) -> list[np.ndarray]:
         return [self.low, self.high, self.ones]
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """The place of the k-th one, or zero, counted from 0."""
-        before = self.ones.astype(np.int64) if ones else np.arange(len(self.ones), dtype=np.int64) * 64 * _BLOCK - self.ones
-        block = np.searchsorted(before, k, side="right") - 1
-        rest = k - before[block]
-        words = self.high.reshape(-1, _BLOCK)[block]
-        words = words if ones else ~words
-        counts = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        word = (counts <= rest[:, None]).sum(axis=1)
-        row = np.arange(len(k))
-        rest = rest - np.where(word > 0, counts[row, word - 1], 0)
-        bytes_ = np.ascontiguousarray(words[row, word]).view(np.uint8).reshape(-1, 8)
-        counts = np.cumsum(np.bitwise_count(bytes_), axis=1, dtype=np.int64)
-        byte = (counts <= rest[:, None]).sum(axis=1)
-        rest = rest - np.where(byte > 0, counts[row, byte - 1], 0)
-        return (block * _BLOCK + word) * 64 + byte * 8 + _IN_BYTE[bytes_[row, byte], rest]
+        before = self.ones.astype(np.int64) if ones else np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+        word = np.searchsorted(before, k, side="right") - 1
+        rest = (k - before[word]).astype(np.uint64)
+        x = self.high[word] if ones else ~self.high[word]
+        # how many ones there are up to each byte, in the byte itself
+        sums = x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+        sums = (sums & np.uint64(0x3333333333333333)) + ((sums >> np.uint64(2)) & np.uint64(0x3333333333333333))
+        sums = ((sums + (sums >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _EACH
+        shift = np.bitwise_count((((rest * _EACH) | _TOP) - sums) & _TOP).astype(np.uint64) * np.uint64(8)
+        rest -= ((sums << np.uint64(8)) >> shift) & np.uint64(0xFF)
+        return word * 64 + shift.astype(np.int64) + _IN_BYTE[(x >> shift) & np.uint64(0xFF), rest]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.l:

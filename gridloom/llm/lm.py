@@ -255,7 +255,7 @@ def _scored(docs: DataFrame, answers: DataFrame, n: int, v: int, order: int) ->
     return exchange.together(exchange.texts(docs).unionAll(answers)).mapInArrow(_score(n, v, order), SCORES)
 
 
-def score(docs: DataFrame, learn: Column, discount: float = 0.75, order: int = 3, stable: bool = False) -> DataFrame:
+def score(docs: DataFrame, learn: Column, discount: float = 0.75, order: int = 4, stable: bool = False) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score (unigrams alone) and score of docs (doc_id, text), by a model of the rows for which learn holds. stable: see settled()."""
     docs = settled(docs.select("doc_id", "text"), "lm-docs", stable)
     shards = exchange.shards_of(docs)
@@ -267,7 +267,7 @@ def score(docs: DataFrame, learn: Column, discount: float = 0.75, order: int = 3
 MODEL = "shard int, shards int, levels int, totals binary, sizes array<long>, data binary"
 
 
-def train(docs: DataFrame, discount: float = 0.75, order: int = 3, stable: bool = False) -> DataFrame:
+def train(docs: DataFrame, discount: float = 0.75, order: int = 4, stable: bool = False) -> DataFrame:
     """The model of all docs (doc_id, text), a row for each shard: MODEL. It can be written and read again."""
     docs = settled(docs.select("doc_id", "text"), "lm-docs", stable)
     shards = exchange.shards_of(docs)

@@ -4,10 +4,12 @@ write_archives() stores each payload losslessly as an 8-bit grey PNG image and p
 folder, each task its own archives, renamed when whole so that a repeated task replaces them. The data source
 ``media_archives`` lists the archives and plans byte ranges from their sizes alone. A task reads the archive's own
 directory, takes the members whose headers start in its range, and reads each at its offset; a member that fails is
-opened and read again by itself, and after the last try becomes a row with its error. Images leave in Arrow batches.
+opened and read again by itself, and after the last try becomes a row with its error; so is the directory, without which
+the task fails. Images leave in Arrow batches.
 
 Defined cases: a null text is an empty payload, padded like any other; a null doc_id stays null; equal rows are members
-of their own. Other columns are not read.
+of their own; a very long text is one member, held whole by its task as payload and image; an empty table gives an empty
+folder and no rows. Other columns, also those named like results, are not read.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import hashlib
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,19 +125,24 @@ class ArchiveReader(DataSourceReader):
         if not partition.path:
             return
         store, _ = fs.FileSystem.from_uri(self.folder)
-        file = store.open_input_file(partition.path)
-        rows, held = [], 0
-        for name, offset, size in members(file):
+        file, rows, held = None, [], 0
+        listed, error = self._tried(lambda: list(members(store.open_input_file(partition.path))))
+        if listed is None:
+            raise OSError(f"{partition.path}: {error}")
+        for name, offset, size in listed:
             if not partition.start <= offset < partition.end:
                 continue
-            media, error = None, None
-            for _ in range(self.tries):
+
+            def get(offset: int = offset, size: int = size) -> bytes:
+                nonlocal file
                 try:
-                    media, error = member_at(file, offset, size), None
-                    break
-                except (OSError, ValueError, struct.error) as e:
-                    error = str(e)
-                    file = store.open_input_file(partition.path)
+                    file = file or store.open_input_file(partition.path)
+                    return member_at(file, offset, size)
+                except (OSError, ValueError, struct.error):
+                    file = None  # the next try opens it again
+                    raise
+
+            media, error = self._tried(get)
             rows.append((partition.path, name, offset, media, error))
             held += size
             if held > 4 << 20:
@@ -144,6 +151,16 @@ class ArchiveReader(DataSourceReader):
         if rows:
             yield self._batch(rows)
 
+    def _tried(self, get: Callable[[], object]) -> tuple[object, str | None]:
+        """What get gives, or None and the error of the last of so many tries."""
+        error = None
+        for _ in range(self.tries):
+            try:
+                return get(), None
+            except (OSError, ValueError, struct.error) as e:
+                error = str(e)
+        return None, error
+
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]

@@ -12,12 +12,12 @@ doc_id is never learned from. Other columns are not read.
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,32 +97,31 @@ class Ftrl:
 
 def _train(epochs: int, updates: int, alpha: float, beta: float, l1: float, l2: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, count = Ftrl((1 << BITS) + 1, alpha, beta, l1, l2), 0
-        with tempfile.TemporaryFile() as file:  # of this task alone
-            for batch in batches:
-                for label, data in zip(batch.column("label").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                    file.write(np.array([label, len(data)], "<i8").tobytes() + data)
-                    count += 1
-            for _ in range(max(epochs, min(100, updates // max(1, count)))):
-                file.seek(0)
-                for _ in range(count):
-                    label, size = np.frombuffer(file.read(16), "<i8")
-                    data = np.frombuffer(file.read(size), "<f4")
-                    k = len(data) // 2
-                    # the intercept is the last index
-                    model.learn(np.append(data[:k].view("<i4"), 1 << BITS), np.append(data[k:].astype(np.float64), 1.0), int(label))
+        model, rows = Ftrl((1 << BITS) + 1, alpha, beta, l1, l2), []
+        for batch in batches:  # held compressed: max_bytes of texts bound them
+            rows += zip(batch.column("label").to_pylist(), map(zstandard.ZstdCompressor(1).compress, batch.column("data").to_pylist()), strict=True)
+        count, unpack = len(rows), zstandard.ZstdDecompressor().decompress
+        for _ in range(max(epochs, min(100, updates // max(1, count)))):
+            for label, packed in rows:
+                data = np.frombuffer(unpack(packed), "<f4")
+                k = len(data) // 2
+                # the intercept is the last index
+                model.learn(np.append(data[:k].view("<i4"), 1 << BITS), np.append(data[k:].astype(np.float64), 1.0), int(label))
         w = model.weights(slice(None)).astype("<f4")
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(w.tobytes(), 1)], pa.binary()), pa.array([count], pa.int64())], ["weights", "examples"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, epochs: int = 4, updates: int = 60_000, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> np.ndarray:
-    """Weights from docs (doc_id, text) and labels (doc_id, label). At most about max_rows labels, chosen by a hash of the id, are learned from: the bound on what is broadcast and on the one training task. Few rows are passed over more often than epochs says, up to so many updates."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_bytes: int = 256 << 20, epochs: int = 4, updates: int = 60_000, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> np.ndarray:
+    """Weights from docs (doc_id, text) and labels (doc_id, label). At most about max_rows labels, chosen by a hash of the id, are learned from: the bound on what is broadcast and on the one training task, and of those, if their texts are over max_bytes, about as many as max_bytes hold, chosen by another hash. Few rows are passed over more often than epochs says, up to so many updates."""
     clean = labels.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     total = clean.count()
     some = clean.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, max_rows / max(1, total))))
     examples = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.xxhash64("doc_id", F.lit(1)).alias("place"), "label", "text")
+    size = examples.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > max_bytes:
+        examples = examples.filter(F.pmod("place", F.lit(1 << 20)) < int((1 << 20) * max_bytes / size))
     rows = examples.mapInArrow(_examples, "place long, label int, data binary").repartition(1).sortWithinPartitions("place", "label", "data").mapInArrow(_train(epochs, updates, alpha, beta, l1, l2), "weights binary, examples long").collect()
     return np.frombuffer(zlib.decompress(rows[0]["weights"]), "<f4") if rows else np.zeros((1 << BITS) + 1, np.float32)
 
