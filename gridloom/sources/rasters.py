@@ -1,22 +1,26 @@
-"""Elevation rasters: an uncompressed GeoTIFF source that plans row ranges, and endpoints from JSON."""
+"""Elevation rasters: a GeoTIFF source that plans row ranges, GeoTIFF tiles as a sink, and endpoints from JSON."""
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gridloom.grid import Grid
+
 _TYPES = {(1, 8): "u1", (1, 16): "u2", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
 
 
 def header(file: pa.NativeFile) -> dict:
-    """Size, sample type, strips and georeference of an uncompressed single-band TIFF in strips."""
+    """Size, sample type, blocks (strips or tiles) and georeference of a single-band TIFF, uncompressed or deflated."""
     head = file.read(8)
     order = {b"II": "<", b"MM": ">"}[head[:2]]
     file.seek(struct.unpack(order + "I", head[4:])[0])
@@ -33,15 +37,29 @@ def header(file: pa.NativeFile) -> dict:
             file.seek(struct.unpack(order + "I", raw)[0])
             raw = file.read(need)
         tags[tag] = struct.unpack(form, raw[:need])
-    if tags.get(259, (1,))[0] != 1:
-        raise ValueError("only uncompressed TIFF is read")
+    packing, predictor = tags.get(259, (1,))[0], tags.get(317, (1,))[0]
+    if packing not in (1, 8, 32946) or predictor not in (1, 2) or tags.get(277, (1,))[0] != 1:
+        raise ValueError("only single-band TIFF is read, uncompressed or deflated, with differences of whole samples at most")
     scale, tie = tags.get(33550, (1.0, 1.0, 0.0)), tags.get(33922, (0, 0, 0, 0.0, 0.0, 0.0))
+    width, height, tiled = tags[256][0], tags[257][0], 322 in tags
     return {
-        "width": tags[256][0], "height": tags[257][0], "type": order + _TYPES[tags.get(339, (1,))[0], tags[258][0]],
-        "offsets": tags[273], "strip": tags.get(278, (tags[257][0],))[0], "west": tie[3], "north": tie[4], "dx": scale[0], "dy": scale[1],
+        "width": width, "height": height, "type": order + _TYPES[tags.get(339, (1,))[0], tags[258][0]], "deflated": packing != 1, "differences": predictor == 2,
+        "offsets": tags[324 if tiled else 273], "counts": tags.get(325 if tiled else 279), "across": tags[322][0] if tiled else width, "down": tags[323][0] if tiled else min(height, tags.get(278, (height,))[0]),
+        "west": tie[3], "north": tie[4], "dx": scale[0], "dy": scale[1],
     }
 
 
+def block_at(file: pa.NativeFile, h: dict, down: int, across: int) -> np.ndarray:
+    """A strip or tile by its place among the blocks, as rows of samples."""
+    kind, k = np.dtype(h["type"]), down * -(-h["width"] // h["across"]) + across
+    tiled = h["across"] < h["width"] or len(h["offsets"]) > -(-h["height"] // h["down"])
+    rows = h["down"] if tiled else min(h["down"], h["height"] - down * h["down"])
+    file.seek(h["offsets"][k])
+    data = file.read(h["counts"][k] if h["counts"] else rows * h["across"] * kind.itemsize)
+    out = np.frombuffer(zlib.decompress(data) if h["deflated"] else data, kind, rows * h["across"]).reshape(rows, h["across"])
+    return np.cumsum(out, axis=1, dtype=kind) if h["differences"] else out
+
+
 class Rows(InputPartition):
     def __init__(self, start: int, end: int) -> None:
         self.start, self.end = start, end
@@ -57,9 +75,9 @@ class GeoTiffReader(DataSourceReader):
             self.h = h = header(file)
         inf = float("inf")
         west, south, east, north = (float(options.get(k, d)) for k, d in (("west", -inf), ("south", -inf), ("east", inf), ("north", inf)))
-        clamp = lambda x, n: int(min(max(x, 0), n))
-        self.r0, self.r1 = clamp((h["north"] - north) / h["dy"], h["height"]), clamp(np.ceil((h["north"] - south) / h["dy"]) if np.isfinite(south) else inf, h["height"])
-        self.c0, self.c1 = clamp((west - h["west"]) / h["dx"], h["width"]), clamp(np.ceil((east - h["west"]) / h["dx"]) if np.isfinite(east) else inf, h["width"])
+        clamp = lambda x, n: int(min(max(x + 1e-9, 0), n))
+        self.r0, self.r1 = clamp((h["north"] - north) / h["dy"], h["height"]), clamp(np.ceil((h["north"] - south) / h["dy"] - 1e-9) if np.isfinite(south) else inf, h["height"])
+        self.c0, self.c1 = clamp((west - h["west"]) / h["dx"], h["width"]), clamp(np.ceil((east - h["west"]) / h["dx"] - 1e-9) if np.isfinite(east) else inf, h["width"])
         del self.store
 
     def partitions(self) -> list[Rows]:
@@ -67,15 +85,19 @@ class GeoTiffReader(DataSourceReader):
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(self.uri)
-        h, kind = self.h, np.dtype(self.h["type"])
+        h, down = self.h, self.h["down"]
+        if self.c0 >= self.c1:
+            return
         with store.open_input_file(path) as file:
-            for row in range(partition.start, partition.end):
-                strip, inner = divmod(row, h["strip"])
-                file.seek(h["offsets"][strip] + (inner * h["width"] + self.c0) * kind.itemsize)
-                z = np.frombuffer(file.read((self.c1 - self.c0) * kind.itemsize), kind).astype(float)
-                bad = ~np.isfinite(z) | (z <= -9999) | (z > 9000)
-                n = len(z)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row - self.r0, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(z, mask=bad)], ["row", "col", "z"])
+            for k in range(partition.start // down, -(-partition.end // down)):
+                blocks = [block_at(file, h, k, j) for j in range(self.c0 // h["across"], -(-self.c1 // h["across"]))]
+                first = self.c0 // h["across"] * h["across"]
+                wide = np.hstack(blocks)[:, self.c0 - first : self.c1 - first]
+                for row in range(max(partition.start, k * down), min(partition.end, (k + 1) * down)):
+                    z = wide[row - k * down].astype(float)
+                    bad = ~np.isfinite(z) | (z <= -9999) | (z > 9000)
+                    n = len(z)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row - self.r0, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(z, mask=bad)], ["row", "col", "z"])
 
 
 class GeoTiff(DataSource):
@@ -101,6 +123,52 @@ def write_raster(df: DataFrame, path: str, tile: int = 1024) -> None:
     df.withColumn("tile_row", (F.col("row") / tile).cast("int")).withColumn("tile_col", (F.col("col") / tile).cast("int")).write.mode("overwrite").partitionBy("tile_row", "tile_col").parquet(path)
 
 
+NO_DATA = -9999.0
+
+
+def tiff(z: np.ndarray, west: float, north: float, step: float) -> bytes:
+    """A deflated GeoTIFF of 32-bit samples in one strip; NaN becomes NO_DATA, which a tag names."""
+    data = zlib.compress(np.where(np.isfinite(z), z, NO_DATA).astype("<f4").tobytes(), 6)
+    no_data = f"{NO_DATA:g}".encode() + b"\0"
+    values = {
+        256: ("I", (z.shape[1],)), 257: ("I", (z.shape[0],)), 258: ("H", (32,)), 259: ("H", (8,)), 262: ("H", (1,)), 273: ("I", (0,)), 277: ("H", (1,)), 278: ("I", (z.shape[0],)),
+        279: ("I", (len(data),)), 339: ("H", (3,)), 33550: ("d", (step, step, 0.0)), 33922: ("d", (0.0, 0.0, 0.0, west, north, 0.0)), 34735: ("H", (1, 1, 0, 2, 1024, 0, 1, 2, 2048, 0, 1, 4326)), 42113: ("c", no_data),
+    }
+    codes, at = {"c": 2, "H": 3, "I": 4, "d": 12}, 8 + 2 + 12 * len(values) + 4
+    entries, more = b"", b""
+    ends = at + sum(struct.calcsize("<" + f * len(v)) for f, v in values.values() if struct.calcsize("<" + f * len(v)) > 4)
+    values[273] = ("I", (ends,))
+    for tag, (form, value) in values.items():
+        raw = value if form == "c" else struct.pack("<" + form * len(value), *value)
+        place = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", at + len(more))
+        entries += struct.pack("<HHI", tag, codes[form], len(value)) + place
+        more += raw if len(raw) > 4 else b""
+    return b"II*\0" + struct.pack("<IH", 8, len(values)) + entries + b"\0\0\0\0" + more + data
+
+
+def write_geotiff(grid: Grid, layer: str, folder: str, tile: int = 1024) -> DataFrame:
+    """Writes the layer when the returned rows (path, cells) are computed: a GeoTIFF for each tile of the grid, renamed when whole, null as NO_DATA. A tile is one task's group."""
+    west, north, step = grid.west, grid.north, grid.step
+    store, at = fs.FileSystem.from_uri(folder)
+    store.create_dir(at, recursive=True)
+
+    def write(cells: pa.Table) -> pa.Table:
+        row, col, z = (cells[c].to_numpy() for c in ("row", "col", layer))
+        r0, c0 = int(row.min()) // tile * tile, int(col.min()) // tile * tile
+        image = np.full((int(row.max()) - r0 + 1, int(col.max()) - c0 + 1), np.nan)
+        image[row - r0, col - c0] = z
+        store, at = fs.FileSystem.from_uri(folder)
+        name = f"{at}/{layer}_{r0:07d}_{c0:07d}.tif"
+        part = f"{name}.{TaskContext.get().taskAttemptId()}"
+        with store.open_output_stream(part) as out:
+            out.write(tiff(image, west + c0 * step, north - r0 * step, step))
+        store.move(part, name)
+        return pa.table({"path": [name], "cells": [len(row)]})
+
+    of = lambda c: F.floor(F.col(c) / tile)
+    return grid.df.select("row", "col", F.col(layer).cast("double").alias(layer), of("row").alias("tr"), of("col").alias("tc")).groupBy("tr", "tc").applyInArrow(write, "path string, cells long")
+
+
 def read_endpoints(spark: SparkSession, path: str, default: dict[str, float]) -> DataFrame:
     """start_lat, start_lon, end_lat, end_lon of a JSON file; an absent field has its default."""
     rows = spark.read.schema("start_lat double, start_lon double, end_lat double, end_lon double").option("multiLine", "true").json(path)

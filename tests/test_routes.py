@@ -189,3 +189,79 @@ def test_bands_keep_their_order(spark):
     df = focal.terrain(grid.with_df(grid.df.withColumn("z", F.col("row") * 5.0 + F.col("col"))))
     assert cost.feature_stack(df).columns == ["row", "col", *BANDS]
     assert cost.feature_stack(df).filter("row = 4 and col = 4").first().elevation == 24.0
+
+
+def test_tiled_and_deflated_rasters(spark, tmp_path):
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from gridloom.sources import rasters
+
+    z = np.arange(50 * 70, dtype="<i2").reshape(50, 70)
+    z[3, 4] = -9999
+    tiles, data = [], b""
+    for r in range(0, 50, 16):
+        for c in range(0, 70, 32):
+            block = np.zeros((16, 32), "<i2")
+            part = z[r : r + 16, c : c + 32]
+            block[: part.shape[0], : part.shape[1]] = part
+            packed = zlib.compress(np.diff(block, axis=1, prepend=np.int16(0)).astype("<i2").tobytes())
+            tiles.append((len(data), len(packed)))
+            data += packed
+    head = 8 + 2 + 12 * 12 + 4
+    arrays = [struct.pack(f"<{len(tiles)}I", *(head + 8 * len(tiles) + 72 + at for at, _ in tiles)), struct.pack(f"<{len(tiles)}I", *(n for _, n in tiles)), struct.pack("<3d", 0.01, 0.01, 0), struct.pack("<6d", 0, 0, 0, 120.0, 25.0, 0)]
+    at = [head, head + 4 * len(tiles), head + 8 * len(tiles), head + 8 * len(tiles) + 24]
+    tags = [(256, 4, 1, 70), (257, 4, 1, 50), (258, 3, 1, 16), (259, 3, 1, 8), (317, 3, 1, 2), (322, 4, 1, 32), (323, 4, 1, 16), (324, 4, len(tiles), at[0]), (325, 4, len(tiles), at[1]), (339, 3, 1, 2), (33550, 12, 3, at[2]), (33922, 12, 6, at[3])]
+    (tmp_path / "tiled.tif").write_bytes(b"II*\0" + struct.pack("<IH", 8, len(tags)) + b"".join(struct.pack("<HHII", *x) for x in tags) + b"\0\0\0\0" + b"".join(arrays) + data)
+    got = {(x.row, x.col): x.z for x in rasters.read_elevation(spark, f"{tmp_path}/tiled.tif", rows=20).collect()}
+    assert len(got) == 3500 and got[3, 4] is None and all(v == z[k] for k, v in got.items() if k != (3, 4))
+    window = {(x.row, x.col): x.z for x in rasters.read_elevation(spark, f"{tmp_path}/tiled.tif", west=120.305, east=120.4, north=24.8, south=24.7).collect()}
+    assert window == {(r, c): float(z[20 + r, 30 + c]) for r in range(10) for c in range(10)}
+    cells = [(r, c, None if (r, c) == (1, 1) else r * 7.5 + c) for r in range(20) for c in range(13)]
+    grid = Grid(spark.createDataFrame(cells, "row int, col int, cost double"), 20, 13, step=0.01)
+    written = rasters.write_geotiff(grid, "cost", f"{tmp_path}/out", tile=8).collect()
+    assert len(written) == 6 and sum(x.cells for x in written) == 260
+    back = {(x.row, x.col): x.z for x in rasters.read_elevation(spark, f"{tmp_path}/out/cost_0000008_0000008.tif").collect()}
+    assert back == {(r, c): (8 + r) * 7.5 + 8 + c for r in range(8) for c in range(5)}
+
+
+def test_shapefiles(spark, tmp_path):
+    import struct
+
+    from gridloom.sources import shapes
+
+    def poly(code, parts, points):
+        return struct.pack("<i4d2i", code, 0, 0, 1, 1, len(parts), len(points)) + struct.pack(f"<{len(parts)}i", *parts) + b"".join(struct.pack("<2d", *p) for p in points)
+
+    records = [poly(3, [0, 2], [(120.0, 22.0), (120.5, 22.5), (121.0, 23.0), (121.5, 23.5)]), struct.pack("<i2d", 1, 120.25, 22.75), struct.pack("<i", 0), poly(5, [0], [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)])]
+    shp, shx = b"\0" * 100, b"\0" * 100
+    for k, r in enumerate(records):
+        shx += struct.pack(">ii", len(shp) // 2, len(r) // 2)
+        shp += struct.pack(">ii", k + 1, len(r) // 2) + r
+    fields = b"".join(name.ljust(11, b"\0") + b"C\0\0\0\0" + bytes([size]) + b"\0" * 15 for name, size in ((b"id", 4), (b"volt", 6))) + b"\r"
+    dbf = b"\x03\0\0\0" + struct.pack("<IHH", len(records), 32 + len(fields), 11) + b"\0" * 20 + fields + b"".join(b" " + f"w{k}".encode().ljust(4) + f"{k}kV".encode().ljust(6) for k in range(len(records)))
+    for kind, data in (("shp", shp), ("shx", shx), ("dbf", dbf)):
+        (tmp_path / f"lines.{kind}").write_bytes(data)
+    got = {x.feature_id: x for x in shapes.read_shapefile(spark, f"{tmp_path}/lines.shp", records=2).collect()}
+    assert {k: x.geom_type for k, x in got.items()} == {0: "line", 1: "point", 3: "polygon"}
+    assert got[0].parts == [0, 2] and [(p.lon, p.lat) for p in got[0].coords][2] == (121.0, 23.0)
+    assert got[3].attributes == {"id": "w3", "volt": "3kV"} and [(p.lon, p.lat) for p in got[1].coords] == [(120.25, 22.75)]
+    (tmp_path / "bare.shp").write_bytes(shp)
+    (tmp_path / "bare.shx").write_bytes(shx)
+    assert all(x.attributes == {} for x in shapes.read_shapefile(spark, f"{tmp_path}/bare.shp").collect())
+
+
+def test_command_line(spark, tmp_path):
+    from gridloom import __main__ as cli
+
+    cells = [(r, c, None if c == 5 and r < 9 else 1.0) for r in range(12) for c in range(12)]
+    spark.createDataFrame(cells, "row int, col int, cost double").write.parquet(f"{tmp_path}/costs")
+    (tmp_path / "ends.json").write_text(json.dumps({"start_lat": 25.3995, "start_lon": 120.0005}))
+    args = ["--costs", f"{tmp_path}/costs", "--step", "0.001", "--config", f"{tmp_path}/ends.json", "--end-lat", "25.3995", "--end-lon", "120.0105", "--out", f"{tmp_path}/out"]
+    assert cli.main(args) == "OK"
+    (feature,) = [json.loads(x.value) for x in spark.read.text(f"{tmp_path}/out/route").collect()]
+    assert feature["geometry"]["coordinates"][0] == pytest.approx([120.0005, 25.3995]) and min(y for _, y in feature["geometry"]["coordinates"]) < 25.392
+    assert spark.read.json(f"{tmp_path}/out/statistics").first().length_km > 1.5
+    assert cli.main([*args[:-6], "--end-lat", "10", "--end-lon", "120", "--out", f"{tmp_path}/none"]) == "ENDPOINT_INVALID"
