@@ -38,6 +38,16 @@ def densify(paths: DataFrame, step_m: float = 100.0) -> DataFrame:
     return first.unionByName(inner).withColumn("seq", F.row_number().over(Window.partitionBy("path_id").orderBy("part_of", "i")) - 1).select("path_id", "seq", "lon", "lat")
 
 
+def waypoint_path(points: DataFrame, step_m: float = 30.0) -> DataFrame:
+    """path_id, seq, lon, lat: each step between way points in max(2, int(length / step)) equal parts."""
+    nxt = with_next(points)
+    n = F.greatest(F.lit(2), (F.col("d") / step_m).cast("int"))
+    cut = nxt.filter("d is not null").select("path_id", F.col("seq").alias("part_of"), F.explode(F.sequence(F.lit(0), n - 1)).alias("j"), n.alias("n"), "lon", "lat", "lon1", "lat1")
+    inner = cut.select("path_id", "part_of", "j", (F.col("lon") + F.col("j") / F.col("n") * (F.col("lon1") - F.col("lon"))).alias("lon"), (F.col("lat") + F.col("j") / F.col("n") * (F.col("lat1") - F.col("lat"))).alias("lat"))
+    last = nxt.filter("lon1 is null").select("path_id", F.col("seq").alias("part_of"), F.lit(0).alias("j"), "lon", "lat")
+    return inner.unionByName(last).withColumn("seq", F.row_number().over(Window.partitionBy("path_id").orderBy("part_of", "j")) - 1).select("path_id", "seq", "lon", "lat")
+
+
 def resample(paths: DataFrame, spacing_m: float = 30.0) -> DataFrame:
     """path_id, seq, lon, lat: max(int(length / spacing), points) points at equal planar arc length in degrees, ends included. Each segment makes the points that fall into it, so no range join is needed."""
     nxt = paths.withColumn("lon1", F.lead("lon").over(_path())).withColumn("lat1", F.lead("lat").over(_path()))
@@ -157,7 +167,7 @@ def profile(samples: DataFrame) -> DataFrame:
 
 
 def statistics(samples: DataFrame) -> DataFrame:
-    """Length, straight distance, sinuosity, elevation, ascent, slope and cost of paths sampled as (path_id, seq, lon, lat, z, slope, cost)."""
+    """Length, straight distance, sinuosity, elevation, ascent, slope and cost of paths sampled as (path_id, seq, lon, lat, z, slope, cost), and crossings, how many samples a hard_mask forbids, if they have one."""
     nxt = with_next(samples).withColumn("dz", F.lead("z").over(_path()) - F.col("z"))
     first, last = (F.min_by(F.struct("lon", "lat"), "seq"), F.max_by(F.struct("lon", "lat"), "seq"))
     share = lambda s: F.avg((F.col("slope") > s).cast("double")) * 100
@@ -167,6 +177,7 @@ def statistics(samples: DataFrame) -> DataFrame:
         F.sum(F.greatest(F.lit(0.0), F.coalesce("dz", F.lit(0.0)))).alias("ascent"), F.sum(F.greatest(F.lit(0.0), -F.coalesce("dz", F.lit(0.0)))).alias("descent"),
         F.avg("slope").alias("slope_mean"), F.max("slope").alias("slope_max"), share(15).alias("slope_over_15_pct"), share(25).alias("slope_over_25_pct"), share(35).alias("slope_over_35_pct"),
         F.sum("cost").alias("cost_sum"), F.avg("cost").alias("cost_mean"), F.max("cost").alias("cost_max"), F.count("*").alias("n_vertices"),
+        *([F.count_if(F.col("hard_mask") == 0).alias("crossings")] if "hard_mask" in samples.columns else []),
     )
     straight = haversine_m(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat")) / 1000
     return out.withColumn("straight_km", straight).withColumn("sinuosity", F.when(straight > 0, F.col("length_km") / straight).otherwise(1.0)).drop("a", "b")

@@ -108,7 +108,7 @@ cl AS (SELECT path_id, CASE WHEN max(seq) > 10 THEN max_by(greatest(most, high -
 _STATS = f"""{_NEXT}, sd AS (SELECT *, lead(z) OVER w - z AS dz FROM nd {W}),
 st AS MATERIALIZED (SELECT path_id, count(*) AS n_vertices, coalesce(sum(d), 0) / 1000 AS length_km, ({_HAV('min_by(lon, seq)', 'min_by(lat, seq)', 'max_by(lon, seq)', 'max_by(lat, seq)')}) / 1000 AS straight_km,
   min(z) AS elevation_min, max(z) AS elevation_max, avg(z) AS elevation_mean, sum(greatest(0, coalesce(dz, 0))) AS ascent, sum(greatest(0, -coalesce(dz, 0))) AS descent,
-  avg(z / 10) AS slope_mean, avg((z / 10 > 25)::INT) * 100 AS slope_over_25_pct, sum(z / 500) AS cost_sum FROM sd GROUP BY path_id)"""
+  avg(z / 10) AS slope_mean, avg((z / 10 > 25)::INT) * 100 AS slope_over_25_pct, sum(z / 500) AS cost_sum, count(*) FILTER (event_id % 9 = 0) AS crossings FROM sd GROUP BY path_id)"""
 _GATE = f"""{P}, {_STATS}, {_TURN}, {_CLIMB}, md AS (SELECT quantile_cont(z / 100, 0.5) AS median FROM p),
 ly AS (SELECT path_id, max(z / 10) AS slope, avg((z * 2 < 30)::INT) AS water, count(*) FILTER (event_id % 500 = 0) AS forbidden, avg(z / 100) AS cost FROM p GROUP BY path_id),
 tm AS (SELECT path_id, max(turn) AS turn FROM u GROUP BY path_id),
@@ -200,13 +200,14 @@ ORACLES: dict[str, str] = {
     "path_length": f"WITH {P}, {_NEXT} SELECT path_id, {r6('sum(d) / 1000')} AS length_km, count(*) AS n_points FROM nd GROUP BY path_id",
     "path_dense_sample": f"WITH {T}, {densified('p', 'q', 100.0)} SELECT path_id, count(*) AS n, {r6('avg(lon)')} AS lon, {r6('avg(lat)')} AS lat, CAST(max(seq) AS INT) AS last FROM q GROUP BY path_id",
     "path_resample": f"WITH {T}, {_EVEN}",
+    "waypoint_paths": f"WITH {T}, {_NEXT}, k AS (SELECT *, greatest(2, CAST(floor(d / 30) AS INT)) AS n FROM nd WHERE d IS NOT NULL), i AS (SELECT path_id, lon + j / n * (lon1 - lon) AS lon, lat + j / n * (lat1 - lat) AS lat FROM (SELECT *, unnest(range(n))::DOUBLE AS j FROM k) UNION ALL SELECT path_id, lon, lat FROM nd WHERE d IS NULL) SELECT path_id, count(*) AS n, {r6('avg(lon)')} AS lon, {r6('avg(lat)')} AS lat, CAST(count(*) - 1 AS INT) AS last FROM i GROUP BY path_id",
     "path_moving_avg": f"WITH {P}, {_SMOOTH} SELECT path_id, seq, {r6('lon')} AS lon, {r6('lat')} AS lat FROM s",
     "path_turn_angle": f"WITH {P}, {_TURN} SELECT path_id, round(max(turn), 4) AS turn_max, round(avg(turn), 4) AS turn_mean FROM u GROUP BY path_id",
     "path_monotone_climb": f"WITH RECURSIVE {P}, {_CLIMB} SELECT path_id, {r6('climb')} AS climb FROM cl",
     "path_similarity": f"{_SIMILAR} SELECT path_id, round(greatest(there, back), 3) AS hausdorff_m, round(mean, 3) AS mean_distance_m, {r6('o500')} AS overlap_500m_pct, {r6('o1')} AS overlap_1km_pct, {r6('o2')} AS overlap_2km_pct FROM sim",
     "acceptable_v1": f"{_SIMILAR}, lr AS (SELECT path_id, sum({_HAV('lon', 'lat', 'lon1', 'lat1')}) / 1000 AS km FROM (SELECT *, lead(lon) OVER w AS lon1, lead(lat) OVER w AS lat1 FROM p {W}) GROUP BY 1), lo AS (SELECT path_id, sum({_HAV('lon', 'lat', 'lon1', 'lat1')}) / 1000 AS km FROM (SELECT *, lead(lon) OVER w AS lon1, lead(lat) OVER w AS lat1 FROM thin {W}) GROUP BY 1), jd AS MATERIALIZED (SELECT path_id, CASE WHEN lr.km > 0 THEN abs(lo.km - lr.km) / lr.km * 100 END AS e, greatest(there, back) < 5000 AND mean < 2000 AND o500 > 30 AND CASE WHEN lr.km > 0 THEN abs(lo.km - lr.km) / lr.km * 100 END < 30 AS ok FROM sim JOIN lr USING (path_id) JOIN lo USING (path_id)) SELECT path_id, round(e, 4) AS length_error_pct, coalesce(ok, false) AS acceptable FROM jd UNION ALL SELECT -1, NULL, count(*) FILTER (ok) >= count(*) * 0.67 FROM jd",
     "path_one_sided": f"WITH {P}, {_SMOOTH} SELECT path_id, round(max(d), 3) AS directed_hausdorff_m, {r6('avg((d < 500)::INT) * 100')} AS overlap_500m_pct FROM {nearest('s', 'p')} GROUP BY path_id",
-    "path_stats": f"WITH {P}, {_STATS} SELECT path_id, n_vertices, " + ", ".join(f"round({c}, 5) AS {c}" for c in ("length_km", "straight_km", "elevation_min", "elevation_max", "elevation_mean", "ascent", "descent", "slope_mean", "slope_over_25_pct", "cost_sum")) + ", round(CASE WHEN straight_km > 0 THEN length_km / straight_km ELSE 1 END, 5) AS sinuosity FROM st",
+    "path_stats": f"WITH {P}, {_STATS} SELECT path_id, n_vertices, crossings, " + ", ".join(f"round({c}, 5) AS {c}" for c in ("length_km", "straight_km", "elevation_min", "elevation_max", "elevation_mean", "ascent", "descent", "slope_mean", "slope_over_25_pct", "cost_sum")) + ", round(CASE WHEN straight_km > 0 THEN length_km / straight_km ELSE 1 END, 5) AS sinuosity FROM st",
     "elevation_profile": f"WITH {P}, {_NEXT} SELECT path_id, seq, round(coalesce(sum(d) OVER (PARTITION BY path_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1000, 5) AS dist_km, {r6('z')} AS z FROM nd",
     "deviation_profile": f"WITH {P}, {_SMOOTH}, k AS (SELECT * FROM s WHERE (seq - 1) % 5 = 0) SELECT path_id, seq, round(d, 3) AS d FROM {nearest('k', 'p')}",
     "line_progress": f"WITH {P}, e AS (SELECT path_id, min_by(lon, seq) AS ax, min_by(lat, seq) AS ay, max_by(lon, seq) AS bx, max_by(lat, seq) AS by_ FROM p GROUP BY path_id) SELECT path_id, seq, {r6('CASE WHEN (bx-ax)*(bx-ax) + (by_-ay)*(by_-ay) > 0 THEN ' + clip('((lon-ax)*(bx-ax) + (lat-ay)*(by_-ay)) / ((bx-ax)*(bx-ax) + (by_-ay)*(by_-ay))') + ' ELSE 0 END')} AS t FROM p JOIN e USING (path_id)",

@@ -279,10 +279,16 @@ def path_one_sided(spark: SparkSession, d: str) -> DataFrame:
     return paths.one_sided_similarity(paths.moving_average(real), real).select("path_id", F.round("directed_hausdorff_m", 3).alias("directed_hausdorff_m"), r6("overlap_500m_pct").alias("overlap_500m_pct"))
 
 
+@query
+def waypoint_paths(spark: SparkSession, d: str) -> DataFrame:
+    dense = paths.waypoint_path(_tracks(spark, d))
+    return dense.groupBy("path_id").agg(F.count("*").alias("n"), r6(F.avg("lon")).alias("lon"), r6(F.avg("lat")).alias("lat"), F.max("seq").alias("last"))
+
+
 @query
 def path_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = paths.statistics(_paths(spark, d).withColumn("slope", F.col("z") / 10).withColumn("cost", F.col("z") / 500))
-    return rows.select("path_id", "n_vertices", *(F.round(c, 5).alias(c) for c in ("length_km", "straight_km", "sinuosity", "elevation_min", "elevation_max", "elevation_mean", "ascent", "descent", "slope_mean", "slope_over_25_pct", "cost_sum")))
+    rows = paths.statistics(_paths(spark, d).withColumn("slope", F.col("z") / 10).withColumn("cost", F.col("z") / 500).withColumn("hard_mask", (F.col("event_id") % 9 > 0).cast("int")))
+    return rows.select("path_id", "n_vertices", "crossings", *(F.round(c, 5).alias(c) for c in ("length_km", "straight_km", "sinuosity", "elevation_min", "elevation_max", "elevation_mean", "ascent", "descent", "slope_mean", "slope_over_25_pct", "cost_sum")))
 
 
 @query

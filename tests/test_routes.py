@@ -265,3 +265,25 @@ def test_command_line(spark, tmp_path):
     assert feature["geometry"]["coordinates"][0] == pytest.approx([120.0005, 25.3995]) and min(y for _, y in feature["geometry"]["coordinates"]) < 25.392
     assert spark.read.json(f"{tmp_path}/out/statistics").first().length_km > 1.5
     assert cli.main([*args[:-6], "--end-lat", "10", "--end-lon", "120", "--out", f"{tmp_path}/none"]) == "ENDPOINT_INVALID"
+
+
+def test_sources_fail_apart(spark, tmp_path):
+    (tmp_path / "roads.json").write_text(json.dumps({"elements": [{"type": "way", "id": 5, "tags": {"highway": "primary"}, "geometry": [{"lat": 1, "lon": 2}, {"lat": 2, "lon": 3}]}]}))
+    got = osm.catalog({"roads": lambda: osm.read_osm(spark, f"{tmp_path}/roads.json"), "water": lambda: osm.read_osm(spark, f"{tmp_path}/absent.json")}, spark)
+    assert {k: v.count() for k, v in got.items()} == {k: int(k == "roads") for k in osm.SOURCES}
+    assert {v.schema.simpleString() for v in got.values()} == {got["roads"].schema.simpleString()}
+
+
+def test_repeated_runs_and_fitness(spark):
+    import numpy as np
+
+    routes = spark.createDataFrame([(0, "astar", 0), (1, "dbo", 0)], "path_id long, algorithm string, seed int")
+    assert sorted((x.path_id, x.seed) for x in search.repeated(routes, 3).collect()) == [(0, 42), (1, 42), (1, 43), (1, 44)]
+    surface = np.add.outer(np.arange(60.0), 2 * np.arange(80.0))
+    line = np.array([[0.0, 0.0], [30.0, 40.0], [50.0, 70.0]])
+    assert search.fitness(line, surface, V2) == pytest.approx(np.mean([r + 2 * c for r, c in search._line(line)]), rel=0.02)
+    assert np.allclose(search._sampled(line, surface), [np.interp(a, [0, 50, 50 + 1300**0.5], [0, 110, 190]) for a in np.linspace(0, 50 + 1300**0.5, 86)])
+    blocked = surface.copy()
+    blocked[20:40] = np.inf
+    assert search.fitness(line, blocked, V2) > 1000
+    assert search.fitness(line[:1].repeat(2, axis=0), surface, V2) == 1e10
