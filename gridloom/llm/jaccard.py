@@ -12,7 +12,7 @@ matrix of tokens and bundles, which has prefix tokens only and no unions, by the
 of which any linked set shares one. They go to the bundles that they meet there, their own too, if the sizes and the
 tokens left from there on allow a link with another group; a bundle whose union covers three quarters of the set is
 opened, and its members are compared exactly. A link that joins what the bundle's links have joined already is not
-written. Bundles over LARGE sets are several. Tokens that the very same sets have, such as those of one passage, are one
+written. Bundles over LARGE sets are several parts, and a part that over LARGE sets ask is in several tasks. Tokens that the very same sets have, such as those of one passage, are one
 column of the matrix.
 
 Two texts with the same set are one node, so copies are never paired. Defined cases: null and empty texts have no
@@ -38,8 +38,8 @@ from gridloom.llm.components import components
 LEADERS = 16
 #: Sets beyond which the join that fetches their texts shuffles the texts: the bound on what is broadcast, some 20 MB as built.
 BROADCAST_SETS = 200_000
-#: Sets with the same smallest hash beyond which they are dealt to more than one task.
-LARGE = 2_000
+#: Sets with the same smallest hash, and sets that ask one bundle, beyond which they are dealt to more than one task.
+LARGE = 1_000
 
 
 def _signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -193,9 +193,9 @@ def _open_bundles(share: int):
         for batch in batches:
             a, b = [], []
             values = batch.column("tokens")
-            for k, (other, part, asks, sign, group, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("other", "part", "asks", "sign", "group", "n")), strict=True)):
-                if (other, part) != now:
-                    now, held, bundle = (other, part), [], None
+            for k, (*task, asks, sign, group, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("other", "part", "slice", "asks", "sign", "group", "n")), strict=True)):
+                if task != now:
+                    now, held, bundle = task, [], None
                 x = values[k].values.to_numpy()
                 if not asks:
                     held.append((sign, group, n, x))
@@ -245,9 +245,13 @@ def linked(docs: DataFrame, share: int = 75, stable: bool = False) -> DataFrame:
     sized = (100 * F.col("most") >= share * F.col("n")) & (share * F.col("least") <= 100 * F.col("n")) & ((100 + share) * F.least("rest", "other_rest") >= share * (F.col("n") + F.col("least")))
     others = (F.col("low") != F.col("group")) | (F.col("high") != F.col("group"))
     wanted = written(held.drop("bundle", "part").join(matrix, "held").filter(others & sized).select("sign", "other", "part").distinct(), "wanted")
-    members = outer.select(F.col("bundle").alias("other"), "part", F.lit(0).alias("asks"), "sign", "group", "n", "tokens")
-    asking = wanted.join(outer.select("sign", "group", "n", "tokens"), "sign").select("other", "part", F.lit(1).alias("asks"), "sign", "group", "n", "tokens")
-    more = members.unionAll(asking).repartition("other", "part").sortWithinPartitions("other", "part", "asks").mapInArrow(_open_bundles(share), "a long, b long")
+    # a part that many sets ask stands in a task for each LARGE of them
+    task, row = ["other", "part", "slice"], ["asks", "sign", "group", "n", "tokens"]
+    slices = wanted.groupBy("other", "part").count().filter(F.col("count") > LARGE).select("other", "part", F.ceil(F.col("count") / LARGE).alias("slices"))
+    many = F.coalesce("slices", F.lit(1))
+    members = outer.select(F.col("bundle").alias("other"), "part", F.lit(0).alias("asks"), "sign", "group", "n", "tokens").join(slices, ["other", "part"], "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).select(*task, *row)
+    asking = wanted.join(slices, ["other", "part"], "left").withColumn("slice", F.pmod(F.xxhash64("sign", F.lit("ask")), many)).join(outer.select("sign", "group", "n", "tokens"), "sign").withColumn("asks", F.lit(1)).select(*task, *row)
+    more = members.unionAll(asking).repartition(*task).sortWithinPartitions(*task, "asks").mapInArrow(_open_bundles(share), "a long, b long")
     edges = edges.unionAll(written(more, "links"))
 
     label = components(edges).join(nodes.select(F.col("sign").alias("node"), "rep"), "node")
