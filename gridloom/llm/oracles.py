@@ -55,4 +55,26 @@ SELECT doc_id, coalesce(c.n, 0) AS n_shingles, least(doc_id, coalesce(m.b, doc_i
 FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.a = doc_id
 """
 
-ORACLES = {"op8_jaccard_join": OP8, "op6_decontaminate": OP6, "op1_chat_format": OP1, "op4_url_filter": OP4}
+
+
+def _op12(rounds: int = 3) -> str:
+    """Each round's assignment and centroids as tables of their own; whole numbers in doubles and HUGEINT."""
+    parts = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = 64)",
+        "e AS MATERIALIZED (SELECT r, vec_id, i, CAST(floor(64 * CAST(c AS DOUBLE)) AS DOUBLE) AS c FROM (SELECT r, vec_id, unnest(range(64)) AS i, unnest(embedding) AS c FROM v))",
+        "x AS MATERIALIZED (SELECT r, vec_id, list(c ORDER BY i) AS x FROM e GROUP BY r, vec_id HAVING count(c) = 64 AND bool_and(isfinite(c)))",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, x AS c FROM (SELECT sha256('1:' || vec_id) AS h, x FROM x ORDER BY h LIMIT 16))",
+    ]
+    for n in range(rounds + 1):
+        d = "list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)"
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, vec_id, m.k AS cluster, CAST(m.d AS BIGINT) AS distance FROM (SELECT r, vec_id, min({{'d': {d}, 'k': cluster}}) AS m FROM x, c{n} GROUP BY r, vec_id))")
+        if n < rounds:
+            parts.append(f"m{n} AS MATERIALIZED (SELECT a.cluster, i, sum(CAST(c AS HUGEINT)) AS s, count(*) AS n FROM a{n} a JOIN e USING (r) GROUP BY a.cluster, i)")
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT k.cluster, coalesce(l.c, k.c) AS c FROM c{n} k LEFT JOIN (SELECT cluster, list(CAST((s - ((s % n) + n) % n) / n AS DOUBLE) ORDER BY i) AS c FROM m{n} GROUP BY cluster) l USING (cluster))")
+    n = rounds
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(a.cluster AS INT) AS cluster, distance, count(*) OVER w AS cluster_size, CAST(sum(distance) OVER w AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, s.h AS centroid_sha256
+FROM a{n} a JOIN (SELECT cluster, sha256(array_to_string(CAST(c AS BIGINT[]), ',')) AS h FROM c{n}) s USING (cluster) WINDOW w AS (PARTITION BY a.cluster)"""
+
+
+ORACLES = {"op12_ball_kmeans": _op12(), "op8_jaccard_join": OP8, "op6_decontaminate": OP6, "op1_chat_format": OP1, "op4_url_filter": OP4}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, decontaminate, jaccard, langid, lm, media, quality, suffix, url_filter
+from gridloom.llm import bpe, chat, clustering, decontaminate, jaccard, langid, lm, media, quality, suffix, toxicity, url_filter, whitening
 from gridloom.llm.common import new_path, small_batches, table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -27,14 +27,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     weights = quality.train(docs, labels.filter(quality.fold_of("doc_id", 5) != 0))
-    return quality.score(docs, weights).select("doc_id", (quality.fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return quality.score(docs, weights).select("doc_id", F.coalesce(quality.fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.select("doc_id", "text", "lang").filter(quality.fold_of("doc_id", 4) != 2))
-    return langid.predict(docs, model).withColumn("held_out", quality.fold_of("doc_id", 4) == 2)
+    return langid.predict(docs, model).withColumn("held_out", F.coalesce(quality.fold_of("doc_id", 4) == 2, F.lit(False)))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(bpe.decode(encoded, bpe.token_bytes(spark, ranks)))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.train(docs, labels.filter(quality.fold_of("doc_id", 4) != 2))
+    scores = toxicity.score(docs, model)
+    return scores.select("doc_id", F.coalesce(quality.fold_of("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_quality": op2_quality,
@@ -86,4 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_media_columns": op9_media_columns,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_whitening": op11_whitening,
+    "op12_ball_kmeans": op12_ball_kmeans,
+    "op13_toxicity": op13_toxicity,
 }
