@@ -49,13 +49,14 @@ class Grid:
         return at.join(self.df, ["row", "col"])
 
     def sample_bilinear(self, points: DataFrame, layer: str) -> DataFrame:
-        """points (..., fr, fc: fractional row and column) with the layer interpolated from the four cells around; null off the grid."""
-        corners = points.withColumn("corner", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))))
+        """points (..., fr, fc: fractional row and column) with the layer interpolated from the four cells around; null off the grid. Equal points each have a row. Each place is sampled once: places meet the cells, points meet places."""
+        places = points.select("fr", "fc").filter("fr is not null and fc is not null").distinct()
+        corners = places.withColumn("corner", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))))
         corners = corners.withColumn("row", (F.floor("fr") + F.col("corner.i")).cast("int")).withColumn("col", (F.floor("fc") + F.col("corner.j")).cast("int"))
         weight = (1 - F.abs(F.col("fr") - F.col("row"))) * (1 - F.abs(F.col("fc") - F.col("col")))
-        joined = corners.withColumn("weight", weight).filter("weight > 0").join(self.df.select("row", "col", F.col(layer).alias("value")), ["row", "col"], "left")
-        keys = points.columns
-        return joined.groupBy(*keys).agg(F.when(F.count_if(F.col("value").isNull()) == 0, F.sum(F.col("weight") * F.col("value"))).alias(layer))
+        joined = corners.withColumn("weight", weight).filter("weight > 0").join(self.df.select("row", "col", F.col(layer).alias("_value")), ["row", "col"], "left")
+        sampled = joined.groupBy("fr", "fc").agg(F.when(F.count_if(F.col("_value").isNull()) == 0, F.sum(F.col("weight") * F.col("_value"))).alias("_sampled"))
+        return points.drop(layer).join(sampled, ["fr", "fc"], "left").select(*(F.col(c) for c in points.columns if c != layer), F.col("_sampled").alias(layer))
 
     def resample(self, layers: str | list[str], factor: float, height: int, width: int, nearest: bool = False) -> DataFrame:
         """row, col and the layers of a grid with cells factor times as large: bilinear at the new cells' centres (at the edge, and beside nulls, by the cells there are), or nearest. One join, however many layers."""

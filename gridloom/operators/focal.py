@@ -1,23 +1,90 @@
-"""Focal operators: windows along rows and columns of a dense grid.
+"""Focal operators: kernels over tiles with halos of a dense grid.
 
-A separable filter is two passes of one window each. Edges are padded with the cells that the boundary rule names, so
-that the window itself needs no special case; padding adds a few cells to each line.
+However many filters and gradients follow each other, the grid is exchanged once: a chain's halo is as wide as its
+kernels reach together. Nulls are NaN within kernels; a gradient takes the cells there are, as at an edge, a mean
+leaves nulls out, and a blur is null where it meets one.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid
+from gridloom.operators import tiles
+from gridloom.operators.tiles import Arrays
 
-_OTHER = {"row": "col", "col": "row"}
+_AXIS = {"row": 0, "col": 1}
+_EDGE = {"reflect": "symmetric", "nearest": "edge"}
 
 
-def along(axis: str) -> Window:
-    return Window.partitionBy(_OTHER[axis]).orderBy(axis)
+# --- kernels: functions of whole arrays -------------------------------------------------------------------------------
+
+
+def difference(z: np.ndarray, axis: str, cell: float) -> np.ndarray:
+    """Central differences, one-sided at the edges."""
+    k = _AXIS[axis]
+    gone = np.full_like(np.take(z, [0], k), np.nan)
+    before = np.concatenate([gone, np.take(z, range(z.shape[k] - 1), k)], k)
+    after = np.concatenate([np.take(z, range(1, z.shape[k]), k), gone], k)
+    n = (~np.isnan(before)).astype(int) + ~np.isnan(after)
+    return (np.where(np.isnan(after), z, after) - np.where(np.isnan(before), z, before)) / (cell * n)
+
+
+def _windows(z: np.ndarray, k: int, axis: int, mode: str) -> np.ndarray:
+    pad = [(0, 0), (0, 0)]
+    pad[axis] = (k, k)
+    return np.lib.stride_tricks.sliding_window_view(np.pad(z, pad, mode=_EDGE[mode]), 2 * k + 1, axis)
+
+
+def mean(z: np.ndarray, size: int, mode: str = "reflect") -> np.ndarray:
+    """Over size x size cells: along columns, then along rows."""
+    for axis in (1, 0):
+        w = _windows(z, size // 2, axis, mode)
+        z = np.nansum(w, -1) / (~np.isnan(w)).sum(-1)
+    return z
+
+
+def kernel(sigma: float) -> list[float]:
+    r = int(4 * sigma + 0.5)
+    w = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
+    return [x / sum(w) for x in w]
+
+
+def blur(z: np.ndarray, sigma: float, mode: str = "reflect") -> np.ndarray:
+    if not sigma:
+        return z
+    w = np.array(kernel(sigma))
+    for axis in (1, 0):
+        z = _windows(z, len(w) // 2, axis, mode) @ w
+    return z
+
+
+def steepness(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+    return np.degrees(np.arctan(np.sqrt(dx * dx + dy * dy)))
+
+
+def ruggedness(z: np.ndarray) -> np.ndarray:
+    return np.abs(z - (9 * mean(z, 3) - z) / 8)
+
+
+def curvatures(z: np.ndarray, cell: float) -> Arrays:
+    dx, dy = difference(z, "col", cell), difference(z, "row", cell)
+    dxx, dxy, dyy = difference(dx, "col", cell), difference(dx, "row", cell), difference(dy, "row", cell)
+    p = np.maximum(dx * dx + dy * dy, 1e-6) ** 1.5
+    p[np.isnan(dx + dy)] = np.nan
+    return {"dx": dx, "dy": dy, "curvature_profile": -(dxx * dx * dx + 2 * dxy * dx * dy + dyy * dy * dy) / p, "curvature_plan": -(dxx * dy * dy - 2 * dxy * dx * dy + dyy * dx * dx) / p}
+
+
+def deviation(z: np.ndarray, size: int) -> np.ndarray:
+    m = mean(z, size)
+    return np.sqrt(np.maximum(0.0, mean(z * z, size) - m * m))
+
+
+# --- operators on grids -----------------------------------------------------------------------------------------------
 
 
 def fill_mean(grid: Grid, layer: str = "z") -> Grid:
@@ -28,17 +95,10 @@ def fill_mean(grid: Grid, layer: str = "z") -> Grid:
     return grid.with_df(grid.df.crossJoin(F.broadcast(mean)).withColumn(layer, F.coalesce(clean, "mean")).drop("mean"))
 
 
-def gradient(df: DataFrame, layer: str, axis: str, cell: float, out: str) -> DataFrame:
-    """Central differences, one-sided at the edges."""
-    w = along(axis)
-    before, after, z = F.lag(layer).over(w), F.lead(layer).over(w), F.col(layer)
-    n = before.isNotNull().cast("int") + after.isNotNull().cast("int")
-    return df.withColumn(out, (F.coalesce(after, z) - F.coalesce(before, z)) / (cell * n))
-
-
 def gradients(grid: Grid, layer: str = "z") -> DataFrame:
     """Adds dx (eastward) and dy (southward)."""
-    return gradient(gradient(grid.df, layer, "col", grid.cell, "dx"), layer, "row", grid.cell, "dy")
+    cell = grid.cell
+    return tiles.apply(grid, [layer], ["dx", "dy"], 1, lambda a: {"dx": difference(a[layer], "col", cell), "dy": difference(a[layer], "row", cell)})
 
 
 def slope_of(dx: Column, dy: Column) -> Column:
@@ -54,25 +114,10 @@ def aspect(grid: Grid) -> DataFrame:
     return gradients(grid).withColumn("aspect_cos", F.cos(angle)).withColumn("aspect_sin", F.sin(angle))
 
 
-def _padded(df: DataFrame, axis: str, n: int, k: int, mode: str) -> DataFrame:
-    """Each line with k more cells at both ends: mirrored with the edge cell (reflect), or the edge cell itself (nearest)."""
-    i = F.col(axis)
-    if mode == "reflect":
-        places = F.array_compact(F.array(i, F.when(i < k, -1 - i), F.when(i >= n - k, 2 * n - 1 - i)))
-    else:
-        places = F.concat(F.array(i), F.when(i == 0, F.sequence(F.lit(-k), F.lit(-1))).otherwise(F.array().cast("array<int>")), F.when(i == n - 1, F.sequence(F.lit(n), F.lit(n + k - 1))).otherwise(F.array().cast("array<int>")))
-    return df.withColumn(axis, F.explode(places))
-
-
 def boxes(grid: Grid, means: list[tuple[str, int, str]], mode: str = "reflect") -> DataFrame:
-    """Adds means (layer, size, out) over size x size cells. All along one axis come first, then all along the other: two exchanges, however many means."""
-    df = grid.df.select("*", *(F.col(layer).alias(out) for layer, _, out in means))
-    for axis, n in (("col", grid.width), ("row", grid.height)):
-        for size in sorted({size for _, size, _ in means}):
-            k = size // 2
-            w = along(axis).rowsBetween(-k, k)
-            df = _padded(df, axis, n, k, mode).withColumns({out: F.avg(out).over(w) for _, s, out in means if s == size}).filter(F.col(axis).between(0, n - 1))
-    return df
+    """Adds means (layer, size, out) over size x size cells."""
+    reach = max((size // 2 for _, size, _ in means), default=0)
+    return tiles.apply(grid, sorted({x for x, _, _ in means}), [out for *_, out in means], reach, lambda a: {out: mean(a[layer], size, mode) for layer, size, out in means})
 
 
 def box(grid: Grid, layer: str, size: int, out: str, mode: str = "reflect") -> DataFrame:
@@ -80,23 +125,9 @@ def box(grid: Grid, layer: str, size: int, out: str, mode: str = "reflect") -> D
     return boxes(grid, [(layer, size, out)], mode)
 
 
-def kernel(sigma: float) -> list[float]:
-    r = int(4 * sigma + 0.5)
-    w = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
-    return [x / sum(w) for x in w]
-
-
 def gaussians(grid: Grid, layers: dict[str, str], sigma: float, mode: str = "reflect") -> DataFrame:
-    """Adds each layer blurred, by name of the result: two exchanges, however many layers."""
-    df = grid.df.select("*", *(F.col(layer).alias(out) for out, layer in layers.items()))
-    if not sigma:
-        return df
-    w = kernel(sigma)
-    k = len(w) // 2
-    at = lambda c, j, axis: (F.lead(c, j).over(along(axis)) if j > 0 else F.lag(c, -j).over(along(axis)) if j < 0 else F.col(c)) * w[j + k]
-    for axis, n in (("col", grid.width), ("row", grid.height)):
-        df = _padded(df, axis, n, k, mode).withColumns({c: sum(at(c, j, axis) for j in range(-k, k + 1)) for c in layers}).filter(F.col(axis).between(0, n - 1))
-    return df
+    """Adds each layer blurred, by name of the result."""
+    return tiles.apply(grid, sorted(set(layers.values())), list(layers), int(4 * sigma + 0.5), lambda a: {out: blur(a[layer], sigma, mode) for out, layer in layers.items()})
 
 
 def gaussian(grid: Grid, layer: str, sigma: float, out: str, mode: str = "reflect") -> DataFrame:
@@ -105,13 +136,16 @@ def gaussian(grid: Grid, layer: str, sigma: float, out: str, mode: str = "reflec
 
 def masked_gaussian(grid: Grid, layer: str, mask: str, sigma: float, out: str, mode: str = "nearest") -> DataFrame:
     """G(mask * x) / max(G(mask), 1e-6) where mask is 1, else null."""
-    df = grid.df.withColumn("_m", F.col(mask).cast("double")).withColumn("_x", F.when(F.col(mask) == 1, F.col(layer)).otherwise(0.0))
-    df = gaussians(grid.with_df(df), {"_gx": "_x", "_gm": "_m"}, sigma, mode)
-    return df.withColumn(out, F.when(F.col(mask) == 1, F.col("_gx") / F.greatest("_gm", F.lit(1e-6)))).drop("_m", "_x", "_gx", "_gm")
+
+    def run(a: Arrays) -> Arrays:
+        x = np.where(a[mask] == 1, a[layer], np.where(np.isnan(a[mask]), np.nan, 0.0))
+        return {out: np.where(a[mask] == 1, blur(x, sigma, mode) / np.maximum(blur(a[mask], sigma, mode), 1e-6), np.nan)}
+
+    return tiles.apply(grid, [layer, mask], [out], int(4 * sigma + 0.5), run)
 
 
-def _tri(mean: str) -> Column:
-    return F.abs(F.col("z") - (9 * F.col(mean) - F.col("z")) / 8)
+def tri(grid: Grid) -> DataFrame:
+    return tiles.apply(grid, ["z"], ["tri"], 1, lambda a: {"tri": ruggedness(a["z"])})
 
 
 def _tpi_size(grid: Grid, radius_m: float) -> int:
@@ -119,46 +153,25 @@ def _tpi_size(grid: Grid, radius_m: float) -> int:
     return size + (size + 1) % 2
 
 
-def _deviation(mean: str, mean_square: str) -> Column:
-    return F.sqrt(F.greatest(F.lit(0.0), F.col(mean_square) - F.col(mean) * F.col(mean)))
-
-
-def tri(grid: Grid) -> DataFrame:
-    return box(grid, "z", 3, "_mean").withColumn("tri", _tri("_mean")).drop("_mean")
-
-
 def tpi(grid: Grid, radius_m: float = 300.0) -> DataFrame:
-    return box(grid, "z", _tpi_size(grid, radius_m), "_mean").withColumn("tpi", F.col("z") - F.col("_mean")).drop("_mean")
+    size = _tpi_size(grid, radius_m)
+    return tiles.apply(grid, ["z"], ["tpi"], size // 2, lambda a: {"tpi": a["z"] - mean(a["z"], size)})
 
 
 def roughness(grid: Grid, size: int = 9) -> DataFrame:
     """Population deviation over size x size cells."""
-    df = grid.df.withColumn("_z2", F.col("z") * F.col("z"))
-    return boxes(grid.with_df(df), [("z", size, "_mean"), ("_z2", size, "_mean2")]).withColumn("roughness", _deviation("_mean", "_mean2")).drop("_z2", "_mean", "_mean2")
-
-
-def _second(grid: Grid) -> DataFrame:
-    """Adds dx, dy, dxx, dxy, dyy: what lies along columns first, so that each axis is exchanged once."""
-    df = grid.df
-    for layer, axis, out in (("z", "col", "dx"), ("dx", "col", "dxx"), ("z", "row", "dy"), ("dx", "row", "dxy"), ("dy", "row", "dyy")):
-        df = gradient(df, layer, axis, grid.cell, out)
-    return df
-
-
-def _curved(df: DataFrame) -> DataFrame:
-    dx, dy, dxx, dxy, dyy = (F.col(c) for c in ("dx", "dy", "dxx", "dxy", "dyy"))
-    p = F.greatest(dx * dx + dy * dy, F.lit(1e-6))
-    return df.withColumn("curvature_profile", -(dxx * dx * dx + 2 * dxy * dx * dy + dyy * dy * dy) / F.pow(p, F.lit(1.5))).withColumn("curvature_plan", -(dxx * dy * dy - 2 * dxy * dx * dy + dyy * dx * dx) / F.pow(p, F.lit(1.5)))
+    return tiles.apply(grid, ["z"], ["roughness"], size // 2, lambda a: {"roughness": deviation(a["z"], size)})
 
 
 def curvature(grid: Grid) -> DataFrame:
-    return _curved(_second(grid))
+    cell = grid.cell
+    return tiles.apply(grid, ["z"], ["dx", "dy", "curvature_profile", "curvature_plan"], 2, lambda a: curvatures(a["z"], cell))
 
 
 def hillshade(grid: Grid, azimuth: float = 315.0, altitude: float = 45.0, stride: int = 1) -> DataFrame:
     """On every stride-th row and column, taken as a grid of its own."""
     df = grid.df.filter((F.col("row") % stride == 0) & (F.col("col") % stride == 0)).withColumn("row", (F.col("row") / stride).cast("int")).withColumn("col", (F.col("col") / stride).cast("int"))
-    df = gradient(gradient(df, "z", "col", grid.cell * stride, "dx"), "z", "row", grid.cell * stride, "dy")
+    df = gradients(Grid(df, -(-grid.height // stride), -(-grid.width // stride), grid.cell * stride))
     steep, facing = F.atan(F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)), F.atan2(-F.col("dy"), F.col("dx"))
     sun, high = math.radians(360 - azimuth + 90), math.radians(altitude)
     shade = math.sin(high) * F.cos(steep) + math.cos(high) * F.sin(steep) * F.cos(sun - facing)
@@ -166,10 +179,12 @@ def hillshade(grid: Grid, azimuth: float = 315.0, altitude: float = 45.0, stride
 
 
 def terrain(grid: Grid, radius_m: float = 300.0, size: int = 9) -> DataFrame:
-    """All eight terrain factors on one frame, nulls of z filled. The means and the gradients pass along columns, then along rows."""
-    grid = fill_mean(grid)
-    df = _second(grid).withColumn("_z2", F.col("z") * F.col("z"))
-    df = boxes(grid.with_df(df), [("z", 3, "_m3"), ("z", _tpi_size(grid, radius_m), "_mt"), ("z", size, "_mr"), ("_z2", size, "_mr2")])
-    angle = F.atan2(-F.col("dy"), F.col("dx"))
-    out = {"slope": slope_of(F.col("dx"), F.col("dy")), "aspect_cos": F.cos(angle), "aspect_sin": F.sin(angle), "tri": _tri("_m3"), "tpi": F.col("z") - F.col("_mt"), "roughness": _deviation("_mr", "_mr2")}
-    return _curved(df).withColumns(out).drop("dx", "dy", "dxx", "dxy", "dyy", "_z2", "_m3", "_mt", "_mr", "_mr2")
+    """All eight terrain factors on one frame, nulls of z filled, in one exchange."""
+    cell, wide = grid.cell, _tpi_size(grid, radius_m)
+
+    def run(a: Arrays) -> Arrays:
+        z, c = a["z"], curvatures(a["z"], cell)
+        angle = np.arctan2(-c["dy"], c["dx"])
+        return c | {"slope": steepness(c["dx"], c["dy"]), "aspect_cos": np.cos(angle), "aspect_sin": np.sin(angle), "tri": ruggedness(z), "tpi": z - mean(z, wide), "roughness": deviation(z, size)}
+
+    return tiles.apply(fill_mean(grid), ["z"], ["slope", "aspect_cos", "aspect_sin", "tri", "tpi", "curvature_profile", "curvature_plan", "roughness"], max(2, wide // 2, size // 2), run)

@@ -1,12 +1,14 @@
-"""Risk layers from terrain."""
+"""Risk layers from terrain. Gradients, what they weigh, and the blur of it are one kernel each, so one exchange."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid
-from gridloom.operators import focal
+from gridloom.operators import focal, tiles
+from gridloom.operators.tiles import Arrays
 
 
 def clip(x: Column, low: float, high: float) -> Column:
@@ -14,11 +16,17 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 
 def typhoon(grid: Grid, sigma: float = 2.0) -> DataFrame:
-    df = focal.slope(grid)
-    facing = F.pmod(F.degrees(F.atan2(-F.col("dy"), F.col("dx"))) + 360.0, F.lit(360.0))
-    windward = F.when((facing >= 45) & (facing < 225), 1.0).otherwise(0.3)
-    df = df.withColumn("_risk", 0.4 * clip(F.col("slope") / 45, 0, 1) + 0.35 * windward + 0.25 * (1 - clip(F.col("z") / 3000, 0, 1)))
-    return focal.gaussian(grid.with_df(df), "_risk", sigma, "typhoon").drop("_risk")
+    """Adds slope and typhoon."""
+    cell = grid.cell
+
+    def run(a: Arrays) -> Arrays:
+        z, dx, dy = a["z"], focal.difference(a["z"], "col", cell), focal.difference(a["z"], "row", cell)
+        slope, facing = focal.steepness(dx, dy), (np.degrees(np.arctan2(-dy, dx)) + 360.0) % 360.0
+        windward = np.where((facing >= 45) & (facing < 225), 1.0, 0.3)
+        risk = 0.4 * np.clip(slope / 45, 0, 1) + 0.35 * windward + 0.25 * (1 - np.clip(z / 3000, 0, 1))
+        return {"slope": slope, "typhoon": focal.blur(risk, sigma)}
+
+    return tiles.apply(grid, ["z"], ["slope", "typhoon"], 1 + int(4 * sigma + 0.5), run)
 
 
 def seismic(grid: Grid) -> DataFrame:
@@ -26,6 +34,13 @@ def seismic(grid: Grid) -> DataFrame:
 
 
 def landslide(grid: Grid, sigma: float = 2.0) -> DataFrame:
-    df = focal.tri(grid.with_df(focal.curvature(grid))).withColumn("slope", focal.slope_of(F.col("dx"), F.col("dy")))
-    risk = 0.45 * clip((F.col("slope") - 15) / 30, 0, 1) + 0.30 * clip(F.col("tri") / 200, 0, 1) + 0.25 * clip((F.col("curvature_profile") + 0.01) / 0.02, 0, 1)
-    return focal.gaussian(grid.with_df(df.withColumn("_risk", risk)), "_risk", sigma, "landslide").drop("_risk")
+    """Adds slope, tri, curvature_profile and landslide."""
+    cell = grid.cell
+
+    def run(a: Arrays) -> Arrays:
+        c, tri = focal.curvatures(a["z"], cell), focal.ruggedness(a["z"])
+        slope = focal.steepness(c["dx"], c["dy"])
+        risk = 0.45 * np.clip((slope - 15) / 30, 0, 1) + 0.30 * np.clip(tri / 200, 0, 1) + 0.25 * np.clip((c["curvature_profile"] + 0.01) / 0.02, 0, 1)
+        return {"slope": slope, "tri": tri, "curvature_profile": c["curvature_profile"], "landslide": focal.blur(risk, sigma)}
+
+    return tiles.apply(grid, ["z"], ["slope", "tri", "curvature_profile", "landslide"], 2 + int(4 * sigma + 0.5), run)

@@ -169,6 +169,18 @@ sp AS (
       WHERE q.path_id = s.path_id AND q.seq > s.i AND q.seq < s.j AND a.path_id = s.path_id AND a.seq = s.i AND b.path_id = s.path_id AND b.seq = s.j) m
     GROUP BY s.path_id, s.i, s.j) WHERE most > 90 / 111000.0::DOUBLE)"""
 
+#: CTEs e, the ends of the routes, and s, what it costs at least to reach each cell of each route.
+_REACHED = f"""WITH RECURSIVE {G}, c AS MATERIALIZED (SELECT row, col, (z + 1000) / 1000 AS cost FROM g WHERE z < 250),
+m AS MATERIALIZED (SELECT a.row AS r0, a.col AS c0, b.row, b.col, b.cost * CASE WHEN a.row <> b.row AND a.col <> b.col THEN 1.414::DOUBLE ELSE 1 END AS w
+  FROM c a JOIN c b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND (a.row <> b.row OR a.col <> b.col)
+  WHERE a.row = b.row OR a.col = b.col OR (EXISTS (SELECT 1 FROM c x WHERE x.row = a.row AND x.col = b.col) AND EXISTS (SELECT 1 FROM c x WHERE x.row = b.row AND x.col = a.col))),
+e AS MATERIALIZED (SELECT n_nationkey::BIGINT AS path_id, CAST(floor((n_nationkey * 17 % 60) * (h - 1) / 99.0::DOUBLE) AS INT) AS r0, CAST(n_nationkey * 11 % 60 AS INT) AS c0, CAST(floor((n_nationkey * 29 % 60 + 40) * (h - 1) / 99.0::DOUBLE) AS INT) AS r1, CAST(n_nationkey * 7 % 60 AS INT) AS c1 FROM nation, dim),
+s(path_id, row, col, g) USING KEY (path_id, row, col) AS (
+  SELECT path_id, r0, c0, 0.0::DOUBLE FROM e JOIN c ON c.row = r0 AND c.col = c0
+  UNION
+  SELECT s.path_id, m.row, m.col, min(s.g + m.w) FROM s JOIN m ON m.r0 = s.row AND m.c0 = s.col LEFT JOIN recurring.s k ON k.path_id = s.path_id AND k.row = m.row AND k.col = m.col
+  WHERE k.g IS NULL OR s.g + m.w < k.g GROUP BY 1, 2, 3)"""
+
 ORACLES: dict[str, str] = {
     "grid_slope_by_row": f"WITH {G}, {gradients()} SELECT row, count(*) AS n, {r6(f'avg({SLOPE})')} AS slope_mean, {r6(f'max({SLOPE})')} AS slope_max FROM d GROUP BY row",
     "grid_aspect": f"WITH {G}, {gradients()} SELECT row, col, {r6('cos(atan2(-dy, dx))')} AS aspect_cos, {r6('sin(atan2(-dy, dx))')} AS aspect_sin FROM d",
@@ -245,16 +257,12 @@ ORACLES: dict[str, str] = {
     "validation_summary": "WITH r AS (SELECT o_custkey % 10 AS c, o_orderkey % 3 AS a, round(max(o_totalprice), 2) AS h, count(*) AS n, count(*) FILTER (o_totalprice > 100000) > 50 AS ok FROM orders GROUP BY 1, 2) SELECT count(*) AS n, count(*) FILTER (ok) AS n_passed, round(avg(h), 4) AS hausdorff_m_mean, round(avg(n), 4) AS n_mean, round(median(h), 4) AS hausdorff_m_median, round(median(n), 4) AS n_median FROM r",
     "rasterize_lines": f"WITH {P}, {_NEXT}, s AS (SELECT (lon - 120) / 0.01::DOUBLE AS x0, (25.4 - lat) / 0.01::DOUBLE AS y0, (lon1 - 120) / 0.01::DOUBLE AS x1, (25.4 - lat1) / 0.01::DOUBLE AS y1 FROM n WHERE lon1 IS NOT NULL), r AS (SELECT *, unnest(range(CAST(greatest(floor(least(y0, y1)), 0) AS BIGINT), CAST(least(floor(greatest(y0, y1)), 349) AS BIGINT) + 1)) AS row FROM s), c AS (SELECT *, unnest(range(CAST(greatest(floor(least(x0, x1)), 0) AS BIGINT), CAST(least(floor(greatest(x0, x1)), 199) AS BIGINT) + 1)) AS col FROM r), h AS (SELECT DISTINCT row, col FROM c WHERE {_MEETS}) SELECT CAST(row AS INT) AS row, count(*) AS cells, CAST(min(col) AS INT) AS first, CAST(max(col) AS INT) AS last FROM h GROUP BY row",
     "polygons_raster": f"WITH t AS (SELECT c_custkey AS id, [(c_custkey * 7 % 1000) / 500.0, (c_custkey * 11 % 1000) / 500.0, (c_custkey * 3 % 1000) / 500.0] AS xs, [(c_custkey * 13 % 1000) / 300.0, (c_custkey * 5 % 1000) / 300.0, (c_custkey * 17 % 1000) / 300.0] AS ys FROM customer WHERE c_nationkey = 3), e AS MATERIALIZED (SELECT id, (120.00037::DOUBLE + xs[k]::DOUBLE - 120) / 0.05::DOUBLE AS x0, (25.4 - (22.00041::DOUBLE + ys[k]::DOUBLE)) / 0.05::DOUBLE AS y0, (120.00037::DOUBLE + xs[k % 3 + 1]::DOUBLE - 120) / 0.05::DOUBLE AS x1, (25.4 - (22.00041::DOUBLE + ys[k % 3 + 1]::DOUBLE)) / 0.05::DOUBLE AS y1 FROM t, range(1, 4) i(k)), g AS (SELECT a.row, b.col FROM range(70) a(row), range(40) b(col)), h AS (SELECT DISTINCT row, col FROM e, g WHERE {_MEETS} UNION SELECT row, col FROM e, g WHERE (y0 <= row + 0.5) <> (y1 <= row + 0.5) AND x0 + (row + 0.5 - y0) / (y1 - y0) * (x1 - x0) > col + 0.5 GROUP BY id, row, col HAVING count(*) % 2 = 1) SELECT CAST(row AS INT) AS row, count(*) AS cells, CAST(min(col) AS INT) AS first, CAST(max(col) AS INT) AS last FROM (SELECT DISTINCT row, col FROM h) GROUP BY row",
-    "astar_routes": f"""WITH RECURSIVE {G}, c AS MATERIALIZED (SELECT row, col, (z + 1000) / 1000 AS cost FROM g WHERE z < 250),
-m AS MATERIALIZED (SELECT a.row AS r0, a.col AS c0, b.row, b.col, b.cost * CASE WHEN a.row <> b.row AND a.col <> b.col THEN 1.414::DOUBLE ELSE 1 END AS w
-  FROM c a JOIN c b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND (a.row <> b.row OR a.col <> b.col)
-  WHERE a.row = b.row OR a.col = b.col OR (EXISTS (SELECT 1 FROM c x WHERE x.row = a.row AND x.col = b.col) AND EXISTS (SELECT 1 FROM c x WHERE x.row = b.row AND x.col = a.col))),
-e AS MATERIALIZED (SELECT n_nationkey::BIGINT AS path_id, CAST(floor((n_nationkey * 17 % 60) * (h - 1) / 99.0::DOUBLE) AS INT) AS r0, CAST(n_nationkey * 11 % 60 AS INT) AS c0, CAST(floor((n_nationkey * 29 % 60 + 40) * (h - 1) / 99.0::DOUBLE) AS INT) AS r1, CAST(n_nationkey * 7 % 60 AS INT) AS c1 FROM nation, dim),
-s(path_id, row, col, g) USING KEY (path_id, row, col) AS (
-  SELECT path_id, r0, c0, 0.0::DOUBLE FROM e JOIN c ON c.row = r0 AND c.col = c0
-  UNION
-  SELECT s.path_id, m.row, m.col, min(s.g + m.w) FROM s JOIN m ON m.r0 = s.row AND m.c0 = s.col LEFT JOIN recurring.s k ON k.path_id = s.path_id AND k.row = m.row AND k.col = m.col
-  WHERE k.g IS NULL OR s.g + m.w < k.g GROUP BY 1, 2, 3)
+    "astar_routes": f"""{_REACHED}
 SELECT e.path_id, CASE WHEN s.g IS NULL THEN 'NO_ROUTE' ELSE 'OK' END AS status, round(s.g, 6) + 0.0 AS total FROM e LEFT JOIN s ON s.path_id = e.path_id AND s.row = e.r1 AND s.col = e.c1""",
+    "opened_cells": f"""{_REACHED},
+k AS (SELECT e.*, t.g AS total, low FROM e JOIN c a ON a.row = r0 AND a.col = c0 JOIN c b ON b.row = r1 AND b.col = c1 LEFT JOIN s t ON t.path_id = e.path_id AND t.row = r1 AND t.col = c1, (SELECT min(cost) AS low FROM c)),
+f AS (SELECT k.path_id, total, g, g + low * (greatest(abs(row - r1), abs(col - c1)) + 0.414::DOUBLE * least(abs(row - r1), abs(col - c1))) AS least FROM k JOIN s USING (path_id)),
+n AS (SELECT path_id, count(*) FILTER (total IS NULL OR least < total - 1e-9) AS yes, count(*) FILTER (total IS NULL OR g < total - 1e-9) AS no FROM f GROUP BY path_id)
+SELECT e.path_id, i.informed, coalesce(CASE WHEN i.informed THEN n.yes ELSE n.no END, 0) AS opened FROM e LEFT JOIN n USING (path_id), (VALUES (true), (false)) i(informed)""",
     "rdp_simplify": f"WITH RECURSIVE {T}, {_SIMPLE} SELECT path_id, CAST(seq AS BIGINT) AS seq, {r6('lon')} AS lon, {r6('lat')} AS lat FROM p WHERE (path_id, seq) IN (SELECT path_id, i FROM sp UNION SELECT path_id, j FROM sp)",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,18 +22,23 @@ def build(master: str = "local[*]", partitions: int = 8) -> SparkSession:
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without that setting gets a folder of its own."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="gridloom-")
+    atexit.register(shutil.rmtree, own, True)
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed, in spark.checkpoint.dir. Only a local session without that setting gets a folder of its own."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            found = tempfile.mkdtemp(prefix="gridloom-")
-            atexit.register(shutil.rmtree, found, True)
-        spark.sparkContext.setCheckpointDir(found)
-    return df.checkpoint()
+    """df, computed, as a table in the shared folder. Unlike checkpoint(), what the optimizer has derived of df's rows ends here too: in loops of self-joins that grows with every round."""
+    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def r6(x: Column | str) -> Column:
