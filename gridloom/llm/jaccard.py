@@ -107,7 +107,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, at = tokens.shingle_sets(tokens.words(batch.column("text")))
         signs = _signatures(h, at)
         sizes = np.diff(at)
-        keep = np.flatnonzero((signs.view(np.int64) == batch.column("sign").to_numpy()) & (sizes > 0))
+        keep = np.flatnonzero(sizes > 0)
         if not len(keep):
             continue
         sets = [(h[at[i] : at[i + 1]] >> np.uint64(1)).view(np.int64) for i in keep]
@@ -222,8 +222,11 @@ def linked(docs: DataFrame, share: int = 75, stable: bool = False) -> DataFrame:
     nodes = bounds.filter("n_shingles > 0").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("live").alias("live"))
     open_ = written(nodes.filter(F.col("live") >= _need(F.col("n"), share)).select("rep", "sign"), "open-sets")
     few = open_.count() <= BROADCAST_SETS
-    found = docs.join(F.broadcast(open_) if few else open_, docs["doc_id"].eqNullSafe(open_["rep"])).select("sign", "text").mapInArrow(_sets, "sign long, n long, low long, low2 long, tokens array<long>")
-    sets = written(found.dropDuplicates(["sign"]), "shingle-sets")
+    # each id once, so that a row comes once, however many texts share its id; of their sets, the open ones stay
+    reps = open_.select("rep").distinct()
+    found = docs.join(F.broadcast(reps) if few else reps, docs["doc_id"].eqNullSafe(reps["rep"])).select("text").mapInArrow(_sets, "sign long, n long, low long, low2 long, tokens array<long>")
+    signs = open_.select("sign")
+    sets = written(found.dropDuplicates(["sign"]).join(F.broadcast(signs) if few else signs, "sign", "left_semi"), "shingle-sets")
 
     edges = written(_similar(sets, "low", share).unionAll(_similar(sets, "low2", share)), "links")
     groups = components(edges)

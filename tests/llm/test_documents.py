@@ -112,3 +112,12 @@ def test_language_is_learned(spark):
     assert {x.lang_pred for x in langid.predict(df, nothing).collect()} == {"und"}
     assert langid.predict(df.limit(0), model).count() == 0
     assert df.filter(F.col("lang") == "aa").count() > 0
+
+
+def test_many_texts_without_ids(spark):
+    """Rows that share an id, or have none, come once each: their number doesn't square before their sets are told apart."""
+    small_batches(spark)
+    rows = [(None, f"text {i} has words of its own number {i * 7} and {i % 50} more {i * 31}") for i in range(3000)] + [(7, rows_text) for rows_text in ("a b c d e f g", "h i j k l m n", "a b c d e f g")]
+    got = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 3003 and sum(r.doc_id is None for r in got) == 3000
+    assert {r.component_id for r in got if r.doc_id == 7} == {7}
