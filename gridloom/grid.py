@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.crs import System, system
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -60,9 +62,12 @@ class Grid:
 
     def resample(self, layers: str | list[str], factor: float, height: int, width: int, nearest: bool = False) -> DataFrame:
         """row, col and the layers of a grid with cells factor times as large: bilinear at the new cells' centres (at the edge, and beside nulls, by the cells there are), or nearest. One join, however many layers."""
-        layers = [layers] if isinstance(layers, str) else layers
         cells = self.df.sparkSession.range(height * width).select((F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"))
         at = cells.withColumn("fr", (F.col("row") + 0.5) * factor - 0.5).withColumn("fc", (F.col("col") + 0.5) * factor - 0.5)
+        return self._interpolated(at, [layers] if isinstance(layers, str) else layers, nearest)
+
+    def _interpolated(self, at: DataFrame, layers: list[str], nearest: bool) -> DataFrame:
+        """row, col and the layers at the fractional rows and columns of at (row, col, fr, fc); no row where there is no cell."""
         source = self.df.select(F.col("row").alias("r"), F.col("col").alias("c"), *(F.col(x).alias(f"_{x}") for x in layers))
         if nearest:
             return at.withColumn("r", F.floor(F.col("fr") + 0.5).cast("int")).withColumn("c", F.floor(F.col("fc") + 0.5).cast("int")).join(source, ["r", "c"], "left").select("row", "col", *(F.col(f"_{x}").alias(x) for x in layers))
@@ -73,6 +78,17 @@ class Grid:
         mean = lambda x: F.sum(F.col("weight") * F.col(f"_{x}")) / F.sum(F.when(F.col(f"_{x}").isNotNull(), F.col("weight")))
         return joined.groupBy("row", "col").agg(*(mean(x).alias(x) for x in layers))
 
+    def reproject(self, layers: str | list[str], source: str | System, target: Grid, to: str | System = "EPSG:4326", nearest: bool = False) -> Grid:
+        """target with the layers of this grid, which is in another reference system: each of its cells' centres goes to degrees, and from there to a place in this grid, where the layers are interpolated from the cells around, or the nearest is taken. Cells beyond this grid are null. west, north and step of both are in the units of their systems."""
+        layers = [layers] if isinstance(layers, str) else layers
+        here, there = system(source), system(to)
+        cells = self.df.sparkSession.range(target.height * target.width).select((F.col("id") / target.width).cast("int").alias("row"), (F.col("id") % target.width).cast("int").alias("col"))
+        x, y = here.forward(*there.inverse(target.lon_of(F.col("col")), target.lat_of(F.col("row"))))
+        at = cells.withColumn("fr", (self.north - y) / self.step - 0.5).withColumn("fc", (x - self.west) / self.step - 0.5)
+        near = at.filter((F.col("fr") >= -0.5) & (F.col("fr") < self.height - 0.5) & (F.col("fc") >= -0.5) & (F.col("fc") < self.width - 0.5))
+        found = self._interpolated(near, layers, nearest)
+        return target.with_df(cells.join(found, ["row", "col"], "left").select("row", "col", *layers))
+
     def coarser(self, factor: float, df: DataFrame) -> Grid:
         """A grid with cells factor times as large, of df."""
         return Grid(df, max(1, round(self.height / factor)), max(1, round(self.width / factor)), self.cell * factor, self.west, self.north, self.step * factor)

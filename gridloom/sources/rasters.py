@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gridloom import crs as reference
 from gridloom.grid import Grid
+from gridloom.sources.sink import write_files
 
 _TYPES = {(1, 8): "u1", (1, 16): "u2", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
 
@@ -112,9 +114,12 @@ class GeoTiff(DataSource):
         return GeoTiffReader(self.options)
 
 
-def read_elevation(spark: SparkSession, path: str, **window: float) -> DataFrame:
-    """row, col, z of the window; no-data (at most -9999, over 9000, not finite) is null."""
+def read_elevation(spark: SparkSession, path: str, crs: str | reference.System = "EPSG:4326", **window: float) -> DataFrame:
+    """row, col, z of the window; no-data (at most -9999, over 9000, not finite) is null. crs: the file's reference system, into which a window of degrees (west, south, east, north) is turned."""
     spark.dataSource.register(GeoTiff)
+    sides = ("west", "south", "east", "north")
+    if all(k in window for k in sides):
+        window |= reference.bounds(crs, *(window[k] for k in sides))
     return spark.read.format("geotiff").options(**window).load(path)
 
 
@@ -123,6 +128,13 @@ def write_raster(df: DataFrame, path: str, tile: int = 1024) -> None:
     df.withColumn("tile_row", (F.col("row") / tile).cast("int")).withColumn("tile_col", (F.col("col") / tile).cast("int")).write.mode("overwrite").partitionBy("tile_row", "tile_col").parquet(path)
 
 
+def read_raster(spark: SparkSession, path: str, rows: tuple[int, int], cols: tuple[int, int], tile: int = 1024) -> DataFrame:
+    """The cells of write_raster()'s tables within rows and columns (first, and after the last): only the folders of tiles that the window touches are read."""
+    within = lambda c, at: F.col(c).between(at[0], at[1] - 1)
+    of = lambda c, at: F.col(c).between(at[0] // tile, (at[1] - 1) // tile)
+    return spark.read.parquet(path).filter(of("tile_row", rows) & of("tile_col", cols) & within("row", rows) & within("col", cols)).drop("tile_row", "tile_col")
+
+
 NO_DATA = -9999.0
 
 
@@ -146,27 +158,19 @@ def tiff(z: np.ndarray, west: float, north: float, step: float) -> bytes:
     return b"II*\0" + struct.pack("<IH", 8, len(values)) + entries + b"\0\0\0\0" + more + data
 
 
-def write_geotiff(grid: Grid, layer: str, folder: str, tile: int = 1024) -> DataFrame:
-    """Writes the layer when the returned rows (path, cells) are computed: a GeoTIFF for each tile of the grid, renamed when whole, null as NO_DATA. A tile is one task's group."""
+def write_geotiff(grid: Grid, layer: str, folder: str, tile: int = 1024) -> None:
+    """A GeoTIFF of the layer for each tile of the grid, null as NO_DATA, all or none of them. A tile is one task's group."""
     west, north, step = grid.west, grid.north, grid.step
-    store, at = fs.FileSystem.from_uri(folder)
-    store.create_dir(at, recursive=True)
 
-    def write(cells: pa.Table) -> pa.Table:
+    def image(cells: pa.Table) -> pa.Table:
         row, col, z = (cells[c].to_numpy() for c in ("row", "col", layer))
         r0, c0 = int(row.min()) // tile * tile, int(col.min()) // tile * tile
-        image = np.full((int(row.max()) - r0 + 1, int(col.max()) - c0 + 1), np.nan)
-        image[row - r0, col - c0] = z
-        store, at = fs.FileSystem.from_uri(folder)
-        name = f"{at}/{layer}_{r0:07d}_{c0:07d}.tif"
-        part = f"{name}.{TaskContext.get().taskAttemptId()}"
-        with store.open_output_stream(part) as out:
-            out.write(tiff(image, west + c0 * step, north - r0 * step, step))
-        store.move(part, name)
-        return pa.table({"path": [name], "cells": [len(row)]})
+        found = np.full((int(row.max()) - r0 + 1, int(col.max()) - c0 + 1), np.nan)
+        found[row - r0, col - c0] = z
+        return pa.table({"name": [f"{layer}_{r0:07d}_{c0:07d}.tif"], "data": pa.array([tiff(found, west + c0 * step, north - r0 * step, step)], pa.binary())})
 
     of = lambda c: F.floor(F.col(c) / tile)
-    return grid.df.select("row", "col", F.col(layer).cast("double").alias(layer), of("row").alias("tr"), of("col").alias("tc")).groupBy("tr", "tc").applyInArrow(write, "path string, cells long")
+    write_files(grid.df.select("row", "col", F.col(layer).cast("double").alias(layer), of("row").alias("tr"), of("col").alias("tc")).groupBy("tr", "tc").applyInArrow(image, "name string, data binary"), folder)
 
 
 def read_endpoints(spark: SparkSession, path: str, default: dict[str, float]) -> DataFrame:
