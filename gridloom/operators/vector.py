@@ -24,21 +24,26 @@ def classify(*texts: Column) -> Column:
     return out.otherwise(8)
 
 
-def rasterize_lines(grid: Grid, segments: DataFrame) -> DataFrame:
-    """Distinct (row, col) that segments (lon0, lat0, lon1, lat1) touch: a cell counts if the segment meets its closed box. Cells come from the segment's rows; in each row, from the columns it spans there."""
+def touched(grid: Grid, segments: DataFrame, *keep: str) -> DataFrame:
+    """row, col and the columns of keep for each cell that each of segments (lon0, lat0, lon1, lat1) touches: a cell counts if the segment meets its closed box. Cells come from the segment's rows; in each row, from the columns it spans there."""
     x0, x1 = (F.col("lon0") - grid.west) / grid.step, (F.col("lon1") - grid.west) / grid.step
     y0, y1 = (grid.north - F.col("lat0")) / grid.step, (grid.north - F.col("lat1")) / grid.step
-    df = segments.select(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
-    low, high = F.greatest(F.floor(F.least("y0", "y1")), F.lit(0)), F.least(F.floor(F.greatest("y0", "y1")), F.lit(grid.height - 1))
+    df = segments.select(x0.alias("_x0"), y0.alias("_y0"), x1.alias("_x1"), y1.alias("_y1"), *keep)
+    low, high = F.greatest(F.floor(F.least("_y0", "_y1")), F.lit(0)), F.least(F.floor(F.greatest("_y0", "_y1")), F.lit(grid.height - 1))
     df = df.filter(low <= high).withColumn("row", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
     # where the segment enters and leaves the row's strip
-    flat = F.col("y0") == F.col("y1")
-    at = lambda y: F.least(F.greatest((y - F.col("y0")) / F.when(~flat, F.col("y1") - F.col("y0")), F.lit(0.0)), F.lit(1.0))
+    flat = F.col("_y0") == F.col("_y1")
+    at = lambda y: F.least(F.greatest((y - F.col("_y0")) / F.when(~flat, F.col("_y1") - F.col("_y0")), F.lit(0.0)), F.lit(1.0))
     t0, t1 = F.when(flat, 0.0).otherwise(at(F.col("row"))), F.when(flat, 1.0).otherwise(at(F.col("row") + 1))
-    xa, xb = F.col("x0") + t0 * (F.col("x1") - F.col("x0")), F.col("x0") + t1 * (F.col("x1") - F.col("x0"))
+    xa, xb = F.col("_x0") + t0 * (F.col("_x1") - F.col("_x0")), F.col("_x0") + t1 * (F.col("_x1") - F.col("_x0"))
     left, right = F.greatest(F.floor(F.least(xa, xb)), F.lit(0)), F.least(F.floor(F.greatest(xa, xb)), F.lit(grid.width - 1))
-    df = df.withColumn("left", left.cast("int")).withColumn("right", right.cast("int")).filter("left <= right")
-    return df.select("row", F.explode(F.sequence("left", "right")).alias("col")).distinct()
+    df = df.withColumn("_left", left.cast("int")).withColumn("_right", right.cast("int")).filter("_left <= _right")
+    return df.select("row", F.explode(F.sequence("_left", "_right")).alias("col"), *keep)
+
+
+def rasterize_lines(grid: Grid, segments: DataFrame) -> DataFrame:
+    """Distinct (row, col) that segments (lon0, lat0, lon1, lat1) touch."""
+    return touched(grid, segments).distinct()
 
 
 def rasterize_max(cells: DataFrame, grid: Grid, code: str = "code", default: int = 8) -> DataFrame:

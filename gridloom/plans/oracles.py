@@ -169,6 +169,8 @@ sp AS (
       WHERE q.path_id = s.path_id AND q.seq > s.i AND q.seq < s.j AND a.path_id = s.path_id AND a.seq = s.i AND b.path_id = s.path_id AND b.seq = s.j) m
     GROUP BY s.path_id, s.i, s.j) WHERE most > 90 / 111000.0::DOUBLE)"""
 
+_BOXES = "bw AS (SELECT s_suppkey AS box_id, 120 + (s_suppkey * 37 % 187) / 100.0::DOUBLE AS west, 21.9::DOUBLE + (s_suppkey * 53 % 331) / 100.0::DOUBLE AS south FROM supplier), bx AS MATERIALIZED (SELECT *, west + 0.05::DOUBLE + (box_id % 11) / 100.0::DOUBLE AS east, south + 0.04::DOUBLE + (box_id % 7) / 100.0::DOUBLE AS north FROM bw)"
+
 #: CTEs e, the ends of the routes, and s, what it costs at least to reach each cell of each route.
 _REACHED = f"""WITH RECURSIVE {G}, c AS MATERIALIZED (SELECT row, col, (z + 1000) / 1000 AS cost FROM g WHERE z < 250),
 m AS MATERIALIZED (SELECT a.row AS r0, a.col AS c0, b.row, b.col, b.cost * CASE WHEN a.row <> b.row AND a.col <> b.col THEN 1.414::DOUBLE ELSE 1 END AS w
@@ -198,7 +200,7 @@ ORACLES: dict[str, str] = {
     "soft_mask": f"WITH {G}, {gradients()} SELECT {_CODE} AS landuse, count(*) AS n, {r6('avg(' + case(_CODE, SOFT_FACTOR, 0.2) + ')')} AS soft_mask FROM g GROUP BY 1 UNION ALL SELECT 0, count(*), {r6('avg(1 - 0.7 * ' + clip(SLOPE + ' / 45') + ')')} FROM d",
     "mask_dilate": f"WITH {G}, o AS (SELECT a.i, b.j FROM range(-2, 3) a(i), range(-2, 3) b(j) WHERE abs(i) + abs(j) <= 2) SELECT DISTINCT CAST(row + i AS INT) AS row, CAST(col + j AS INT) AS col FROM g, o, dim WHERE z > 300 AND row + i BETWEEN 0 AND h - 1 AND col + j BETWEEN 0 AND w - 1",
     "distance_field": f"WITH {G}, b AS MATERIALIZED (SELECT row, col FROM g WHERE z > 300), n AS (SELECT g.row, g.col, min((g.row - b.row) * (g.row - b.row) + (g.col - b.col) * (g.col - b.col)) AS d2 FROM g, b GROUP BY 1, 2) SELECT g.row, g.col, round(least(5000.0::DOUBLE, coalesce(sqrt(d2) * 30, 5000.0)), 6) + 0.0 AS dist FROM g LEFT JOIN n ON g.row = n.row AND g.col = n.col",
-    "building_density": f"WITH {G}, x AS (SELECT row, col, CASE WHEN z > 300 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM g), {separable('x', 'v', kernel(2), 'q')} SELECT row, col, {r6('q / (0.25 * 0.25)')} AS density FROM q",
+    "building_density": f"WITH {G}, x AS (SELECT row, col, CASE WHEN z > 300 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM g), {separable('x', 'v', kernel(16), 'q')} SELECT row, col, {r6('q / (0.03 * 0.03)')} AS density FROM q",
     "landuse_classify": f"WITH x AS (SELECT ['Farmland', 'dense WOOD', 'salt_pond', 'muddy', 'Urban', 'quarry', 'sandy beach', 'military', 'none'][p_partkey % 9 + 1] AS landuse, lower(p_type) AS nature FROM part) SELECT landuse, nature, {_CLASSIFY} AS code, count(*) AS n FROM x GROUP BY ALL",
     "landuse_raster_max": f"WITH {G}, m AS (SELECT CAST(l_orderkey % 500 AS INT) AS row, CAST(l_partkey % 64 AS INT) AS col, max(CAST(l_suppkey % 7 + 1 AS INT)) AS code FROM lineitem GROUP BY 1, 2) SELECT g.row, g.col, coalesce(code, 8) AS code FROM g LEFT JOIN m ON g.row = m.row AND g.col = m.col",
     "geo_to_grid": f"WITH {P}, q AS (SELECT event_id, CAST(trunc((lat - 25.4) / -0.001) AS INT) AS row, CAST(trunc((lon - 120.0) / 0.001) AS INT) AS col FROM p) SELECT event_id, row, col, {r6('120.0 + col * 0.001::DOUBLE + 0.001::DOUBLE / 2')} AS lon, {r6('25.4 - row * 0.001::DOUBLE - 0.001::DOUBLE / 2')} AS lat FROM q",
@@ -240,7 +242,7 @@ ORACLES: dict[str, str] = {
     "report_union": f"WITH {P} SELECT 'actual' AS type, count(DISTINCT path_id) AS n, count(DISTINCT path_id) AS names FROM p UNION ALL SELECT 'predicted', count(DISTINCT path_id), count(DISTINCT path_id) FROM p",
     "remaining_cost": f"WITH {P}, r AS (SELECT path_id, seq, CAST(floor(lat * 100) AS INT) AS row, CAST(floor(lon * 100) AS INT) AS col, z AS cost FROM p), s AS (SELECT path_id, seq, coalesce(lead(cost) OVER w * (CASE WHEN lead(row) OVER w <> row AND lead(col) OVER w <> col THEN 1.414::DOUBLE ELSE 1.0 END), 0) AS step FROM r {W}) SELECT path_id, seq, round(sum(step) OVER (PARTITION BY path_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS remaining FROM s",
     "osm_sources": "WITH v AS (SELECT l_orderkey AS id, list({'y': l_suppkey % 10, 'x': l_partkey % 100} ORDER BY l_linenumber, l_partkey, l_suppkey) AS g0 FROM lineitem GROUP BY 1), r AS (SELECT id, CASE WHEN id % 2 = 0 THEN list_append(g0, g0[1]) ELSE g0 END AS g FROM v), o AS MATERIALIZED (SELECT r.*, len(g) AS n, o_orderpriority, o_orderstatus, o_custkey AS c FROM r JOIN orders ON id = o_orderkey), s AS (SELECT 'roads' AS source, n FROM o WHERE n >= 2 AND o_orderpriority = '1-URGENT' UNION ALL SELECT 'water', n FROM o WHERE n >= 2 AND o_orderstatus = 'F' UNION ALL SELECT 'railways', n FROM o WHERE n >= 2 AND c % 7 = 0 UNION ALL SELECT k.source, n FROM o JOIN (VALUES ('landuse', 2), ('protected', 3), ('buildings', 5), ('airports', 11)) k(source, m) ON c % m = 0 WHERE n >= 4 AND g[1] = g[n]) SELECT k.source, count(n) AS n, CAST(coalesce(sum(n), 0) AS BIGINT) AS vertices FROM (VALUES ('roads'), ('water'), ('protected'), ('landuse'), ('buildings'), ('railways'), ('airports')) k(source) LEFT JOIN s USING (source) GROUP BY k.source",
-    "tile_mosaic": f"WITH {G}, s AS (SELECT least(i * 32, h - 48) AS r FROM dim, range(200) t(i) WHERE i * 32 <= h - 48 OR (i - 1) * 32 < h - 48), rs AS (SELECT DISTINCT r FROM s), cs AS (SELECT unnest([0, 16]) AS c) SELECT row, col, {r6('greatest(0, avg(z + r + c))')} AS predicted FROM g JOIN rs ON row BETWEEN r AND r + 47 JOIN cs ON col BETWEEN c AND c + 47 GROUP BY row, col",
+    "tile_mosaic": f"WITH {G}, rs AS (SELECT DISTINCT greatest(0, least(i * 96, h - 128)) AS r FROM dim, range(1000) t(i) WHERE i = 0 OR i * 96 <= h - 128 OR (i - 1) * 96 < h - 128), cs AS (SELECT DISTINCT greatest(0, least(i * 96, w - 128)) AS c FROM dim, range(1000) t(i) WHERE i = 0 OR i * 96 <= w - 128 OR (i - 1) * 96 < w - 128) SELECT row, col, {r6('greatest(0, avg(z + r + c))')} AS predicted FROM g JOIN rs ON row BETWEEN r AND r + 127 JOIN cs ON col BETWEEN c AND c + 127 GROUP BY row, col",
     "endpoint_snap": f"WITH {G}, q AS (SELECT event_id AS path_id, CAST(event_id % h AS INT) AS row, CAST(user_id % 64 AS INT) AS col FROM events, dim), u AS MATERIALIZED (SELECT DISTINCT row, col FROM q), {_snapped(50)} SELECT path_id, k.r AS row, k.c AS col FROM q JOIN k USING (row, col)",
     "waypoint_repair": f"WITH {G}, q AS (SELECT user_id AS path_id, event_id AS seq, CAST(event_id % (h + 3) AS INT) AS row, CAST(user_id % 64 AS INT) AS col FROM events, dim), u AS MATERIALIZED (SELECT DISTINCT row, col FROM q JOIN g USING (row, col) WHERE z >= 100), {_snapped(30)} SELECT path_id, seq, coalesce(k.r, row) AS row, coalesce(k.c, col) AS col FROM q LEFT JOIN k USING (row, col)",
     "event_windows": "SELECT event_type, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS starts, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) + 3600 AS ends, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type, date_trunc('hour', ts)",
@@ -250,13 +252,16 @@ ORACLES: dict[str, str] = {
     "channel_normalisation": f"WITH {G}, {gradients()}, x AS MATERIALIZED (SELECT row, col, z, {SLOPE} AS slope FROM d), s AS (SELECT avg(z) AS zm, stddev_pop(z) + 1e-8 AS zs, avg(slope) AS sm, stddev_pop(slope) + 1e-8 AS ss FROM x) SELECT row, col, {r6('(z - zm) / zs')} AS z, {r6('(slope - sm) / ss')} AS slope FROM x, s",
     "lines_touching_box": f"WITH {P}, {_STEPS}, {_cut('120.5', '23.0', '120.8', '23.5')} SELECT feature_id, CAST(n AS INT) AS n FROM (SELECT feature_id, count(*) AS n FROM f GROUP BY 1) WHERE feature_id IN (SELECT feature_id FROM cut)",
     "lines_clipped": f"WITH {P}, {_STEPS}, {_cut('120.5', '22.5', '121.5', '24.5')}, w AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY feature_id ORDER BY seq) AS part FROM (SELECT *, coalesce(lag(seq) OVER v = seq - 1 AND lag(t1) OVER v = 1 AND t0 = 0, false) AS ok FROM cut WHERE t1 > t0 AND (x0 <> x1 OR y0 <> y1) WINDOW v AS (PARTITION BY feature_id ORDER BY seq))) SELECT feature_id, CAST(part AS INT) AS part, CAST(count(*) + 1 AS INT) AS n, {r6('min(least(x0 + t0 * (x1 - x0), x0 + t1 * (x1 - x0)))')} AS west, {r6('max(greatest(x0 + t0 * (x1 - x0), x0 + t1 * (x1 - x0)))')} AS east FROM w GROUP BY feature_id, part",
+    "lines_in_boxes": f"WITH {P}, {_STEPS.replace('st AS (', 's0 AS (')}, {_BOXES}, st AS (SELECT * FROM s0, bx), {_cut('west', 'south', 'east', 'north')} SELECT feature_id, box_id, count(*) AS n_steps, {r6('sum((t1 - t0) * sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)))')} AS degrees FROM cut GROUP BY feature_id, box_id",
+    "reproject_grid": f"WITH {G}, t AS (SELECT a.i AS row, b.j AS col, degrees((120.0::DOUBLE * 111319.49079327358::DOUBLE + b.j * 115.0 + 57.5) / 6378137.0) AS lon, (2922947.0::DOUBLE - a.i * 115.0 - 57.5) / 6378137.0 AS y FROM dim, range(10000) a(i), range(64) b(j) WHERE a.i < h AND b.j < w), f AS (SELECT row, col, (25.4::DOUBLE - degrees(atan((exp(y) - exp(-y)) / 2))) / 0.001::DOUBLE - 0.5 AS fr, (lon - 120.0::DOUBLE) / 0.001::DOUBLE - 0.5 AS fc FROM t), k AS (SELECT f.*, CAST(floor(fr) AS INT) + i AS r, CAST(floor(fc) AS INT) + j AS c FROM f, range(2) a(i), range(2) b(j), dim WHERE fr >= -0.5 AND fr < h - 0.5 AND fc >= -0.5 AND fc < w - 0.5), m AS (SELECT k.row, k.col, sum((1 - abs(fr - r)) * (1 - abs(fc - c)) * z) / sum((1 - abs(fr - r)) * (1 - abs(fc - c))) AS z FROM k JOIN g ON g.row = r AND g.col = c WHERE (1 - abs(fr - r)) * (1 - abs(fc - c)) > 0 GROUP BY 1, 2) SELECT CAST(t.row AS INT) AS row, CAST(t.col AS INT) AS col, round(m.z, 3) + 0.0 AS z FROM t LEFT JOIN m USING (row, col)",
+    "align_layers": f"WITH {G}, {gradients()}, {T}, k AS (SELECT CAST(round(h / 3.0) AS INT) AS kh, CAST(round(w / 3.0) AS INT) AS kw FROM dim), n AS (SELECT lon, lat, lead(lon) OVER w AS lon1, lead(lat) OVER w AS lat1 FROM p {W}), s AS (SELECT (lon - 120) / 0.003::DOUBLE AS x0, (25.4 - (lat + 3)) / 0.003::DOUBLE AS y0, (lon1 - 120) / 0.003::DOUBLE AS x1, (25.4 - (lat1 + 3)) / 0.003::DOUBLE AS y1 FROM n WHERE lon1 IS NOT NULL), r AS (SELECT s.*, unnest(range(CAST(greatest(floor(least(y0, y1)), 0) AS BIGINT), CAST(least(floor(greatest(y0, y1)), kh - 1) AS BIGINT) + 1)) AS row, kw FROM s, k), c AS (SELECT *, unnest(range(CAST(greatest(floor(least(x0, x1)), 0) AS BIGINT), CAST(least(floor(greatest(x0, x1)), kw - 1) AS BIGINT) + 1)) AS col FROM r), b AS MATERIALIZED (SELECT DISTINCT row, col FROM c WHERE {_MEETS}), o AS (SELECT row // 3 AS row, col // 3 AS col, z, {SLOPE} AS slope FROM d, k WHERE row % 3 = 1 AND col % 3 = 1 AND row // 3 < kh AND col // 3 < kw), m AS (SELECT o.row, o.col, min((o.row - b.row) * (o.row - b.row) + (o.col - b.col) * (o.col - b.col)) AS d2 FROM o, b GROUP BY 1, 2) SELECT CAST(o.row AS INT) AS row, CAST(o.col AS INT) AS col, {r6('z')} AS z, {r6('slope')} AS slope, round(least(5000.0::DOUBLE, coalesce(sqrt(d2) * 90, 5000.0)), 6) + 0.0 AS dist_line FROM o LEFT JOIN m USING (row, col)",
     "quality_reports": f"WITH RECURSIVE {_GATE} SELECT path_id, " + ", ".join(f"CAST(bool_and(passed) FILTER (check_id = '{c}') AS VARCHAR) AS {c}" for c in ("slope", "water", "protected", "curvature", "sinuosity", "elevation", "cost")) + ", round(max(value) FILTER (check_id = 'slope'), 4) AS slope_value FROM ck GROUP BY path_id",
     "grid_percentiles": f"WITH {G} SELECT 'z' AS metric, s::DOUBLE AS share, {r6('v')} AS value FROM (SELECT unnest([0.01, 0.02, 0.05, 0.5, 0.98]) AS s, unnest(quantile_cont(z, [0.01, 0.02, 0.05, 0.5, 0.98])) AS v FROM g)",
     "best_by_group": "SELECT l_returnflag, l_linestatus, l_extendedprice, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice, l_orderkey, l_linenumber) = 1",
     "case_comparison": "SELECT o_custkey % 10 AS case_id, count(*) FILTER (o_orderkey % 3 = 0) AS astar, count(*) FILTER (o_orderkey % 3 = 1) AS ipso_sa, count(*) FILTER (o_orderkey % 3 = 2) AS dbo FROM orders GROUP BY 1",
     "validation_summary": "WITH r AS (SELECT o_custkey % 10 AS c, o_orderkey % 3 AS a, round(max(o_totalprice), 2) AS h, count(*) AS n, count(*) FILTER (o_totalprice > 100000) > 50 AS ok FROM orders GROUP BY 1, 2) SELECT count(*) AS n, count(*) FILTER (ok) AS n_passed, round(avg(h), 4) AS hausdorff_m_mean, round(avg(n), 4) AS n_mean, round(median(h), 4) AS hausdorff_m_median, round(median(n), 4) AS n_median FROM r",
     "rasterize_lines": f"WITH {P}, {_NEXT}, s AS (SELECT (lon - 120) / 0.01::DOUBLE AS x0, (25.4 - lat) / 0.01::DOUBLE AS y0, (lon1 - 120) / 0.01::DOUBLE AS x1, (25.4 - lat1) / 0.01::DOUBLE AS y1 FROM n WHERE lon1 IS NOT NULL), r AS (SELECT *, unnest(range(CAST(greatest(floor(least(y0, y1)), 0) AS BIGINT), CAST(least(floor(greatest(y0, y1)), 349) AS BIGINT) + 1)) AS row FROM s), c AS (SELECT *, unnest(range(CAST(greatest(floor(least(x0, x1)), 0) AS BIGINT), CAST(least(floor(greatest(x0, x1)), 199) AS BIGINT) + 1)) AS col FROM r), h AS (SELECT DISTINCT row, col FROM c WHERE {_MEETS}) SELECT CAST(row AS INT) AS row, count(*) AS cells, CAST(min(col) AS INT) AS first, CAST(max(col) AS INT) AS last FROM h GROUP BY row",
-    "polygons_raster": f"WITH t AS (SELECT c_custkey AS id, [(c_custkey * 7 % 1000) / 500.0, (c_custkey * 11 % 1000) / 500.0, (c_custkey * 3 % 1000) / 500.0] AS xs, [(c_custkey * 13 % 1000) / 300.0, (c_custkey * 5 % 1000) / 300.0, (c_custkey * 17 % 1000) / 300.0] AS ys FROM customer WHERE c_nationkey = 3), e AS MATERIALIZED (SELECT id, (120.00037::DOUBLE + xs[k]::DOUBLE - 120) / 0.05::DOUBLE AS x0, (25.4 - (22.00041::DOUBLE + ys[k]::DOUBLE)) / 0.05::DOUBLE AS y0, (120.00037::DOUBLE + xs[k % 3 + 1]::DOUBLE - 120) / 0.05::DOUBLE AS x1, (25.4 - (22.00041::DOUBLE + ys[k % 3 + 1]::DOUBLE)) / 0.05::DOUBLE AS y1 FROM t, range(1, 4) i(k)), g AS (SELECT a.row, b.col FROM range(70) a(row), range(40) b(col)), h AS (SELECT DISTINCT row, col FROM e, g WHERE {_MEETS} UNION SELECT row, col FROM e, g WHERE (y0 <= row + 0.5) <> (y1 <= row + 0.5) AND x0 + (row + 0.5 - y0) / (y1 - y0) * (x1 - x0) > col + 0.5 GROUP BY id, row, col HAVING count(*) % 2 = 1) SELECT CAST(row AS INT) AS row, count(*) AS cells, CAST(min(col) AS INT) AS first, CAST(max(col) AS INT) AS last FROM (SELECT DISTINCT row, col FROM h) GROUP BY row",
+    "polygons_raster": f"WITH t AS (SELECT c_custkey AS id, [(c_custkey * 7 % 1000) / 500.0, (c_custkey * 11 % 1000) / 500.0, (c_custkey * 3 % 1000) / 500.0] AS xs, [(c_custkey * 13 % 1000) / 300.0, (c_custkey * 5 % 1000) / 300.0, (c_custkey * 17 % 1000) / 300.0] AS ys FROM customer), e AS MATERIALIZED (SELECT id, (120.00037::DOUBLE + xs[k]::DOUBLE - 120) / 0.05::DOUBLE AS x0, (25.4 - (22.00041::DOUBLE + ys[k]::DOUBLE)) / 0.05::DOUBLE AS y0, (120.00037::DOUBLE + xs[k % 3 + 1]::DOUBLE - 120) / 0.05::DOUBLE AS x1, (25.4 - (22.00041::DOUBLE + ys[k % 3 + 1]::DOUBLE)) / 0.05::DOUBLE AS y1 FROM t, range(1, 4) i(k)), g AS (SELECT a.row, b.col FROM range(70) a(row), range(40) b(col)), h AS (SELECT DISTINCT row, col FROM e, g WHERE {_MEETS} UNION SELECT row, col FROM e, g WHERE (y0 <= row + 0.5) <> (y1 <= row + 0.5) AND x0 + (row + 0.5 - y0) / (y1 - y0) * (x1 - x0) > col + 0.5 GROUP BY id, row, col HAVING count(*) % 2 = 1) SELECT CAST(row AS INT) AS row, count(*) AS cells, CAST(min(col) AS INT) AS first, CAST(max(col) AS INT) AS last FROM (SELECT DISTINCT row, col FROM h) GROUP BY row",
     "astar_routes": f"""{_REACHED}
 SELECT e.path_id, CASE WHEN s.g IS NULL THEN 'NO_ROUTE' ELSE 'OK' END AS status, round(s.g, 6) + 0.0 AS total FROM e LEFT JOIN s ON s.path_id = e.path_id AND s.row = e.r1 AND s.col = e.c1""",
     "opened_cells": f"""{_REACHED},

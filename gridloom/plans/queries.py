@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.config import BANDS, V2
 from gridloom.grid import Grid
-from gridloom.operators import cost, focal, gate, model, paths, report, risk, search, vector
+from gridloom.operators import convnet, cost, focal, gate, model, paths, report, risk, search, spatial, vector
 from gridloom.session import checkpointed, r6
 from gridloom.sources import osm
 
@@ -147,7 +147,7 @@ def distance_field(spark: SparkSession, d: str) -> DataFrame:
 @query
 def building_density(spark: SparkSession, d: str) -> DataFrame:
     g = _grid(spark, d)
-    return _cells(vector.building_density(Grid(g.df, g.height, g.width, cell=250.0), _burned(spark, d)), "density")
+    return _cells(vector.building_density(g, _burned(spark, d)), "density")
 
 
 @query
@@ -402,7 +402,7 @@ def remaining_cost(spark: SparkSession, d: str) -> DataFrame:
 @query
 def tile_mosaic(spark: SparkSession, d: str) -> DataFrame:
     g = _grid(spark, d)
-    t = model.tiles(g, size=48, stride=32)
+    t = model.tiles(g)
     shifted = t.select("row", "col", (F.col("z") + F.col("tile_row") + F.col("tile_col")).alias("predicted"))
     return _cells(model.mosaic(shifted), "predicted")
 
@@ -456,6 +456,15 @@ def rf_surface(spark: SparkSession, d: str) -> DataFrame:
     return model.predict(model.train_forest(train, V2), rows)
 
 
+@query
+def unet_surface(spark: SparkSession, d: str) -> DataFrame:
+    """A net that learns the labels from five bands, over the whole grid; smaller and trained for fewer rounds than by default."""
+    g = _labelled(spark, d)
+    bands = ["z", "slope", "landuse", "dist_line", "dist_water"]
+    g = g.with_df(checkpointed(cost.pseudo_label(g.df, V2, noise=0.0).select("row", "col", *bands, "label", "hard_mask")))
+    return convnet.infer(g, convnet.train(g, bands, most=200, size=32, width=4, depth=2, rounds=12, batches=2, rate=0.01, check_every=6))
+
+
 @query
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     from gridloom.streaming.events import hourly
@@ -511,6 +520,42 @@ def lines_clipped(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("feature_id", "part", F.size("coords").alias("n"), lon(F.array_min).alias("west"), lon(F.array_max).alias("east"))
 
 
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    """A box for each supplier, about a tenth of a degree wide."""
+    k = F.col("s_suppkey")
+    west, south = 120 + (k * 37 % 187) / 100.0, 21.9 + (k * 53 % 331) / 100.0
+    return _t(spark, d, "supplier").select(k.alias("box_id"), west.alias("west"), south.alias("south"), (west + 0.05 + (k % 11) / 100.0).alias("east"), (south + 0.04 + (k % 7) / 100.0).alias("north"))
+
+
+@query
+def lines_in_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """All lines against all boxes: how many steps of each line meet each box, and how long they are within it, in degrees."""
+    met = spatial.steps_in_boxes(_lines(spark, d), _boxes(spark, d))
+    length = F.sqrt((F.col("lon1") - F.col("lon0")) ** 2 + (F.col("lat1") - F.col("lat0")) ** 2)
+    return met.groupBy("feature_id", "box_id").agg(F.count("*").alias("n_steps"), r6(F.sum(length)).alias("degrees"))
+
+
+@query
+def polygons_in_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Diamonds of customers, cut by the boxes: the area in hundredths of square degrees."""
+    x, y = 120.2 + (F.col("c_custkey") * 7 % 1000) / 600.0, 22.2 + (F.col("c_custkey") * 13 % 1000) / 320.0
+    half = 0.02 + (F.col("c_custkey") % 5) / 50.0
+    point = lambda a, b: F.struct((x + a * half).alias("lon"), (y + b * half).alias("lat"))
+    rings = _t(spark, d, "customer").select(F.col("c_custkey").alias("ring_id"), F.array(point(1, 0), point(0, 1), point(-1, 0), point(0, -1), point(1, 0)).alias("points"))
+    cut = spatial.clip_polygons(rings, _boxes(spark, d))
+    return cut.select("ring_id", "box_id", r6(F.col("area") * 100).alias("area")).filter("area > 0.000001")
+
+
+@query
+def reproject_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The elevations, which lie on degrees, on a grid of web Mercator's metres."""
+    g = _grid(spark, d)
+    x, y = 120.0 * 111319.49079327358, 2922947.0  # the west side and about the north side
+    target = Grid(g.df, g.height, g.width, west=x, north=y, step=115.0)
+    # what two libraries' sines and logarithms differ by, times the slope, is seen in the sixth decimal
+    return g.reproject("z", "EPSG:4326", target, "EPSG:3857").df.select("row", "col", (F.round("z", 3) + F.lit(0.0)).alias("z"))
+
+
 @query
 def quality_reports(spark: SparkSession, d: str) -> DataFrame:
     rows = report.nested_checks(_gate(spark, d))
@@ -579,7 +624,7 @@ def smooth_swarm_routes(spark: SparkSession, d: str) -> DataFrame:
 def align_layers(spark: SparkSession, d: str) -> DataFrame:
     """The elevation and its slope on cells of 90 m, and how far they are from the cells of the tracks."""
     g = _grid(spark, d)
-    steps = paths.with_next(_tracks(spark, d).filter("path_id < 30")).filter("lon1 is not null").select(F.col("lon").alias("lon0"), (F.col("lat") + 3.0).alias("lat0"), "lon1", (F.col("lat1") + 3.0).alias("lat1"))
+    steps = paths.with_next(_tracks(spark, d)).filter("lon1 is not null").select(F.col("lon").alias("lon0"), (F.col("lat") + 3.0).alias("lat0"), "lon1", (F.col("lat1") + 3.0).alias("lat1"))
     out = vector.align(g.with_df(focal.slope(g)), ["z", "slope"], lines={"dist_line": (steps, 5000.0)})
     return _cells(out.df, "z", "slope", "dist_line")
 
@@ -589,7 +634,7 @@ def polygons_raster(spark: SparkSession, d: str) -> DataFrame:
     """Triangles of customers; how many cells of each row they touch."""
     point = lambda a, b: F.struct((120.00037 + (F.col("c_custkey") * a % 1000) / 500.0).alias("lon"), (22.00041 + (F.col("c_custkey") * b % 1000) / 300.0).alias("lat"))
     corners = F.array(point(7, 13), point(11, 5), point(3, 17), point(7, 13))
-    rings = _t(spark, d, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").alias("ring_id"), corners.alias("points"))
+    rings = _t(spark, d, "customer").select(F.col("c_custkey").alias("ring_id"), corners.alias("points"))
     g = Grid(rings, 70, 40, west=120.0, north=25.4, step=0.05)
     return vector.rasterize_polygons(g, rings).groupBy("row").agg(F.count("*").alias("cells"), F.min("col").alias("first"), F.max("col").alias("last"))
 
