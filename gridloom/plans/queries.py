@@ -8,6 +8,7 @@ The tables hold no rasters or routes, so deterministic stand-ins serve: ``embedd
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,10 +17,13 @@ from gridloom.config import BANDS, V2
 from gridloom.grid import Grid
 from gridloom.operators import convnet, cost, focal, gate, model, paths, report, risk, search, spatial, vector
 from gridloom.session import checkpointed, r6
+from gridloom.plans import validation
 from gridloom.sources import osm
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Swarms smaller than V2's, which take minutes on one machine: the README has the figures.
+FEW = replace(V2, iterations=30, beetle_iterations=30, particles=12, beetles=12)
 
 
 def query(f: Query) -> Query:
@@ -442,9 +446,7 @@ def astar_routes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def swarm_routes(spark: SparkSession, d: str) -> DataFrame:
-    from dataclasses import replace
-
-    return search.plan(_surface(spark, d), _routes(spark, d, "ipso_sa", "dbo"), replace(V2, iterations=30, beetle_iterations=30, particles=12, beetles=12))
+    return search.plan(_surface(spark, d), _routes(spark, d, "ipso_sa", "dbo"), FEW)
 
 
 @query
@@ -465,6 +467,21 @@ def unet_surface(spark: SparkSession, d: str) -> DataFrame:
     return convnet.infer(g, convnet.train(g, bands, most=200, size=32, width=4, depth=2, rounds=12, batches=2, rate=0.01, check_every=6))
 
 
+def _surveyed(spark: SparkSession, d: str) -> tuple[Grid, DataFrame]:
+    """A surface with the layers that the gate checks, and the tracks moved onto it, as far as they fit."""
+    g = _surface(spark, d)
+    df = focal.slope(g.with_df(g.df.withColumn("hard_mask", F.col("cost").isNotNull().cast("int")).withColumn("dist_water", F.abs(F.col("z") - 50) * 4)))
+    return g.with_df(checkpointed(df)), _tracks(spark, d).select("path_id", "seq", "lon", (F.col("lat") + 3.0).alias("lat"))
+
+
+@query
+def validation_batch(spark: SparkSession, d: str) -> DataFrame:
+    """All users' tracks as cases: the record of each."""
+    g, tracks = _surveyed(spark, d)
+    records = validation.validate(g, tracks, tracks.select("path_id").distinct(), V2).records
+    return records.select("path_id", "fail_reason", "quality_passed", "n_passed", "n_real_vertices", "n_predicted_vertices", *(F.round(c, 4).alias(c) for c in ("real_length_km", *validation.METRICS)))
+
+
 @query
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     from gridloom.streaming.events import hourly
@@ -646,7 +663,4 @@ def opened_cells(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def convergence_curves(spark: SparkSession, d: str) -> DataFrame:
-    from dataclasses import replace
-
-    few = replace(V2, iterations=30, beetle_iterations=30, particles=12, beetles=12)
-    return report.convergence_report(search.convergence(_surface(spark, d), _routes(spark, d, "ipso_sa", "dbo"), few))
+    return report.convergence_report(search.convergence(_surface(spark, d), _routes(spark, d, "ipso_sa", "dbo"), FEW))
