@@ -58,8 +58,29 @@ def dilate(cells: DataFrame, grid: Grid, k: int) -> DataFrame:
     return out.filter(F.col("row").between(0, grid.height - 1) & F.col("col").between(0, grid.width - 1)).distinct()
 
 
+def lower_envelope(own: np.ndarray) -> np.ndarray:
+    """The least own[p] + (x - p)^2 over all p, for each x, in whole numbers. The leftmost p that gives it never falls as x grows, so places are settled by halving: one between two settled ones looks only between their p, and each of the log n passes looks at some 2 n candidates in all."""
+    n = len(own)
+    spots = np.arange(n)
+    found = own + spots * spots
+    at, best = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    at[0], best[0] = found.argmin(), found.min()
+    step = 1 << max(0, n - 1).bit_length() - 1 if n > 1 else 0
+    while step:
+        x = spots[step :: 2 * step]
+        low, high = at[x - step], np.where(x + step < n, at[np.minimum(x + step, n - 1)], n - 1)
+        count = high - low + 1
+        starts = np.cumsum(count) - count
+        p = np.arange(count.sum()) - np.repeat(starts - low, count)
+        # of equal values the leftmost
+        least = np.minimum.reduceat((own[p] + (np.repeat(x, count) - p) ** 2) * n + p, starts)
+        at[x], best[x] = least % n, least // n
+        step //= 2
+    return best
+
+
 def distance_field(grid: Grid, burned: DataFrame, limit: float = 5000.0) -> DataFrame:
-    """row, col, dist of every cell: metres to the nearest burned cell (row, col), limit at most. Two passes: windows find each column's nearest burned row above and below; then each row, in one task, takes the least of its cells' distances and their steps aside. No row is multiplied, and each axis is exchanged once."""
+    """row, col, dist of every cell: metres to the nearest burned cell (row, col), limit at most. Two passes: windows find each column's nearest burned row above and below; then each row, in one task, takes the lower envelope of its cells' parabolas, whatever the limit. No row is multiplied, and each axis is exchanged once."""
     reach, cell = int(limit / grid.cell), grid.cell
     cells = grid.df.select("row", "col").join(burned.select("row", "col", F.lit(1).alias("hit")).distinct(), ["row", "col"], "left")
     at = F.when(F.col("hit") == 1, F.col("row"))
@@ -72,10 +93,7 @@ def distance_field(grid: Grid, burned: DataFrame, limit: float = 5000.0) -> Data
         n = int(col.max()) + 1
         own = np.full(n, (reach + 1) ** 2)
         own[col] = np.minimum(dy, reach + 1) ** 2
-        best = own.copy()
-        for step in range(1, min(reach, n - 1) + 1):
-            np.minimum(best[step:], own[:-step] + step * step, out=best[step:])
-            np.minimum(best[:-step], own[step:] + step * step, out=best[:-step])
+        best = lower_envelope(own)
         return pa.table({"row": line["row"], "col": line["col"], "dist": np.minimum(float(limit), np.sqrt(best[col]) * cell)})
 
     return column.groupBy("row").applyInArrow(nearest, "row int, col int, dist double")

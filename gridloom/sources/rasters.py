@@ -1,4 +1,4 @@
-"""Elevation rasters: a GeoTIFF source that plans row ranges, GeoTIFF tiles as a sink, and endpoints from JSON."""
+"""Elevation rasters: a GeoTIFF source that plans row ranges (strips or tiles, LZW or deflated, several bands, BigTIFF), GeoTIFF tiles as a sink, and endpoints from JSON."""
 
 from __future__ import annotations
 
@@ -18,48 +18,106 @@ from gridloom import crs as reference
 from gridloom.grid import Grid
 from gridloom.sources.sink import write_files
 
-_TYPES = {(1, 8): "u1", (1, 16): "u2", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
+_TYPES = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 16): "f2", (3, 32): "f4", (3, 64): "f8"}
+_PLAIN, _LZW = 1, 5
+_FIELDS = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 
 
 def header(file: pa.NativeFile) -> dict:
-    """Size, sample type, blocks (strips or tiles) and georeference of a single-band TIFF, uncompressed or deflated."""
-    head = file.read(8)
+    """Size, sample type, bands, blocks (strips or tiles), no-data value, reference system (None if not named) and georeference of the first image of a TIFF or BigTIFF, uncompressed, deflated or LZW."""
+    head = file.read(16)
     order = {b"II": "<", b"MM": ">"}[head[:2]]
-    file.seek(struct.unpack(order + "I", head[4:])[0])
-    n = struct.unpack(order + "H", file.read(2))[0]
-    entries = [struct.unpack(order + "HHI4s", file.read(12)) for _ in range(n)]
-    sizes = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 11: "f", 12: "d"}
+    big = struct.unpack(order + "H", head[2:4])[0] == 43
+    number, entry, inline = ("Q", "HHQ8s", 8) if big else ("I", "HHI4s", 4)
+    file.seek(struct.unpack_from(order + number, head, 8 if big else 4)[0])
+    n = struct.unpack(order + ("Q" if big else "H"), file.read(8 if big else 2))[0]
+    entries = [struct.unpack(order + entry, file.read(struct.calcsize(order + entry))) for _ in range(n)]
     tags = {}
     for tag, kind, count, raw in entries:
-        if kind not in sizes:
+        if kind not in _FIELDS:
             continue
-        form = order + sizes[kind] * count
+        form = order + _FIELDS[kind] * count
         need = struct.calcsize(form)
-        if need > 4:
-            file.seek(struct.unpack(order + "I", raw)[0])
+        if need > inline:
+            file.seek(struct.unpack(order + number, raw)[0])
             raw = file.read(need)
         tags[tag] = struct.unpack(form, raw[:need])
-    packing, predictor = tags.get(259, (1,))[0], tags.get(317, (1,))[0]
-    if packing not in (1, 8, 32946) or predictor not in (1, 2) or tags.get(277, (1,))[0] != 1:
-        raise ValueError("only single-band TIFF is read, uncompressed or deflated, with differences of whole samples at most")
+    packing, predictor, sample = tags.get(259, (_PLAIN,))[0], tags.get(317, (1,))[0], (tags.get(339, (1,))[0], tags.get(258, (1,))[0])
+    if packing not in (_PLAIN, _LZW, 8, 32946) or predictor not in (1, 2, 3) or sample not in _TYPES or (predictor == 3 and sample[0] != 3):
+        raise ValueError(f"a TIFF with compression {packing}, predictor {predictor} and samples of kind {sample[0]} with {sample[1]} bits is not read")
     scale, tie = tags.get(33550, (1.0, 1.0, 0.0)), tags.get(33922, (0, 0, 0, 0.0, 0.0, 0.0))
     width, height, tiled = tags[256][0], tags[257][0], 322 in tags
+    geo = tags.get(34735, (1, 1, 0, 0))
+    keys = {geo[k]: geo[k + 3] for k in range(4, len(geo) - 3, 4) if geo[k + 1] == 0}
+    code = keys.get(3072 if keys.get(1024) == 1 else 2048, 0)
+    # a value that stands for the point at a cell's middle, not for its area
+    middle = 0.5 if keys.get(1025) == 2 else 0.0
     return {
-        "width": width, "height": height, "type": order + _TYPES[tags.get(339, (1,))[0], tags[258][0]], "deflated": packing != 1, "differences": predictor == 2,
-        "offsets": tags[324 if tiled else 273], "counts": tags.get(325 if tiled else 279), "across": tags[322][0] if tiled else width, "down": tags[323][0] if tiled else min(height, tags.get(278, (height,))[0]),
-        "west": tie[3], "north": tie[4], "dx": scale[0], "dy": scale[1],
+        "width": width, "height": height, "type": order + _TYPES[sample], "packing": packing, "predictor": predictor,
+        "bands": tags.get(277, (1,))[0], "planes": tags.get(284, (1,))[0] == 2, "no_data": _number(b"".join(tags.get(42113, ()))), "crs": f"EPSG:{code}" if 1024 <= code < 32767 else None,
+        "offsets": tags[324 if tiled else 273], "counts": tags.get(325 if tiled else 279), "across": tags[322][0] if tiled else width, "down": tags[323][0] if tiled else min(height, tags.get(278, (height,))[0]), "tiled": tiled,
+        "west": tie[3] - (tie[0] + middle) * scale[0], "north": tie[4] + (tie[1] + middle) * scale[1], "dx": scale[0], "dy": scale[1],
     }
 
 
-def block_at(file: pa.NativeFile, h: dict, down: int, across: int) -> np.ndarray:
-    """A strip or tile by its place among the blocks, as rows of samples."""
+def _number(text: bytes) -> float | None:
+    try:
+        return float(text.rstrip(b"\0 "))
+    except ValueError:
+        return None
+
+
+def lzw(data: bytes) -> bytes:
+    """Unpacks TIFF's LZW: codes of 9 to 12 bits, high bits first, a bit longer from one entry before the table is full."""
+    words = [bytes([k]) for k in range(256)] + [b"", b""]
+    out: list[bytes] = []
+    held = bits = 0
+    width, last = 9, b""
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & (1 << bits) - 1
+        if code == 256:
+            del words[258:]
+            width, last = 9, b""
+            continue
+        if code == 257:
+            break
+        if code > len(words) or (code == len(words) and not last):
+            raise ValueError("damaged LZW data")
+        word = words[code] if code < len(words) else last + last[:1]
+        if last:
+            words.append(last + word[:1])
+        out.append(word)
+        last = word
+        if len(words) >= (1 << width) - 1 and width < 12:
+            width += 1
+    return b"".join(out)
+
+
+def block_at(file: pa.NativeFile, h: dict, down: int, across: int, band: int = 0) -> np.ndarray:
+    """A band of a strip or tile by its place among the blocks, as rows of samples."""
     kind, k = np.dtype(h["type"]), down * -(-h["width"] // h["across"]) + across
-    tiled = h["across"] < h["width"] or len(h["offsets"]) > -(-h["height"] // h["down"])
-    rows = h["down"] if tiled else min(h["down"], h["height"] - down * h["down"])
+    if h["planes"]:
+        k += band * -(-h["width"] // h["across"]) * -(-h["height"] // h["down"])
+    rows = h["down"] if h["tiled"] else min(h["down"], h["height"] - down * h["down"])
+    each = 1 if h["planes"] else h["bands"]
+    size = rows * h["across"] * each
     file.seek(h["offsets"][k])
-    data = file.read(h["counts"][k] if h["counts"] else rows * h["across"] * kind.itemsize)
-    out = np.frombuffer(zlib.decompress(data) if h["deflated"] else data, kind, rows * h["across"]).reshape(rows, h["across"])
-    return np.cumsum(out, axis=1, dtype=kind) if h["differences"] else out
+    data = file.read(h["counts"][k] if h["counts"] else size * kind.itemsize)
+    if h["packing"] != _PLAIN:
+        data = lzw(data) if h["packing"] == _LZW else zlib.decompress(data)
+    if h["predictor"] == 3:
+        # differences of bytes, those of a row's samples parted by significance, the highest first
+        parted = np.cumsum(np.frombuffer(data, "u1", size * kind.itemsize).reshape(rows, -1, each), axis=1, dtype="u1").reshape(rows, kind.itemsize, -1)
+        out = np.ascontiguousarray(parted.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, h["across"], each)
+    else:
+        out = np.frombuffer(data, kind, size).reshape(rows, h["across"], each)
+        if h["predictor"] == 2:
+            out = np.cumsum(out, axis=1, dtype=kind)
+    return out[:, :, 0 if h["planes"] else band]
 
 
 class Rows(InputPartition):
@@ -68,13 +126,17 @@ class Rows(InputPartition):
 
 
 class GeoTiffReader(DataSourceReader):
-    """Options: path; west, south, east, north (only the window is read); rows (of one partition)."""
+    """Options: path; west, south, east, north (only the window is read); rows (of one partition); bands (numbers from 1 with commas, each a column)."""
 
     def __init__(self, options: dict) -> None:
         self.store, self.path = fs.FileSystem.from_uri(options["path"])
         self.uri, self.step = options["path"], int(options.get("rows", 512))
         with self.store.open_input_file(self.path) as file:
             self.h = h = header(file)
+        self.bands_option = options.get("bands")
+        self.bands = [k - 1 for k in _bands(self.bands_option)]
+        if not all(0 <= k < h["bands"] for k in self.bands):
+            raise ValueError(f"{self.path} has {h['bands']} bands")
         inf = float("inf")
         west, south, east, north = (float(options.get(k, d)) for k, d in (("west", -inf), ("south", -inf), ("east", inf), ("north", inf)))
         clamp = lambda x, n: int(min(max(x + 1e-9, 0), n))
@@ -92,14 +154,22 @@ class GeoTiffReader(DataSourceReader):
             return
         with store.open_input_file(path) as file:
             for k in range(partition.start // down, -(-partition.end // down)):
-                blocks = [block_at(file, h, k, j) for j in range(self.c0 // h["across"], -(-self.c1 // h["across"]))]
                 first = self.c0 // h["across"] * h["across"]
-                wide = np.hstack(blocks)[:, self.c0 - first : self.c1 - first]
+                across = range(self.c0 // h["across"], -(-self.c1 // h["across"]))
+                wide = [np.hstack([block_at(file, h, k, j, band) for j in across])[:, self.c0 - first : self.c1 - first] for band in self.bands]
+                n = self.c1 - self.c0
                 for row in range(max(partition.start, k * down), min(partition.end, (k + 1) * down)):
-                    z = wide[row - k * down].astype(float)
-                    bad = ~np.isfinite(z) | (z <= -9999) | (z > 9000)
-                    n = len(z)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row - self.r0, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(z, mask=bad)], ["row", "col", "z"])
+                    values = [band[row - k * down].astype(float) for band in wide]
+                    columns = [pa.array(z, mask=~np.isfinite(z) | (z <= -9999) | (z > 9000) | (z == h["no_data"])) for z in values]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row - self.r0, np.int32)), pa.array(np.arange(n, dtype=np.int32)), *columns], ["row", "col", *_layers(self.bands_option)])
+
+
+def _bands(option: str | None) -> list[int]:
+    return [int(k) for k in option.split(",")] if option else [1]
+
+
+def _layers(option: str | None) -> list[str]:
+    return [f"band_{k}" for k in _bands(option)] if option else ["z"]
 
 
 class GeoTiff(DataSource):
@@ -108,19 +178,27 @@ class GeoTiff(DataSource):
         return "geotiff"
 
     def schema(self) -> str:
-        return "row int, col int, z double"
+        return "row int, col int, " + ", ".join(f"{c} double" for c in _layers(self.options.get("bands")))
 
     def reader(self, schema: object) -> GeoTiffReader:
         return GeoTiffReader(self.options)
 
 
-def read_elevation(spark: SparkSession, path: str, crs: str | reference.System = "EPSG:4326", **window: float) -> DataFrame:
-    """row, col, z of the window; no-data (at most -9999, over 9000, not finite) is null. crs: the file's reference system, into which a window of degrees (west, south, east, north) is turned."""
+def read_elevation(spark: SparkSession, path: str, crs: str | reference.System | None = None, bands: list[int] | None = None, **window: float) -> DataFrame:
+    """row, col, z of the window, or band_k for each of bands (numbers from 1); no-data (the file's own value, at most -9999, over 9000, not finite) is null. crs: the file's reference system, into which a window of degrees (west, south, east, north) is turned; the one that the file names, or else degrees, if not given."""
     spark.dataSource.register(GeoTiff)
     sides = ("west", "south", "east", "north")
     if all(k in window for k in sides):
-        window |= reference.bounds(crs, *(window[k] for k in sides))
-    return spark.read.format("geotiff").options(**window).load(path)
+        window |= reference.bounds(crs or system_of(path) or "EPSG:4326", *(window[k] for k in sides))
+    named = {"bands": ",".join(map(str, bands))} if bands else {}
+    return spark.read.format("geotiff").options(**window, **named).load(path)
+
+
+def system_of(path: str) -> str | None:
+    """The reference system that a GeoTIFF names, like EPSG:4326."""
+    store, inner = fs.FileSystem.from_uri(path)
+    with store.open_input_file(inner) as file:
+        return header(file)["crs"]
 
 
 def write_raster(df: DataFrame, path: str, tile: int = 1024) -> None:
