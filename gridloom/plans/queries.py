@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gridloom.config import BANDS, V2
 from gridloom.grid import Grid
-from gridloom.operators import convnet, cost, focal, gate, model, paths, report, risk, search, spatial, vector
+from gridloom.operators import convnet, cost, focal, gate, heuristic, model, paths, report, risk, search, spatial, vector
 from gridloom.session import checkpointed, r6
 from gridloom.plans import validation
 from gridloom.sources import osm
@@ -444,6 +444,16 @@ def astar_routes(spark: SparkSession, d: str) -> DataFrame:
     return search.missed(routes, found).select("path_id", "status").join(totals, "path_id", "left")
 
 
+@query
+def learned_heuristic(spark: SparkSession, d: str) -> DataFrame:
+    """What a net tells of the rest of each cheapest route from each of its cells, beside what it costs. Trained for fewer rounds than by default."""
+    g = _surface(spark, d)
+    g = g.with_df(checkpointed(focal.slope(g)))
+    found = checkpointed(search.plan(g, _routes(spark, d, "astar"), V2))
+    rows = checkpointed(heuristic.samples(found, g.df.select("row", "col", "z", "slope"), g, V2.diagonal))
+    return heuristic.told(rows, heuristic.train(rows, ["z", "slope"], rounds=8)).select("path_id", "seq", "row", "col", r6("remaining").alias("remaining"), "ahead")
+
+
 @query
 def swarm_routes(spark: SparkSession, d: str) -> DataFrame:
     return search.plan(_surface(spark, d), _routes(spark, d, "ipso_sa", "dbo"), FEW)
