@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# a running session takes no spark.checkpoint.dir
+OWN_DIR = "spark.gridloom.dir"
+
 
 def build(master: str = "local[*]", partitions: int = 8) -> SparkSession:
     return (
@@ -24,13 +27,13 @@ def build(master: str = "local[*]", partitions: int = 8) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without that setting gets a folder of its own."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
+    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None):
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="gridloom-")
     atexit.register(shutil.rmtree, own, True)
-    spark.conf.set("spark.checkpoint.dir", own)
+    spark.conf.set(OWN_DIR, own)
     return own
 
 
