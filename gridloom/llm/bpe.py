@@ -115,9 +115,9 @@ class Block:
         sizes = [len(x) for x in words[1:]]
         found = pa.concat_arrays(words).dictionary_encode()
         data, at = tokens.text_bytes(found.dictionary)
-        of = (tokens.range_hashes(data, at[:-1], at[1:]) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+        of = exchange.shard_of(tokens.range_hashes(data, at[:-1], at[1:]), shards)
         order = np.argsort(of, kind="stable")
-        self.cut = np.searchsorted(of[order], np.arange(shards + 1, dtype=np.uint64))
+        self.runs = exchange.runs(of[order])
         self.words = found.dictionary.take(pa.array(order))
         if positions:
             number = np.empty(len(order), np.int32)
@@ -128,15 +128,16 @@ class Block:
 
     def questions(self) -> Iterator[exchange.Part]:
         data, at = tokens.text_bytes(self.words)
-        for s, (i, j) in enumerate(zip(self.cut[:-1], self.cut[1:], strict=True)):
-            if i < j:
-                yield 0, s, [np.diff(at[i : j + 1]).astype(np.uint32), data[at[i] : at[j]]]
+        for s, k in self.runs:
+            yield 0, s, [np.diff(at[k.start : k.stop + 1]).astype(np.uint32), data[at[k.start] : at[k.stop]]]
 
 
 def _ask(shards: int):
+    wide = exchange.width(shards)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, pieces in exchange.blocks(batches):
-            yield from exchange.rows(block, 0, Block((table for _, table in pieces), shards, False).questions())
+            yield from exchange.rows(block, 0, Block((table for _, table in pieces), shards, False).questions(), wide)
 
     return run
 

@@ -6,16 +6,23 @@ arrays; the shard answers each block in the order it was asked; and the answers
 are made afresh where they are needed, from the same files in the same order, so an answer fits what was asked; answers
 that don't fit fail the job.
 
-A block is about an input split, so rows number what Spark's own shuffle has of blocks (input splits times shards). It
-is worked on in pieces of about a MB, which bounds the arrays in memory; a piece has its own arrays in the row. One text
-is never split: a task needs some sixty times the size of the longest text for a moment. A shard's task holds all that
-it was asked, so the number of shards grows with the bytes of the texts and each is asked about what SHARD_BYTES of
-texts ask in the mean; keys are spread by hash, and equal keys of one piece are asked once where the operator allows it.
+A block is about an input split. It is worked on in pieces of about a MB, which bounds the arrays in memory; a piece has
+its own arrays in the row. One text is never split: a task needs some sixty times the size of the longest text for a
+moment. A shard's task holds all that it was asked, so the number of shards grows with the bytes of the texts and each
+is asked about what SHARD_BYTES of texts ask in the mean; keys are spread by hash, and equal keys of one piece are asked
+once where the operator allows it.
+
+Blocks and shards both grow with the corpus, so a row for each pair of them would make their number grow with its
+square. Beyond ONE_STEP shards a question therefore goes in two steps: a block's row is for a group of as many shards as
+the root of their number; a cell, which is a group of blocks and one of shards, meets in one task, which makes of it a row
+for each shard; and answers come back through the same cells. Rows then grow with the corpus to the power of three
+halves while a cell, a few tens of MB, does not grow.
 """
 
 from __future__ import annotations
 
 import ctypes
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +40,8 @@ from gridloom.llm.common import partitions
 PIECE_BYTES, PIECES = 1 << 20, 12
 #: Bytes of texts for each shard at most, in the mean.
 SHARD_BYTES = 64 << 20
+#: Shards that blocks send to directly at most.
+ONE_STEP = 1024
 ROWS = "block long, kind int, shard int, data binary"
 TEXTS = -1
 #: The block of what a shard says when it has answered all.
@@ -41,6 +50,8 @@ _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 Arrays = list[np.ndarray]
 #: A piece's number, the shard, and what it is asked or answers.
 Part = tuple[int, int, Arrays]
+#: The same with the block before the shard and the piece after it.
+Full = tuple[int, int, int, Arrays]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -64,14 +75,15 @@ def unpack(data: bytes) -> Arrays:
     return out
 
 
-def pack_pieces(pieces: list[tuple[int, Arrays]]) -> bytes:
-    return pack(np.array([k for k, _ in pieces], np.uint32), np.array([len(x) for _, x in pieces], np.uint32), *(y for _, x in pieces for y in x))
+def pack_parts(parts: list[Full]) -> bytes:
+    blocks, shards, pieces, arrays = zip(*parts, strict=True)
+    return pack(np.array(blocks, np.int64), np.array(shards, np.uint32), np.array(pieces, np.uint32), np.array([len(x) for x in arrays], np.uint32), *(y for x in arrays for y in x))
 
 
-def unpack_pieces(data: bytes) -> list[tuple[int, Arrays]]:
-    numbers, sizes, *arrays = unpack(data)
+def unpack_parts(data: bytes) -> list[Full]:
+    blocks, shards, pieces, sizes, *arrays = unpack(data)
     ends = np.cumsum(sizes)
-    return [(int(k), arrays[int(e) - int(n) : int(e)]) for k, n, e in zip(numbers, sizes, ends, strict=True)]
+    return [(int(b), int(s), int(k), arrays[int(e) - int(n) : int(e)]) for b, s, k, n, e in zip(blocks, shards, pieces, sizes, ends, strict=True)]
 
 
 def steps(x: np.ndarray) -> np.ndarray:
@@ -83,10 +95,20 @@ def total(x: np.ndarray) -> np.ndarray:
     return np.cumsum(x, dtype=x.dtype)
 
 
-def shard_slices(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's part of ascending 64-bit keys begins, and the last one ends. A shard is a range of keys."""
-    of = (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-    return np.searchsorted(of, np.arange(shards + 1, dtype=np.uint64))
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shards of 64-bit keys. A shard is a range of keys."""
+    return (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+
+
+def runs(of: np.ndarray) -> list[tuple[int, slice]]:
+    """Each shard that occurs in ascending ones, and where."""
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(of)), bool), of[1:] != of[:-1]]))
+    return [(int(of[i]), slice(int(i), int(j))) for i, j in zip(first, np.append(first, len(of))[1:], strict=True)]
+
+
+def width(shards: int) -> int:
+    """How many shards a block's row is for."""
+    return 1 if shards <= ONE_STEP else math.isqrt(shards)
 
 
 def ids_array(ids: pa.ChunkedArray) -> Arrays:
@@ -99,14 +121,14 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["block", "kind", "shard", "data"])
 
 
-def rows(block: int, kind: int, parts: Iterator[Part]) -> Iterator[pa.RecordBatch]:
-    """A block's rows, one for each shard, in batches of about a MB."""
-    by_shard: dict[int, list[tuple[int, Arrays]]] = {}
+def rows(block: int, kind: int, parts: Iterator[Part], wide: int) -> Iterator[pa.RecordBatch]:
+    """A block's rows, one for each group of so many shards, in batches of about a MB."""
+    by_group: dict[int, list[Full]] = {}
     for piece, shard, arrays in parts:
-        by_shard.setdefault(shard, []).append((piece, arrays))
+        by_group.setdefault(shard // wide, []).append((block, shard, piece, arrays))
     out, size = [], 0
-    for s in sorted(by_shard):
-        out.append((block, kind, s, pack_pieces(by_shard.pop(s))))
+    for g in sorted(by_group):
+        out.append((block, kind, g, pack_parts(by_group.pop(g))))
         size += len(out[-1][-1])
         if size >= PIECE_BYTES:
             yield batch_of(out)
@@ -170,22 +192,68 @@ def tidy() -> None:
         _trim(0)
 
 
-def ask(docs: DataFrame, questions: Callable[[pa.Table], Iterator[tuple[int, Arrays]]], kind: int) -> DataFrame:
-    """Rows from blocks to shards. questions: gives (shard, arrays) for a piece of docs, which has a column text."""
+def ask(docs: DataFrame, questions: Callable[[pa.Table], Iterator[tuple[int, Arrays]]], kind: int, shards: int) -> DataFrame:
+    """Rows from blocks to shards or groups of them. questions: gives (shard, arrays) for a piece of docs, which has a column text."""
+    wide = width(shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, pieces in blocks(batches):
-            yield from rows(block, kind, ((k, shard, arrays) for k, table in pieces for shard, arrays in questions(table)))
+            yield from rows(block, kind, ((k, shard, arrays) for k, table in pieces for shard, arrays in questions(table)), wide)
 
     return docs.mapInArrow(run, ROWS)
 
 
-def asked_by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[tuple[int, int], list[tuple[int, Arrays]]]]]]:
-    """Each shard with all that it was asked: block and kind, and pieces, in the order of the blocks."""
+def _through_cells(df: DataFrame, shards: int, forth: bool) -> DataFrame:
+    """Rows of a block and a group of shards become rows of a group of blocks and a shard (forth), or the other way round."""
+    if (wide := width(shards)) == 1:
+        return df
+    cell = [F.expr(f"shiftright(block, 32) div {wide}"), F.col("shard").cast("long")] if forth else [F.col("block"), F.expr(f"shard div {wide}")]
+
+    def turned(block: int, kind: int, group: int, parts: list[Full]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list[Full]] = {}
+        for part in parts:
+            by.setdefault(part[1] if forth else part[0], []).append(part)
+        for k in sorted(by):
+            data = pack_parts(sorted(by.pop(k), key=lambda x: x[:3]))
+            yield batch_of([(block, kind, k, data) if forth else (k, kind, group, data)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for block, kind, shard, data, *here in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "shard", "data", "blocks", "shards")), strict=True):
+                if block == CLOSING:
+                    yield batch_of([(block, kind, shard, data)])
+                    continue
+                if (mine := (here[0], kind, here[1])) != now:
+                    if held:
+                        yield from turned(*now, held)
+                    now, held = mine, []
+                held += unpack_parts(data)
+        if held:
+            yield from turned(*now, held)
+        del held
+        tidy()
+
+    cells = df.select("*", cell[0].alias("blocks"), cell[1].alias("shards"))
+    return cells.repartition(shards, "blocks", "shards").sortWithinPartitions("blocks", "kind", "shards", "block", "shard").mapInArrow(run, ROWS)
+
+
+def to_shards(asked: DataFrame, shards: int) -> DataFrame:
+    """What blocks ask, as rows for single shards."""
+    return _through_cells(asked, shards, True)
+
+
+def to_blocks(answers: DataFrame, shards: int) -> DataFrame:
+    """What shards answer, as rows for single blocks."""
+    return _through_cells(answers, shards, False)
+
+
+def asked_by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[tuple[int, int], list[Full]]]]]:
+    """Each shard with all that it was asked: block or group of blocks and kind, and parts, in the order of the blocks."""
     by_shard: dict[int, list] = {}
     for batch in batches:
         for row in batch.to_pylist():
-            by_shard.setdefault(row["shard"], []).append(((row["block"], row["kind"]), unpack_pieces(row["data"])))
+            by_shard.setdefault(row["shard"], []).append(((row["block"], row["kind"]), unpack_parts(row["data"])))
     for shard, got in by_shard.items():
         got.sort(key=lambda x: x[0])
         yield shard, got
@@ -194,17 +262,17 @@ def asked_by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, lis
 
 
 def answer(asked: DataFrame, shards: int, reply: Callable[[list[Arrays]], Iterator[Arrays]]) -> DataFrame:
-    """Rows back from shards to blocks. reply: gets all that one shard was asked, piece by piece, and gives an answer to each in order, and one more at most, which is a row of block CLOSING."""
+    """Rows back from shards to blocks. reply: gets all that one shard was asked, part by part, and gives an answer to each in order, and one more at most, which is a row of block CLOSING."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, got in asked_by_shard(batches):
-            answers = iter(reply([x for _, pieces in got for _, x in pieces]))
-            for (block, kind), pieces in got:
-                yield batch_of([(block, kind, shard, pack_pieces([(k, next(answers)) for k, _ in pieces]))])
+            answers = iter(reply([x for _, parts in got for *_, x in parts]))
+            for (block, kind), parts in got:
+                yield batch_of([(block, kind, shard, pack_parts([(*where, next(answers)) for *where, _ in parts]))])
             for arrays in answers:
                 yield batch_of([(CLOSING, got[0][0][1], shard, pack(*arrays))])
 
-    return asked.repartitionById(shards, "shard").mapInArrow(run, ROWS)
+    return to_blocks(to_shards(asked, shards).repartitionById(shards, "shard").mapInArrow(run, ROWS), shards)
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -246,7 +314,7 @@ def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple
             if kind == TEXTS:
                 stream = data
             else:
-                for piece, arrays in unpack_pieces(data):
+                for _, _, piece, arrays in unpack_parts(data):
                     got.setdefault(piece, {}).setdefault(kind, []).append(arrays)
     if now is not None:
         yield now, whole(stream, got)
@@ -271,11 +339,12 @@ def meet(df: DataFrame, work: Callable[[pa.Table | None, dict[int, list[Arrays]]
     return together(df).mapInArrow(run, schema)
 
 
-def ask_again(df: DataFrame, questions: Callable[[pa.Table, dict[int, list[Arrays]]], Iterator[tuple[int, Arrays]]], kind: int) -> DataFrame:
+def ask_again(df: DataFrame, questions: Callable[[pa.Table, dict[int, list[Arrays]]], Iterator[tuple[int, Arrays]]], kind: int, shards: int) -> DataFrame:
     """As ask(), of blocks that meet earlier answers."""
+    wide = width(shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, pieces in met(batches):
-            yield from rows(block, kind, ((k, shard, arrays) for k, table, got in pieces for shard, arrays in questions(table, got)))
+            yield from rows(block, kind, ((k, shard, arrays) for k, table, got in pieces for shard, arrays in questions(table, got)), wide)
 
     return together(df).mapInArrow(run, ROWS)

@@ -57,13 +57,12 @@ def _questions(shards: int):
         mine = first[doc] > 0
         order = np.argsort(h[mine])
         h, doc = h[mine][order], doc[mine][order]
-        cut = exchange.shard_slices(h, shards)
+        parts = dict(exchange.runs(exchange.shard_of(h, shards)))
         head = [*exchange.ids_array(table["doc_id"]), sizes.astype(np.uint32), signs, first]
         home = int(signs[0] % np.uint64(shards))
-        for s in range(shards):
-            part = slice(cut[s], cut[s + 1])
-            if s == home or cut[s] < cut[s + 1]:
-                yield s, [exchange.steps(h[part] >> np.uint64(24)), doc[part], *(head if s == home else [])]
+        for s in sorted(parts.keys() | {home}):
+            part = parts.get(s, slice(0, 0))
+            yield s, [exchange.steps(h[part] >> np.uint64(24)), doc[part], *(head if s == home else [])]
 
     return run
 
@@ -98,7 +97,7 @@ BOUNDS = "block long, doc_id long, n_shingles long, sign long, live long"
 def shingle_bounds(docs: DataFrame) -> DataFrame:
     """BOUNDS of docs: block of documents, sign (of the set) and live, how many of the shingles may occur elsewhere; null where another document of the piece has the same set."""
     shards = exchange.shards_of(docs)
-    asked = exchange.ask(docs, _questions(shards), 0)
+    asked = exchange.ask(docs, _questions(shards), 0, shards)
     return written(exchange.together(exchange.answer(asked, shards, _reply)).mapInArrow(_bounds, BOUNDS), "shingle-bounds")
 
 

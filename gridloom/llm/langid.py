@@ -3,11 +3,14 @@
 Subwords are runs of two to four bytes of the text (A-Z lower-cased, blanks alike), hashed to 65 536 embeddings. The
 logits of a text are its mean embedding times a matrix; as both are linear, scoring adds one row of per-subword logits
 for each subword and divides, without a shuffle. At most ``max_rows`` documents of each language, chosen by a hash, go
-to one task for training; a fifth of them are held back to fit a temperature, so that scores are probabilities, and the
+to one task for training, and fewer of all languages alike if their texts would be over ``max_bytes``; a fifth of them are held back to fit a temperature, so that scores are probabilities, and the
 score below which a text is rejected: that of all but the least certain hundredth of the right calls.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0. Rows without an id or language are not
 learned from. With no rows to learn from, every text is ``und``. Repeated rows are judged each. Other columns are not read.
+A very long text is one value of its batch and the arrays of its runs take some fifty times its size for a moment; if it is among
+those chosen, training is over ``max_bytes`` by what it has more than the mean. Over MAX_LANGS languages fail the job: map
+rare ones to one name, or leave them out, before training.
 """
 
 from __future__ import annotations
@@ -100,13 +103,15 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(docs: DataFrame, max_rows: int = 500, epochs: int = 3, rate: float = 4.0) -> dict:
-    """A model from docs (doc_id, text, lang): {langs, table, reject}. max_rows: about as many documents of each language at most."""
+def train(docs: DataFrame, max_rows: int = 500, max_bytes: int = 32 << 20, epochs: int = 3, rate: float = 4.0) -> dict:
+    """A model from docs (doc_id, text, lang): {langs, table, reject}. At most about max_rows documents of each language and max_bytes of texts of all are learned from, chosen by a hash of the id: the bounds on the one training task."""
     usable = docs.select("doc_id", "text", "lang").filter("doc_id is not null and lang is not null and text is not null")
-    counts = usable.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
+    counts = usable.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).limit(MAX_LANGS + 1).collect()
     if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, max_rows / r["count"]) * (1 << 20)) for r in counts], "lang string, below double")
+    part = {r["lang"]: min(1.0, max_rows / r["rows"]) for r in counts}
+    fewer = min(1.0, max_bytes / max(1.0, sum(part[r["lang"]] * r["bytes"] for r in counts)))
+    share = docs.sparkSession.createDataFrame([(k, x * fewer * (1 << 20)) for k, x in part.items()], "lang string, below double")
     # at most MAX_LANGS rows
     some = usable.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("below"))
     rows = some.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0).alias("held"), F.xxhash64("doc_id", F.lit(2)).alias("place"))

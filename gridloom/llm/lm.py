@@ -87,18 +87,16 @@ class Grams:
 
     def parts(self, shards: int, learn: np.ndarray) -> Iterator[exchange.Part]:
         """For each shard its words (steps, counts), and by order the runs: how many each shorter one has, the last words' halves, and counts."""
-        cut = exchange.shard_slices(self.words, shards)
         counts = {1: self.counts(1, learn)} | {k: self.counts(k, learn) for k in self.keys}
         fans = {k: np.searchsorted(self.keys[k] >> _HALF, np.arange(len(counts[k - 1]) + 1, dtype=np.uint64)) for k in self.keys}
-        for s in range(shards):
-            i, j = cut[s], cut[s + 1]
-            if i < j:
-                arrays = [exchange.steps(self.words[i:j]), counts[1][i:j]]
-                for k, keys in self.keys.items():
-                    fan = fans[k][i : j + 1]
-                    i, j = fan[0], fan[-1]
-                    arrays += [np.diff(fan).astype(np.uint32), (keys[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts[k][i:j]]
-                yield 0, s, arrays
+        for s, part in exchange.runs(exchange.shard_of(self.words, shards)):
+            i, j = part.start, part.stop
+            arrays = [exchange.steps(self.words[i:j]), counts[1][i:j]]
+            for k, keys in self.keys.items():
+                fan = fans[k][i : j + 1]
+                i, j = fan[0], fan[-1]
+                arrays += [np.diff(fan).astype(np.uint32), (keys[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts[k][i:j]]
+            yield 0, s, arrays
 
 
 def _learn(tables: list[pa.Table]) -> np.ndarray:
@@ -106,10 +104,12 @@ def _learn(tables: list[pa.Table]) -> np.ndarray:
 
 
 def _ask(shards: int, order: int):
+    wide = exchange.width(shards)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, pieces in exchange.blocks(batches):
             tables = [t for _, t in pieces]
-            yield from exchange.rows(block, 0, Grams(tables, order).parts(shards, _learn(tables)))
+            yield from exchange.rows(block, 0, Grams(tables, order).parts(shards, _learn(tables)), wide)
 
     return run
 
@@ -274,10 +274,10 @@ def train(docs: DataFrame, discount: float = 0.75, order: int = 3, stable: bool
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, asked in exchange.asked_by_shard(batches):
-            trie = Trie.build([x for _, pieces in asked for _, x in pieces], discount)
+            trie = Trie.build([x for _, parts in asked for *_, x in parts], discount)
             yield pa.RecordBatch.from_pylist([{"shard": shard, "shards": shards, "levels": order, "totals": exchange.pack(trie.totals()), "sizes": trie.sizes, "data": exchange.pack(*trie.arrays)}], pa.schema([("shard", pa.int32()), ("shards", pa.int32()), ("levels", pa.int32()), ("totals", pa.binary()), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())]))
 
-    return _asked(docs, F.lit(True), shards, order).repartitionById(shards, "shard").mapInArrow(build, MODEL)
+    return exchange.to_shards(_asked(docs, F.lit(True), shards, order), shards).repartitionById(shards, "shard").mapInArrow(build, MODEL)
 
 
 def score_with(docs: DataFrame, model: DataFrame, stable: bool = False) -> DataFrame:
@@ -296,10 +296,10 @@ def score_with(docs: DataFrame, model: DataFrame, stable: bool = False) -> DataF
                     tries = {row["shard"]: Trie(exchange.unpack(row["data"]), row["sizes"])}
                 else:
                     trie = tries.get(row["shard"]) or Trie([np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint16), *([np.zeros(0, np.uint8), np.zeros(0, np.uint16), *EliasFano.encode(np.zeros(2, np.int64), 1).arrays(), *EliasFano.encode(np.zeros(0, np.uint64), 1).arrays()] * (order - 1))], [2, 0, 0, 0] * (order - 1))
-                    yield exchange.batch_of([(row["block"], 0, row["shard"], exchange.pack_pieces([(k, trie.look_up(x)) for k, x in exchange.unpack_pieces(row["data"])]))])
+                    yield exchange.batch_of([(row["block"], 0, row["shard"], exchange.pack_parts([(*where, trie.look_up(x)) for *where, x in exchange.unpack_parts(row["data"])]))])
 
-    asked = _asked(docs, F.lit(False), shards, order).select("shard", F.lit(None).cast("int").alias("levels"), "block", F.lit(None).cast("array<long>").alias("sizes"), "data")
+    asked = exchange.to_shards(_asked(docs, F.lit(False), shards, order), shards).select("shard", F.lit(None).cast("int").alias("levels"), "block", F.lit(None).cast("array<long>").alias("sizes"), "data")
     levels = model.select("shard", "levels", F.lit(None).cast("long").alias("block"), "sizes", "data")
     # a block is named by its task's place, so blocks come first in a union
     met = asked.unionByName(levels).repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("levels").desc_nulls_last(), "block")
-    return _scored(docs, written(met.mapInArrow(run, exchange.ROWS), "lm-answers"), n, v, order)
+    return _scored(docs, written(exchange.to_blocks(met.mapInArrow(run, exchange.ROWS), shards), "lm-answers"), n, v, order)

@@ -166,10 +166,9 @@ def _indexed(asked: list[exchange.Arrays], print_: list[np.ndarray], batch: int
 def _ask_anchors(shards: int, length: int):
     def run(table: pa.Table) -> Iterator[tuple[int, exchange.Arrays]]:
         a = Anchors(table["text"], length)
-        cut, ids = exchange.shard_slices(a.key, shards), exchange.ids_array(table["doc_id"])
-        for s in range(shards):
-            if (k := slice(cut[s], cut[s + 1])).start < k.stop:
-                yield s, [exchange.steps(a.key[k] >> np.uint64(24)), a.context[k] >> np.uint64(8), a.doc[k].astype(np.uint32), a.pos[k].astype(np.uint32), *ids]
+        ids = exchange.ids_array(table["doc_id"])
+        for s, k in exchange.runs(exchange.shard_of(a.key, shards)):
+            yield s, [exchange.steps(a.key[k] >> np.uint64(24)), a.context[k] >> np.uint64(8), a.doc[k].astype(np.uint32), a.pos[k].astype(np.uint32), *ids]
 
     return run
 
@@ -204,10 +203,9 @@ def _ask_windows(shards: int, length: int):
     def run(table: pa.Table, got: dict[int, list[exchange.Arrays]]) -> Iterator[tuple[int, exchange.Arrays]]:
         a = Anchors(table["text"], length)
         starts, doc, h = _unclear(a, got)
-        cut, ids = exchange.shard_slices(h, shards), exchange.ids_array(table["doc_id"])
-        for s in range(shards):
-            if (k := slice(cut[s], cut[s + 1])).start < k.stop:
-                yield s, [exchange.steps(h[k]), doc[k].astype(np.uint32), (starts[k] - a.at[doc[k]]).astype(np.uint32), *ids]
+        ids = exchange.ids_array(table["doc_id"])
+        for s, k in exchange.runs(exchange.shard_of(h, shards)):
+            yield s, [exchange.steps(h[k]), doc[k].astype(np.uint32), (starts[k] - a.at[doc[k]]).astype(np.uint32), *ids]
 
     return run
 
@@ -272,8 +270,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = (
     """doc_id, n_bytes, span_starts and span_ends of the removed runs, kept (the other bytes), and the columns of keep, of docs (doc_id, text). A text among keep is what is left of it. batch: suffixes in one batch of the index, BATCH unless given; results don't depend on it. stable: see settled()."""
     docs = settled(docs.select("doc_id", "text", *(c for c in keep if c != "text")), "suffix-docs", stable)
     few, shards = docs.select("doc_id", "text"), exchange.shards_of(docs)
-    anchors = written(exchange.answer(exchange.ask(few, _ask_anchors(shards, length), _ANCHORS), shards, partial(_reply_anchors, batch=batch)), "anchors")
-    windows = written(exchange.answer(exchange.ask_again(exchange.texts(few).unionAll(anchors), _ask_windows(shards, length), _WINDOWS), shards, partial(_reply_windows, batch=batch)), "windows")
+    anchors = written(exchange.answer(exchange.ask(few, _ask_anchors(shards, length), _ANCHORS, shards), shards, partial(_reply_anchors, batch=batch)), "anchors")
+    windows = written(exchange.answer(exchange.ask_again(exchange.texts(few).unionAll(anchors), _ask_windows(shards, length), _WINDOWS, shards), shards, partial(_reply_windows, batch=batch)), "windows")
     longs, kinds = T.ArrayType(T.LongType()), (T.LongType(), T.LongType())
     schema = T.StructType([*(T.StructField(c, k) for c, k in zip(("doc_id", "n_bytes", "span_starts", "span_ends", "kept"), (*kinds, longs, longs, T.BinaryType()), strict=True)), *(docs.schema[c] for c in keep)])
     return exchange.meet(exchange.texts(docs).unionAll(anchors).unionAll(windows), _cut(length, list(keep)), schema)

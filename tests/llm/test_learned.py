@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 import re
 from collections import Counter
 
@@ -81,6 +82,68 @@ def test_language_against_a_plain_scorer(spark):
         assert (r.lang_pred, r.score) == (model["langs"][int(e.argmax())], pytest.approx(float(e.max() / e.sum()), abs=1e-5))
 
 
+def test_language_against_a_plain_trainer(spark):
+    r = random.Random(11)
+    words = {"ab": ["abba", "baa", "aab", "bab"], "xy": ["xyx", "yyx", "xxy", "abba"]}
+    rows = [(i, " ".join(r.choice(words[lang if r.random() < 0.7 else "ab"]) for _ in range(r.choice((2, 9, 150)))), lang) for i, lang in enumerate(["ab", "xy"] * 25)]
+    docs = spark.createDataFrame([*rows, (None, "abba", "xy"), (70, None, "xy"), (71, "xyx", None), (72, "ab", "ab")], "doc_id long, text string, lang string").repartition(3)
+    epochs, rate = 2, 1.0
+    model = langid.train(docs, epochs=epochs, rate=rate)
+    marks = {x.doc_id: (x.place, x.held) for x in docs.select("doc_id", F.xxhash64("doc_id", F.lit(2)).alias("place"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0).alias("held")).collect()}
+
+    def bag(data):
+        runs = Counter()
+        for n in (2, 3, 4):
+            for i in range(len(data) - n + 1):
+                h = int.from_bytes(data[i : i + n], "big")
+                h = ((h ^ (h >> 15) ^ n) * 0x9E3779B1) & 0xFFFFFFFF
+                runs[(((h ^ (h >> 13)) * 0x9E3779B1) & 0xFFFFFFFF) >> 16] += 1
+        return {b: c / runs.total() for b, c in runs.items()}
+
+    def shares(logits):
+        e = [math.exp(x - max(logits)) for x in logits]
+        return [x / sum(e) for x in e]
+
+    learn, check = [], []
+    for i, text, lang in sorted(rows, key=lambda x: (marks[x[0]][0], x[2], x[1])):
+        data, which = text.encode(), ["ab", "xy"].index(lang)
+        if marks[i][1]:
+            check.append((which, bag(data)))
+        else:
+            learn.append((which, bag(data)))
+            learn += [(which, bag(data[k : k + 400])) for k in range(0, len(data), 400) if len(data) > 400 and len(data[k : k + 400]) >= 4]
+    assert check and any(len(x[1]) > 400 for x in rows)
+    rng = np.random.default_rng(7)
+    embed = (rng.uniform(-0.5, 0.5, (1 << 16, 16)) / 16).tolist()
+    matrix = [[0.0, 0.0] for _ in range(16)]
+    done = 0
+    for _ in range(epochs):
+        for j in rng.permutation(len(learn)):
+            which, x = learn[j]
+            step = rate * (1 - done / (epochs * len(learn)))
+            hidden = [sum(v * embed[b][d] for b, v in x.items()) for d in range(16)]
+            p = shares([sum(hidden[d] * matrix[d][k] for d in range(16)) for k in (0, 1)])
+            p[which] -= 1
+            for b, v in x.items():
+                for d in range(16):
+                    embed[b][d] -= v * step * sum(m * q for m, q in zip(matrix[d], p, strict=True))
+            for d in range(16):
+                for k in (0, 1):
+                    matrix[d][k] -= step * hidden[d] * p[k]
+            done += 1
+    weight = lambda b: [sum(embed[b][d] * matrix[d][k] for d in range(16)) for k in (0, 1)]
+    logits = [(which, [sum(v * weight(b)[k] for b, v in x.items()) for k in (0, 1)]) for which, x in check]
+    scales = [2 ** (k / 4) for k in range(-16, 17)]
+    scale = min(scales, key=lambda s: -sum(math.log(shares([s * y for y in x])[which]) for which, x in logits))
+    certain = [shares([scale * y for y in x]) for _, x in logits]
+    right = [max(p) for (which, _), p in zip(logits, certain, strict=True) if p.index(max(p)) == which]
+    assert model["langs"] == ["ab", "xy"]
+    for b in {b for _, x in learn + check for b in x}:
+        assert model["table"][b] == pytest.approx([scale * y for y in weight(b)], abs=2e-3)
+    assert model["reject"] == pytest.approx(float(np.quantile(right, 0.01)), abs=2e-3)
+    assert langid.train(docs, max_bytes=0)["langs"] == []
+
+
 @needs_data
 def test_quality_of_documents_held_out(spark):
     rows = q.op2_quality(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").filter("held_out").select("score", "predicted", "quality").collect()
