@@ -79,24 +79,33 @@ def lower_envelope(own: np.ndarray) -> np.ndarray:
     return best
 
 
+#: How many cells the rows have together that one group of distance_field() holds.
+BLOCK = 1 << 16
+
+
 def distance_field(grid: Grid, burned: DataFrame, limit: float = 5000.0) -> DataFrame:
-    """row, col, dist of every cell: metres to the nearest burned cell (row, col), limit at most. Two passes: windows find each column's nearest burned row above and below; then each row, in one task, takes the lower envelope of its cells' parabolas, whatever the limit. No row is multiplied, and each axis is exchanged once."""
+    """row, col, dist of every cell: metres to the nearest burned cell (row, col), limit at most. Two passes: windows find each column's nearest burned row above and below; then blocks of rows, each in one task, take the lower envelope of each row's parabolas, whatever the limit. No row is multiplied, and each axis is exchanged once."""
     reach, cell = int(limit / grid.cell), grid.cell
     cells = grid.df.select("row", "col").join(burned.select("row", "col", F.lit(1).alias("hit")).distinct(), ["row", "col"], "left")
     at = F.when(F.col("hit") == 1, F.col("row"))
+    # both run on from row to row; a frame up to the end would be gone through again for each row
     up = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
-    column = cells.select("row", "col", F.least(F.col("row") - F.last(at, ignorenulls=True).over(up), F.first(at, ignorenulls=True).over(down) - F.col("row")).alias("dy"))
-
-    def nearest(line: pa.Table) -> pa.Table:
-        col, dy = line["col"].to_numpy(), line["dy"].fill_null(reach + 1).to_numpy().astype(np.int64)
-        n = int(col.max()) + 1
-        own = np.full(n, (reach + 1) ** 2)
-        own[col] = np.minimum(dy, reach + 1) ** 2
-        best = lower_envelope(own)
-        return pa.table({"row": line["row"], "col": line["col"], "dist": np.minimum(float(limit), np.sqrt(best[col]) * cell)})
-
-    return column.groupBy("row").applyInArrow(nearest, "row int, col int, dist double")
+    down = Window.partitionBy("col").orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, 0)
+    column = cells.select("row", "col", F.least(F.col("row") - F.last(at, ignorenulls=True).over(up), F.last(at, ignorenulls=True).over(down) - F.col("row")).alias("dy"))
+
+    def nearest(block: pa.Table) -> pa.Table:
+        block = block.sort_by("row")
+        row, col = block["row"].to_numpy(), block["col"].to_numpy()
+        dy = np.minimum(block["dy"].fill_null(reach + 1).to_numpy().astype(np.int64), reach + 1)
+        dist, ends = np.empty(len(row)), [*np.flatnonzero(np.diff(row)) + 1, len(row)]
+        for a, b in zip([0, *ends], ends, strict=False):
+            own = np.full(int(col[a:b].max()) + 1, (reach + 1) ** 2)
+            own[col[a:b]] = dy[a:b] ** 2
+            dist[a:b] = np.minimum(float(limit), np.sqrt(lower_envelope(own)[col[a:b]]) * cell)
+        return pa.table({"row": block["row"], "col": block["col"], "dist": dist})
+
+    rows = max(1, BLOCK // max(1, grid.width))
+    return column.groupBy(F.floor(F.col("row") / rows)).applyInArrow(nearest, "row int, col int, dist double")
 
 
 def rasterize_polygons(grid: Grid, rings: DataFrame) -> DataFrame:

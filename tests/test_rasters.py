@@ -132,3 +132,15 @@ def test_the_lower_envelope_at_any_size():
             own = rng.integers(0, top, n)
             x = np.arange(n)
             assert (vector.lower_envelope(own) == (own + (x[:, None] - x) ** 2).min(axis=1)).all()
+
+
+def test_a_distance_field_goes_through_a_column_once(spark):
+    from gridloom.grid import Grid
+
+    g = Grid(spark.range(90).selectExpr("cast(id / 3 as int) as row", "cast(id % 3 as int) as col"), 30, 3)
+    found = vector.distance_field(g, g.df.filter("row = 4 and col = 1 or row = 20"), 1000.0)
+    # a frame up to a column's end costs its length for each of its rows
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    got = {(r.row, r.col): r.dist for r in found.collect()}
+    want = {(r, c): min(900 * ((r - a) ** 2 + (c - b) ** 2) for a, b in [(4, 1), (20, 0), (20, 1), (20, 2)]) ** 0.5 for r in range(30) for c in range(3)}
+    assert got == pytest.approx({k: min(v, 1000.0) for k, v in want.items()})
