@@ -287,3 +287,14 @@ def test_repeated_runs_and_fitness(spark):
     blocked[20:40] = np.inf
     assert search.fitness(line, blocked, V2) > 1000
     assert search.fitness(line[:1].repeat(2, axis=0), surface, V2) == 1e10
+
+
+def test_nearest_points_beyond_the_poles_and_far_apart(spark):
+    r = random.Random(5)
+    # degrees of latitude may run on beyond 90; the second line is far from most of the first, and its copies are many
+    a = [(p, k, 120 + 0.004 * k, lat + r.uniform(0, 0.01)) for p, lat in ((0, 160.0), (1, 89.99), (2, 905.0), (3, 30.0)) for k in range(60)]
+    b = [(p, k, lon, lat + 0.005) for p, k, lon, lat in a if k < 12 for _ in range(3)] + [(3, 99, -60.0, 150.0)]
+    kind = "path_id long, seq long, lon double, lat double"
+    far = lambda x, y: 12742000 * math.asin(math.sqrt(max(0.0, math.sin(math.radians(y[3] - x[3]) / 2) ** 2 + math.cos(math.radians(x[3])) * math.cos(math.radians(y[3])) * math.sin(math.radians(y[2] - x[2]) / 2) ** 2)))
+    got = {(x.path_id, x.seq): x.d for x in paths.nearest_m(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)).collect()}
+    assert got == {x[:2]: pytest.approx(min(far(x, y) for y in b if y[0] == x[0]), abs=1e-6) for x in a}
