@@ -72,3 +72,17 @@ def test_bilinear_samples_of_repeated_rows(spark):
     got = g.sample_bilinear(points, "z")
     assert got.columns == ["id", "fr", "fc", "value", "z"]
     assert sorted(((r.id, r.z) for r in got.collect()), key=str) == sorted([(1, 20.0), (1, 20.0), (2, 40.0), (3, None), (4, None), (5, None), (None, 75.0)], key=str)
+
+
+def test_the_mosaic_is_of_tiles_that_overlap_both_ways(spark, tmp_path):
+    import duckdb
+
+    from gridloom.plans import oracles, queries
+
+    spark.createDataFrame([(r, [float((r * 7 + c * 3) % 11) / 1000 for c in range(64)]) for r in range(70)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(x.row, x.col): x.predicted for x in queries.tile_mosaic(spark, str(tmp_path)).collect()}
+    assert len(got) == 70 * 64
+    # rows 22 to 47 lie in the tiles from 0 and from 22, columns 16 to 47 in those from 0 and from 16
+    assert got[30, 5] == pytest.approx((30 * 7 + 15) % 11 + 11) and got[30, 30] == pytest.approx((210 + 90) % 11 + 19)
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert {(r, c): v for r, c, v in duckdb.sql(oracles.ORACLES["tile_mosaic"]).fetchall()} == pytest.approx(got)
