@@ -111,16 +111,19 @@ def distance_field(grid: Grid, burned: DataFrame, limit: float = 5000.0) -> Data
 def rasterize_polygons(grid: Grid, rings: DataFrame) -> DataFrame:
     """Distinct (row, col) that polygons touch, of rings (ring_id, points array<struct<lon, lat>>), closed: cells whose centre is inside by the even-odd rule, and cells that the outline touches."""
     step = F.transform(F.sequence(F.lit(0), F.size("points") - 2), lambda i: F.struct(F.col("points")[i].alias("a"), F.col("points")[i + 1].alias("b")))
-    edges = rings.filter("size(points) > 1").select("ring_id", F.explode(step).alias("e")).select("ring_id", F.col("e.a.lon").alias("lon0"), F.col("e.a.lat").alias("lat0"), F.col("e.b.lon").alias("lon1"), F.col("e.b.lat").alias("lat1"))
-    x = lambda lon: (F.col(lon) - grid.west) / grid.step
-    y = lambda lat: (grid.north - F.col(lat)) / grid.step
-    e = edges.select("ring_id", x("lon0").alias("x0"), y("lat0").alias("y0"), x("lon1").alias("x1"), y("lat1").alias("y1")).filter("y0 <> y1")
-    # centres of rows, row + 0.5, from the upper end up to before the lower one
-    low, high = F.greatest(F.ceil(F.least("y0", "y1") - 0.5), F.lit(0)), F.least(F.ceil(F.greatest("y0", "y1") - 0.5) - 1, F.lit(grid.height - 1))
-    crossings = e.withColumn("low", low.cast("int")).withColumn("high", high.cast("int")).filter("low <= high").withColumn("row", F.explode(F.sequence("low", "high")))
-    at = F.col("x0") + (F.col("row") + 0.5 - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
-    n = F.row_number().over(Window.partitionBy("ring_id", "row").orderBy("x"))
-    spans = crossings.select("ring_id", "row", at.alias("x")).withColumn("k", F.floor((n - 1) / 2)).groupBy("ring_id", "row", "k").agg(F.min("x").alias("from"), F.max("x").alias("to"))
+    whole = rings.filter("size(points) > 1").select(step.alias("edges"))
+    edges = whole.select(F.explode("edges").alias("e")).select(F.col("e.a.lon").alias("lon0"), F.col("e.a.lat").alias("lat0"), F.col("e.b.lon").alias("lon1"), F.col("e.b.lat").alias("lat1"))
+    x = lambda p: (p["lon"] - grid.west) / grid.step
+    y = lambda p: (grid.north - p["lat"]) / grid.step
+    # centres of rows, row + 0.5, from an edge's upper end up to before the lower one; a ring's crossings of a row are in its own row, so nothing is exchanged but cells
+    first, last = lambda e: F.ceil(F.least(y(e["a"]), y(e["b"])) - 0.5), lambda e: F.ceil(F.greatest(y(e["a"]), y(e["b"])) - 0.5) - 1
+    crossed = F.filter(F.transform("edges", lambda e: F.struct(x(e["a"]).alias("x0"), y(e["a"]).alias("y0"), x(e["b"]).alias("x1"), y(e["b"]).alias("y1"), F.greatest(first(e), F.lit(0)).cast("int").alias("low"), F.least(last(e), F.lit(grid.height - 1)).cast("int").alias("high"))), lambda e: (e["y0"] != e["y1"]) & (e["low"] <= e["high"]))
+    sides = whole.select(crossed.alias("sides")).filter("size(sides) > 0")
+    ends = lambda f, c: f(F.transform("sides", lambda e: e[c]))
+    by_row = sides.withColumn("row", F.explode(F.sequence(ends(F.array_min, "low"), ends(F.array_max, "high"))))
+    at = lambda e: e["x0"] + (F.col("row") + 0.5 - e["y0"]) / (e["y1"] - e["y0"]) * (e["x1"] - e["x0"])
+    xs = F.array_sort(F.transform(F.filter("sides", lambda e: F.col("row").between(e["low"], e["high"])), at))
+    spans = by_row.select("row", xs.alias("xs")).filter("size(xs) > 1").select("row", "xs", F.explode(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2))).alias("k")).select("row", F.col("xs")[F.col("k")].alias("from"), F.col("xs")[F.col("k") + 1].alias("to"))
     left, right = F.greatest(F.ceil(F.col("from") - 0.5), F.lit(0)), F.least(F.ceil(F.col("to") - 0.5) - 1, F.lit(grid.width - 1))
     inside = spans.withColumn("left", left.cast("int")).withColumn("right", right.cast("int")).filter("left <= right").select("row", F.explode(F.sequence("left", "right")).alias("col"))
     return inside.unionByName(rasterize_lines(grid, edges)).distinct()
