@@ -298,3 +298,21 @@ def test_nearest_points_beyond_the_poles_and_far_apart(spark):
     far = lambda x, y: 12742000 * math.asin(math.sqrt(max(0.0, math.sin(math.radians(y[3] - x[3]) / 2) ** 2 + math.cos(math.radians(x[3])) * math.cos(math.radians(y[3])) * math.sin(math.radians(y[2] - x[2]) / 2) ** 2)))
     got = {(x.path_id, x.seq): x.d for x in paths.nearest_m(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)).collect()}
     assert got == {x[:2]: pytest.approx(min(far(x, y) for y in b if y[0] == x[0]), abs=1e-6) for x in a}
+
+
+def test_crops_have_a_row_for_each_tile_and_places_meet_tiles_once(spark):
+    from gridloom.config import V2
+    from gridloom.grid import Grid
+    from gridloom.operators import search, tilegraph
+
+    cells = spark.range(300 * 20).selectExpr("cast(id / 20 as int) as row", "cast(id % 20 as int) as col", "case when id % 7 > 0 then 1.0 + id % 3 end as cost")
+    g = Grid(cells, 300, 20)
+    ends = spark.createDataFrame([(1, "dbo", 1, 3, 1, 290, 15)], "path_id long, algorithm string, seed int, r0 int, c0 int, r1 int, c1 int")
+    assert search._crops(g, ends, V2, 4).count() == 2
+    assert tilegraph.side(Grid(cells, 120_000, 64)) == 4096 and tilegraph.side(Grid(cells, 5_000, 5_000)) == 512
+    points = spark.createDataFrame([(1, 0, 0), (2, -3, 5), (3, 302, 19), (4, 7, 3), (5, 400, 3)], "path_id long, row int, col int")
+    found = search.snap(points, g, 6)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+    free = {(r.row, r.col) for r in cells.filter("cost is not null").collect()}
+    near = lambda r, c: min(((max(abs(x - r), abs(y - c)), x, y) for x, y in free))
+    assert {x.path_id: (x.row, x.col) for x in found.collect()} == {p: near(r, c)[1:] for p, r, c in [(1, 0, 0), (2, -3, 5), (3, 302, 19), (4, 7, 3)]}
