@@ -149,6 +149,16 @@ def test_similarity(spark):
     assert far.mean_distance_m > 100_000
 
 
+def test_similarity_looks_at_every_point(spark):
+    """A spike at an odd place of one line: the Hausdorff distance is how far it sticks out, either way round."""
+    flat = line(spark, [(120 + k / 2000, 22) for k in range(9)])
+    spiked = line(spark, [(120 + k / 2000, 22.02 if k == 3 else 22) for k in range(9)])
+    for a, b in ((spiked, flat), (flat, spiked)):
+        got = paths.similarity(a, b, step_m=10_000.0).first()
+        assert got.hausdorff_m == pytest.approx(2224, abs=3)
+    assert paths.similarity(spiked, flat, step_m=10_000.0, stride=2).first().hausdorff_m < 1
+
+
 def test_gate(spark):
     rows = [(p, i, 120 + i / 1000, 22.0, 10.0, 50.0 if p == 2 else 10.0, 10.0 if p == 3 and i < 6 else 900.0, 0 if p == 4 and i == 3 else 1, 9.0 if p == 5 else 1.0) for p in range(1, 6) for i in range(12)]
     s = spark.createDataFrame(rows, "path_id long, seq int, lon double, lat double, z double, slope double, dist_water double, hard_mask int, cost double")
