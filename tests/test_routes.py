@@ -316,3 +316,22 @@ def test_crops_have_a_row_for_each_tile_and_places_meet_tiles_once(spark):
     free = {(r.row, r.col) for r in cells.filter("cost is not null").collect()}
     near = lambda r, c: min(((max(abs(x - r), abs(y - c)), x, y) for x, y in free))
     assert {x.path_id: (x.row, x.col) for x in found.collect()} == {p: near(r, c)[1:] for p, r, c in [(1, 0, 0), (2, -3, 5), (3, 302, 19), (4, 7, 3)]}
+
+
+def test_smoothing_where_joins_are_split(spark):
+    """One route has nearly all rows, so adaptive joins split it: partitions of the parts that are put together differ in number."""
+    tight = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in tight}
+    n, k = 3000, F.col("id")
+    cells = spark.range(n * 4).select((k / 4).cast("int").alias("row"), (k % 4).cast("int").alias("col"), F.lit(1.0).alias("cost"), F.lit(1).alias("hard_mask"))
+    routes = spark.range(n + 4).select(F.when(k < n, 0).otherwise(k - n + 1).cast("long").alias("path_id"), (k % n).alias("seq"), (k % n).cast("int").alias("row"), F.pmod(F.xxhash64("id"), F.lit(4)).cast("int").alias("col"))
+    try:
+        for key, value in tight.items():
+            spark.conf.set(key, value)
+        for repaired in (False, True):
+            got = search.smooth(routes.repartition(8), Grid(cells, n, 4), V2, repaired, least=3).groupBy("path_id").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("places")).collect()
+            by = {x.path_id: x for x in got}
+            assert sorted(by) == [0, 1, 2, 3, 4] and by[0].n == by[0].places > n and all(by[p].n == 1 for p in (1, 2, 3, 4))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
